@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -44,11 +45,15 @@ class Scratch:
         table.codeloom_path = path
         return table
 
-    def drop(self, table: DataFrame) -> None:
-        """Delete a table returned by `save` that nothing reads any more."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables returned by `save` that nothing reads any more, and the shuffle files of steps already written."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table.codeloom_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(table.codeloom_path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        # Spark's cleaner removes the shuffle files of plans that nobody holds any more once the driver collects its garbage.
+        gc.collect()
+        jvm.System.gc()
 
 
 def per_process(name: str, make):

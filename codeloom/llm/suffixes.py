@@ -3,7 +3,7 @@
 Every window of `length` bytes is filed under one of its suffix starts, its
 anchor: the first place in the window where the hash of the next SEED bytes
 is least.  Equal windows have equal anchors, so a suffix array over anchors
-alone (one place in 150) finds every repeat.  Anchors are sorted by the
+alone (one place in 120) finds every repeat.  Anchors are sorted by the
 fingerprint of their suffix's first SEED bytes, and under each by the
 fingerprint of their whole context, the bytes of all windows filed there.
 """
@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import Scratch
 from .hashing import Rolling, mix
 
 #: Bytes of a suffix that an anchor's fingerprint covers.
-SEED = 100
+SEED = 160
 
 
 #: Bits of a place in a text; the bits of the hash above them decide first.
@@ -139,29 +140,21 @@ def repeated_windows(ranges: DataFrame, docs: DataFrame, scratch: Scratch, lengt
     """Which windows of the ranges (doc, first, last, n) repeat elsewhere in them: (doc, first, last) of maximal runs.
 
     All windows of the ranges are fingerprinted in the task that holds the
-    text.  Sorted fingerprints travel as binary blocks, each fingerprint once
-    from each block of documents however often it occurs there, so no
-    passage is hot; a bit for each comes back.
+    text and counted by `blocks`, for which no passage is hot.
     """
-    spark = docs.sparkSession
     per_doc = ranges.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("ranges"))
     total = ranges.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 4_000_000))
     held = docs.join(per_doc, "doc").select("doc", "text", "ranges")
 
-    def blocks(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks of documents with about a million windows, sorted by fingerprint."""
-        fps, docs_, ats, n = [], [], [], 0
+    def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fps, places, n = [], [], 0
 
         def block():
-            fp, doc, at = np.concatenate(fps), np.concatenate(docs_), np.concatenate(ats)
-            name = f"{int(doc[0])}-{int(fp[0])}-{len(fp)}"
-            order = np.argsort(fp, kind="stable")
-            fp, doc, at = fp[order], doc[order], at[order]
-            new = np.concatenate([[True], fp[1:] != fp[:-1]])
-            twice = np.zeros(int(new.sum()), np.uint8)
-            twice[(np.cumsum(new) - 1)[~new]] = 1
-            return pd.DataFrame({"block": [name], "fp": [fp.astype("<u8").tobytes()], "doc": [doc.tobytes()], "at": [at.tobytes()], "twice": [twice.tobytes()]})
+            # Two places in one document are two owners.
+            every = np.concatenate(fps)
+            row = blocks.pack(every, np.arange(n))
+            row["idx"] = np.searchsorted(np.frombuffer(row["vals"], "<u8"), every).astype("<i4").tobytes()
+            return pd.DataFrame({"block": [f"{places[0][0]}-{places[0][1]}-{int(fps[0][0])}-{n}"], "places": [np.array(places, "<i8").tobytes()], **{k: [v] for k, v in row.items()}})
 
         for batch in it:
             for d, text, rs in zip(batch["doc"], batch["text"], batch["ranges"]):
@@ -169,47 +162,24 @@ def repeated_windows(ranges: DataFrame, docs: DataFrame, scratch: Scratch, lengt
                 for x in rs:
                     s = np.arange(x["first"], x["last"] + 1)
                     fps.append(r.of(s, s + length))
-                    ats.append(s.astype(np.int32))
-                    docs_.append(np.full(len(s), d, np.int64))
+                    places.append((d, x["first"], len(s)))
                     n += len(s)
-                if n >= 1_000_000:
+                if n >= blocks.BLOCK_VALUES:
                     yield block()
-                    fps, docs_, ats, n = [], [], [], 0
+                    fps, places, n = [], [], 0
         if n:
             yield block()
 
-    table = scratch.save(held.mapInPandas(blocks, "block string, fp binary, doc binary, at binary, twice binary"), "blocks")
-
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in it:
-            for block, raw, twice in zip(batch["block"], batch["fp"], batch["twice"]):
-                fp = np.unique(np.frombuffer(raw, "<u8"))
-                ends = np.searchsorted(fp, (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64))
-                ends = [0, *ends.tolist(), len(fp)]
-                rows = [(b, block, fp[ends[b] : ends[b + 1]].tobytes(), twice[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "fp", "twice"])
-
-    def decide(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, "<u8") for x in group["fp"]]
-        distinct, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        flags = np.concatenate([np.frombuffer(x, np.uint8) for x in group["twice"]]).astype(bool) | (count[inverse] > 1)
-        out, i = [], 0
-        for p in parts:
-            out.append(np.packbits(flags[i : i + len(p)]).tobytes())
-            i += len(p)
-        return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "n": [len(p) for p in parts], "bits": out})
-
-    pieces = table.select("block", "fp", "twice").mapInPandas(cut, "bucket int, block string, fp binary, twice binary")
-    answers = pieces.groupBy("bucket").applyInPandas(decide, "block string, bucket int, n int, bits binary")
-    answers = answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "bits"))).alias("answers"))
+    table = scratch.save(held.mapInPandas(pack, "block string, places binary, vals binary, twice binary, idx binary"), "blocks")
+    scratch.drop()
 
     def runs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            for raw, doc, at, answer in zip(batch["fp"], batch["doc"], batch["at"], batch["answers"]):
-                flag = np.concatenate([np.unpackbits(np.frombuffer(a["bits"], np.uint8))[: a["n"]] for a in answer]).astype(bool)
-                fp, doc, at = np.frombuffer(raw, "<u8"), np.frombuffer(doc, np.int64), np.frombuffer(at, np.int32)
-                hit = flag[np.cumsum(np.concatenate([[True], fp[1:] != fp[:-1]])) - 1]
-                doc, at = doc[hit], at[hit]
+            for idx, places, answers in zip(batch["idx"], batch["places"], batch["answers"]):
+                hit = blocks.joined(answers)[np.frombuffer(idx, "<i4")] > 0
+                d, first, n = np.frombuffer(places, "<i8").reshape(-1, 3).T
+                doc = np.repeat(d, n)[hit]
+                at = (np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n))[hit]
                 if not len(doc):
                     continue
                 order = np.lexsort((at, doc))
@@ -218,7 +188,10 @@ def repeated_windows(ranges: DataFrame, docs: DataFrame, scratch: Scratch, lengt
                 end = np.concatenate([begin[1:], [True]])
                 yield pd.DataFrame({"doc": doc[begin], "first": at[begin], "last": at[end]})
 
-    return table.select("block", "fp", "doc", "at").join(answers, "block").select("fp", "doc", "at", "answers").mapInPandas(runs, "doc long, first int, last int")
+    answered = table.select("block", "idx", "places").join(blocks.by_block(blocks.levels(table, total, "<u8")), "block")
+    found = scratch.save(answered.select("idx", "places", "answers").mapInPandas(runs, "doc long, first int, last int"), "runs")
+    scratch.drop(table)
+    return found
 
 
 def repeats(docs: DataFrame, scratch: Scratch, length: int = 400, batches: int = 4) -> DataFrame:
@@ -231,13 +204,13 @@ def repeats(docs: DataFrame, scratch: Scratch, length: int = 400, batches: int =
     for b in range(batches):
         index.add(found.where(F.col("batch") == b).drop("batch"))
     entries = index.entries()
-    # A context seen twice: all its windows repeat.
-    twice = scratch.save(entries.where("n > 1").select("seed", "context"), "twice")
-    whole = found.join(twice, ["seed", "context"]).select("doc", "first", "last")
     # Different contexts under one seed: one of each is compared window by window.
     mixed = scratch.save(entries.join(index.mixed_seeds(), "seed").select("at.doc", "at.first", "at.last", "n"), "mixed")
-    partial = repeated_windows(mixed, docs, scratch, length)
-    return whole.unionByName(partial)
+    # A context seen twice: all its windows repeat.
+    twice = scratch.save(entries.where("n > 1").select("seed", "context"), "twice")
+    whole = scratch.save(found.join(twice, ["seed", "context"]).select("doc", "first", "last"), "whole")
+    scratch.drop(found, twice, *index.levels.values(), *index.shared)
+    return whole.unionByName(repeated_windows(mixed, docs, scratch, length))
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, batches: int = 4, text_too: bool = False) -> DataFrame:
@@ -262,6 +235,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = 400, batches
     spans = repeats(d.select("doc", "text"), scratch, length, batches)
     per_doc = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
     per_doc = scratch.save(per_doc, "spans")
+    scratch.drop()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
