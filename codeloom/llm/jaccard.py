@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a size-aware heavy-light split (operator 1).
 
-A document is its set of shingles, ordered from rare to frequent by a sketch
-of all counts.  A partner at similarity s shares at least ceil(s * n) of the
+A document is its set of shingles.  Those that no other document has come
+first, then the others by how many blocks of the corpus hold them.  A partner at similarity s shares at least ceil(s * n) of the
 n shingles, so two partners share one of their first n - ceil(s * n) + 1
 shingles, and two of their first n - ceil(s * n) + 2.
 
@@ -9,7 +9,7 @@ Small sets are *light*: every pair of shingles of that longer prefix is a
 key, and light partners share a key.  Large sets are *heavy*: the inverted
 lists of the single prefix shingles are scanned; light sets near the boundary
 stand in these lists too.  The boundary is the size up to which enumerating
-costs no more than scanning, from the sizes and list lengths of the corpus.
+costs no more rows than scanning.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .common import Scratch, components
 from .hashing import mix, words
 
@@ -32,8 +33,10 @@ class Parameters:
     n: int = 5
     #: Similarity in hundredths.
     percent: int = 75
-    #: 2**bits counters order the shingles; a fixed size, for any corpus.  They steer cost, not results.
-    bits: int = 20
+    #: Bytes of text from which shingles are told apart by eight bytes instead of four.
+    wide_from: int = 10**10
+    #: Sets that the list of a prefix shingle leads to on average, for the boundary between light and heavy: shared shingles come last in the order, so few.
+    list_length: float = 1.5
     #: Largest size considered for enumeration.
     light_most: int = 64
 
@@ -69,6 +72,16 @@ def nodes_of(sets: list[np.ndarray]) -> list[int]:
     return [int(mix(s, 8).sum(dtype=np.uint64).astype(np.int64)) for s in sets]
 
 
+#: 64-bit words of a parity signature.
+PARITY = 16
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY slots, whether an odd number of shingles falls there."""
+    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def least_shared(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -77,48 +90,58 @@ def linked(shared, a, b, percent: int):
     return 100 * shared >= percent * (a + b - shared)
 
 
-def fingerprints(docs: DataFrame, p: Parameters) -> DataFrame:
-    """One row (doc, n, node) for each document, and rows with the sketch (slot block, counts)."""
-    blocks = 16
+def set_blocks(docs: DataFrame, dtype: str, p: Parameters) -> DataFrame:
+    """The sets of all documents, in blocks of about a million shingles.
+
+    A block has doc_id (and whether it is null), size and node of each
+    document, the shingles' values (hashes cut to `dtype`) in order of the
+    documents, and what `blocks` needs of them.
+    """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << p.bits, np.uint32)
-        mask = np.uint64((1 << p.bits) - 1)
-        any_rows = False
+        ids, held, nodes = [], [], []
+        n = 0
+
+        def block():
+            doc = pd.concat(ids)
+            sizes = np.array([len(s) for s in held], "<i4")
+            every = np.concatenate(held)
+            node = np.array(nodes, np.int64)
+            row = blocks.pack(every, np.repeat(node, sizes)) | {
+                "ids": doc.fillna(0).to_numpy().astype("<i8").tobytes(), "nulls": doc.isna().to_numpy().astype(np.uint8).tobytes(),
+                "sizes": sizes.tobytes(), "nodes": node.tobytes(), "seq": every.tobytes(),
+            }
+            name = f"{doc.iloc[0]}-{nodes[0]}-{len(doc)}-{int(every.sum(dtype=np.uint64))}"
+            return pd.DataFrame({"block": [name], "n_values": [len(every)], **{k: [v] for k, v in row.items()}})
+
         for batch in it:
             for i in range(0, len(batch), 256):
                 part = batch.iloc[i : i + 256]
                 sets = shingle_sets([t.encode() for t in part["text"]], p.n)
-                every = np.concatenate([np.zeros(0, np.uint64), *sets])
-                counts += np.bincount((every & mask).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                any_rows = True
-                yield pd.DataFrame({"doc": part["doc"].to_numpy(), "n": [len(s) for s in sets], "node": nodes_of(sets), "slot": -1, "counts": None})
-        if any_rows:
-            size = len(counts) // blocks
-            yield pd.DataFrame({"doc": None, "n": 0, "node": 0, "slot": range(blocks), "counts": [counts[i * size : (i + 1) * size].tobytes() for i in range(blocks)]})
+                ids.append(part["doc"].astype("Int64"))
+                nodes += nodes_of(sets)
+                held += [np.sort((s >> np.uint64(64 - 8 * np.dtype(dtype).itemsize)).astype(dtype)) for s in sets]
+                n += sum(map(len, sets))
+                if n >= blocks.BLOCK_VALUES:
+                    yield block()
+                    ids, held, nodes, n = [], [], [], 0
+        if held:
+            yield block()
 
-    return docs.select("doc", "text").mapInPandas(run, "doc long, n long, node long, slot int, counts binary")
+    schema = "block string, n_values long, ids binary, nulls binary, sizes binary, nodes binary, seq binary, vals binary, twice binary"
+    return docs.select("doc", "text").mapInPandas(run, schema)
 
 
-def sketch(found: DataFrame, p: Parameters) -> np.ndarray:
-    """Rank of each counter, by powers of two of its excess over the mean: one byte for each of 2**bits slots."""
+def documents_of(table: DataFrame) -> DataFrame:
+    """(doc, n, node) of every document in the blocks."""
 
-    def add(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            for slot, raw in zip(batch["slot"], batch["counts"]):
-                x = np.frombuffer(raw, np.uint32)
-                held[slot] = held[slot] + x if slot in held else x.astype(np.uint64)
-        for slot, x in held.items():
-            yield pd.DataFrame({"slot": [slot], "counts": [np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
+            for ids, nulls, sizes, nodes in batch.itertuples(index=False):
+                doc = pd.Series(np.frombuffer(ids, "<i8")).astype("Int64").mask(np.frombuffer(nulls, np.uint8).astype(bool))
+                yield pd.DataFrame({"doc": doc, "n": np.frombuffer(sizes, "<i4").astype(np.int64), "node": np.frombuffer(nodes, "<i8")})
 
-    sums = found.where("slot >= 0").select("slot", "counts").repartition(16, "slot").mapInPandas(add, "slot int, counts binary")
-    parts = dict(sums.groupBy("slot").applyInPandas(lambda g: next(iter(add([g]))), "slot int, counts binary").collect())  # 2**bits counters
-    if not parts:
-        return np.zeros(1 << p.bits, np.uint8)
-    c = np.concatenate([np.frombuffer(parts[s], np.uint32) for s in sorted(parts)]).astype(float)
-    mean = c.mean()
-    return np.minimum(250, np.floor(4 * np.log2(1 + np.maximum(0, c - mean - 3 * np.sqrt(mean)) / 4))).astype(np.uint8)
+    return table.select("ids", "nulls", "sizes", "nodes").mapInPandas(run, "doc long, n long, node long")
 
 
 def boundary(list_length: float, p: Parameters) -> int:
@@ -133,22 +156,21 @@ def boundary(list_length: float, p: Parameters) -> int:
     return x
 
 
-def postings(docs: DataFrame, rank: np.ndarray, light: int, p: Parameters) -> DataFrame:
-    """Keys of every document's set: (key, node, n)."""
-    holder = docs.sparkSession.sparkContext.broadcast(rank)
+def postings(table: DataFrame, answers: DataFrame, light: int, dtype: str, p: Parameters) -> DataFrame:
+    """Keys that more than one set may have: (key, node, n)."""
     # The smallest size that can be the partner of a heavy set.
     near = least_shared(light + 1, p.percent)
-    mask = np.uint64((1 << p.bits) - 1)
 
-    def keys_of(s: np.ndarray) -> np.ndarray:
+    def keys_of(s: np.ndarray, level: np.ndarray) -> np.ndarray:
         n = len(s)
         prefix = n - least_shared(n, p.percent) + 1
-        order = np.lexsort((s, holder.value[(s & mask).astype(np.int64)]))[: prefix + 1]
-        first = s[order]
+        order = np.argsort(level, kind="stable")[: prefix + 1]  # s is sorted: by (level, value)
+        first, level = s[order].astype(np.uint64), level[order]
         out = []
         if n > light or n >= near or n == 1:
-            out.append(first[:prefix])
+            out.append(first[:prefix][level[:prefix] > 0])
         if 1 < n <= light:
+            first = first[level > 0]
             i, j = np.triu_indices(len(first), 1)
             a, b = np.minimum(first[i], first[j]), np.maximum(first[i], first[j])
             with np.errstate(over="ignore"):
@@ -157,15 +179,22 @@ def postings(docs: DataFrame, rank: np.ndarray, light: int, p: Parameters) -> Da
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256]
-                sets = shingle_sets([t.encode() for t in part["text"]], p.n)
-                keys = [keys_of(s) if len(s) else s for s in sets]
-                lengths = [len(k) for k in keys]
-                every = np.concatenate([np.zeros(0, np.uint64), *keys])
-                yield pd.DataFrame({"key": every.view(np.int64), "node": np.repeat(np.array(nodes_of(sets), np.int64), lengths), "n": np.repeat([len(s) for s in sets], lengths)})
-
-    return docs.select("text").mapInPandas(run, "key long, node long, n int")
+            for sizes, nodes, seq, answer in batch.itertuples(index=False):
+                sizes, nodes, seq = np.frombuffer(sizes, "<i4"), np.frombuffer(nodes, "<i8"), np.frombuffer(seq, dtype)
+                if not len(seq):
+                    continue
+                level = blocks.joined(answer)[np.unique(seq, return_inverse=True)[1]]
+                # A document with as many unshared shingles as its prefix is long has no partner.
+                alone = np.add.reduceat(np.append(level == 0, False).astype(np.int64), np.minimum(np.cumsum(sizes) - sizes, len(seq)))
+                ends = np.cumsum(sizes)
+                todo = np.flatnonzero((sizes > 0) & (alone < sizes - -(-p.percent * sizes.astype(np.int64) // 100) + 2))
+                keys = [keys_of(seq[ends[k] - sizes[k] : ends[k]], level[ends[k] - sizes[k] : ends[k]]) for k in todo.tolist()]
+                if keys:
+                    of = np.repeat(todo, [len(k) for k in keys])
+                    yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": nodes[of], "n": sizes[of]})
+
+    joined = table.select("block", "sizes", "nodes", "seq").join(blocks.by_block(answers), "block")
+    return joined.select("sizes", "nodes", "seq", "answers").mapInPandas(run, "key long, node long, n int")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, p: Parameters) -> DataFrame:
@@ -186,7 +215,7 @@ def verify(pairs: DataFrame, sets: DataFrame, p: Parameters) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds: int = 3) -> DataFrame:
+def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds: int = 2) -> DataFrame:
     """Shingle-set size and component of every document: doc_id, n_shingles, component_id.
 
     Documents with the same set are one class, compared once.  Keys that two
@@ -204,17 +233,22 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
     columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = scratch.save(fingerprints(d, p), "fingerprints")
-    rows = found.where("slot < 0").select("doc", "n", "node")
-    rank = sketch(found, p)
+    # Values of four bytes tell apart what a few gigabytes of text hold; beyond, eight.  Either is exact in its results.
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dtype = "<u4" if size < p.wide_from else "<u8"
+    table = scratch.save(set_blocks(d, dtype, p), "sets")
+    rows = scratch.save(documents_of(table), "documents")
     cls = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("rep")), "classes")
-    light = boundary(1 + 4 * float((rank > 0).mean()), p)
+    answers = scratch.save(blocks.levels(table, table.agg(F.sum("n_values")).first()[0] or 0, dtype), "levels")
+    scratch.drop()
+    light = boundary(p.list_length, p)
 
     # Keys of one class only are dropped; copies of a class leave one posting.
-    keys = scratch.save(postings(d, rank, light, p), "keys")
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    live = scratch.save(keys.join(scratch.save(shared, "shared"), "key").distinct(), "live")
-    scratch.drop(keys)
+    found_keys = scratch.save(postings(table, answers, light, dtype, p).distinct(), "postings")
+    scratch.drop(table, answers)
+    several = found_keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    live = scratch.save(found_keys.join(scratch.save(several, "several"), "key"), "live")
+    scratch.drop(found_keys)
 
     members = live.select("node").distinct().join(cls, "node").select(F.col("rep").alias("doc")).distinct()
     members = scratch.save(members, "members")
@@ -223,37 +257,45 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
         for batch in it:
             for i in range(0, len(batch), 256):
                 s = shingle_sets([t.encode() for t in batch["text"].iloc[i : i + 256]], p.n)
-                yield pd.DataFrame({"node": nodes_of(s), "shingles": [x.astype("<u8").tobytes() for x in s]})
+                yield pd.DataFrame({"node": nodes_of(s), "shingles": [x.astype("<u8").tobytes() for x in s], "parity": [parity(x) for x in s]})
 
-    sets = d.join(members, "doc", "left_semi").mapInPandas(as_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = d.join(members, "doc", "left_semi").mapInPandas(as_sets, "node long, shingles binary, parity array<long>").dropDuplicates(["node"])
     sets = scratch.save(sets, "sets")
+    scratch.drop()
 
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * p.percent) & (F.col(b) * 100 >= F.col(a) * p.percent)
     edges = d.sparkSession.createDataFrame([], "a long, b long")
     todo = live.withColumn("comp", F.col("node"))
     for r in range(rounds):
-        pick = F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", "key", F.lit(r)))
+        # First one member for all keys of a group, as far as the keys allow; later another for each key.
+        by = F.xxhash64("node", "key", F.lit(r)) if r else F.xxhash64("node")
+        pick = F.min_by(F.struct("node", "n", "comp"), by)
         chosen = todo.groupBy("key").agg(pick.alias("c")).select("key", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.comp").alias("cb"))
         chosen = scratch.save(chosen, "chosen")
         meet = todo.join(chosen, "key").where((F.col("comp") != F.col("cb")) & fits("n", "nb"))
         pairs = scratch.save(meet.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
-            edges = scratch.save(edges.unionByName(verify(pairs, sets, p)), "links")
+            edges = scratch.save(edges.unionByName(verify(pairs, sets.select("node", "shingles"), p)), "links")
+            scratch.drop(pairs, chosen)
             todo = unfinished(live, edges, scratch)
     # The rest: members outside the largest part of their key, against everyone in another component.
     parts = todo.groupBy("key", "comp").agg(F.count("*").alias("m"))
     major = scratch.save(parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major")), "major")
     rest = scratch.save(todo.join(major, "key"), "rest")
     first = scratch.save(rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, 64).alias("keys")), "first-keys")
-    rest = scratch.save(rest.join(first, "node"), "rest")
-    x = rest.where("comp <> major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("keys").alias("ka"))
-    y = rest.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("keys").alias("kb"), "major")
+    rest = scratch.save(rest.join(first, "node").join(sets.select("node", "parity"), "node"), "rest")
+    x = rest.where("comp <> major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("keys").alias("ka"), F.col("parity").alias("pa"))
+    y = rest.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("keys").alias("kb"), F.col("parity").alias("pb"), "major")
     # Two minor members would meet twice: the smaller leads.  A pair that meets under a smaller key among the first of both is left to that key.
     once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))) & fits("na", "nb")
     once = once & (F.coalesce(F.array_min(F.array_intersect("ka", "kb")), F.col("key")) >= F.col("key"))
+    # Where parities differ the sets do: a lower bound of what they don't share, of which links have little.
+    apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("pa", F.lit(0)).bitwiseXOR(F.get("pb", F.lit(0)))))
+    once = once & (apart * (100 + p.percent) <= (F.col("na") + F.col("nb")) * (100 - p.percent))
+    scratch.drop()
     pairs = scratch.save(x.join(y, (F.col("key") == F.col("key_b")) & once).select("a", "b").distinct(), "pairs")
     if not pairs.isEmpty():
-        edges = scratch.save(edges.unionByName(verify(pairs, sets, p)), "links")
+        edges = scratch.save(edges.unionByName(verify(pairs, sets.select("node", "shingles"), p)), "links")
 
     comp = components(edges, scratch).toDF("node", "component")
     whole = scratch.save(cls.join(comp, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component")), "whole")
