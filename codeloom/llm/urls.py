@@ -45,7 +45,7 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 def tokens(host: Column, path: Column) -> Column:
     """Distinct tokens of an URL: `h:` words of the host, `p:` words of the path; digits count as one token `#`."""
     words = lambda c, tag: F.transform(
-        F.filter(F.split(F.regexp_replace(F.lower(c), r"[0-9]+", "#"), r"[^\\p{L}#]+"), lambda w: w != ""), lambda w: F.concat(F.lit(tag), w)
+        F.filter(F.split(F.regexp_replace(F.lower(c), r"[0-9]+", "#"), r"[^\p{L}#]+"), lambda w: w != ""), lambda w: F.concat(F.lit(tag), w)
     )
     return F.array_distinct(F.concat(words(host, "h:"), words(path, "p:")))
 
