@@ -30,15 +30,16 @@ def pack(values: np.ndarray, owner: np.ndarray) -> dict[str, bytes]:
     return {"vals": v[new].tobytes(), "twice": twice.tobytes()}
 
 
-def levels(table: DataFrame, total: int, dtype: str) -> DataFrame:
-    """From (block, vals, twice): (block, bucket, n, levels) for each bucket that a block has values in; levels is a byte for each value."""
+def levels(table: DataFrame, total: int, dtype: str, columns: tuple[str, ...] = ("vals", "twice"), read=lambda vals, twice: (vals, twice)) -> DataFrame:
+    """From (block, columns), of which `read` makes vals and twice: (block, bucket, n, levels) for each bucket that a block has values in; levels is a byte for each value."""
     buckets = max(16, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_VALUES))
     span = 2.0 ** (8 * np.dtype(dtype).itemsize)
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bounds = (np.arange(1, buckets, dtype=np.float64) * (span / buckets)).astype(dtype)
         for batch in it:
-            for block, raw, twice in zip(batch["block"], batch["vals"], batch["twice"]):
+            for block, *row in batch.itertuples(index=False):
+                raw, twice = read(*row)
                 v = np.frombuffer(raw, dtype)
                 ends = [0, *np.searchsorted(v, bounds).tolist(), len(v)]
                 rows = [(b, block, v[ends[b] : ends[b + 1]].tobytes(), twice[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
@@ -57,7 +58,7 @@ def levels(table: DataFrame, total: int, dtype: str) -> DataFrame:
         cuts = np.cumsum([0, *map(len, parts)])
         return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "n": [len(p) for p in parts], "levels": [level[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]})
 
-    pieces = table.select("block", "vals", "twice").mapInPandas(cut, "bucket int, block string, vals binary, twice binary")
+    pieces = table.select("block", *columns).mapInPandas(cut, "bucket int, block string, vals binary, twice binary")
     return pieces.groupBy("bucket").applyInPandas(decide, "block string, bucket int, n int, levels binary")
 
 

@@ -95,7 +95,7 @@ def set_blocks(docs: DataFrame, dtype: str, p: Parameters) -> DataFrame:
 
     A block has doc_id (and whether it is null), size and node of each
     document, the shingles' values (hashes cut to `dtype`) in order of the
-    documents, and what `blocks` needs of them.
+    documents.
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,7 +107,7 @@ def set_blocks(docs: DataFrame, dtype: str, p: Parameters) -> DataFrame:
             sizes = np.array([len(s) for s in held], "<i4")
             every = np.concatenate(held)
             node = np.array(nodes, np.int64)
-            row = blocks.pack(every, np.repeat(node, sizes)) | {
+            row = {
                 "ids": doc.fillna(0).to_numpy().astype("<i8").tobytes(), "nulls": doc.isna().to_numpy().astype(np.uint8).tobytes(),
                 "sizes": sizes.tobytes(), "nodes": node.tobytes(), "seq": every.tobytes(),
             }
@@ -128,7 +128,7 @@ def set_blocks(docs: DataFrame, dtype: str, p: Parameters) -> DataFrame:
         if held:
             yield block()
 
-    schema = "block string, n_values long, ids binary, nulls binary, sizes binary, nodes binary, seq binary, vals binary, twice binary"
+    schema = "block string, n_values long, ids binary, nulls binary, sizes binary, nodes binary, seq binary"
     return docs.select("doc", "text").mapInPandas(run, schema)
 
 
@@ -239,7 +239,12 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
     table = scratch.save(set_blocks(d, dtype, p), "sets")
     rows = scratch.save(documents_of(table), "documents")
     cls = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("rep")), "classes")
-    answers = scratch.save(blocks.levels(table, table.agg(F.sum("n_values")).first()[0] or 0, dtype), "levels")
+
+    def read(sizes: bytes, nodes: bytes, seq: bytes) -> tuple[bytes, bytes]:
+        row = blocks.pack(np.frombuffer(seq, dtype), np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(sizes, "<i4")))
+        return row["vals"], row["twice"]
+
+    answers = scratch.save(blocks.levels(table, table.agg(F.sum("n_values")).first()[0] or 0, dtype, ("sizes", "nodes", "seq"), read), "levels")
     scratch.drop()
     light = boundary(p.list_length, p)
 
