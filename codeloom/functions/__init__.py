@@ -1 +1 @@
-
+"""Small building blocks shared by the engine."""
