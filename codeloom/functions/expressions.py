@@ -10,6 +10,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 TOKEN = re.compile(r"[A-Za-z][A-Za-z0-9]*|[0-9]+|[-+*/%()]")
 RANK = {"+": 1, "-": 1, "*": 2, "/": 2, "%": 2}
@@ -58,6 +59,6 @@ def canonical(text: str | None) -> str | None:
     return out[0] if len(out) == 1 and not operand and "((" not in ops else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_column(text: pd.Series) -> pd.Series:
     return text.map(canonical, na_action="ignore")
