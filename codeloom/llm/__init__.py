@@ -3,9 +3,3 @@
 Nothing else in the library imports this subpackage.  `queries.py` holds the
 registered queries and `sql.py` their DuckDB counterparts.
 """
-
-import codeloom
-from pyspark import cloudpickle
-
-# Functions run inside tasks travel by value, so executors need no copy of the package on their path.
-cloudpickle.register_pickle_by_value(codeloom)
