@@ -156,7 +156,7 @@ class PieceTokenizer:
     by having the same 64-bit hash.  The memory of a worker is bounded by `most`.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -238,7 +238,7 @@ class PieceTokenizer:
 def write_ids(docs: DataFrame, scratch: Scratch, path: str, end_id: int, file_ids: int = 1 << 20) -> DataFrame:
     """Encode every text and write the files; returns their table (part, seq, n_docs, n_ids, payload).
 
-    Documents are range-partitioned and sorted by doc_id (equal ids by text),
+    Documents are range-partitioned by doc_id and sorted (equal ids by text),
     so parts, and files in a part, follow each other in that order.  A file
     ends with the document that brings it to `file_ids` ids.  Null text: empty,
     the end id alone.  Repeated rows stay.  Empty table: no files.
@@ -275,7 +275,7 @@ def write_ids(docs: DataFrame, scratch: Scratch, path: str, end_id: int, file_id
         if held:
             yield file()
 
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return scratch.save(d.mapInPandas(run, "part int, seq int, n_docs int, n_ids long, payload binary"), "files")
 
 
