@@ -43,8 +43,8 @@ class Lexicon:
     characters.
     """
 
-    def __init__(self, terms: list[str], fuzzy_from: int):
-        self.fuzzy_from = fuzzy_from
+    def __init__(self, terms: list[str], fuzzy_from: int, exact_only: frozenset[str] = frozenset()):
+        self.fuzzy_from, self.exact_only = fuzzy_from, exact_only
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         for t in terms:
@@ -98,7 +98,7 @@ class Lexicon:
             at = self._step(at, c) if to is None else to
             if at < 0:
                 return None
-        found = [(e, t) for node, e in self.states[at] if (t := self.term[node]) and (e == 0 or len(t) >= self.fuzzy_from and len(word) >= self.fuzzy_from - 1)]
+        found = [(e, t) for node, e in self.states[at] if (t := self.term[node]) and (e == 0 or len(t) >= self.fuzzy_from and len(word) >= self.fuzzy_from - 1 and t not in self.exact_only)]
         return min(found)[::-1] if found else None
 
 
@@ -119,6 +119,11 @@ class Model:
     p: Parameters
     #: Ordinary words within one edit of a term.
     ordinary: frozenset[str] = frozenset()
+    #: Terms that have too many neighbours among ordinary words.
+    exact_only: frozenset[str] = frozenset()
+
+    def lexicon(self) -> Lexicon:
+        return Lexicon(self.terms, self.p.fuzzy_from, self.exact_only)
 
     def match(self, word: str, lexicon: Lexicon) -> tuple[str, int] | None:
         w = STRIP.sub("", word)
@@ -192,10 +197,13 @@ def learn_lexicon(train: DataFrame, p: Parameters) -> list[str]:
     return sorted(r["word"] for r in found if lower(r["bad"], r["good"]) >= p.min_precision)
 
 
-def learn_ordinary(train: DataFrame, terms: list[str], p: Parameters) -> frozenset[str]:
-    """Misspellings of the terms that clean documents use too: ordinary words.
+def learn_ordinary(train: DataFrame, terms: list[str], p: Parameters) -> tuple[frozenset[str], frozenset[str]]:
+    """What only looks like a term, from documents without an exact hit: ordinary words, and terms whose neighbours mark nothing.
 
-    There are at most as many as strings within one edit of a term.
+    Words within one edit of a term that are at home in clean documents are
+    ordinary.  A term whose other neighbours, rare ones, are mostly in clean
+    documents matches exactly only.  There are at most as many words as
+    strings within one edit of a term.
     """
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,29 +211,39 @@ def learn_ordinary(train: DataFrame, terms: list[str], p: Parameters) -> frozens
         for batch in batches:
             out = []
             for text, toxic in zip(batch["text"], batch["toxic"]):
+                found = {}
                 for w in words_of(text or ""):
                     if w not in known:
                         if len(known) >= p.remembered:
                             known.clear()
                         known[w] = lexicon.match(w)
-                    if known[w] and known[w][1]:
-                        out.append((w, int(toxic > 0)))
-            yield pd.DataFrame(out, columns=["word", "toxic"])
-
-    counts = train.mapInPandas(forms, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    return frozenset(r["word"] for r in counts.where("bad < 0.5 * n").collect())
+                    if known[w]:
+                        found[w] = known[w]
+                if all(e for _, e in found.values()):
+                    out += [(t, w, int(toxic > 0)) for w, (t, _) in found.items()]
+            yield pd.DataFrame(out, columns=["term", "word", "toxic"])
+
+    counts = train.mapInPandas(forms, "term string, word string, toxic int").groupBy("term", "word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()
+    ordinary = frozenset(r["word"] for r in counts if r["n"] - r["bad"] >= 3 and r["bad"] < 0.5 * r["n"])
+    by_term: dict[str, list[int]] = {}
+    for r in counts:
+        if r["word"] not in ordinary:
+            x = by_term.setdefault(r["term"], [0, 0])
+            x[0] += r["bad"]
+            x[1] += r["n"]
+    return ordinary, frozenset(t for t, (bad, n) in by_term.items() if bad < 0.7 * n)
 
 
 def fit(train: DataFrame, scratch: Scratch, p: Parameters = Parameters()) -> Model:
     """Lexicon and the three probabilities, from all labelled rows (text, toxic). No rows or one class only: everything scores 0."""
     train = train.where("toxic is not null").select("text", "toxic")
     terms = learn_lexicon(train, p)
-    ordinary = learn_ordinary(train, terms, p) if terms else frozenset()
-    seen = score(train.withColumn("toxic", (F.col("toxic") > 0).cast("int")), Model(terms, 0.0, 0.0, 0.0, p, ordinary), ["toxic"])
+    known = learn_ordinary(train, terms, p) if terms else ()
+    seen = score(train.withColumn("toxic", (F.col("toxic") > 0).cast("int")), Model(terms, 0.0, 0.0, 0.0, p, *known), ["toxic"])
     kind = F.when(F.col("plain_hits") > 0, "plain").when(F.col("quoted_hits") > 0, "quoted").otherwise("none")
     rows = {r["kind"]: (r["bad"], r["n"]) for r in seen.groupBy(kind.alias("kind")).agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()}
     chance = lambda k, prior: (lambda b, n: (b + 5 * prior) / (n + 5))(*rows.get(k, (0, 0)))
-    return Model(terms, chance("plain", 0.9), chance("quoted", 0.2), chance("none", 0.05), p, ordinary) if terms else Model([], 0.0, 0.0, 0.0, p)
+    return Model(terms, chance("plain", 0.9), chance("quoted", 0.2), chance("none", 0.05), p, *known) if terms else Model([], 0.0, 0.0, 0.0, p)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -235,10 +253,10 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     repeated row gets the same score again.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", plain_hits int, quoted_hits int, score double"
-    key = "toxicity-" + "|".join(model.terms) + repr(model.p) + "|".join(sorted(model.ordinary))
+    key = "toxicity-" + "|".join(model.terms) + repr(model.p) + "|".join(sorted(model.ordinary)) + "|".join(sorted(model.exact_only))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, known = per_process(key, lambda: (Lexicon(model.terms, model.p.fuzzy_from), {}))
+        lexicon, known = per_process(key, lambda: (model.lexicon(), {}))
         for batch in batches:
             got = [model.hits(t, lexicon, known) if t else (0, 0) for t in batch["_text"]]
             yield batch[keep].assign(plain_hits=[a for a, _ in got], quoted_hits=[b for _, b in got], score=[model.score(a, b) for a, b in got])
