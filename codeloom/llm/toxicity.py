@@ -18,7 +18,7 @@ from .common import Scratch, per_process
 @dataclass(frozen=True)
 class Parameters:
     #: A lexicon word is in at least this share of toxic documents and this many ...
-    min_share: float = 0.02
+    min_share: float = 0.01
     min_docs: int = 4
     #: ... and a document with it is toxic with at least this probability (a lower bound).
     min_precision: float = 0.8
@@ -162,6 +162,12 @@ class Model:
         return self.quoted if quoted else self.none
 
 
+def wilson(k: int, n: int, z: float = 1.28) -> float:
+    """Lower bound of a share of which k of n were seen."""
+    x = k / n
+    return (x + z * z / (2 * n) - z * math.sqrt(x * (1 - x) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def learn_lexicon(train: DataFrame, p: Parameters) -> list[str]:
     """Words that mark toxic documents, from rows (text, toxic 0/1): all rows are counted, in each task before the shuffle.
 
@@ -193,8 +199,7 @@ def learn_lexicon(train: DataFrame, p: Parameters) -> list[str]:
     )
     least = max(p.min_docs, p.min_share * n)
     found = counts.where((F.col("bad") >= least) & (F.length("word") >= 3)).collect()
-    lower = lambda b, g: (b / (b + g)) - 1.0 * math.sqrt(b * g / (b + g) ** 3)
-    return sorted(r["word"] for r in found if lower(r["bad"], r["good"]) >= p.min_precision)
+    return sorted(r["word"] for r in found if wilson(r["bad"], r["bad"] + r["good"]) >= p.min_precision)
 
 
 def learn_ordinary(train: DataFrame, terms: list[str], p: Parameters) -> tuple[frozenset[str], frozenset[str]]:
@@ -236,10 +241,12 @@ def learn_ordinary(train: DataFrame, terms: list[str], p: Parameters) -> tuple[f
 
 def fit(train: DataFrame, scratch: Scratch, p: Parameters = Parameters()) -> Model:
     """Lexicon and the three probabilities, from all labelled rows (text, toxic). No rows or one class only: everything scores 0."""
-    train = train.where("toxic is not null").select("text", "toxic")
+    # Copies of a text tell no more than one of them.
+    train = train.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    train = scratch.save(train.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).drop("h"), "distinct")
     terms = learn_lexicon(train, p)
     known = learn_ordinary(train, terms, p) if terms else ()
-    seen = score(train.withColumn("toxic", (F.col("toxic") > 0).cast("int")), Model(terms, 0.0, 0.0, 0.0, p, *known), ["toxic"])
+    seen = score(train, Model(terms, 0.0, 0.0, 0.0, p, *known), ["toxic"])
     kind = F.when(F.col("plain_hits") > 0, "plain").when(F.col("quoted_hits") > 0, "quoted").otherwise("none")
     rows = {r["kind"]: (r["bad"], r["n"]) for r in seen.groupBy(kind.alias("kind")).agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()}
     chance = lambda k, prior: (lambda b, n: (b + 5 * prior) / (n + 5))(*rows.get(k, (0, 0)))
