@@ -268,7 +268,7 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
     sets = scratch.save(sets, "sets")
     scratch.drop()
 
-    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * p.percent) & (F.col(b) * 100 >= F.col(a) * p.percent)
+    fits = lambda a, b: (F.col(a) * F.lit(100).cast("long") >= F.col(b) * F.lit(p.percent).cast("long")) & (F.col(b) * F.lit(100).cast("long") >= F.col(a) * F.lit(p.percent).cast("long"))
     edges = d.sparkSession.createDataFrame([], "a long, b long")
     todo = live.withColumn("comp", F.col("node"))
     for r in range(rounds):
@@ -296,7 +296,7 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
     once = once & (F.coalesce(F.array_min(F.array_intersect("ka", "kb")), F.col("key")) >= F.col("key"))
     # Where parities differ the sets do: a lower bound of what they don't share, of which links have little.
     apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("pa", F.lit(0)).bitwiseXOR(F.get("pb", F.lit(0)))))
-    once = once & (apart * (100 + p.percent) <= (F.col("na") + F.col("nb")) * (100 - p.percent))
+    once = once & (apart * (100 + p.percent) <= (F.col("na").cast("long") + F.col("nb")) * (100 - p.percent))
     scratch.drop()
     pairs = scratch.save(x.join(y, (F.col("key") == F.col("key_b")) & once).select("a", "b").distinct(), "pairs")
     if not pairs.isEmpty():

@@ -75,9 +75,9 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
     known = buckets.join(sources, buckets["source"].eqNullSafe(sources["source"])).select(buckets["source"].alias("s"), F.col("bucket").alias("b"), "bucket_start", "source_size", "target")
     run = run.join(known, run["source"].eqNullSafe(known["s"]) & (run["bucket"] == known["b"]))
     middle = F.col("bucket_start") + F.col("in_bucket") + F.col("size") / F.lit(2.0)
-    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MOST), F.greatest(F.lit(0), F.floor((F.col("target") - middle) / F.col("source_size")) + 1))).cast("int")
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(MOST), F.greatest(F.lit(0), F.floor(F.try_divide(F.col("target") - middle, F.col("source_size"))) + 1))).cast("int")
     return run.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", (middle / F.col("target")).alias("finish"), *([run["source"].alias("_source")] if keep_source else [])
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", F.try_divide(middle, F.col("target")).alias("finish"), *([run["source"].alias("_source")] if keep_source else [])
     )
 
 
