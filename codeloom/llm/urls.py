@@ -55,6 +55,7 @@ class RuleParameters:
     """What a mined rule must reach.  At most 1 / min_support times the longest set of tokens can be frequent, so the rules fit any executor."""
 
     min_support: float = 0.002
+    #: A lower bound of the share of blocked pages among those that the rule fits.
     min_confidence: float = 0.5
     min_lift: float = 2.0
     #: Rows of evidence besides the share.
@@ -88,7 +89,10 @@ def mine(labelled: DataFrame, scratch: Scratch, p: RuleParameters = RuleParamete
     )
     plain = sets.where(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("rows"))
     rules = with_block.join(plain, "antecedent").withColumn("confidence", F.col("hits") / F.col("rows")).withColumn("lift", F.col("confidence") * F.lit(n / blocks))
-    rules = rules.where((F.col("confidence") >= p.min_confidence) & (F.col("lift") >= p.min_lift) & (F.col("hits") >= p.min_rows))
+    # Few rows prove little: the lower bound of the confidence counts (Wilson's, one-sided 95 %).
+    z, x, n_rows = 1.645, F.col("confidence"), F.col("rows")
+    sure = (x + z * z / (2 * n_rows) - z * F.sqrt(x * (1 - x) / n_rows + z * z / (4 * n_rows * n_rows))) / (1 + z * z / n_rows)
+    rules = rules.where((sure >= p.min_confidence) & (F.col("lift") >= p.min_lift) & (F.col("hits") >= p.min_rows))
     rules = scratch.save(rules.withColumn("rule_id", F.xxhash64("antecedent")), "rules")
     single = sets.where("size = 1").select(F.col("items")[0].alias("token"), F.col("freq"))
     each = rules.select("rule_id", "antecedent", "confidence", "lift", F.explode("antecedent").alias("token")).join(single, "token")
