@@ -179,3 +179,12 @@ def test_closures(spark):
         want |= more
     assert {tuple(r) for r in closure(df).collect()} == want
     assert {tuple(r) for r in closure_within(df, "program_id").collect()} == want
+
+
+def test_fact_tables_round_trip(spark, alpha, tmp_path):
+    from codeloom.sources.tables import read_facts, write_facts
+
+    write_facts(alpha, str(tmp_path), ("parent",))
+    again = read_facts(spark, str(tmp_path), ("parent",))
+    assert rows(again.relation("parent")) == rows(alpha.relation("parent"))
+    assert rows(again.relation("follows_t")) == rows(alpha.relation("follows_t"))
