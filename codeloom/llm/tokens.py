@@ -18,6 +18,7 @@ known words, so all blocks decode side by side.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +40,10 @@ WIDTH = np.array([60, 32, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 BITS = np.maximum(1, np.frexp(np.arange(1 << 16, dtype=float))[1]).astype(np.int8)
 #: Shortest run that takes the run escape.
 RUN = 61
+#: Pieces of lower-case Latin letters, digits and marks.
+PLAIN = regex.compile(r"[\x21-\x40\x5B-\x7E\xA1-\xAC\xAE-\xBF\xDF-\xFF]+")
+#: Fixed value: how a byte-level vocabulary writes the bytes that are no printable Latin-1 character.
+BYTES = dict(zip([b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF)], range(256, 324)))
 #: Fixed value: how the vocabulary's own splitter cuts words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.IGNORECASE)
 
@@ -161,13 +166,18 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>") or t.startswith("<|")]] = True
+        self.model = self.tokenizer.model
         # Where lower case is all that a tokenizer sees, spellings share an entry; special tokens are matched as written.
         self.lower = self.ids_of("Aé X") == self.ids_of("aé x")
+        # The library's model alone serves pieces of Latin letters and marks, if it sees words as the whole tokenizer does.
+        self.plain = self.lower and all([x.id for part in WORD.findall(t) for x in self.model.tokenize(self.as_bytes(part))] == self.ids_of(t) for t in ("ab", "don't", "naïveté", "x,y.", "ß1½", "l'été!", "(a)#%*"))
         self.forget()
 
+    @staticmethod
+    def as_bytes(part: str) -> str:
+        """A word as the model's byte alphabet writes it."""
+        return part.encode().decode("latin-1").translate(BYTES)
+
     def ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -180,24 +190,25 @@ class PieceTokenizer:
         self.bound = np.zeros(1 << 14, np.int64)  # entry k has ids bound[k] .. bound[k + 1] - 1
 
     def learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        """Encode new pieces, joined in lines of 200; the tokens that end words tell the pieces apart."""
-        lists: list = []
+        """Encode new pieces."""
+        got: list = [None] * len(pieces)
+        other = []
         texts = [p.decode("utf-8", "replace") for p in pieces]
-        lines = [texts[i : i + 200] for i in range(0, len(texts), 200)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            words = np.fromiter((1 if x.isalpha() else len(WORD.findall(x)) for x in line), np.int64, len(line))
-            ends = np.flatnonzero(self.ends[ids])
-            if len(ends) == words.sum():
-                lengths = np.diff(np.concatenate([[0], np.concatenate([[0], ends + 1])[np.cumsum(words)]]))
-            else:  # something that this count does not foresee: by the place of each token
-                e = self.tokenizer.encode(" ".join(line), add_special_tokens=False)
-                size = np.fromiter(map(len, line), np.int64, len(line)) + 1
-                at = np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))
-                lengths = np.bincount(np.searchsorted(np.cumsum(size), at, "right"), minlength=len(line))
-            lists.append((ids, lengths))
+        for i, t in enumerate(texts):
+            if self.plain and PLAIN.fullmatch(t):
+                got[i] = [x.id for part in ((t,) if t.isalpha() else WORD.findall(t)) for x in self.model.tokenize(part if t.isascii() else self.as_bytes(part))]
+            else:
+                other.append(i)
+        for i in range(0, len(other), 200):
+            # Joined in lines, and told apart by the place of each token.
+            line = [texts[k] for k in other[i : i + 200]]
+            e = self.tokenizer.encode(" ".join(line), add_special_tokens=False)
+            bounds = np.searchsorted([a for a, _ in e.offsets], np.concatenate([[0], np.cumsum([len(x) + 1 for x in line])]))
+            for k, a, b in zip(other[i : i + 200], bounds[:-1].tolist(), bounds[1:].tolist()):
+                got[k] = e.ids[a:b]
+        ids = np.fromiter(itertools.chain.from_iterable(got), np.uint32)
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
         k = len(self.known)
-        ids, lengths = np.concatenate([a for a, _ in lists]), np.concatenate([b for _, b in lists])
         end = self.bound[k] + np.cumsum(lengths)
         if k + len(pieces) + 1 > len(self.bound):
             self.bound = np.concatenate([self.bound, np.zeros(max(len(self.bound), len(pieces) + 1), np.int64)])
