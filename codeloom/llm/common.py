@@ -56,12 +56,13 @@ class Scratch:
         jvm.System.gc()
 
 
-def per_process(name: str, make):
-    """An object that lives as long as the Python worker, made on first use."""
+def per_process(name: str, key: str, make):
+    """An object that lives as long as the Python worker, made on first use; another key takes the place of the last."""
     store = sys.modules.setdefault("_codeloom_worker", types.ModuleType("_codeloom_worker"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+    if getattr(store, name, (None,))[0] != key:
+        setattr(store, name, (None, None))
+        setattr(store, name, (key, make()))
+    return getattr(store, name)[1]
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

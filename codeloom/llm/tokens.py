@@ -258,7 +258,7 @@ def write_ids(docs: DataFrame, scratch: Scratch, path: str, end_id: int, file_id
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        tk = per_process("tokenizer-" + path, lambda: PieceTokenizer(path))
+        tk = per_process("tokenizer", path, lambda: PieceTokenizer(path))
         whole = not tk.drops_space()
         part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
 

@@ -27,7 +27,7 @@ class Parameters:
     #: Words on each side of a hit that are its context.
     window: int = 6
     #: Most words a worker remembers the match of.
-    remembered: int = 400_000
+    remembered: int = 150_000
 
 
 #: What marks a term as quoted or spoken about rather than used.
@@ -260,10 +260,10 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     repeated row gets the same score again.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", plain_hits int, quoted_hits int, score double"
-    key = "toxicity-" + "|".join(model.terms) + repr(model.p) + "|".join(sorted(model.ordinary)) + "|".join(sorted(model.exact_only))
+    key = "|".join(model.terms) + repr(model.p) + "|".join(sorted(model.ordinary)) + "|".join(sorted(model.exact_only))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, known = per_process(key, lambda: (model.lexicon(), {}))
+        lexicon, known = per_process("toxicity", key, lambda: (model.lexicon(), {}))
         for batch in batches:
             got = [model.hits(t, lexicon, known) if t else (0, 0) for t in batch["_text"]]
             yield batch[keep].assign(plain_hits=[a for a, _ in got], quoted_hits=[b for _, b in got], score=[model.score(a, b) for a, b in got])
