@@ -38,7 +38,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     return t.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
-def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1), bucket_rows: int = 500, keep_source: bool = False) -> DataFrame:
+def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1), digits: int | None = None, keep_source: bool = False) -> DataFrame:
     """How many words the mix takes of every document: doc_id, size, source_size, target, taken, copies, finish.
 
     Every document of a source gets a place in a shuffled order (by a hash of
@@ -50,8 +50,8 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
     then.  `finish` is the time of its first use: sort by it for the order.
 
     Running sums take two steps, because a source may hold a third of all
-    rows: hash buckets of about `bucket_rows` documents are summed first (map
-    side), and documents then add up within their bucket.
+    rows: hash buckets, 16**digits for a source, are summed first (map side),
+    and documents then add up within their bucket.
 
     Null source: a source of its own, last in order.  Null or empty text and
     text of white space: size 0, taken 0.  Repeated rows: rows of their own,
@@ -61,10 +61,11 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (5, 2, 1),
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long")
     d = docs.select("doc_id", "source", size.alias("size"), F.md5(F.concat_ws("|", F.lit("mix"), F.col("doc_id").cast("string"))).alias("place"))
     d = scratch.save(d, "sizes")
-    rows = d.count()
-    digits = 1
-    while 16**digits * bucket_rows < rows:
-        digits += 1
+    if digits is None:
+        # As many buckets as each holds rows: neither grows faster than the root of the input.
+        rows, digits = d.count(), 1
+        while 256**digits < rows:
+            digits += 1
     d = d.withColumn("bucket", F.substring("place", 1, digits))
     buckets = scratch.save(d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
     sources = scratch.save(targets(buckets.groupBy("source").agg(F.sum("bucket_size").cast("long").alias("source_size")), weights), "targets")

@@ -277,7 +277,7 @@ def test_mix_comes_near_its_targets(spark, scratch, make_docs):
     rng = random.Random(10)
     rows = [(i, prose(rng, rng.randrange(0, 40)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(600)] + [(1000, None, "a"), (1001, "", None), (5, "x y", "e"), (5, "x y", "e")]
     docs = make_docs(rows)
-    got = mixing.mix(docs, scratch, bucket_rows=8, keep_source=True).collect()
+    got = mixing.mix(docs, scratch, digits=2, keep_source=True).collect()
     assert len(got) == len(rows)
     by = defaultdict(list)
     for r in got:
@@ -286,7 +286,7 @@ def test_mix_comes_near_its_targets(spark, scratch, make_docs):
     for s, rs in by.items():
         assert rs[0]["source_size"] == sum(r["size"] for r in rs) == sum(len(SPACE.findall(t or "")) for _, t, x in rows if x == s)
         assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 40
-    again = mixing.mix(docs.repartition(7), scratch, bucket_rows=8).select("doc_id", "taken").collect()
+    again = mixing.mix(docs.repartition(7), scratch, digits=2).select("doc_id", "taken").collect()
     assert sorted(again) == sorted((r["doc_id"], r["taken"]) for r in got)
     out = mixing.mixed_documents(docs, scratch)
     assert out.columns == docs.columns
