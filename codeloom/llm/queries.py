@@ -37,15 +37,15 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch(spark, "op3"))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str, s: Scratch) -> toxicity.Model:
-    labels = table(spark, sf_dir, "labels").where("doc_id is not null").select("doc_id", "toxic")
-    train = table(spark, sf_dir, "documents").where(~language.held_out()).select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
-    return toxicity.fit(s.save(train.where("toxic is not null"), "train"), s)
+def toxicity_model(docs: DataFrame, labels: DataFrame, s: Scratch) -> toxicity.Model:
+    """Learned from the labelled rows that are not held out."""
+    seen = ~language.held_out()
+    return toxicity.fit(s.save(toxicity.training_rows(docs.where(seen), labels.where(seen)), "train"), s)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scratch(spark, "op4")
-    model = toxicity_model(spark, sf_dir, s)
+    model = toxicity_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), s)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", language.held_out().alias("held_out"))
     return toxicity.score(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "plain_hits", "quoted_hits")
 

@@ -26,6 +26,8 @@ class Parameters:
     fuzzy_from: int = 5
     #: Words on each side of a hit that are its context.
     window: int = 6
+    #: About how many labelled documents a model is fitted on at most, chosen by a hash of the id where there are more.
+    most_labels: int = 200_000
     #: Most words a worker remembers the match of.
     remembered: int = 150_000
 
@@ -162,6 +164,20 @@ class Model:
         return self.quoted if quoted else self.none
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """(text, toxic) of the documents that labels (doc_id, toxic) covers.
+
+    Every document has at most one label of each kind, so that the labels
+    broadcast are about `most_labels` at most; texts stay where they are read.
+    Null ids and labels are left out, and labels without a document.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
+    n = known.count()
+    if n > p.most_labels:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(p.most_labels / n * (1 << 20))))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
+
+
 def wilson(k: int, n: int, z: float = 1.28) -> float:
     """Lower bound of a share of which k of n were seen."""
     x = k / n

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontamination, jaccard, language, mixing, queries, tokens, toxicity
+from codeloom.llm import decontamination, jaccard, mixing, queries, tokens, toxicity
 
 #: A document is rejected from this score on.
 TOXIC = 0.3
@@ -18,9 +18,7 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator scores below TOXIC; it learns from labelled rows that are not held out."""
     s = queries.scratch(spark, "pipeline-toxicity")
-    labels = queries.table(spark, sf_dir, "labels").where("doc_id is not null").select("doc_id", "toxic")
-    train = docs.where(~language.held_out()).select("doc_id", "text").join(labels, "doc_id").where("toxic is not null")
-    model = toxicity.fit(s.save(train.select("text", "toxic"), "train"), s)
+    model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"), s)
     kept = toxicity.score(docs, model, docs.columns).where(F.col("score") < TOXIC)
     return kept.select(*docs.columns)
 

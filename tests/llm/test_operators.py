@@ -219,6 +219,17 @@ def test_toxicity_learns_and_scores(spark, scratch, make_docs):
     assert {r["score"] for r in toxicity.score(make_docs(texts), nothing, ["doc_id"]).collect()} == {0.0}
 
 
+def test_training_rows(spark, make_docs):
+    docs = make_docs([(i, f"t{i}") for i in range(400)] + [(None, "n"), (1, "again"), (2, None)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(300)] * 2 + [(0, 1, 1), (None, 1, 1), (350, 1, None), (9999, 1, 1)], "doc_id long, quality int, toxic int")
+    got = Counter(map(tuple, toxicity.training_rows(docs, labels).collect()))
+    want = [(f"t{i}", i % 2) for i in range(300)] + [("t0", 1), ("again", 1), (None, 0)]
+    assert got == Counter(want)
+    few = [toxicity.training_rows(d, labels, toxicity.Parameters(most_labels=100)).collect() for d in (docs, docs.repartition(5))]
+    assert Counter(few[0]) == Counter(few[1]) and 60 <= len(few[0]) <= 140 and set(map(tuple, few[0])) <= set(want)
+    assert toxicity.training_rows(docs, labels.limit(0)).count() == 0 == toxicity.training_rows(docs.limit(0), labels).count()
+
+
 # 5
 
 
