@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,11 +12,12 @@ from pyspark.sql import functions as F
 from codeloom.functions.tables import written
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All pairs (program_id, l, r) connected by one edge or more, for graphs of any size; cycles are allowed.
 
     Semi-naive path doubling: new pairs meet all known ones at either end, so
-    the rounds are logarithmic in the longest path.
+    the rounds are logarithmic in the longest path.  `derive` makes further
+    edges from new pairs.
     """
     known = written(edges.select("program_id", "l", "r").distinct(), "closure")
     delta = known
@@ -22,7 +25,10 @@ def closure(edges: DataFrame) -> DataFrame:
         onward = lambda df: df.select("program_id", F.col("l").alias("r"), F.col("r").alias("to"))
         ahead = delta.join(onward(known), ["program_id", "r"]).select("program_id", "l", F.col("to").alias("r"))
         behind = known.join(onward(delta), ["program_id", "r"]).select("program_id", "l", F.col("to").alias("r"))
-        delta = written(ahead.unionByName(behind).distinct().join(known, ["program_id", "l", "r"], "left_anti"), "delta")
+        found = ahead.unionByName(behind)
+        if derive:
+            found = found.unionByName(derive(delta))
+        delta = written(found.distinct().join(known, ["program_id", "l", "r"], "left_anti"), "delta")
         known = written(known.unionByName(delta), "closure")
     return known
 

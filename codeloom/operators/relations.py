@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions.tables import written
+from codeloom.operators import flow
 from codeloom.operators.closure import closure, closure_within
 from codeloom.plans.facts import Facts
 
@@ -192,64 +193,6 @@ def affects_t(f: Facts) -> DataFrame:
     return closure_within(edges, "program_id", "proc").select("program_id", "l", "r")
 
 
-def contexts(f: Facts, most: int = 1_000_000) -> DataFrame:
-    """Call chains: (program_id, ctx, parent_ctx, call_no, proc), from every procedure that nobody calls.
-
-    One round for each level of calls.  The number of chains can grow
-    exponentially with the depth; more than `most` raise an error.
-    """
-    callers = f.call_edge.join(f.proc.select("program_id", F.col("proc").alias("callee")), ["program_id", "callee"])
-    roots = f.proc.join(callers.select("program_id", F.col("callee").alias("proc")).distinct(), ["program_id", "proc"], "left_anti")
-    empty = F.lit(None).cast("string"), F.lit(None).cast("long")
-    level = written(roots.select("program_id", F.col("proc").alias("ctx"), empty[0].alias("parent_ctx"), empty[1].alias("call_no"), "proc"), "contexts")
-    every, n = level, level.count()
-    while not level.isEmpty():
-        step = level.select("program_id", F.col("ctx").alias("parent_ctx"), F.col("proc").alias("caller")).join(callers, ["program_id", "caller"])
-        level = written(step.select("program_id", F.concat_ws("/", "parent_ctx", F.col("stmt_no").cast("string")).alias("ctx"), "parent_ctx", F.col("stmt_no").alias("call_no"), F.col("callee").alias("proc")), "contexts")
-        n += level.count()
-        if n > most:
-            raise ValueError(f"more than {most} call chains")
-        every = every.unionByName(level)
-    return written(every, "contexts")
-
-
-def bip_edges(f: Facts) -> DataFrame:
-    """Control flow across calls over nodes `ctx:stmt_no`: (program_id, l, r, l_no, r_no).
-
-    A call leads to the first statement of its callee, and the callee's end
-    to where the call goes.  An empty callee is stepped over.
-    """
-    ctx = f.relation("contexts")
-    node = lambda c, n: F.concat_ws(":", F.col(c), F.col(n).cast("string"))
-    first = f.stmt.groupBy("program_id", "proc").agg(F.min_by("stmt_no", "ord").alias("first_no"))
-    steps = f.relation("next").withColumnsRenamed({"l": "stmt_no", "r": "to"})
-    full_calls = f.call_edge.join(first.withColumnRenamed("proc", "callee"), ["program_id", "callee"])
-    here = ctx.select("program_id", "ctx", "proc").join(f.stmt.select("program_id", "proc", "stmt_no"), ["program_id", "proc"])
-    flow = here.join(steps, ["program_id", "stmt_no"])
-    plain = flow.join(full_calls.select("program_id", "stmt_no"), ["program_id", "stmt_no"], "left_anti")
-    plain = plain.select("program_id", node("ctx", "stmt_no").alias("l"), node("ctx", "to").alias("r"))
-    enter = ctx.where("parent_ctx is not null").join(first, ["program_id", "proc"]).select("program_id", node("parent_ctx", "call_no").alias("l"), node("ctx", "first_no").alias("r"))
-    # Ends of procedures: statements that may be the last; a call that is one hands over to its callee's ends.
-    ends = f.stmt.select("program_id", "proc", "stmt_no", "type", "branch").join(_leaves(f), ["program_id", "stmt_no"])
-    ends = ends.join(full_calls.select("program_id", "stmt_no").withColumn("calls", F.lit(True)), ["program_id", "stmt_no"], "left")
-    # Where a context returns to: the nearest context above whose call has somewhere to go; the others end with their callers.
-    after = ctx.where("parent_ctx is not null").select("program_id", "ctx", "parent_ctx", F.col("call_no").alias("stmt_no"))
-    returns = after.join(steps, ["program_id", "stmt_no"]).select("program_id", "ctx", node("parent_ctx", "to").alias("r"))
-    final = _leaves(f).withColumn("final", F.lit(True))
-    passed = after.join(final, ["program_id", "stmt_no"]).select("program_id", "ctx", "parent_ctx")
-    total, level = returns, returns
-    while True:
-        level = written(passed.join(level.withColumnRenamed("ctx", "parent_ctx"), ["program_id", "parent_ctx"]).select("program_id", "ctx", "r"), "returns")
-        if level.isEmpty():
-            break
-        total = total.unionByName(level)
-    last = ctx.select("program_id", "ctx", "proc").join(ends.where("calls is null"), ["program_id", "proc"])
-    leave = last.join(total, ["program_id", "ctx"]).select("program_id", node("ctx", "stmt_no").alias("l"), "r")
-    edges = plain.unionByName(enter).unionByName(leave).distinct()
-    number = lambda c: F.substring_index(c, ":", -1).cast("long")
-    return written(edges.withColumns({"l_no": number("l"), "r_no": number("r")}), "bip-edges")
-
-
 def _leaves(f: Facts) -> DataFrame:
     """Statements after which the procedure may end: they fall to nothing, and are no `if` that must be left through its branches."""
     inside = _first_inside(f).groupBy("program_id", "stmt_no").agg(F.countDistinct("branch").alias("branches"))
@@ -257,45 +200,123 @@ def _leaves(f: Facts) -> DataFrame:
     return s.join(f.relation("falls_to"), ["program_id", "stmt_no"], "left_anti")
 
 
-def next_bip(f: Facts) -> DataFrame:
-    return _pairs(f.relation("bip_edges"), "l_no", "r_no").distinct()
+def _full_calls(f: Facts) -> DataFrame:
+    """Calls of procedures with statements: (program_id, stmt_no, caller, callee, first_no); others are stepped over."""
+    first = f.stmt.groupBy("program_id", F.col("proc").alias("callee")).agg(F.min_by("stmt_no", "ord").alias("first_no"))
+    return f.call_edge.join(first, ["program_id", "callee"])
 
 
-def _numbers(df: DataFrame) -> DataFrame:
-    number = lambda c: F.substring_index(c, ":", -1).cast("long")
-    return df.select("program_id", number("l").alias("l"), number("r").alias("r")).distinct()
+def full_calls(f: Facts) -> DataFrame:
+    return written(_full_calls(f), "full-calls")
 
 
-def next_bip_t(f: Facts) -> DataFrame:
-    """Paths that return from a call to that call only: closed over call chains, then projected."""
-    return _numbers(closure(f.relation("bip_edges")))
+def next_bip(f: Facts) -> DataFrame:
+    """Control flow across calls: a call leads to the first statement of its callee, and the callee's end to where the call goes.
 
+    A call at the end of its procedure hands over to its callee's ends, which
+    go where its procedure returns to.
+    """
+    calls = f.relation("full_calls")
+    ids = calls.select("program_id", "stmt_no")
+    steps = f.relation("next").withColumnsRenamed({"l": "stmt_no", "r": "to"})
+    leaves = written(_leaves(f), "leaves")
+    plain = _pairs(steps.join(ids, ["program_id", "stmt_no"], "left_anti"), "stmt_no", "to")
+    enter = _pairs(calls, "stmt_no", "first_no")
+    own = calls.select("program_id", F.col("callee").alias("l"), F.col("callee").alias("r"))
+    tails = closure(_pairs(calls.join(leaves, ["program_id", "stmt_no"]), "caller", "callee")).unionByName(own).distinct()
+    returns = calls.join(steps, ["program_id", "stmt_no"]).select("program_id", F.col("callee").alias("l"), "to").join(tails, ["program_id", "l"])
+    returns = returns.select("program_id", F.col("r").alias("proc"), "to").distinct()
+    ends = f.stmt.select("program_id", "proc", "stmt_no").join(leaves, ["program_id", "stmt_no"]).join(ids, ["program_id", "stmt_no"], "left_anti")
+    return plain.unionByName(enter).unionByName(_pairs(ends.join(returns, ["program_id", "proc"]), "stmt_no", "to")).distinct()
 
-def affects_bip_nodes(f: Facts) -> DataFrame:
-    """AffectsBip over nodes of call chains; statements of a callee kill, a call itself does not."""
-    edges = f.relation("bip_edges")
-    to = edges.groupBy("program_id", F.col("l").alias("node")).agg(F.collect_list("r").alias("to"))
-    s = f.stmt.select("program_id", "proc", "stmt_no", "type", "lhs_var")
-    kills = f.mod_direct.groupBy("program_id", "stmt_no").agg(F.collect_set("var").alias("kills"))
-    uses = f.use_direct.groupBy("program_id", "stmt_no").agg(F.collect_set("var").alias("uses"))
-    s = s.join(kills, ["program_id", "stmt_no"], "left").join(uses, ["program_id", "stmt_no"], "left")
-    here = f.relation("contexts").select("program_id", "ctx", "proc").join(s, ["program_id", "proc"])
-    here = here.withColumn("node", F.concat_ws(":", "ctx", F.col("stmt_no").cast("string"))).withColumn("root", F.substring_index("ctx", "/", 1))
-    here = here.join(to, ["program_id", "node"], "left")
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        by = lambda c: {n: list(x) for n, x in zip(g["node"], g[c]) if x is not None}
-        assigned = {n: v for n, v, t in zip(g["node"], g["lhs_var"], g["type"]) if t == "assign"}
-        found = affected(by("to"), by("kills"), by("uses"), assigned)
-        return pd.DataFrame({"program_id": key[0], "l": [a for a, _ in found], "r": [b for _, b in found]}, columns=["program_id", "l", "r"])
+def next_bip_t(f: Facts) -> DataFrame:
+    """Closure of NextBip along paths that return from a call to that call only.
 
-    # Call chains from different roots never meet: a root's chains are one group.
-    return written(here.groupBy("program_id", "root").applyInPandas(run, "program_id string, l string, r string"), "affects-bip")
+    Without recursion every call comes back, so inside a procedure such paths
+    are those of Next*.  Before that they return to callers, as every
+    statement reaches the end of its procedure; after that they enter callees,
+    whose first statement reaches all of them.
+    """
+    calls = f.relation("full_calls")
+    inside = written(f.relation("next_t").select("program_id", "l", "r").distinct(), "next-t")
+    below = f.relation("calls_t").select("program_id", F.col("l").alias("proc"), F.col("r").alias("under"))
+    of_call = calls.select("program_id", F.col("callee").alias("proc"))
+    own = of_call.withColumn("under", F.col("proc")).distinct()
+    under = written(own.unionByName(of_call.distinct().join(below, ["program_id", "proc"])).distinct(), "under")
+    # Procedures that a statement enters: (program_id, l, proc), by its own call or by a later one.
+    opened = calls.select("program_id", F.col("stmt_no").alias("r"), F.col("callee").alias("proc"))
+    spread = lambda df: df.distinct().join(under, ["program_id", "proc"]).select("program_id", "l", F.col("under").alias("proc")).distinct()
+    later = written(spread(inside.join(opened, ["program_id", "r"]).select("program_id", "l", "proc")), "later")
+    now = later.unionByName(spread(_pairs(opened, "r", "proc").select("program_id", "l", F.col("r").alias("proc")))).distinct()
+    members = f.stmt.select("program_id", "proc", F.col("stmt_no").alias("r"))
+    down = now.join(members, ["program_id", "proc"]).select("program_id", "l", "r")
+    # Behind the calls that lead to a procedure, straight or through others.
+    sites = under.select("program_id", F.col("proc").alias("callee"), F.col("under").alias("proc")).join(calls.select("program_id", "callee", F.col("stmt_no").alias("l")), ["program_id", "callee"]).select("program_id", "proc", "l").distinct()
+    sites = written(sites, "sites")
+    back = sites.join(inside, ["program_id", "l"]).select("program_id", "proc", "r").distinct()
+    entered = sites.join(later.withColumnRenamed("proc", "under"), ["program_id", "l"]).select("program_id", "proc", "under").distinct()
+    entered = entered.join(members.withColumnRenamed("proc", "under"), ["program_id", "under"]).select("program_id", "proc", "r")
+    up = written(back.unionByName(entered).distinct(), "behind").join(f.stmt.select("program_id", "proc", F.col("stmt_no").alias("l")), ["program_id", "proc"]).select("program_id", "l", "r")
+    return inside.unionByName(down).unionByName(up).distinct()
+
+
+def _node(kind: str, of: str, var: str = "var") -> F.Column:
+    return F.concat(F.lit(kind + ":"), F.col(of).cast("string"), F.lit(":"), F.col(var))
+
+
+def bip_flow(f: Facts) -> DataFrame:
+    """How values pass between assignments and the borders of calls and procedures: (program_id, l, r, kind).
+
+    Nodes are d:stmt (its value), u:stmt (its use), b:call:var and a:call:var
+    (before and after a call), i:proc:var and o:proc:var (start and end of a
+    procedure).  Edges of kind `local` stay in a procedure, `call` and
+    `return` lead into it and out.  Statements of a callee kill, a call itself
+    does not: it is passed where some path through its callee keeps the variable.
+    """
+    calls = f.relation("full_calls").select("program_id", "stmt_no", "callee")
+    of_callee = lambda relation: calls.join(f.relation(relation).withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])
+    before, after = written(of_callee("uses_p"), "before"), written(of_callee("modifies_p"), "after")
+    site = lambda df, kind: df.select("program_id", _node(kind, "stmt_no").alias("node"), "stmt_no", "var")
+    killed = flow.kills(f, f.mod_direct, across=True)
+    pairs, ends, starts = flow.meetings(f, flow.assigned(f, "d:").unionByName(site(after, "a")), flow.used(f, "u:").unionByName(site(before, "b")), killed)
+    local = pairs.unionByName(ends.select("program_id", F.col("node").alias("l"), _node("o", "proc").alias("r")))
+    local = local.unionByName(starts.select("program_id", _node("i", "proc").alias("l"), F.col("node").alias("r")))
+    enter = before.select("program_id", _node("b", "stmt_no").alias("l"), _node("i", "callee").alias("r"), F.lit("call").alias("kind"))
+    leave = after.select("program_id", _node("o", "callee").alias("l"), _node("a", "stmt_no").alias("r"), F.lit("return").alias("kind"))
+    return written(local.withColumn("kind", F.lit("local")).unionByName(enter).unionByName(leave).distinct(), "bip-flow")
+
+
+def _returns_then_calls(edges: DataFrame) -> DataFrame:
+    """Pairs of assignments on a path that returns to callers first (nodes <0), then enters callees (>1)."""
+    in_phase = lambda df, a, b: df.select("program_id", F.concat(F.lit(a), "l").alias("l"), F.concat(F.lit(b), "r").alias("r"))
+    local, call, back = (edges.where(F.col("kind") == k) for k in ("local", "call", "return"))
+    phased = in_phase(local, "0", "0").unionByName(in_phase(local, "1", "1")).unionByName(in_phase(back, "0", "0")).unionByName(in_phase(call, "0", "1")).unionByName(in_phase(call, "1", "1"))
+    ends = closure(phased).where("l like '0d:%' and r like '_u:%'")
+    return ends.select("program_id", F.substring("l", 4, 30).cast("long").alias("l"), F.substring("r", 4, 30).cast("long").alias("r")).distinct()
 
 
 def affects_bip(f: Facts) -> DataFrame:
-    return _numbers(f.relation("affects_bip_nodes"))
+    return _returns_then_calls(f.relation("bip_flow"))
 
 
 def affects_bip_t(f: Facts) -> DataFrame:
-    return _numbers(closure(f.relation("affects_bip_nodes")))
+    """Chains of AffectsBip that return from a call to that call only.
+
+    Where a value that a procedure is given leads to one that it leaves, its
+    calls get an edge from before to after; those come with the closure.
+    """
+    edges = f.relation("bip_flow")
+    used_again = edges.where("r like 'u:%'").select("program_id", F.col("r").alias("l"), F.concat(F.lit("d"), F.substring("r", 2, 30)).alias("r"))
+    through = used_again.join(flow.assigned(f, "d:").select("program_id", F.col("node").alias("r")), ["program_id", "r"], "left_semi").select("program_id", "l", "r").distinct()
+    edges = written(edges.unionByName(through.withColumn("kind", F.lit("local"))), "bip-chains")
+    call = edges.where("kind = 'call'").select("program_id", F.col("r").alias("l"), F.col("l").alias("from"), F.split("l", ":")[1].alias("site"))
+    back = edges.where("kind = 'return'").select("program_id", F.col("l").alias("r"), F.col("r").alias("to"), F.split("r", ":")[1].alias("site"))
+
+    def summaries(new: DataFrame) -> DataFrame:
+        across = new.where("l like 'i:%' and r like 'o:%'").join(call, ["program_id", "l"]).join(back, ["program_id", "r", "site"])
+        return across.select("program_id", F.col("from").alias("l"), F.col("to").alias("r"))
+
+    same = closure(edges.where("kind = 'local'"), summaries)
+    across = same.where("l like 'b:%' and r like 'a:%'").withColumn("kind", F.lit("local"))
+    return _returns_then_calls(edges.unionByName(across).distinct())

@@ -1,9 +1,9 @@
 """The registered queries of the engine, each with the DuckDB SQL that must give the same rows.
 
 They read `events` as one program (see `codeloom.sources.events`), so every
-relation runs over the whole table.  Interprocedural relations expand call
-chains, of which that program has too many; those queries read the small
-programs below, parsed from text, and their SQL lists the rows.
+relation runs over the whole table.  A few queries read the small programs
+below, parsed from text, and their SQL lists the rows; the relations across
+calls have such a query and one over the events.
 """
 
 from __future__ import annotations
@@ -112,6 +112,18 @@ add("affects", pairs("affects"), "SELECT l, r FROM afs")
 _AFFECTS_T = ", aft AS (SELECT l, r FROM afs UNION SELECT aft.l, afs.r FROM aft JOIN afs ON afs.l = aft.r)"
 add("affects_t", pairs("affects_t"), _AFFECTS_T + " SELECT l, r FROM aft")
 
+# Across calls: what a procedure returns to, with calls that end their procedure passed on; steps of a walk in phase 0 may return, those in phase 1 are below a call.
+_BIP = """, fs AS (SELECT proc, arg_min(no, ord) AS first FROM s GROUP BY proc),
+fc AS (SELECT s.no, s.proc, s.callee, fs.first FROM s JOIN fs ON fs.proc = s.callee),
+lf AS (SELECT no, proc FROM sib WHERE sibling IS NULL AND parent IS NULL),
+tl AS (SELECT callee AS p, callee AS q FROM fc UNION SELECT tl.p, fc.callee FROM tl JOIN fc ON fc.proc = tl.q JOIN lf ON lf.no = fc.no),
+rt AS (SELECT DISTINCT tl.q AS p, nx.r FROM fc JOIN nx ON nx.l = fc.no JOIN tl ON tl.p = fc.callee),
+st AS (SELECT l, r, 'next' AS kind FROM nx UNION SELECT no, first, 'call' FROM fc UNION SELECT lf.no, rt.r, 'return' FROM lf JOIN rt ON rt.p = lf.proc)"""
+add("events_next_bip", pairs("next_bip"), _BIP + " SELECT l, r FROM st WHERE kind = 'call' OR l NOT IN (SELECT no FROM fc)")
+_WALK = """, wk AS (SELECT l AS a, r AS n, CASE WHEN kind = 'call' THEN 1 ELSE 0 END AS ph FROM st
+UNION SELECT wk.a, st.r, CASE WHEN st.kind = 'call' THEN 1 ELSE ph END FROM wk JOIN st ON st.l = wk.n WHERE st.kind <> 'return' OR wk.ph = 0)"""
+add("events_next_bip_t", pairs("next_bip_t"), _BIP + _WALK + " SELECT DISTINCT a AS l, n AS r FROM wk")
+
 add("follows_lit", query(lambda f: Query(f, x="stmt").such_that("Follows", 11, "x").select("x")), "SELECT sibling AS x FROM sib WHERE no = 11 AND sibling IS NOT NULL")
 add("follows_t_assign", query(lambda f: Query(f, a="assign", w="while").such_that("Follows*", "a", "w").select("a", "w")), "SELECT a.no AS a, b.no AS w FROM s a JOIN s b ON a.proc = b.proc AND a.block = b.block AND a.ord < b.ord WHERE a.type = 'assign' AND b.type = 'while'")
 add("follows_bool", query(lambda f: Query(f).such_that("Follows", "_", "_").boolean()), "SELECT count(*) > 0 AS holds FROM sib WHERE sibling IS NOT NULL")
@@ -149,7 +161,7 @@ add("dup_clause", query(lambda f: Query(f, a="assign").such_that("Parent", "_",
 add("empty_group", query(lambda f: Query(f, a="assign", i="if").such_that("Parent", "i", "_").select("a")), "SELECT no AS a FROM s WHERE false")
 add("flow_of_variables", query(lambda f: Query(f, a="assign", b="assign", v="variable").such_that("Affects", "a", "b").such_that("Uses", "b", "v").such_that("Modifies", "a", "v").select("a", "b", "v")), "SELECT afs.l AS a, afs.r AS b, x.lhs AS v FROM afs JOIN s x ON x.no = afs.l")
 
-#: Rows of the interprocedural relations of ALPHA, worked out by hand from their definitions.
+#: Rows of the relations across calls of ALPHA, worked out by hand from their definitions.
 _LITERAL = {
     "next_bip": [(1, 2), (2, 3), (2, 8), (3, 4), (4, 5), (4, 6), (5, 7), (6, 7), (7, 9), (9, 10), (10, 2)],
     "next_bip_t": [(1, r) for r in range(2, 11)] + [(a, r) for a in (2, 3, 4, 5, 6, 7, 9, 10) for r in range(2, 11)],
