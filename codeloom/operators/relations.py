@@ -2,20 +2,19 @@
 
 Each function takes Facts and returns (program_id, l, r): statements as
 numbers, procedures and variables as names.  All are joins and windows over
-the fact tables; the few that follow control flow through states run once
-per procedure.
+the fact tables; those that follow values or chains are loops on written
+tables.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions.tables import written
 from codeloom.operators import flow
-from codeloom.operators.closure import closure, closure_within
+from codeloom.operators.closure import closure
 from codeloom.plans.facts import Facts
 
 
@@ -149,48 +148,16 @@ def next_t(f: Facts) -> DataFrame:
     return same.unionByName(pairs.where("loop_l is null or loop_r is null or loop_l <> loop_r").select("program_id", "l", "r").join(apart, ["program_id", "l", "r"], "left_anti"))
 
 
-def _flow(f: Facts) -> DataFrame:
-    """What a walk over control flow needs, a row per statement: successors, kills, and an assignment's variables."""
-    kills = f.mod_direct.unionByName(f.call_edge.join(f.relation("modifies_p").withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"]).select("program_id", "stmt_no", "var"))
-    kills = kills.groupBy("program_id", "stmt_no").agg(F.collect_set("var").alias("kills"))
-    uses = f.use_direct.groupBy("program_id", "stmt_no").agg(F.collect_set("var").alias("uses"))
-    to = f.relation("next").groupBy("program_id", F.col("l").alias("stmt_no")).agg(F.collect_list("r").alias("to"))
-    s = f.stmt.select("program_id", "proc", "stmt_no", "type", "lhs_var")
-    return s.join(to, ["program_id", "stmt_no"], "left").join(kills, ["program_id", "stmt_no"], "left").join(uses, ["program_id", "stmt_no"], "left")
-
-
-def affected(to: dict, kills: dict, uses: dict, assigned: dict) -> list[tuple]:
-    """Pairs of assignments (a, b) where b may use the value that a assigned: breadth-first over the flow, up to the next kill."""
-    out = []
-    for a, var in assigned.items():
-        seen, todo = set(), list(to.get(a, ()))
-        while todo:
-            n = todo.pop()
-            if n in seen:
-                continue
-            seen.add(n)
-            if n in assigned and var in uses.get(n, ()):
-                out.append((a, n))
-            if var not in kills.get(n, ()):
-                todo += to.get(n, ())
-    return out
-
-
 def affects(f: Facts) -> DataFrame:
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        by = lambda c: {n: list(x) for n, x in zip(g["stmt_no"], g[c]) if x is not None}
-        assigned = {n: v for n, v, t in zip(g["stmt_no"], g["lhs_var"], g["type"]) if t == "assign"}
-        found = affected(by("to"), by("kills"), by("uses"), assigned)
-        return pd.DataFrame({"program_id": key[0], "l": [a for a, _ in found], "r": [b for _, b in found]}, columns=["program_id", "l", "r"])
-
-    return _flow(f).groupBy("program_id", "proc").applyInPandas(run, "program_id string, l long, r long")
+    """What a procedure may modify, a call of it kills."""
+    called = f.call_edge.join(f.relation("modifies_p").withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])
+    direct = f.mod_direct.select("program_id", "stmt_no", "var").unionByName(called.select("program_id", "stmt_no", "var"))
+    pairs, _, _ = flow.meetings(f, flow.assigned(f), flow.used(f), flow.kills(f, direct, across=False))
+    return pairs.select("program_id", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
 
 
 def affects_t(f: Facts) -> DataFrame:
-    """Chains of Affects never leave a procedure."""
-    of = f.stmt.select("program_id", F.col("stmt_no").alias("l"), "proc")
-    edges = f.relation("affects").join(of, ["program_id", "l"])
-    return closure_within(edges, "program_id", "proc").select("program_id", "l", "r")
+    return closure(f.relation("affects"))
 
 
 def _leaves(f: Facts) -> DataFrame:

@@ -130,3 +130,9 @@ def test_events_against_sql(spark, key):
     want = {tuple(r) for r in con.sql(f"SELECT l, r FROM ({registry.oracle_sql()[key]})").fetchall()}
     got = [(r["l"], r["r"]) for r in registry.queries()[key](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("relation", ["affects", "affects_t"])
+def test_no_task_holds_a_procedure(spark, relation):
+    plan = facts(spark, [ALPHA]).relation(relation)._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan
