@@ -98,6 +98,16 @@ class LanguageFilter:
         #: Chance that an n-gram in no language passes for one of language k.
         self.false = np.array([self._filled(k) ** p.hashes for k in range(len(languages))])
 
+    def state(self) -> dict:
+        """What a filter consists of, in plain values: they can be broadcast to executors that lack this package."""
+        return {**vars(self), "p": vars(self.p)}
+
+    @classmethod
+    def from_state(cls, state: dict) -> LanguageFilter:
+        made = cls.__new__(cls)
+        vars(made).update(state, p=Parameters(**state["p"]))
+        return made
+
     def _filled(self, k: int) -> float:
         return float(((self.slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean())
 
@@ -166,13 +176,14 @@ def predict(docs: DataFrame, model: LanguageFilter, keep: list[str]) -> DataFram
     share of its distinct n-grams; `score` is that share, relative to the sum
     over languages.  Ties go to the first in order of name.  Null texts and
     texts without a letter: `und`, 0.  Letters but no n-gram, or no language
-    learned: the first language (or `und`), 0.
+    learned: the first language (or `und`), 0.  Repeated rows are judged one
+    by one, an empty table gives no rows, and whole texts count.
     """
-    holder = docs.sparkSession.sparkContext.broadcast(model)
+    holder = docs.sparkSession.sparkContext.broadcast(model.state())
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = holder.value
+        m = LanguageFilter.from_state(holder.value)
         for batch in batches:
             for i in range(0, len(batch), 200):
                 part = batch.iloc[i : i + 200]

@@ -5,12 +5,16 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyspark
 import pytest
 from codeloom.llm import common, decontamination, embeddings, jaccard, language, mixing, sharding, suffixes, tokens, toxicity, urls
 from pyspark.sql import functions as F
@@ -409,6 +413,29 @@ def test_language_filter_answers_for_all_languages():
         assert total[0] == 500 and s[0].argmax() == k and s[0, k] > 0.999 and np.delete(s[0], k).max() < 0.1
 
 
+ELSEWHERE = """
+import sys
+sys.path.insert(0, sys.argv[1])
+import __spark_entry__
+sys.path.remove(sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+for key in sys.argv[3:]:
+    print("ROWS", key, __spark_entry__.queries()[key](spark, "/root/testdata/sf0.001").count())
+"""
+
+
+def test_executors_without_the_package(tmp_path):
+    """Driver and executors work in a folder of their own, without the repository on their path."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    environment["SPARK_HOME"] = os.path.dirname(pyspark.__file__)
+    keys = ["op9_language_id", "op10_url_filter"]
+    got = subprocess.run([sys.executable, "-c", ELSEWHERE, root, str(tmp_path / "shared"), *keys], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    found = dict(line.split()[1:] for line in got.stdout.splitlines() if line.startswith("ROWS"))
+    assert set(found) == set(keys) and int(found["op9_language_id"]) == 200, got.stderr[-3000:]
+
+
 def test_held_out(spark):
     rows = spark.range(50).toDF("doc_id").select("doc_id", language.held_out().alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
