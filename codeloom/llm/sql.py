@@ -35,19 +35,22 @@ SELECT v.vec_id, (SELECT count(*) FROM p WHERE p.a = v.vec_id) AS n_links, compo
 
 OP6 = f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('mix|' || CAST(doc_id AS VARCHAR)) AS place FROM documents
+  SELECT row_number() OVER () AS n, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
+         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS place FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS weight, 3 * source_size AS cap FROM s
 ), f AS (
   SELECT *, coalesce(sum(cap) OVER o, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS left_weight, sum(source_size) OVER () AS budget
   FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), l AS (SELECT *, (budget - capped)::DOUBLE / left_weight AS here FROM f
-), t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT max(here) FROM l WHERE here * weight <= cap) * weight) AS target FROM l
+), t AS (SELECT source, source_size, weight, least(cap::DOUBLE, (SELECT max(here) FROM l WHERE here * weight <= cap) * weight) AS target FROM l
 ), r AS (
-  SELECT d.*, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + d.size / 2.0 AS middle
+  SELECT d.*, t.source_size, t.target, t.weight, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.size, d.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + d.size / 2.0 AS middle
   FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source
-)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE CAST(least(3, greatest(0, floor((target - middle) / source_size) + 1)) AS BIGINT) * size END AS taken FROM r
+), q AS (
+  SELECT r.n, r.size, sum(r.size) OVER (ORDER BY (k.k * source_size + middle) / weight, place, size, k.k, r.n ROWS UNBOUNDED PRECEDING) AS upto FROM r, (VALUES (0), (1), (2)) k(k) WHERE size > 0
+), c AS (SELECT n, count(*) AS copies FROM q WHERE upto <= (SELECT sum(size) FROM d) GROUP BY n)
+SELECT doc_id, size, source_size, target, CAST(coalesce(copies, 0) * size AS BIGINT) AS taken FROM r LEFT JOIN c USING (n)
 """
 
 

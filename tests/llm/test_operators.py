@@ -288,29 +288,64 @@ def test_targets(spark):
         assert got == pytest.approx(want(sizes))
 
 
-def test_mix_comes_near_its_targets(spark, scratch, make_docs):
+def mix_brute(rows, weights=(5, 2, 1)):
+    """Copies of each row, by sorting every entry and adding up."""
+    size = [len(SPACE.findall(t or "")) for _, t, _ in rows]
+    place = [hashlib.md5(f"mix|{'' if i is None else i}|{t or ''}".encode()).hexdigest() for i, t, _ in rows]
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    entries = []
+    for k, name in enumerate(names):
+        at, mine = 0, sorted((place[n], size[n], n) for n, r in enumerate(rows) if r[2] == name)
+        total = sum(m[1] for m in mine)
+        for p, z, n in mine:
+            entries += [((r * total + at + z / 2) / weights[k % 3], p, z, r, n) for r in range(3) if z]
+            at += z
+    copies, spent = Counter(), 0
+    for _, _, z, _, n in sorted(entries):
+        spent += z
+        if spent > sum(size):
+            break
+        copies[n] += 1
+    return [(rows[n][0], size[n], size[n] * copies[n]) for n in range(len(rows))]
+
+
+@pytest.mark.parametrize("digits", [1, 2, None])
+def test_mix_is_the_truncated_queue(spark, scratch, make_docs, digits):
     rng = random.Random(10)
-    rows = [(i, prose(rng, rng.randrange(0, 40)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(600)] + [(1000, None, "a"), (1001, "", None), (5, "x y", "e"), (5, "x y", "e")]
+    rows = [(i, prose(rng, rng.randrange(0, 40)), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(600)] + [(1000, None, "a"), (1001, "", None), (5, "x y", "e"), (5, "x y", "e"), (None, "q r s", "b"), (None, None, None)]
     docs = make_docs(rows)
-    got = mixing.mix(docs, scratch, digits=2, keep_source=True).collect()
-    assert len(got) == len(rows)
+    got = mixing.mix(docs, scratch, digits=digits).collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == Counter(mix_brute(rows))
     by = defaultdict(list)
     for r in got:
         assert 0 <= r["taken"] <= 3 * r["size"]
-        by[r["_source"]].append(r)
+        by[r["source"]].append(r)
     for s, rs in by.items():
         assert rs[0]["source_size"] == sum(r["size"] for r in rs) == sum(len(SPACE.findall(t or "")) for _, t, x in rows if x == s)
         assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 40
-    again = mixing.mix(docs.repartition(7), scratch, digits=2).select("doc_id", "taken").collect()
-    assert sorted(again) == sorted((r["doc_id"], r["taken"]) for r in got)
+    again = mixing.mix(docs.repartition(7), scratch, digits=digits)
+    assert Counter((r["doc_id"], r["taken"]) for r in again.collect()) == Counter((r["doc_id"], r["taken"]) for r in got)
+
+
+def test_mixed_documents(spark, scratch, make_docs):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(0, 40)), rng.choice("aabc")) for i in range(300)] + [(5, "x y", "e")] * 2 + [(None, "q r s", "b")] * 3 + [(7, None, None), (None, "lone", None)]
+    docs = make_docs(rows).withColumns({c: F.lit(1) for c in ("place", "copies", "rows", "times", "round", "finish", "middle", "weight", "rec", "p", "s", "target")})
     out = mixing.mixed_documents(docs, scratch)
     assert out.columns == docs.columns
-    times = Counter(r["doc_id"] for r in out.collect())
-    want = Counter()
-    for r in mixing.mix(docs, scratch).collect():
-        want[r["doc_id"]] += r["copies"]
-    assert times == +want
+    got, want = Counter((r["doc_id"], r["text"]) for r in out.collect()), Counter()
+    words = {(i, t): len(SPACE.findall(t or "")) for i, t, _ in rows}
+    for (i, _, taken), (_, t, _) in zip(mix_brute(rows), rows):
+        want[i, t] += taken // max(1, words[i, t])
+    assert got == +want
     assert mixing.mix(make_docs([]), scratch).count() == 0 == mixing.mixed_documents(make_docs([]), scratch).count()
+    assert {r["taken"] for r in mixing.mix(make_docs(["", None, " "]), scratch).collect()} == {0} and mixing.mixed_documents(make_docs(["", None]), scratch).count() == 0
+
+
+def test_mix_of_many_sources(spark, scratch, make_docs):
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 1 + rng.randrange(30)), f"s{rng.randrange(60)}") for i in range(500)]
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(make_docs(rows), scratch).collect()) == Counter(mix_brute(rows))
 
 
 # 7
