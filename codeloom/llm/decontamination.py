@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Which tokens of a window count.  Whatever two neighbours in a row of six or more are substituted, one of these still fits beside them.
-MASKS = ("11111", "1101011", "111000011")
+#: Which tokens of a window count.  One of these fits beside any two substituted neighbours, and between substitutions of every third, fourth or later word.
+MASKS = ("11111", "111011", "1101101", "111000011")
+#: Items of fewer words than a mask are met as a whole, from this many words on; one or two words occur by chance.
+SHORTEST = 3
 #: Benchmark seeds up to this many are broadcast; more are joined by shuffle.
 BROADCAST_SEEDS = 2_000_000
 
@@ -43,15 +45,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, masks=MASK
     substituted, as long as one mask fits somewhere.  The best shift of each
     pair is returned.
 
-    Null or empty texts and items, and items shorter than every mask, overlap
-    with nothing.  Repeated rows give the pair once.  Empty tables: no rows.
-    Extra columns are ignored.  Documents meet the benchmark's seeds in the
-    task that reads them, without a shuffle, while there are at most
-    BROADCAST_SEEDS of them.
+    Null or empty texts and items, and items of fewer than SHORTEST words,
+    overlap with nothing; items too short for the masks are met as a whole.
+    Rows with a null doc_id or item_id are left out, for a pair could not
+    name them.  Repeated rows give the pair once; different texts under one
+    id are each compared.  Empty tables: no rows.  Extra columns are ignored.
+    Documents meet the benchmark's seeds in the task that reads them, without
+    a shuffle, while there are at most BROADCAST_SEEDS of them.
     """
     item = benchmark.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("item_words"))
     item = scratch.save(item, "items")
-    seed = item.select("item_id", F.explode(seeds("item_words", masks)).alias("s")).select("item_id", F.col("s.pos").alias("item_pos"), "s.seed")
+    # Lengths of items that no mask fits: fewer than a mask has places.
+    words_in = F.size("item_words")
+    lengths = sorted(r[0] for r in item.where((words_in >= SHORTEST) & (words_in < min(map(len, masks)))).select(words_in).distinct().collect())
+    wholes = tuple("1" * n for n in lengths)
+    seed = item.select("item_id", F.explode(seeds("item_words", masks)).alias("s"))
+    if wholes:
+        masks = masks + wholes
+        seed = seed.unionByName(item.where(words_in.isin(lengths)).select("item_id", F.explode(seeds("item_words", masks)).alias("s")))
+    seed = seed.select("item_id", F.col("s.pos").alias("item_pos"), "s.seed")
     seed = scratch.save(seed, "item-seeds")
     few = seed.count() <= BROADCAST_SEEDS
     words = docs.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words"))

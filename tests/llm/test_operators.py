@@ -156,21 +156,46 @@ def test_tokens(spark, scratch, make_docs, file_ids):
 # 3
 
 
+def overlaps_brute(docs, items):
+    """(doc_id, item_id) of every pair with a stretch at any shift that scores enough; by comparing all words."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    found = set()
+    for i, text in docs:
+        a = cut(text)
+        for j, item in items:
+            b = cut(item)
+            if i is None or j is None or len(b) < decontamination.SHORTEST:
+                continue
+            for shift in range(-len(b), len(a) + 1):
+                run = best = 0
+                for k, w in enumerate(b):
+                    run = max(0, run + (1 if 0 <= k + shift < len(a) and a[k + shift] == w else -1))
+                    best = max(best, run)
+                if best >= min(8, len(b)):
+                    found.add((i, j))
+                    break
+    return found
+
+
 def test_decontamination(spark, scratch, make_docs):
     rng = random.Random(4)
-    items = [prose(rng, n, 3000) for n in (14, 20, 30, 60)] + ["a b c d e", "", None]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    items = [prose(rng, n, 3000) for n in (14, 20, 30, 60, 38)] + ["a b c d e", "", None, "k l m n", "o p q", "yes", "no no"]
+    bench = [*enumerate(items), (None, prose(rng, 20, 3000)), (3, items[3])]
     clean = [prose(rng, 100, 3000) for _ in range(20)]
-    whole = [prose(rng, 40, 3000) + " " + it.upper() + ". " + prose(rng, 40, 3000) for it in items[:4]]
+    whole = [prose(rng, 40, 3000) + " " + it.upper() + ". " + prose(rng, 40, 3000) for it in items[:5]]
     part = [prose(rng, 30, 3000) + " " + " ".join(items[3].split()[20:40]), " ".join(items[3].split()[:12])]
-    subst = [" ".join("zz" if k % 6 == 5 else w for k, w in enumerate(it.split())) for it in items[:4]]
-    texts = clean + whole + part + subst + ["", None, "x a b c d e y"]
-    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.overlaps(make_docs(texts), bench, scratch).collect()}
-    want = {(20 + i, i) for i in range(4)} | {(24, 3), (25, 3)} | {(26 + i, i) for i in range(4)} | {(len(texts) - 1, 4)}
+    subst = [" ".join("zz" if k % every == phase % every else w for k, w in enumerate(it.split())) for it in items[:5] for every in (3, 4, 5, 6, 7) for phase in (0, 2)]
+    subst += [" ".join("zz" if rng.random() < 0.25 else w for w in it.split()) for it in items[:5] for _ in range(6)]
+    texts = clean + whole + part + subst + ["", None, "x a b c d e y", "k l m n", "x k l m z n", "say o p q", "yes no no", "a b c d"]
+    docs = [*enumerate(texts), (None, items[0]), (7, items[0]), (8, clean[8])]
+    bench_table = spark.createDataFrame([(*b, 1) for b in bench], "item_id long, text string, doc_id int")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.overlaps(make_docs(docs), bench_table, scratch).collect()}
+    want = overlaps_brute(docs, bench)
+    assert {(20 + i, i) for i in range(5)} | {(25, 3), (26, 3), (7, 0)} <= want
     assert set(got) == want
     assert got[20, 0]["shift"] == 40 and got[20, 0]["matched"] == 14
-    assert decontamination.overlaps(make_docs([]), bench, scratch).count() == 0
-    assert decontamination.overlaps(make_docs(texts), bench.limit(0), scratch).count() == 0
+    assert decontamination.overlaps(make_docs([]), bench_table, scratch).count() == 0
+    assert decontamination.overlaps(make_docs(texts), bench_table.limit(0), scratch).count() == 0
 
 
 def test_decontamination_without_broadcast(spark, scratch, make_docs, monkeypatch):
