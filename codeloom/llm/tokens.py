@@ -8,6 +8,7 @@ Layout of a payload, little endian:
     doc_id  i64 * n_docs | ids of the document u32 * n_docs
     first word of each block u32 * n_blocks
     words u64 * n_words
+    whether the document has no id, a bit each, padded to bytes; its doc_id is then 0
 
 A block is BLOCK ids (the last one fewer).  A word is a selector in its top
 four bits and COUNT[selector] ids of WIDTH[selector] bits below, first id
@@ -27,6 +28,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, per_process
 from .hashing import words
@@ -130,10 +132,18 @@ def decode(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def pack(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
+def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, nameless: np.ndarray | None = None) -> bytes:
+    """A file of documents; `nameless` tells which have no id."""
     packed, blocks = encode(ids)
     head = MAGIC + np.array([len(doc_ids), len(ids), len(blocks), len(packed)], "<u4").tobytes()
-    return head + np.array(doc_ids, "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + blocks.astype("<u4").tobytes() + packed.astype("<u8").tobytes()
+    flags = np.packbits(np.zeros(len(doc_ids), bool) if nameless is None else nameless).tobytes()
+    return head + np.array(doc_ids, "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + blocks.astype("<u4").tobytes() + packed.astype("<u8").tobytes() + flags
+
+
+def nameless(payload: bytes) -> np.ndarray:
+    """Which documents of a file have no id."""
+    d, _, b, w = (int(x) for x in np.frombuffer(payload, "<u4", 4, 4))
+    return np.unpackbits(np.frombuffer(payload, np.uint8, -1, 20 + 12 * d + 4 * b + 8 * w), count=d).astype(bool)
 
 
 def unpack(payload: bytes, block: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +179,9 @@ class PieceTokenizer:
         self.model = self.tokenizer.model
         # Where lower case is all that a tokenizer sees, spellings share an entry; special tokens are matched as written.
         self.lower = self.ids_of("Aé X") == self.ids_of("aé x")
-        # The library's model alone serves pieces of Latin letters and marks, if it sees words as the whole tokenizer does.
+        # The library's model alone serves pieces of lower-case Latin letters and marks: there the normaliser (NFC, lower
+        # case) changes nothing, WORD cuts as the vocabulary's splitter does, and each byte has its own letter.  The
+        # samples tell whether the vocabulary is of that kind; a test compares random Unicode with the whole tokenizer.
         self.plain = self.lower and all([x.id for part in WORD.findall(t) for x in self.model.tokenize(self.as_bytes(part))] == self.ids_of(t) for t in ("ab", "don't", "naïveté", "x,y.", "ß1½", "l'été!", "(a)#%*"))
         self.forget()
 
@@ -247,12 +259,14 @@ class PieceTokenizer:
 
 
 def write_ids(docs: DataFrame, scratch: Scratch, path: str, end_id: int, file_ids: int = 1 << 20) -> DataFrame:
-    """Encode every text and write the files; returns their table (part, seq, n_docs, n_ids, payload).
+    """Encode every text and write the files; returns their table (part, seq, n_docs, n_ids, at, payload).
 
     Documents are range-partitioned by doc_id and sorted (equal ids by text),
-    so parts, and files in a part, follow each other in that order.  A file
-    ends with the document that brings it to `file_ids` ids.  Null text: empty,
-    the end id alone.  Repeated rows stay.  Empty table: no files.
+    so parts, and files in a part, follow each other in that order; `at` is
+    the number of ids of the part before the file.  A file ends with the
+    document that brings it to `file_ids` ids.  Null text: empty, the end id
+    alone.  Null ids come first, and stay null.  Repeated rows stay.  Empty
+    table: no files.  Whole texts are encoded; extra columns are ignored.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,13 +274,14 @@ def write_ids(docs: DataFrame, scratch: Scratch, path: str, end_id: int, file_id
 
         tk = per_process("tokenizer", path, lambda: PieceTokenizer(path))
         whole = not tk.drops_space()
-        part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, held, n, at = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def file():
             lengths = np.concatenate([h[1] for h in held])
             ids = np.concatenate([h[2] for h in held])
             doc_ids = np.concatenate([h[0] for h in held])
-            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "payload": [pack(doc_ids, lengths, ids)]})
+            payload = pack(doc_ids, lengths, ids, np.concatenate([h[3] for h in held]))
+            return pd.DataFrame({"part": [part], "seq": [seq], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "at": [at], "payload": [payload]})
 
         for batch in batches:
             for i in range(0, len(batch), 256):
@@ -278,26 +293,24 @@ def write_ids(docs: DataFrame, scratch: Scratch, path: str, end_id: int, file_id
                 else:
                     lengths, ids = tk.encode(texts)
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
-                held.append((doc_ids, lengths + 1, ids))
+                held.append((doc_ids, lengths + 1, ids, batch["nameless"].to_numpy()[i : i + 256]))
                 n += len(ids)
                 if n >= file_ids:
                     yield file()
-                    seq, held, n = seq + 1, [], 0
+                    seq, held, n, at = seq + 1, [], 0, at + n
         if held:
             yield file()
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.save(d.mapInPandas(run, "part int, seq int, n_docs int, n_ids long, payload binary"), "files")
+    d = d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), "text", F.col("doc_id").isNull().alias("nameless"))
+    return scratch.save(d.mapInPandas(run, "part int, seq int, n_docs int, n_ids long, at long, payload binary"), "files")
 
 
 def read_ids(files: DataFrame) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32."""
-    sizes = sorted((r["part"], r["seq"], r["n_ids"]) for r in files.select("part", "seq", "n_ids").collect())  # a row for each file of a million ids
-    starts, at = [], 0
-    for part, seq, n in sizes:
-        starts.append((part, seq, at))
-        at += n
-    table = files.sparkSession.createDataFrame(starts, "part int, seq int, at long")
+    # A row for each part, that is each task that wrote.
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    parts = parts.select("part", F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -306,7 +319,8 @@ def read_ids(files: DataFrame) -> DataFrame:
                 end = np.cumsum(lengths.astype(np.int64))
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(end.tolist(), lengths.tolist())]
-                yield pd.DataFrame({"doc_id": doc_ids, "start": at + end - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": crc})
+                named = pd.Series(doc_ids).astype("Int64").mask(nameless(payload))
+                yield pd.DataFrame({"doc_id": named, "start": at + end - lengths, "n_tokens": lengths.astype(np.int64), "ids_crc32": crc})
 
-    joined = files.select("part", "seq", "payload").join(table, ["part", "seq"])
-    return joined.select("payload", "at").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    joined = files.join(F.broadcast(parts), "part").select("payload", (F.col("at") + F.col("before")).alias("at"))
+    return joined.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

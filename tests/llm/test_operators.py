@@ -142,17 +142,37 @@ def test_tokens(spark, scratch, make_docs, file_ids):
     path = public_tokenizers.path("word_bpe_49k.json")
     tk = Tokenizer.from_file(path)
     texts = ODD + [prose(random.Random(3), 50)] * 2
-    docs = make_docs([(1000 - i, t) for i, t in enumerate(texts)]).repartition(3)
+    big = 2**53 + 1  # ids that a double would round
+    rows = [(big - i, t) for i, t in enumerate(texts)] + [(None, None), (None, "no id"), (None, "z")]
+    docs = make_docs(rows).repartition(3)
     files = tokens.write_ids(docs, scratch, path, 2, file_ids)
-    got = sorted(tokens.read_ids(files).collect())
+    got = sorted(tokens.read_ids(files).collect(), key=lambda r: r["start"])
     at = 0
-    for r, (i, t) in zip(got, sorted((1000 - i, t) for i, t in enumerate(texts))):
+    assert len(got) == len(rows)
+    for r, (i, t) in zip(got, sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))):
         ids = tk.encode(t or "", add_special_tokens=False).ids + [2]
         assert tuple(r) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert tokens.read_ids(tokens.write_ids(make_docs([]), scratch, path, 2)).count() == 0
 
 
+def test_tokens_of_random_unicode():
+    """The short cut for Latin pieces, against the whole tokenizer."""
+    import public_tokenizers
+
+    tk = tokens.PieceTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert tk.plain and tk.drops_space()
+    rng = random.Random(17)
+    latin = [chr(c) for c in range(0x21, 0x180)] + ["\u0301", "\u00ad", " ", " ", " "]
+    wide = latin + [chr(rng.randrange(0x180, 0xD800)) for _ in range(400)] + [chr(rng.randrange(0x10000, 0x1F900)) for _ in range(50)]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for alphabet in (latin, wide) for _ in range(1500)]
+    lengths, ids = tk.encode(texts)
+    at = 0
+    for text, n in zip(texts, lengths.tolist()):
+        assert ids[at : at + n].tolist() == tk.ids_of(text), text
+        at += n
+
+
 # 3
 
 
