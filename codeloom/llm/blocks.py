@@ -62,6 +62,27 @@ def levels(table: DataFrame, total: int, dtype: str, columns: tuple[str, ...] =
     return pieces.groupBy("bucket").applyInPandas(decide, "block string, bucket int, n int, levels binary")
 
 
+def list_length(answers: DataFrame) -> float:
+    """How many blocks hold a value that more than one does, as the median over all blocks and such values; 2 if there is none."""
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(256, np.int64)
+        for batch in it:
+            for x in batch["levels"]:
+                seen += np.bincount(np.frombuffer(x, np.uint8), minlength=256)
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"level": at.astype(np.int32), "n": seen[at]})
+
+    # 254 rows at most.
+    rows = sorted((r["level"], r["n"]) for r in answers.select("levels").mapInPandas(count, "level int, n long").where("level > 0").groupBy("level").agg(F.sum("n").alias("n")).collect())
+    half, passed = sum(n for _, n in rows) / 2, 0
+    for level, n in rows:
+        passed += n
+        if passed >= half:
+            return float(max(2, level))
+    return 2.0
+
+
 def by_block(answers: DataFrame) -> DataFrame:
     """One row (block, answers) for each block."""
     return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("answers"))

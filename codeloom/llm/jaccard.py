@@ -9,11 +9,13 @@ Small sets are *light*: every pair of shingles of that longer prefix is a
 key, and light partners share a key.  Large sets are *heavy*: the inverted
 lists of the single prefix shingles are scanned; light sets near the boundary
 stand in these lists too.  The boundary is the size up to which enumerating
-costs no more rows than scanning.
+costs no more rows than scanning lists of the length that this corpus has.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,10 +37,10 @@ class Parameters:
     percent: int = 75
     #: Bytes of text from which shingles are told apart by eight bytes instead of four.
     wide_from: int = 10**10
-    #: Sets that the list of a prefix shingle leads to on average, for the boundary between light and heavy: shared shingles come last in the order, so few.
-    list_length: float = 1.5
-    #: Largest size considered for enumeration.
-    light_most: int = 64
+    #: Largest size considered for enumeration: beyond, pairs of prefix shingles would outgrow the text.
+    light_most: int = 24
+    #: Members of a key from which its last comparisons are cut by size and into slices of that many.
+    crowd: int = 2000
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -111,8 +113,8 @@ def set_blocks(docs: DataFrame, dtype: str, p: Parameters) -> DataFrame:
                 "ids": doc.fillna(0).to_numpy().astype("<i8").tobytes(), "nulls": doc.isna().to_numpy().astype(np.uint8).tobytes(),
                 "sizes": sizes.tobytes(), "nodes": node.tobytes(), "seq": every.tobytes(),
             }
-            name = f"{doc.iloc[0]}-{nodes[0]}-{len(doc)}-{int(every.sum(dtype=np.uint64))}"
-            return pd.DataFrame({"block": [name], "n_values": [len(every)], **{k: [v] for k, v in row.items()}})
+            # Blocks are written before they are read, so a name need not come out the same again.
+            return pd.DataFrame({"block": [uuid.uuid4().hex], "n_values": [len(every)], **{k: [v] for k, v in row.items()}})
 
         for batch in it:
             for i in range(0, len(batch), 256):
@@ -229,8 +231,9 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
 
     Null, empty and wordless texts: n_shingles 0, alone.  Repeated rows and
     ids: every row returns, and texts under one id link only if they are
-    alike.  Empty table: no rows.  Extra
-    columns are ignored.
+    alike.  Null ids: such rows link like others but give a component no
+    name; it is null where no member has an id.  Empty table: no rows.
+    Whole texts count, however long.  Extra columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     # Values of four bytes tell apart what a few gigabytes of text hold; beyond, eight.  Either is exact in its results.
@@ -246,7 +249,7 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
 
     answers = scratch.save(blocks.levels(table, table.agg(F.sum("n_values")).first()[0] or 0, dtype, ("sizes", "nodes", "seq"), read), "levels")
     scratch.drop()
-    light = boundary(p.list_length, p)
+    light = boundary(blocks.list_length(answers), p)
 
     # Keys of one class only are dropped; copies of a class leave one posting.
     found_keys = scratch.save(postings(table, answers, light, dtype, p).distinct(), "postings")
@@ -264,7 +267,10 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
                 s = shingle_sets([t.encode() for t in batch["text"].iloc[i : i + 256]], p.n)
                 yield pd.DataFrame({"node": nodes_of(s), "shingles": [x.astype("<u8").tobytes() for x in s], "parity": [parity(x) for x in s]})
 
-    sets = d.join(members, "doc", "left_semi").mapInPandas(as_sets, "node long, shingles binary, parity array<long>").dropDuplicates(["node"])
+    held = d.join(members, "doc", "left_semi")
+    if not members.where("doc is null").isEmpty():
+        held = held.unionByName(d.where("doc is null"))  # a class that has no other ids
+    sets = held.mapInPandas(as_sets, "node long, shingles binary, parity array<long>").dropDuplicates(["node"])
     sets = scratch.save(sets, "sets")
     scratch.drop()
 
@@ -285,12 +291,19 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
             todo = unfinished(live, edges, scratch)
     # The rest: members outside the largest part of their key, against everyone in another component.
     parts = todo.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    major = scratch.save(parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major")), "major")
+    major = scratch.save(parts.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("major"), F.sum("m").alias("members")), "major")
     rest = scratch.save(todo.join(major, "key"), "rest")
+    # Crowded keys: sizes in bands as wide as links allow, so partners are in the same band or a neighbour, and slices of a band.
+    crowded = F.col("members") > p.crowd
+    band = F.when(crowded, F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / p.percent))).cast("int")).otherwise(0)
+    slices = F.when(crowded, F.ceil(F.col("members") / p.crowd).cast("int")).otherwise(1)
     first = scratch.save(rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, 64).alias("keys")), "first-keys")
     rest = scratch.save(rest.join(first, "node").join(sets.select("node", "parity"), "node"), "rest")
-    x = rest.where("comp <> major").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("keys").alias("ka"), F.col("parity").alias("pa"))
-    y = rest.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("keys").alias("kb"), F.col("parity").alias("pb"), "major")
+    cell = [band.alias("band"), F.pmod(F.xxhash64("node", F.lit("slice")), slices.cast("long")).cast("int").alias("slice")]
+    x = rest.where("comp <> major").select("key", *cell, F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("keys").alias("ka"), F.col("parity").alias("pa"))
+    near = rest.withColumns({"band_b": F.explode(F.when(crowded, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))), "slices": slices})
+    near = near.withColumn("slice_b", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    y = near.select(F.col("key").alias("key_b"), "band_b", "slice_b", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("keys").alias("kb"), F.col("parity").alias("pb"), "major")
     # Two minor members would meet twice: the smaller leads.  A pair that meets under a smaller key among the first of both is left to that key.
     once = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b"))) & fits("na", "nb")
     once = once & (F.coalesce(F.array_min(F.array_intersect("ka", "kb")), F.col("key")) >= F.col("key"))
@@ -298,7 +311,7 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
     apart = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(1, PARITY)), F.bit_count(F.get("pa", F.lit(0)).bitwiseXOR(F.get("pb", F.lit(0)))))
     once = once & (apart * (100 + p.percent) <= (F.col("na").cast("long") + F.col("nb")) * (100 - p.percent))
     scratch.drop()
-    pairs = scratch.save(x.join(y, (F.col("key") == F.col("key_b")) & once).select("a", "b").distinct(), "pairs")
+    pairs = scratch.save(x.join(y, (F.col("key") == F.col("key_b")) & (F.col("band") == F.col("band_b")) & (F.col("slice") == F.col("slice_b")) & once).select("a", "b").distinct(), "pairs")
     if not pairs.isEmpty():
         edges = scratch.save(edges.unionByName(verify(pairs, sets.select("node", "shingles"), p)), "links")
 

@@ -11,6 +11,7 @@ fingerprint of their whole context, the bytes of all windows filed there.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,7 +155,7 @@ def repeated_windows(ranges: DataFrame, docs: DataFrame, scratch: Scratch, lengt
             every = np.concatenate(fps)
             row = blocks.pack(every, np.arange(n))
             row["idx"] = np.searchsorted(np.frombuffer(row["vals"], "<u8"), every).astype("<i4").tobytes()
-            return pd.DataFrame({"block": [f"{places[0][0]}-{places[0][1]}-{int(fps[0][0])}-{n}"], "places": [np.array(places, "<i8").tobytes()], **{k: [v] for k, v in row.items()}})
+            return pd.DataFrame({"block": [uuid.uuid4().hex], "places": [np.array(places, "<i8").tobytes()], **{k: [v] for k, v in row.items()}})
 
         for batch in it:
             for d, text, rs in zip(batch["doc"], batch["text"], batch["ranges"]):

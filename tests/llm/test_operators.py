@@ -16,7 +16,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyspark
 import pytest
-from codeloom.llm import common, decontamination, embeddings, jaccard, language, mixing, sharding, suffixes, tokens, toxicity, urls
+from codeloom.llm import blocks, common, decontamination, embeddings, jaccard, language, mixing, sharding, suffixes, tokens, toxicity, urls
 from pyspark.sql import functions as F
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,7 +68,8 @@ def jaccard_brute(rows):
     return sets, edges
 
 
-def test_jaccard_matches_brute_force(spark, scratch, make_docs):
+@pytest.mark.parametrize("wide_from", [0, 10**10])
+def test_jaccard_matches_brute_force(spark, scratch, make_docs, wide_from):
     rng = random.Random(2)
     texts = []
     for _ in range(14):
@@ -81,7 +82,7 @@ def test_jaccard_matches_brute_force(spark, scratch, make_docs):
     rng.shuffle(texts)
     sets, edges = jaccard_brute(list(enumerate(texts)))
     want = union(edges, sets)
-    got = {r["doc_id"]: r for r in jaccard.join(make_docs(texts), scratch).collect()}
+    got = {r["doc_id"]: r for r in jaccard.join(make_docs(texts), scratch, jaccard.Parameters(wide_from=wide_from)).collect()}
     assert len(got) == len(texts)
     for i in sets:
         assert got[i]["n_shingles"] == len(sets[i])
@@ -96,15 +97,45 @@ def test_jaccard_every_boundary_and_round(spark, scratch, make_docs, monkeypatch
     monkeypatch.setattr(jaccard, "boundary", lambda *a: light)
     sets, edges = jaccard_brute(list(enumerate(texts)))
     want = union(edges, sets)
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(make_docs(texts), scratch, rounds=rounds).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(make_docs(texts), scratch, jaccard.Parameters(crowd=3 if light % 2 else 2000), rounds=rounds).collect()}
     assert got == want
 
 
+def test_jaccard_boundary():
+    p = jaccard.Parameters()
+    found = [jaccard.boundary(x, p) for x in (1.5, 2, 3, 5, 200)]
+    assert found == sorted(found) and found[0] == 7 and found[-1] == p.light_most
+
+
+def test_list_length(spark):
+    of = lambda *levels: spark.createDataFrame([(bytearray(x),) for x in levels], "levels binary")
+    assert blocks.list_length(of([0, 0, 2], [3, 3, 0, 9])) == 3.0
+    assert blocks.list_length(of([0, 0])) == 2.0 == blocks.list_length(of())
+
+
+def test_jaccard_of_a_table_that_repeats_itself(spark, scratch, make_docs):
+    rng = random.Random(18)
+    base = [prose(rng, 30, 100) for _ in range(12)]
+    texts = base + [edited(rng, t, 1) for t in base]
+    docs = make_docs(texts)
+    sets, edges = jaccard_brute(list(enumerate(texts)))
+    want = union(edges, sets)
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.join(docs.unionByName(docs), scratch).collect()]
+    assert Counter(got) == Counter([*want.items()] * 2)
+
+
 def test_jaccard_edges(spark, scratch, make_docs):
     assert jaccard.join(make_docs([]), scratch).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y z u v w"), (2, "a b c d e f"), (None, "q"), (3, None)]
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(make_docs(rows), scratch).collect())
     assert got == Counter({(1, 2, 1): 2, (2, 2, 2): 1, (2, 2, 1): 1, (None, 1, None): 1, (3, 0, 3): 1})
+    # Classes without an id link others.
+    base = prose(random.Random(19), 40, 500)
+    words = base.split()
+    chain = [(7, " ".join(words[:36])), (None, " ".join(words[2:40])), (4, " ".join(words[4:] + ["new", "end"]))]
+    _, edges = jaccard_brute(chain)
+    assert {(0, 1), (1, 2)} <= set(edges)
+    assert Counter((r["doc_id"], r["component_id"]) for r in jaccard.join(make_docs(chain), scratch).collect()) == Counter([(7, 4), (None, 4), (4, 4)])
 
 
 # 2
