@@ -282,6 +282,41 @@ def test_lexicon_matches_edit_distance():
         assert lexicon.match(w) == want, w
 
 
+def test_lexicon_stems():
+    lexicon = toxicity.Lexicon(["scum", "achlich*", "trash", "tra*"], 5)
+    assert lexicon.match("achlichau") == ("achlich*", 0) and lexicon.match("achlichx" * 3) == ("achlich*", 0)
+    assert lexicon.match("achlich") is None and lexicon.match("schlichau") is None
+    assert lexicon.match("trash") == ("trash", 0) and lexicon.match("trashy") == ("tra*", 0) and lexicon.match("scum") == ("scum", 0)
+
+
+def test_toxicity_grades(spark, scratch, make_docs):
+    """Stems are found in inflected words, a surer term and more hits score higher, and cues of being spoken about are learned."""
+    rng = random.Random(20)
+    pad = lambda n=15: prose(rng, n, 300)
+    rows = [(f"{pad()} {rng.choice(['idiot', 'moron'])} {pad()}", 1) for _ in range(200)] + [(f"{pad()} meh {pad()}", 1) for _ in range(60)] + [(f"{pad()} meh", 0) for _ in range(6)]
+    rows += [(f"{pad()} verbost{rng.randrange(10**6)} {pad()}", 1) for _ in range(30)] + [(pad(30), 0) for _ in range(400)]
+    rows += [(f"{pad(5)} dictionary idiot {pad(5)}", 0) for _ in range(14)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"), scratch)
+    assert {"moron", "meh", "verbost*"} <= set(model.terms) and "dictionary" in model.cues
+    texts = ["w1 w2", "w1 meh w2", "w1 moron w2", "w1 moron w2 moron w3 moron", "w1 verbost77 w2", "w1 moron dictionary w2", "w1 verbost w2"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(make_docs(texts), model, ["doc_id"]).collect()}
+    assert got[0] < got[1] < got[2] < got[3] and got[4] > 0.5 and got[5] < 0.3 and got[6] == got[0]
+    clash = make_docs(texts).withColumns({c: F.lit("x") for c in ("score", "plain_hits", "quoted_hits", "_text", "_judged", "j", "sure")})
+    kept = toxicity.score(clash, model, clash.columns)
+    assert len(kept.columns) == len(set(kept.columns)) and {r["doc_id"]: r["score"] for r in kept.select("doc_id", "score").collect()} == got
+    assert toxicity.score(make_docs([]), model, ["doc_id"]).count() == 0
+
+
+def test_logistic():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 3, (400, len(toxicity.FEATURES))).astype(float)
+    truth = np.array([-2.0, 1.5, -1.0, 0.5, 0.0, 0.0])
+    p = 1 / (1 + np.exp(-(truth[0] + x @ truth[1:])))
+    w = toxicity.logistic(x, 1000 * (1 - p), 1000 * p)
+    assert np.abs(w - truth).max() < 0.1
+    assert (toxicity.logistic(x, np.ones(400), np.zeros(400))[[1, 3, 4, 5]] >= 0).all()
+
+
 def test_toxicity_learns_and_scores(spark, scratch, make_docs):
     rng = random.Random(7)
     rows = [(" ".join([prose(rng, 20), rng.choice(["idiot", "moron"]), prose(rng, 20)]), 1) for _ in range(60)] + [(prose(rng, 40), 0) for _ in range(300)]
