@@ -2,43 +2,64 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and
 returns a DataFrame, which is written and read back as the next one's docs.
+
+Documents have doc_id, text and source, and may have columns of any other
+name.  Null ids, null and empty texts and repeated rows pass the first three
+stages as documents of their own; texts without words are in no mix.  Empty
+labels or benchmark drop nothing; a missing table is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import decontamination, jaccard, mixing, queries, tokens, toxicity
+from codeloom.llm.common import Scratch
 
 #: A document is rejected from this score on.
 TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator scores below TOXIC; it learns from labelled rows that are not held out."""
+    """Documents that the toxicity operator scores below TOXIC; it learns from labelled rows that are not held out.
+
+    Every row is judged by its own text; columns of any name stay as they are.
+    """
     s = queries.scratch(spark, "pipeline-toxicity")
     model = queries.toxicity_model(docs, queries.table(spark, sf_dir, "labels"), s)
-    kept = toxicity.score(docs, model, docs.columns).where(F.col("score") < TOXIC)
-    return kept.select(*docs.columns)
+    return docs.where(toxicity.judged(model, docs["text"])["score"] < TOXIC)
+
+
+def without(docs: DataFrame, s: Scratch, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of docs but those that `choose` names by doc_id.
+
+    `choose` takes (doc_id, text).  Where ids repeat or are null, it gets a
+    row number instead of the id, with rows in order of id, so that a row
+    never goes for another one's text.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = s.save(choose(docs.select("doc_id", "text")).select("doc_id").distinct(), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    record = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rec"))
+    ordered = record.repartitionByRange(F.col("rec.doc_id").asc_nulls_last()).sortWithinPartitions(F.col("rec.doc_id").asc_nulls_last())
+    rows = s.save(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
+    gone = s.save(choose(rows.select(F.col("row").alias("doc_id"), F.col("rec.text").alias("text"))).select(F.col("doc_id").alias("row")).distinct(), "gone")
+    return rows.join(gone, "row", "left_anti").select("rec.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id; of rows that repeat id and text one."""
+    """Of each group of near duplicates, repeated rows included, the document of smallest id; null is the largest."""
     s = queries.scratch(spark, "pipeline-jaccard")
-    groups = s.save(jaccard.join(docs, s), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    return without(docs, s, lambda d: jaccard.join(d, s).where("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Rows whose text holds no passage of the benchmark."""
     s = queries.scratch(spark, "pipeline-decontamination")
-    found = s.save(decontamination.overlaps(docs, queries.table(spark, sf_dir, "benchmark"), s), "overlaps")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, s, lambda d: decontamination.overlaps(d, queries.table(spark, sf_dir, "benchmark"), s))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
