@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -52,8 +53,9 @@ def tokens(host: Column, path: Column) -> Column:
 
 @dataclass(frozen=True)
 class RuleParameters:
-    """What a mined rule must reach.  At most 1 / min_support times the longest set of tokens can be frequent, so the rules fit any executor."""
+    """What a mined rule must reach."""
 
+    #: Blocked pages that the rule fits, as a share of all labelled pages.
     min_support: float = 0.002
     #: A lower bound of the share of blocked pages among those that the rule fits.
     min_confidence: float = 0.5
@@ -64,44 +66,77 @@ class RuleParameters:
     broadcast_rules: int = 100_000
 
 
-BLOCK = "label:block"
+def companions(blocked: DataFrame, least: float) -> dict[str, str]:
+    """Token to item, for tokens in at least `least` blocked rows: tokens that stand in the same labelled rows are one item, named after the first.
+
+    So an URL that repeats, with however many tokens, is one item and not a
+    set for each choice of them.  There are at most as many such tokens as a
+    row has, divided by the share.
+    """
+    # Equal sets of tokens are one; which of these a token is in is told by two hashes and their number.
+    kinds = blocked.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count_if("block").alias("hits"))
+    mark = lambda seed: F.bit_xor(F.xxhash64("tokens", F.lit(seed)))
+    each = kinds.select("tokens", "hits", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("hits").alias("hits"), F.count("*").alias("n"), mark(1).alias("a"), mark(2).alias("b"))
+    first: dict[tuple, str] = {}
+    rows = sorted(each.where(F.col("hits") >= least).collect())
+    return {r["token"]: first.setdefault((r["n"], r["a"], r["b"]), r["token"]) for r in rows}
+
+
+def items(tokens: Column, item_of: dict[str, str]) -> Column:
+    """The distinct items that tokens belong to; other tokens are in no rule."""
+    if not item_of:
+        return F.array().cast("array<string>")
+    known = F.from_json(F.lit(json.dumps(item_of)), "map<string, string>")
+    return F.array_distinct(F.filter(F.transform(tokens, lambda t: F.try_element_at(known, t)), lambda x: x.isNotNull()))
 
 
-def mine(labelled: DataFrame, scratch: Scratch, p: RuleParameters = RuleParameters()) -> DataFrame:
-    """Rules `tokens -> block` from rows (tokens array<string>, block boolean): rule_id, antecedent, confidence, lift, rarest.
+def holding(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (with `items`) joined with the rules (with `antecedent`, `rarest`) that fit them, by inverted index: a row meets a rule under the rule's rarest item only, and the rest is checked there."""
+    met = rows.withColumn("rarest", F.explode("items")).join(rules, "rarest")
+    return met.where(F.size(F.array_except("antecedent", "items")) == 0)
 
-    Spark's FP-growth counts the combinations; a rule stays if confidence,
-    support, rows and lift reach the parameters and no shorter rule with at
-    least its confidence is contained in it.  `rarest` is its least frequent
-    token, under which the inverted index holds it.  No labelled rows: none.
+
+def mine(labelled: DataFrame, scratch: Scratch, p: RuleParameters = RuleParameters()) -> tuple[DataFrame, dict[str, str]]:
+    """Rules `items -> block` from rows (tokens array<string>, block boolean): (antecedent, confidence, lift, rarest), and which tokens are which item.
+
+    Spark's FP-growth counts combinations in the blocked rows; how many rows
+    a combination fits at all is then counted by inverted index.  A rule
+    stays if support, rows, confidence and lift reach the parameters and no
+    shorter rule with at least its confidence is contained in it.  `rarest`
+    is its least frequent item, under which the index holds it.
+
+    Combinations can be many where many items of one row are frequent in
+    different company: FP-growth has no bound but the support.  No labelled
+    rows, or none of one kind: no rule.
     """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, confidence double, lift double, rarest string")
+    empty = spark.range(0).select(F.array().cast("array<string>").alias("antecedent"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("lift"), F.lit("").alias("rarest"))
     n, blocks = labelled.agg(F.count("*"), F.count_if("block")).first()
     if not n or not blocks:
-        return empty
-    items = labelled.select(F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
+        return empty, {}
+    least = max(p.min_support * n, p.min_rows)
+    item_of = companions(labelled, least)
+    if not item_of:
+        return empty, {}
+    rows = scratch.save(labelled.select(items(F.col("tokens"), item_of).alias("items"), "block").where(F.size("items") > 0), "items")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    model = FPGrowth(itemsCol="items", minSupport=max(p.min_support, p.min_rows / n), minConfidence=p.min_confidence, numPartitions=parts).fit(items)
-    sets = scratch.save(model.freqItemsets.withColumn("size", F.size("items")), "itemsets")
-    with_block = sets.where(F.array_contains("items", BLOCK) & (F.col("size") > 1)).select(
-        F.array_sort(F.array_remove("items", BLOCK)).alias("antecedent"), F.col("freq").alias("hits")
-    )
-    plain = sets.where(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("rows"))
-    rules = with_block.join(plain, "antecedent").withColumn("confidence", F.col("hits") / F.col("rows")).withColumn("lift", F.col("confidence") * F.lit(n / blocks))
+    # A little below, so that rounding loses no set; the exact limit follows.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / blocks), minConfidence=1.0, numPartitions=parts).fit(rows.where("block").select("items"))
+    sets = scratch.save(model.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("antecedent"), F.col("freq").alias("hits")), "itemsets")
+    single = rows.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("freq"))
+    each = sets.withColumn("item", F.explode("antecedent")).join(single, "item")
+    rules = scratch.save(each.groupBy("antecedent", "hits").agg(F.min_by("item", F.struct("freq", "item")).alias("rarest")), "indexed")
+    fits = holding(rows.select("items"), rules).groupBy("antecedent", "hits", "rarest").agg(F.count("*").alias("rows"))
+    rules = fits.withColumn("confidence", F.col("hits") / F.col("rows")).withColumn("lift", F.col("confidence") * F.lit(n / blocks))
     # Few rows prove little: the lower bound of the confidence counts (Wilson's, one-sided 95 %).
     z, x, n_rows = 1.645, F.col("confidence"), F.col("rows")
     sure = (x + z * z / (2 * n_rows) - z * F.sqrt(x * (1 - x) / n_rows + z * z / (4 * n_rows * n_rows))) / (1 + z * z / n_rows)
-    rules = rules.where((sure >= p.min_confidence) & (F.col("lift") >= p.min_lift) & (F.col("hits") >= p.min_rows))
-    rules = scratch.save(rules.withColumn("rule_id", F.xxhash64("antecedent")), "rules")
-    single = sets.where("size = 1").select(F.col("items")[0].alias("token"), F.col("freq"))
-    each = rules.select("rule_id", "antecedent", "confidence", "lift", F.explode("antecedent").alias("token")).join(single, "token")
-    rules = scratch.save(each.groupBy("rule_id", "antecedent", "confidence", "lift").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest")), "indexed")
-    # Redundant: a longer rule that is no surer than one inside it.  Both have the inner rule's rarest token.
-    inner = rules.select(F.col("antecedent").alias("inner"), F.col("confidence").alias("inner_confidence"), F.col("rarest").alias("token"))
-    longer = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("token")).join(inner, "token")
+    rules = scratch.save(rules.where((sure >= p.min_confidence) & (F.col("lift") >= p.min_lift)), "rules")
+    # Redundant: a longer rule that is no surer than one inside it.  The inner rule's rarest item leads from one to the other.
+    inner = rules.select(F.col("antecedent").alias("inner"), F.col("confidence").alias("inner_confidence"), F.col("rarest").alias("item"))
+    longer = rules.select("antecedent", "confidence", F.explode("antecedent").alias("item")).join(inner, "item")
     longer = longer.where((F.size("inner") < F.size("antecedent")) & (F.size(F.array_except("inner", "antecedent")) == 0) & (F.col("inner_confidence") >= F.col("confidence")))
-    return scratch.save(rules.join(longer.select("rule_id").distinct(), "rule_id", "left_anti").select(*empty.columns), "kept")
+    return scratch.save(rules.join(longer.select("antecedent").distinct(), "antecedent", "left_anti").select(*empty.columns), "kept"), item_of
 
 
 def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch, rules=RULES, p: RuleParameters = RuleParameters()) -> DataFrame:
@@ -113,8 +148,8 @@ def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch, rules=RULES, p:
     those of the document with its id; bad quality or toxic means block.
 
     Null url or one without `://`: empty host and path, no rule, allow.
-    Repeated rows are judged one by one.  No labels: nothing is mined.
-    Extra columns are ignored.
+    Null ids and repeated rows are judged one by one.  No labels: nothing is
+    mined.  Empty table: no rows.  Extra columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     verdict, name = fixed_rule(F.col("host"), F.col("path"), rules)
@@ -123,13 +158,11 @@ def judge(pages: DataFrame, labels: DataFrame, scratch: Scratch, rules=RULES, p:
     cut = scratch.save(cut, "cut")
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
     labelled = cut.join(marks, F.col("page_id") == F.col("doc_id")).where("block is not null").select("tokens", "block")
-    mined = mine(scratch.save(labelled, "labelled"), scratch, p)
+    mined, item_of = mine(scratch.save(labelled, "labelled"), scratch, p)
     if mined.count() <= p.broadcast_rules:
         mined = F.broadcast(mined)
-    # The inverted index: an URL meets a rule under the rule's rarest token only, and the rest is checked there.
-    met = cut.where("fixed is null").select("page_id", "host", "path", "tokens", F.explode("tokens").alias("rarest")).join(mined, "rarest")
-    fits = met.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("page_id", "host", "path").agg(F.max("confidence").alias("confidence"))
-    fits = scratch.save(fits, "fits")
+    pages = cut.where("fixed is null").select("page_id", "host", "path", items(F.col("tokens"), item_of).alias("items"))
+    fits = scratch.save(holding(pages, mined).groupBy("page_id", "host", "path").agg(F.max("confidence").alias("confidence")), "fits")
     key = [cut[c].eqNullSafe(fits[c]) for c in ("page_id", "host", "path")]
     return cut.join(fits, key, "left").select(
         cut["page_id"], cut["host"], cut["path"], "rule", F.coalesce("fixed", F.when(fits["confidence"].isNotNull(), "block").otherwise("allow")).alias("verdict"),

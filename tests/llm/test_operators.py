@@ -633,3 +633,53 @@ def test_urls(spark, scratch):
     assert got[511][:2] == ("a:", "//b/c") and got[512][:2] == ("a", "")
     assert urls.judge(pages.limit(0), labels, scratch).count() == 0
     assert {r["verdict"] for r in urls.judge(pages.where("page_id < 200"), labels.limit(0), scratch).collect()} == {"allow"}
+
+
+def rules_brute(rows, p):
+    """Every set of up to three tokens that is a rule, by counting all sets."""
+    n, blocks, hits, fits = len(rows), sum(b for _, b in rows), Counter(), Counter()
+    for tokens, block in rows:
+        for k in (1, 2, 3):
+            for s in itertools.combinations(sorted(tokens), k):
+                fits[s] += 1
+                hits[s] += block
+    found = {}
+    for s in fits:
+        x, m = hits[s] / fits[s], fits[s]
+        z = 1.645
+        sure = (x + z * z / (2 * m) - z * math.sqrt(x * (1 - x) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+        if hits[s] >= max(p.min_support * n, p.min_rows) and sure >= p.min_confidence and x * n / blocks >= p.min_lift:
+            found[s] = x
+    return found
+
+
+def test_mined_rules_match_brute_force(spark, scratch):
+    rng = random.Random(22)
+    rows = []
+    for _ in range(400):
+        tokens = {f"t{rng.randrange(9)}" for _ in range(rng.randrange(1, 5))}
+        if rng.random() < 0.3:
+            tokens |= {"twin1", "twin2"}
+        # Only the pair marks a page.
+        rows.append((sorted(tokens), {"t1", "t2"} <= tokens or {"twin1", "t5"} <= tokens or rng.random() < 0.08))
+    p = urls.RuleParameters(min_support=0.01)
+    mined, item_of = urls.mine(spark.createDataFrame(rows, "tokens array<string>, block boolean"), scratch, p)
+    got = {tuple(r["antecedent"]): r["confidence"] for r in mined.collect()}
+    assert item_of["twin2"] == item_of["twin1"] == "twin1" and got
+    want = rules_brute(rows, p)
+    for tokens, _ in rows:
+        rules = [want[s] for k in (1, 2, 3) for s in itertools.combinations(tokens, k) if s in want]
+        own = {item_of[t] for t in tokens if t in item_of}
+        fits = [c for s, c in got.items() if set(s) <= own]
+        assert max(fits, default=None) == pytest.approx(max(rules, default=None))
+    assert all(want[s] == pytest.approx(c) for s, c in got.items())
+
+
+def test_one_url_of_many_tokens(spark, scratch):
+    """An URL that repeats with 60 tokens is one item, not 2**60 sets."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04}")
+    bad = "https://a.example.com/en/" + "/".join(word(i) for i in range(60))
+    pages = spark.createDataFrame([(i, bad) for i in range(30)] + [(100 + i, f"https://b.example.com/en/{word(500 + i)}") for i in range(200)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 100), 0) for i in [*range(20), *range(100, 300)]], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, labels, scratch).collect()}
+    assert all((v == "block") == (i < 30) for i, v in got.items()) and len(got) == 230
