@@ -4,58 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.tables import written
 
+PAIR = ["program_id", "l", "r"]
 
-def closure(edges: DataFrame, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+
+def _onward(df: DataFrame) -> DataFrame:
+    return df.select("program_id", F.col("l").alias("r"), F.col("r").alias("to"))
+
+
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs that a pair of `first` and one of `second` make."""
+    return first.join(_onward(second), ["program_id", "r"]).select("program_id", "l", F.col("to").alias("r"))
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """All pairs (program_id, l, r) connected by one edge or more, for graphs of any size; cycles are allowed.
 
-    Semi-naive path doubling: new pairs meet all known ones at either end, so
-    the rounds are logarithmic in the longest path.  `derive` makes further
-    edges from new pairs.
+    After round i, `known` has the walks of up to 2**i edges, and `step`
+    those of just 2**i, which lengthen all known ones; so the rounds are
+    logarithmic in the longest path, and a pair is met once for each place
+    2**i edges from its end instead of for each place between.  New pairs are
+    written; known ones are never written again.
     """
-    known = written(edges.select("program_id", "l", "r").distinct(), "closure")
-    delta = known
-    while not delta.isEmpty():
-        onward = lambda df: df.select("program_id", F.col("l").alias("r"), F.col("r").alias("to"))
-        ahead = delta.join(onward(known), ["program_id", "r"]).select("program_id", "l", F.col("to").alias("r"))
-        behind = known.join(onward(delta), ["program_id", "r"]).select("program_id", "l", F.col("to").alias("r"))
-        found = ahead.unionByName(behind)
-        if derive:
-            found = found.unionByName(derive(delta))
-        delta = written(found.distinct().join(known, ["program_id", "l", "r"], "left_anti"), "delta")
-        known = written(known.unionByName(delta), "closure")
-    return known
+    known = step = written(edges.select(*PAIR).distinct(), "closure")
+    while True:
+        delta = written(_then(known, step).distinct().join(known, PAIR, "left_anti"), "delta")
+        if delta.isEmpty():
+            return known
+        known = known.unionByName(delta)
+        step = written(_then(step, step).distinct(), "step")
+
 
+def closure_with(edges: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Closure where new pairs make further edges: `derive` gives those of new pairs.
 
-def reach(successors: dict, start: list) -> set:
-    """Everything that paths of one edge or more from `start` lead to."""
-    seen, todo = set(), list(start)
-    while todo:
-        for m in successors.get(todo.pop(), ()):
-            if m not in seen:
-                seen.add(m)
-                todo.append(m)
-    return seen
-
-
-def closure_within(edges: DataFrame, *groups: str) -> DataFrame:
-    """Closure of graphs that never leave a group (a procedure, a program): one task handles a group, in one shuffle."""
-    kind = dict(edges.dtypes)
-    columns = [*groups, "l", "r"]
-
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        for a, b in zip(g["l"], g["r"]):
-            after.setdefault(a, []).append(b)
-        found = [(a, sorted(reach(after, [a]))) for a in after]
-        left = np.repeat(np.array([a for a, _ in found], dtype=g["l"].dtype), [len(b) for _, b in found])
-        right = np.array([x for _, b in found for x in b], dtype=g["r"].dtype)
-        return pd.DataFrame({**{c: k for c, k in zip(groups, key)}, "l": left, "r": right}, columns=columns)
-
-    return edges.groupBy(*groups).applyInPandas(run, ", ".join(f"{c} {kind[c]}" for c in columns))
+    Semi-naive path doubling: new pairs meet all known ones at either end.
+    """
+    known = delta = written(edges.select(*PAIR).distinct(), "closure")
+    while not delta.isEmpty():
+        found = _then(delta, known).unionByName(_then(known, delta)).unionByName(derive(delta))
+        delta = written(found.distinct().join(known, PAIR, "left_anti"), "delta")
+        known = known.unionByName(delta)
+    return known

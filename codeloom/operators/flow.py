@@ -51,23 +51,24 @@ def kills(f: Facts, direct: DataFrame, across: bool) -> DataFrame:
     return written(known, "kills")
 
 
-def _climb(f: Facts, nodes: DataFrame, killed: DataFrame, tag: int) -> DataFrame:
-    """Where values of nodes (program_id, node, stmt_no, var) are set or used: a row for each list they get to.
+def _climb(f: Facts, nodes: DataFrame, killed: DataFrame) -> DataFrame:
+    """Where values of nodes (program_id, node, stmt_no, var, tag) are set or used: a row for each list they get to.
 
-    LIST with pos, seg, parent_no, and `open`: on to the container.
+    LIST with tag, pos, seg, parent_no, and `open`: on to the container.
     """
     at = _places(f).drop("branch")
     w = Window.partitionBy(*LIST)
     is_kill = F.when(F.col("tag") == KILLED, 1).otherwise(0)
     marks = killed.join(at, ["program_id", "stmt_no"]).withColumns({"node": F.lit(None).cast("string"), "tag": F.lit(KILLED)})
-    level, out = nodes.select("program_id", "node", "stmt_no", "var").distinct(), None
+    marks = written(marks, "marks")
+    level, out = nodes.select("program_id", "node", "stmt_no", "var", "tag").distinct(), None
     while True:
-        rows = level.join(at, ["program_id", "stmt_no"]).withColumn("tag", F.lit(tag)).unionByName(marks)
-        rows = rows.withColumn("seg", F.sum(is_kill).over(w.orderBy("pos", "tag").rowsBetween(Window.unboundedPreceding, 0)))
-        rows = rows.withColumn("open", F.col("seg") == (F.sum(is_kill).over(w) if tag == SET else F.lit(0)))
-        rows = written(rows.where(F.col("tag") == tag).select(*LIST, "node", "pos", "seg", "parent_no", "open"), "climb")
+        rows = level.join(at, ["program_id", "stmt_no"]).unionByName(marks)
+        rows = rows.withColumns({"seg": F.sum(is_kill).over(w.orderBy("pos", "tag").rowsBetween(Window.unboundedPreceding, 0)), "kills": F.sum(is_kill).over(w)})
+        rows = rows.withColumn("open", F.col("seg") == F.when(F.col("tag") == SET, F.col("kills")).otherwise(0))
+        rows = written(rows.where(F.col("tag") != KILLED).select(*LIST, "node", "tag", "pos", "seg", "parent_no", "open"), "climb")
         out = rows if out is None else out.unionByName(rows)
-        level = rows.where("open and parent_no is not null").select("program_id", "node", F.col("parent_no").alias("stmt_no"), "var")
+        level = rows.where("open and parent_no is not null").select("program_id", "node", F.col("parent_no").alias("stmt_no"), "var", "tag")
         if level.isEmpty():
             return out
 
@@ -78,7 +79,8 @@ def meetings(f: Facts, setters: DataFrame, users: DataFrame, killed: DataFrame)
     setters, users: (program_id, node, stmt_no, var).  Gives pairs
     (program_id, l, r) and twice (program_id, node, proc, var).
     """
-    ups, downs = _climb(f, setters, killed, SET), _climb(f, users, killed, USED)
+    both = _climb(f, setters.withColumn("tag", F.lit(SET)).unionByName(users.withColumn("tag", F.lit(USED))), killed)
+    ups, downs = both.where(F.col("tag") == SET), both.where(F.col("tag") == USED)
     a = ups.select(*LIST, "seg", F.col("node").alias("l"), F.col("pos").alias("pos_l"))
     b = downs.select(*LIST, "seg", F.col("node").alias("r"), F.col("pos").alias("pos_r"))
     ahead = a.join(b, [*LIST, "seg"]).where("pos_l < pos_r").select("program_id", "l", "r")

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from codeloom.functions.tables import written
 from codeloom.operators import flow
-from codeloom.operators.closure import closure
+from codeloom.operators.closure import closure, closure_with
 from codeloom.plans.facts import Facts
 
 
@@ -42,10 +42,14 @@ def _containers(f: Facts) -> DataFrame:
 
 
 def parent_t(f: Facts) -> DataFrame:
-    """Descendants of a container are an interval of its procedure."""
-    c = _containers(f).select("program_id", "proc", F.col("ord").alias("lo"), F.col("last_ord").alias("hi"), F.col("stmt_no").alias("l"))
-    s = f.stmt.where("parent_no is not null").select("program_id", "proc", "ord", F.col("stmt_no").alias("r"))
-    return s.join(c, ["program_id", "proc"]).where("lo < ord and ord <= hi").select("program_id", "l", "r")
+    """Up the containers, a join for each level of nesting."""
+    deepest = f.stmt.agg(F.max("depth")).first()[0] or 0
+    up = f.stmt.where("parent_no is not null").select("program_id", F.col("stmt_no").alias("l"), F.col("parent_no").alias("above"))
+    level = out = parent(f)
+    for _ in range(deepest - 1):
+        level = level.join(up, ["program_id", "l"]).select("program_id", F.col("above").alias("l"), "r")
+        out = out.unionByName(level)
+    return out
 
 
 def calls(f: Facts) -> DataFrame:
@@ -65,7 +69,7 @@ def _by_procedure(f: Facts, direct: DataFrame) -> DataFrame:
 
 def _by_statement(f: Facts, direct: DataFrame, by_proc: str) -> DataFrame:
     """Direct ones, those of callees, and both of everything inside a container."""
-    called = f.call_edge.join(f.relation(by_proc).withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"]).select("program_id", "stmt_no", "var")
+    called = f.call_edge.join(f.table(by_proc).withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"]).select("program_id", "stmt_no", "var")
     own = direct.select("program_id", "stmt_no", "var").unionByName(called)
     inside = f.relation("parent_t").withColumnRenamed("r", "stmt_no").join(own, ["program_id", "stmt_no"]).select("program_id", F.col("l").alias("stmt_no"), "var")
     return _pairs(own.unionByName(inside).distinct(), "stmt_no", "var")
@@ -130,9 +134,11 @@ def next_t(f: Facts) -> DataFrame:
     included.  Otherwise a statement reaches those after it in its procedure,
     but for the else branch of an `if` from its then branch.
     """
-    loops = _containers(f).where("type = 'while'").select("program_id", "proc", F.col("ord").alias("lo"), F.col("last_ord").alias("hi"))
+    loops = _containers(f).where("type = 'while'").select("program_id", F.col("stmt_no").alias("l"), F.col("ord").alias("lo"))
     s = f.stmt.select("program_id", "proc", "stmt_no", "ord")
-    inside = s.join(loops, ["program_id", "proc"]).where("lo <= ord and ord <= hi").groupBy("program_id", "stmt_no").agg(F.min("lo").alias("loop"))
+    held = f.relation("parent_t").join(loops, ["program_id", "l"]).select("program_id", F.col("r").alias("stmt_no"), "lo")
+    held = held.unionByName(loops.withColumnRenamed("l", "stmt_no"))
+    inside = held.groupBy("program_id", "stmt_no").agg(F.min("lo").alias("loop"))
     s = s.join(inside, ["program_id", "stmt_no"], "left")
     a = s.select("program_id", "proc", F.col("stmt_no").alias("l"), F.col("ord").alias("ord_l"), F.col("loop").alias("loop_l"))
     b = s.select("program_id", "proc", F.col("stmt_no").alias("r"), F.col("ord").alias("ord_r"), F.col("loop").alias("loop_r"))
@@ -150,7 +156,7 @@ def next_t(f: Facts) -> DataFrame:
 
 def affects(f: Facts) -> DataFrame:
     """What a procedure may modify, a call of it kills."""
-    called = f.call_edge.join(f.relation("modifies_p").withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])
+    called = f.call_edge.join(f.table("modifies_p").withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])
     direct = f.mod_direct.select("program_id", "stmt_no", "var").unionByName(called.select("program_id", "stmt_no", "var"))
     pairs, _, _ = flow.meetings(f, flow.assigned(f), flow.used(f), flow.kills(f, direct, across=False))
     return pairs.select("program_id", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
@@ -242,7 +248,7 @@ def bip_flow(f: Facts) -> DataFrame:
     does not: it is passed where some path through its callee keeps the variable.
     """
     calls = f.relation("full_calls").select("program_id", "stmt_no", "callee")
-    of_callee = lambda relation: calls.join(f.relation(relation).withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])
+    of_callee = lambda relation: calls.join(f.table(relation).withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])
     before, after = written(of_callee("uses_p"), "before"), written(of_callee("modifies_p"), "after")
     site = lambda df, kind: df.select("program_id", _node(kind, "stmt_no").alias("node"), "stmt_no", "var")
     killed = flow.kills(f, f.mod_direct, across=True)
@@ -284,6 +290,6 @@ def affects_bip_t(f: Facts) -> DataFrame:
         across = new.where("l like 'i:%' and r like 'o:%'").join(call, ["program_id", "l"]).join(back, ["program_id", "r", "site"])
         return across.select("program_id", F.col("from").alias("l"), F.col("to").alias("r"))
 
-    same = closure(edges.where("kind = 'local'"), summaries)
+    same = closure_with(edges.where("kind = 'local'"), summaries)
     across = same.where("l like 'b:%' and r like 'a:%'").withColumn("kind", F.lit("local"))
     return _returns_then_calls(edges.unionByName(across).distinct())

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.tables import written
+
 #: Columns of `stmt`.  Within a procedure `ord` numbers statements in pre-order and `last_ord` is that of the last descendant.
 STMT = "program_id string, stmt_no long, type string, proc string, block_id string, pos long, ord long, last_ord long, parent_no long, branch string, depth int, lhs_var string, io_var string, callee string, expr_canon string"
 
@@ -28,6 +30,7 @@ class Facts:
     const: DataFrame
     proc: DataFrame
     memo: dict[str, DataFrame] = field(default_factory=dict)
+    stored: dict[str, DataFrame] = field(default_factory=dict)
 
     def relation(self, name: str) -> DataFrame:
         """A relation of `codeloom.operators.relations` by name, planned once."""
@@ -37,6 +40,12 @@ class Facts:
             self.memo[name] = getattr(relations, name)(self)
         return self.memo[name]
 
+    def table(self, name: str) -> DataFrame:
+        """A relation that others build on, written once."""
+        if name not in self.stored:
+            self.stored[name] = self.memo[name] = written(self.relation(name), name)
+        return self.stored[name]
+
     @property
     def var(self) -> DataFrame:
         each = [self.use_direct, self.mod_direct, self.cond_var]

@@ -10,6 +10,7 @@ groups that no selected synonym is in only decide which programs qualify.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -207,7 +208,7 @@ class Query:
             mine = set(t.columns) - {"program_id"}
             near = [g for g in groups if any(mine & set(x.columns) for x in g)]
             groups = [g for g in groups if g not in near] + [[t, *[x for g in near for x in g]]]
-        out = self.programs()
+        kept, tests = [], []
         for g in groups:
             g = sorted(g, key=lambda t: len(t.columns))
             joined, rest = g[0], g[1:]
@@ -217,10 +218,13 @@ class Query:
                 rest = [x for x in rest if x is not t]
                 joined = joined.join(t, [c for c in joined.columns if c in t.columns])
             keep = [c for c in joined.columns if c in wanted]
-            if keep:
-                out = out.join(joined.select("program_id", *keep).distinct(), "program_id")
-            else:
-                out = out.join(joined.select("program_id"), "program_id", "left_semi")
+            (kept if keep else tests).append(joined.select("program_id", *keep).distinct())
+        # With one group that is selected from there is nothing to join it with; of the others only a row for each program counts.
+        out = kept[0] if kept else self.programs()
+        for t in kept[1:]:
+            out = out.join(t, "program_id")
+        for t in tests:
+            out = out.join(t, "program_id", "left_semi")
         return out
 
     def select(self, *elements: str) -> DataFrame:
@@ -231,15 +235,13 @@ class Query:
                 raise SemanticError(f"{e} does not exist")
             self._entity(s)
         t = self._bindings({s for s, _ in split})
-        columns, seen = [], {}
-        for e, (s, a) in zip(elements, split):
+        columns = []
+        for label, (s, a) in zip(self.labels(elements), split):
             column = s
             if a in ("procName", "varName") and self._entity(s) in ("call", "read", "print"):
                 column = f"{s}__{a}"
                 if column not in t.columns:
                     t = t.join(self.attribute(s, a, column), ["program_id", s])
-            seen[e] = seen.get(e, 0) + 1
-            label = e.replace(".", "_").replace("#", "_no") + (f"_{seen[e]}" if seen[e] > 1 else "")
             columns.append(F.col(column).alias(label))
         return t.select("program_id", *columns).distinct()
 
@@ -248,6 +250,31 @@ class Query:
         true = self._bindings(set()).select("program_id").distinct().withColumn("found", F.lit(True))
         return self.programs().join(true, "program_id", "left").select("program_id", F.coalesce("found", F.lit(False)).alias("holds"))
 
+    def answer(self, clauses: Callable[[Query], Query], *elements: str) -> DataFrame:
+        """The answer with further clauses, which may mean nothing: as text, without program_id; without elements `holds`.
+
+        A semantic error, in them or here, gives no row, or one that is FALSE.
+        """
+        spark = self.facts.stmt.sparkSession
+        try:
+            q = clauses(self)
+            rows = q.select(*elements) if elements else q.boolean()
+            return rows.select(*[F.col(c).cast("string") if elements else F.col(c) for c in rows.columns[1:]])
+        except SemanticError:
+            if not elements:
+                return spark.range(1).select(F.lit(False).alias("holds"))
+            labels = self.labels(elements)
+            return spark.range(0).select(*[F.lit("").alias(x) for x in labels])
+
+    @staticmethod
+    def labels(elements: tuple[str, ...]) -> list[str]:
+        """Column names of a result: `a.procName` becomes a_procName, and repeated elements are numbered."""
+        seen, out = {}, []
+        for e in elements:
+            seen[e] = seen.get(e, 0) + 1
+            out.append(e.replace(".", "_").replace("#", "_no") + (f"_{seen[e]}" if seen[e] > 1 else ""))
+        return out
+
     def answers(self, *elements: str) -> list[str]:
         """Answers of a small result as text, tuples joined by blanks; without elements TRUE or FALSE. Semantic errors give none, or FALSE."""
         try:

@@ -1,9 +1,11 @@
 """The registered queries of the engine, each with the DuckDB SQL that must give the same rows.
 
-They read `events` as one program (see `codeloom.sources.events`), so every
-relation runs over the whole table.  A few queries read the small programs
-below, parsed from text, and their SQL lists the rows; the relations across
-calls have such a query and one over the events.
+Most read `events` as one program (see `codeloom.sources.events`), so every
+relation runs over the whole table; events have no branches and nest one
+deep, so `nested_*` read regions to orders as another program, with branches
+and loops four deep.  A few queries read the small programs below, parsed
+from text, and their SQL lists the rows; the relations across calls have such
+a query and one over the events.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.plans.facts import Facts
 from codeloom.plans.query import Query, name
 from codeloom.sources.events import from_events
+from codeloom.sources.orders import from_orders
 from codeloom.sources.programs import from_programs, parse_errors
 
 #: A program with loops, branches and a call.
@@ -31,15 +34,29 @@ procedure alpha {
 procedure beta { k = t; t = k + n; }
 """
 
-#: Programs that break a rule each.
+#: Programs that break a rule each, and what is said about them.
 BROKEN = {
-    "braces": "procedure a { x = 1;",
-    "character": "procedure a { x = 1 ^ 2; }",
-    "double": "procedure a { x = 1; } procedure a { x = 2; }",
-    "missing": "procedure a { call b; }",
-    "recursive": "procedure a { call b; } procedure b { call a; }",
-    "empty": " ",
-    "fine": "procedure a { while = 1; if = while; }",
+    "braces": ("procedure a { x = 1;", ["braces do not match"]),
+    "character": ("procedure a { x = 1 ^ 2; }", ["unknown character", "no expression"]),
+    "double": ("procedure a { x = 1; } procedure a { x = 2; }", ["procedure declared twice"]),
+    "missing": ("procedure a { call b; }", ["undeclared procedure called"]),
+    "recursive": ("procedure a { call b; } procedure b { call a; }", ["recursive call"]),
+    "empty": (" ", ["no procedure"]),
+    "fine": ("procedure a { while = 1; if = while; }", []),
+    "semicolon": ("procedure a { x = 1 }", ["no statement"]),
+    "nothing": ("procedure a { x = ; }", ["no statement"]),
+    "operand": ("procedure a { x = 1 + ; }", ["no expression"]),
+    "else": ("procedure a { if (x > 1) then { x = 1; } y = 2; }", ["then and else do not match"]),
+    "then": ("procedure a { if (x > 1) { x = 1; } else { x = 2; } }", ["no statement", "then and else do not match"]),
+    "bare": ("procedure a { while (x) { x = 1; } }", ["no condition"]),
+    "test": ("procedure a { while () { x = 1; } }", ["no statement"]),
+    "print": ("procedure a { print x + 1; }", ["no statement"]),
+    "read": ("procedure a { read 5; }", ["no statement"]),
+    "name": ("procedure { x = 1; }", ["no statement"]),
+    "zero": ("procedure a { x = 01; }", ["no expression"]),
+    "inner": ("procedure a { procedure b { x = 1; } }", ["no statement"]),
+    "linked": ("procedure a { while ((x > 1) && (y > 2)) { if (!(x == y)) then { x = 1; } else { else = 2; } } }", []),
+    "links": ("procedure a { while ((x > 1) && (y > 2) && (z > 3)) { x = 1; } }", ["no condition"]),
 }
 
 _BASE = """
@@ -161,6 +178,44 @@ add("dup_clause", query(lambda f: Query(f, a="assign").such_that("Parent", "_",
 add("empty_group", query(lambda f: Query(f, a="assign", i="if").such_that("Parent", "i", "_").select("a")), "SELECT no AS a FROM s WHERE false")
 add("flow_of_variables", query(lambda f: Query(f, a="assign", b="assign", v="variable").such_that("Affects", "a", "b").such_that("Uses", "b", "v").such_that("Modifies", "a", "v").select("a", "b", "v")), "SELECT afs.l AS a, afs.r AS b, x.lhs AS v FROM afs JOIN s x ON x.no = afs.l")
 
+# The nested program of `codeloom.sources.orders`.
+_NESTED = """
+WITH RECURSIVE rg AS (SELECT CAST(r_regionkey AS BIGINT) * 4 AS no, r_regionkey AS rk, r_name AS proc FROM region),
+na AS (SELECT CAST(n_nationkey AS BIGINT) * 4 + 1 AS no, n_nationkey AS nk, rg.no AS parent, lead(CAST(n_nationkey AS BIGINT) * 4 + 1) OVER (PARTITION BY rg.no ORDER BY n_nationkey) AS sibling FROM nation JOIN rg ON rg.rk = n_regionkey),
+cu AS (SELECT CAST(c_custkey AS BIGINT) * 4 + 2 AS no, c_custkey AS ck, na.no AS parent, na.parent AS above, lead(CAST(c_custkey AS BIGINT) * 4 + 2) OVER (PARTITION BY na.no ORDER BY c_custkey) AS sibling FROM customer JOIN na ON na.nk = c_nationkey),
+od AS (SELECT CAST(o_orderkey AS BIGINT) * 4 + 3 AS no, o_orderkey AS k, cu.no AS parent, cu.parent AS above, cu.above AS top, coalesce(cu.sibling, cu.parent) AS leaves, CASE WHEN o_orderkey % 2 = 0 THEN 'then' ELSE 'else' END AS branch,
+       CASE o_orderstatus WHEN 'F' THEN 'assign' WHEN 'O' THEN 'print' ELSE 'read' END AS type, 'v' || (o_orderkey % 20) AS own, 'v' || ((o_orderkey * 7 + 3) % 20) AS used,
+       lead(CAST(o_orderkey AS BIGINT) * 4 + 3) OVER (PARTITION BY o_custkey, o_orderkey % 2 ORDER BY o_orderkey) AS sibling FROM orders JOIN cu ON cu.ck = o_custkey),
+up AS (SELECT no AS r, parent AS l, 1 AS d FROM na UNION ALL SELECT no, parent, 1 FROM cu UNION ALL SELECT no, above, 2 FROM cu UNION ALL SELECT no, parent, 1 FROM od UNION ALL SELECT no, above, 2 FROM od UNION ALL SELECT no, top, 3 FROM od),
+nx AS (SELECT parent AS l, min(no) AS r FROM na GROUP BY parent UNION ALL SELECT no, coalesce(sibling, parent) FROM na
+       UNION ALL SELECT parent, min(no) FROM cu GROUP BY parent UNION ALL SELECT no, coalesce(sibling, parent) FROM cu WHERE (SELECT count(DISTINCT od.branch) FROM od WHERE od.parent = cu.no) < 2
+       UNION ALL SELECT parent, min(no) FROM od GROUP BY parent, branch UNION ALL SELECT no, coalesce(sibling, leaves) FROM od),
+use0 AS (SELECT no, 'v' || (rk % 20) AS v FROM rg UNION ALL SELECT no, 'v' || (nk % 20) FROM na UNION ALL SELECT no, 'v' || (ck % 20) FROM cu UNION ALL SELECT no, CASE WHEN type = 'assign' THEN used ELSE own END FROM od WHERE type <> 'read'),
+mod0 AS (SELECT no, own AS v FROM od WHERE type <> 'print'),
+af AS (SELECT od.no AS a, od.own AS v, nx.r AS n FROM od JOIN nx ON nx.l = od.no WHERE od.type = 'assign'
+       UNION SELECT af.a, af.v, nx.r FROM af JOIN nx ON nx.l = af.n LEFT JOIN mod0 ON mod0.no = af.n AND mod0.v = af.v WHERE mod0.no IS NULL)
+"""
+#: Name to (builder over the nested program's facts, SQL after the shared tables).
+NESTED: dict[str, tuple[Build, str]] = {
+    "nested_parent": (pairs("parent"), "SELECT l, r FROM up WHERE d = 1"),
+    "nested_parent_t": (pairs("parent_t"), "SELECT l, r FROM up"),
+    "nested_follows": (pairs("follows"), "SELECT no AS l, sibling AS r FROM na WHERE sibling IS NOT NULL UNION ALL SELECT no, sibling FROM cu WHERE sibling IS NOT NULL UNION ALL SELECT no, sibling FROM od WHERE sibling IS NOT NULL"),
+    "nested_next": (pairs("next"), "SELECT DISTINCT l, r FROM nx"),
+    "nested_uses_s": (pairs("uses_s"), "SELECT no AS l, v AS r FROM use0 UNION SELECT up.l, v FROM up JOIN use0 ON use0.no = up.r"),
+    "nested_modifies_s": (pairs("modifies_s"), "SELECT no AS l, v AS r FROM mod0 UNION SELECT up.l, v FROM up JOIN mod0 ON mod0.no = up.r"),
+    "nested_affects": (pairs("affects"), "SELECT DISTINCT a AS l, n AS r FROM af JOIN od ON od.no = af.n WHERE od.type = 'assign' AND od.used = af.v"),
+    "nested_scan_if": (query(lambda f: Query(f, i="if").select("i")), "SELECT no AS i FROM cu"),
+    "nested_pattern_if": (query(lambda f: Query(f, i="if", v="variable").pattern("i", "v").select("i", "v")), "SELECT no AS i, 'v' || (ck % 20) AS v FROM cu"),
+    "nested_if_in_loop": (query(lambda f: Query(f, w="while", i="if", a="assign").such_that("Parent*", "w", "i").such_that("Parent", "i", "a").pattern("a", name("v3")).select("w", "a")), "SELECT x.l AS w, od.no AS a FROM od JOIN up x ON x.r = od.parent WHERE od.type = 'assign' AND od.own = 'v3'"),
+}
+
+#: Queries that mean nothing: an undeclared synonym, an attribute that its entity lacks, an expression that is none.
+INVALID: dict[str, tuple[Callable[[Facts], DataFrame], str]] = {
+    "semantic_error_bool": (lambda f: Query(f, s="stmt").answer(lambda q: q.such_that("Uses", "_", "s")), "SELECT false AS holds"),
+    "semantic_error_tuple": (lambda f: Query(f, w="while", s="stmt").answer(lambda q: q.with_("w.value", 3), "w", "s.stmt#"), "SELECT '' AS w, '' AS s_stmt_no WHERE false"),
+    "syntax_error": (lambda f: Query(f, a="assign").answer(lambda q: q.pattern("a", exact="x y"), "a"), "SELECT '' AS a WHERE false"),
+}
+
 #: Rows of the relations across calls of ALPHA, worked out by hand from their definitions.
 _LITERAL = {
     "next_bip": [(1, 2), (2, 3), (2, 8), (3, 4), (4, 5), (4, 6), (5, 7), (6, 7), (7, 9), (9, 10), (10, 2)],
@@ -190,6 +245,10 @@ def events_facts(spark: SparkSession, sf_dir: str) -> Facts:
     return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def orders_facts(spark: SparkSession, sf_dir: str) -> Facts:
+    return from_orders(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer", "orders")])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EVENTS["flow_of_variables"][0](events_facts(spark, sf_dir))
 
@@ -202,7 +261,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         found[key] = lambda spark, sf_dir, r=relation: alpha(spark).relation(r).select("l", "r")
     found["pattern_if"] = lambda spark, sf_dir: Query(alpha(spark), i="if", v="variable").pattern("i", "v").select("i", "v").drop("program_id")
     found["source_pattern"] = lambda spark, sf_dir: Query(alpha(spark), a="assign").pattern("a", part="n * 2").select("a").drop("program_id")
-    found["source_errors"] = lambda spark, sf_dir: parse_errors(spark.createDataFrame(list(BROKEN.items()), "program_id string, source string"))
+    found["source_errors"] = lambda spark, sf_dir: parse_errors(spark.createDataFrame([(k, text) for k, (text, _) in BROKEN.items()], "program_id string, source string"))
+    found |= {k: (lambda spark, sf_dir, b=b: b(orders_facts(spark, sf_dir))) for k, (b, _) in NESTED.items()}
+    found |= {k: (lambda spark, sf_dir, b=b: b(events_facts(spark, sf_dir))) for k, (b, _) in INVALID.items()}
     return found
 
 
@@ -212,8 +273,7 @@ def oracle_sql() -> dict[str, str]:
     found |= {k: values("l, r", rows) for k, (_, rows) in _ALPHA_RELATIONS.items()}
     found["pattern_if"] = values("i, v", [(4, "k"), (4, "t")])
     found["source_pattern"] = values("a", [(3,)])
-    found["source_errors"] = values("program_id, message", [
-        ("braces", "braces do not match"), ("character", "unknown character"), ("double", "procedure declared twice"), ("empty", "no procedure"),
-        ("missing", "undeclared procedure called"), ("recursive", "recursive call"),
-    ])
+    found["source_errors"] = values("program_id, message", [(k, m) for k, (_, messages) in BROKEN.items() for m in messages])
+    found |= {k: _NESTED + sql for k, (_, sql) in NESTED.items()}
+    found |= {k: sql for k, (_, sql) in INVALID.items()}
     return found

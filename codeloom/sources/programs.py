@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.functions.expressions import canonical_column
+from codeloom.functions.expressions import canonical_column, is_condition_column
 from codeloom.functions.tables import written
 from codeloom.operators.closure import closure
 from codeloom.plans.facts import Facts
@@ -30,8 +30,8 @@ def read_programs(spark: SparkSession, path: str) -> DataFrame:
 def _tokens(programs: DataFrame) -> DataFrame:
     """(program_id, i, tok, prev, next, depth, start, no, proc): every token, and whether a statement or procedure starts there.
 
-    `depth` counts the braces open before the token, so statements of a
-    procedure's own list are at depth 1.
+    `depth` counts the braces open before the token, after it if it closes
+    one, so statements of a procedure's own list are at depth 1.
     """
     w = Window.partitionBy("program_id").orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -55,17 +55,48 @@ def _tokens(programs: DataFrame) -> DataFrame:
     })
 
 
+#: What may stand between two of `;`, `{` and `}`, tokens set apart by blanks.
+_ID = "[A-Za-z][A-Za-z0-9]*"
+ASSIGNMENT, SIMPLE = rf"^{_ID} = (.*) ;$", rf"^(read|print|call) {_ID} ;$"
+LOOP, BRANCH = r"^while \( (.+) \) \{$", r"^if \( (.+) \) then \{$"
+
+
+def _segments(t: DataFrame) -> DataFrame:
+    """(program_id, depth, text) of every run of tokens up to a `;`, `{` or `}`; a statement at most, so never large."""
+    upto = Window.partitionBy("program_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.col("prev").isNull() | F.col("prev").isin(";", "{", "}"), 1).otherwise(0)
+    s = t.withColumn("segment", F.sum(new).over(upto)).groupBy("program_id", "segment")
+    s = s.agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("x"), F.min_by("depth", "i").alias("depth"))
+    return s.select("program_id", "depth", F.concat_ws(" ", F.col("x.tok")).alias("text"))
+
+
 def parse_errors(programs: DataFrame, facts: Facts | None = None) -> DataFrame:
-    """(program_id, message) of programs that break a rule: characters, braces, statements, names, calls, recursion."""
-    t = _tokens(programs)
+    """(program_id, message) of programs that break a rule: characters, braces, statements, expressions, conditions, branches, names, calls, recursion."""
+    t = written(_tokens(programs), "tokens")
     rest = programs.where(F.trim(F.regexp_replace(F.regexp_replace("source", TOKEN, " "), r"\s+", " ")) != "").select("program_id", F.lit("unknown character").alias("message"))
     none = programs.where(~F.regexp_like("source", F.lit(r"\S"))).select("program_id", F.lit("no procedure").alias("message"))
     say = lambda df, text: df.select("program_id", F.lit(text).alias("message")).distinct()
     step = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
     out = rest.unionByName(none)
     out = out.unionByName(say(t.groupBy("program_id").agg(F.sum(step).alias("open"), F.min("depth").alias("low")).where("open <> 0 or low < 0"), "braces do not match"))
-    out = out.unionByName(say(t.where("kind = 'error' or (kind is not null and kind <> 'procedure' and depth = 0)"), "no statement"))
-    out = out.unionByName(say(t.where(F.col("tok").rlike("^0[0-9]")), "leading zero"))
+    # Each segment is one of the forms of its depth, and its expression or condition is one.
+    inside = F.when(F.col("text").rlike(ASSIGNMENT), "assign").when(F.col("text").rlike(SIMPLE) | F.col("text").isin("}", "else {"), "fine").when(F.col("text").rlike(LOOP), "while").when(F.col("text").rlike(BRANCH), "if")
+    s = _segments(t).withColumn("form", F.when(F.col("depth") > 0, inside).when(F.col("text").rlike(rf"^procedure {_ID} \{{$"), "fine"))
+    # Too many closing braces are an error already.
+    s = written(s.where("depth > 0 or text <> '}'"), "segments")
+    out = out.unionByName(say(s.where("form is null"), "no statement"))
+    right = s.where("form = 'assign'").select("program_id", canonical_column(F.regexp_extract("text", ASSIGNMENT, 1)).alias("e"))
+    out = out.unionByName(say(right.where("e is null"), "no expression"))
+    test = F.when(F.col("form") == "while", F.regexp_extract("text", LOOP, 1)).otherwise(F.regexp_extract("text", BRANCH, 1))
+    out = out.unionByName(say(s.where("form in ('while', 'if')").select("program_id", is_condition_column(test).alias("ok")).where("not ok"), "no condition"))
+    # What a closing brace closes: the last one opened at its depth.
+    at = Window.partitionBy("program_id", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    braces = t.where("tok in ('{', '}')").withColumn("level", F.col("depth") + 1)
+    braces = braces.withColumn("opened_by", F.last(F.when(F.col("tok") == "{", F.col("prev")), True).over(at))
+    closing = braces.where("tok = '}' and level > 1").withColumn("goes_on", (F.col("next") == "else") & (F.col("next2") == "{"))
+    bad = closing.where("(opened_by = 'then') <> coalesce(goes_on, false)")
+    begun = t.where("tok = 'else' and next = '{' and depth > 0 and prev in ('{', ';')")  # an `else` that follows no brace
+    out = out.unionByName(say(bad.select("program_id").unionByName(begun.select("program_id")), "then and else do not match"))
     out = out.unionByName(say(t.where("kind = 'procedure'").groupBy("program_id", "next").count().where("count > 1"), "procedure declared twice"))
     facts = facts or from_programs(programs)
     calls = facts.call_edge
@@ -84,9 +115,15 @@ def from_programs(programs: DataFrame) -> Facts:
     inside = heads.select("program_id", F.col("depth").alias("level"), "i", F.lit(None).cast("int").alias("block"), F.lit(None).cast("string").alias("opened_by"), F.col("no").alias("stmt_no"))
     blocks = opener.unionByName(inside).withColumns({"block": F.last("block", True).over(at), "opened_by": F.last("opened_by", True).over(at)})
     blocks = blocks.where("stmt_no is not null").select("program_id", "stmt_no", "block", "opened_by")
-    outer = heads.where(F.col("kind").isin(*HEADERS)).select("program_id", (F.col("depth") + 1).alias("level"), "i", F.col("no").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"))
-    parents = outer.unionByName(inside.select("program_id", "level", "i", F.lit(None).cast("long").alias("parent_no"), "stmt_no")).withColumn("parent_no", F.last("parent_no", True).over(at))
-    parents = parents.where("stmt_no is not null and level > 1").select("program_id", "stmt_no", "parent_no")
+    # Headers, the statements inside them and the braces that close them, for which the last header of their depth is looked up.
+    outer = heads.where(F.col("kind").isin(*HEADERS)).select("program_id", (F.col("depth") + 1).alias("level"), "i", F.col("no").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"), F.lit(None).cast("long").alias("end"))
+    held = inside.select("program_id", "level", "i", F.lit(None).cast("long").alias("parent_no"), "stmt_no", F.lit(None).cast("long").alias("end"))
+    closing = t.where("tok = '}'").select("program_id", (F.col("depth") + 1).alias("level"), "i", F.lit(None).cast("long").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"), F.col("no").alias("end"))
+    held = outer.unionByName(held).unionByName(closing).withColumn("parent_no", F.last("parent_no", True).over(at))
+    held = written(held.where("level > 1 and (stmt_no is not null or end is not null)"), "held")
+    parents = held.where("stmt_no is not null").select("program_id", "stmt_no", "parent_no")
+    # The last statement before the last brace that closes a container.
+    ends = held.where("end is not null and parent_no is not null").groupBy("program_id", F.col("parent_no").alias("stmt_no")).agg(F.max("end").alias("end_no"))
 
     # What a statement consists of: an assignment's right side, or the condition up to the brace.
     w = Window.partitionBy("program_id", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,15 +139,11 @@ def from_programs(programs: DataFrame) -> Facts:
     s = heads.select("program_id", F.col("no").alias("stmt_no"), F.col("kind").alias("type"), "proc", "i", (F.col("depth") - 1).alias("depth"), "tok", "next")
     s = s.join(blocks, ["program_id", "stmt_no"]).join(parents, ["program_id", "stmt_no"], "left").join(right, ["program_id", "stmt_no"], "left")
     s = s.withColumn("ord", (F.col("stmt_no") - F.min("stmt_no").over(up) + 1).cast("long"))
-    # The last descendant comes just before the next statement of the same or a smaller depth.
-    deeper = s.select("program_id", "proc", "ord", "depth")
-    ends = s.alias("a").join(deeper.alias("b"), (F.col("a.program_id") == F.col("b.program_id")) & (F.col("a.proc") == F.col("b.proc")) & (F.col("b.ord") > F.col("a.ord")) & (F.col("b.depth") <= F.col("a.depth")) & F.col("a.type").isin(*HEADERS))
-    ends = ends.groupBy(F.col("a.program_id").alias("program_id"), F.col("a.stmt_no").alias("stmt_no")).agg((F.min("b.ord") - 1).alias("end"))
-    s = s.join(ends, ["program_id", "stmt_no"], "left").withColumn("final", F.max("ord").over(up))
+    s = s.join(ends, ["program_id", "stmt_no"], "left")
     branch = F.when(F.col("depth") == 0, None).when(F.col("opened_by").isin("then", "else"), F.col("opened_by")).otherwise("body")
     stmt = s.select(
         "program_id", "stmt_no", "type", "proc", F.col("block").cast("string").alias("block_id"), F.col("ord").alias("pos"), "ord",
-        F.when(F.col("type").isin(*HEADERS), F.coalesce("end", "final")).otherwise(F.col("ord")).alias("last_ord"), "parent_no", branch.alias("branch"), "depth",
+        (F.col("ord") + F.coalesce("end_no", "stmt_no") - F.col("stmt_no")).alias("last_ord"), "parent_no", branch.alias("branch"), "depth",
         F.when(F.col("type") == "assign", F.col("tok")).alias("lhs_var"), F.when(F.col("type").isin("read", "print"), F.col("next")).alias("io_var"),
         F.when(F.col("type") == "call", F.col("next")).alias("callee"), "expr_canon",
     )

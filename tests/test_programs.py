@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
-from codeloom.functions.expressions import canonical
-from codeloom.operators.closure import closure, closure_within
+from codeloom.functions.expressions import RELATIONS, canonical, is_condition
+from codeloom.operators.closure import closure, closure_with
 from codeloom.plans.query import Query, SemanticError, name
 from codeloom.plans.registry import ALPHA, BROKEN
 from codeloom.sources.programs import from_programs, parse_errors, read_programs
@@ -62,8 +63,118 @@ def test_queries(alpha):
 
 
 def test_errors(spark):
-    got = parse_errors(spark.createDataFrame(list(BROKEN.items()), "program_id string, source string"))
-    assert {r["program_id"] for r in got.collect()} == set(BROKEN) - {"fine"}
+    got = parse_errors(spark.createDataFrame([(k, text) for k, (text, _) in BROKEN.items()], "program_id string, source string"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, m) for k, (_, messages) in BROKEN.items() for m in messages)
+
+
+class Descent:
+    """Whether a text is a program, by recursive descent; names and calls are not looked at."""
+
+    def __init__(self, text):
+        self.ok = not re.sub(r"[A-Za-z][A-Za-z0-9]*|[0-9]+|&&|\|\||[<>=!]=|[-+*/%<>=!(){};]|\s", "", text)
+        self.t, self.i = re.findall(r"[A-Za-z][A-Za-z0-9]*|[0-9]+|&&|\|\||[<>=!]=|[-+*/%<>=!(){};]", text), 0
+        try:
+            self.need(self.t)
+            while self.i < len(self.t):
+                self.eat("procedure", self.name, "{")
+                self.statements()
+        except (SyntaxError, IndexError):
+            self.ok = False
+
+    def need(self, x):
+        if not x:
+            raise SyntaxError
+
+    def eat(self, *wants):
+        for w in wants:
+            self.need(w(self.t[self.i]) if callable(w) else self.t[self.i] == w)
+            self.i += 1
+
+    def name(self, x):
+        return x[0].isalpha()
+
+    def statements(self):
+        while self.t[self.i] != "}":
+            word, after = self.t[self.i], self.t[self.i + 1]
+            if after == "=":
+                self.eat(self.name, "=")
+                self.expression(";")
+                self.eat(";")
+            elif word in ("read", "print", "call"):
+                self.eat(word, self.name, ";")
+            else:
+                self.eat(lambda x: x in ("while", "if"), "(")
+                self.condition()
+                self.eat(")", *(["then"] if word == "if" else []), "{")
+                self.statements()
+                if word == "if":
+                    self.eat("else", "{")
+                    self.statements()
+        self.eat("}")
+
+    def condition(self):
+        if self.t[self.i] == "!":
+            self.eat("!", "(")
+            self.condition()
+            self.eat(")")
+            return
+        at = self.i
+        try:  # a comparison, or two conditions in parentheses
+            self.expression(*RELATIONS)
+            self.eat(lambda x: x in RELATIONS)
+            self.expression(")")
+        except SyntaxError:
+            self.i = at
+            self.eat("(")
+            self.condition()
+            self.eat(")", lambda x: x in ("&&", "||"), "(")
+            self.condition()
+            self.eat(")")
+
+    def expression(self, *ends):
+        self.factor()
+        while self.t[self.i] in "+-*/%":
+            self.i += 1
+            self.factor()
+        self.need(self.t[self.i] in ends)
+
+    def factor(self):
+        x = self.t[self.i]
+        self.i += 1
+        if x == "(":
+            self.expression(")")
+            self.i += 1
+        else:
+            self.need(self.name(x) or x == "0" or x[0] in "123456789")
+
+
+def test_mutated_programs(spark):
+    """Programs with a token left out, doubled, swapped or replaced: errors are found just where a parser finds one."""
+    rng = random.Random(23)
+    token = re.compile(r"[A-Za-z][A-Za-z0-9]*|[0-9]+|&&|\|\||[<>=!]=|[-+*/%<>=!(){};]")
+    sources = [make_program(rng)[0] for _ in range(12)] + ["procedure a { while (((x > 1) && (!(y == 2))) || (z * 2 <= (x + 1))) { x = (y + 2) * 3; } }"] * 3
+    texts = list(sources)
+    for source in sources:
+        for _ in range(16):
+            t = token.findall(source)
+            k, how = rng.randrange(len(t)), rng.randrange(4)
+            t[k : k + 1] = [[], [t[k], t[k]], [rng.choice(t)], [rng.choice(["(", ")", "else", "then", "01", "&&", "!"])]][how]
+            texts.append(" ".join(t))
+    structural = {"unknown character", "braces do not match", "no statement", "no expression", "no condition", "then and else do not match", "no procedure"}
+    rows = parse_errors(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "program_id string, source string")).collect()
+    wrong = {int(r["program_id"]) for r in rows if r["message"] in structural}
+    for i, t in enumerate(texts):
+        assert (i in wrong) == (not Descent(t).ok), (t, [r["message"] for r in rows if r["program_id"] == str(i)])
+
+
+def test_clauses_together(alpha):
+    """Two relations over the same pair of synonyms, and a product with something that has no values."""
+    both = Query(alpha, a="assign", b="assign").such_that("Next", "a", "b").such_that("Affects", "a", "b")
+    assert both.answers("a", "b") == ["9 10"]
+    assert Query(alpha, s="stmt", r="read").such_that("Parent", "r", "_").answers("s", "r") == []
+    assert Query(alpha, s="stmt", r="read").such_that("Parent", "r", "_").answers("s") == []
+    assert Query(alpha, v="variable", c="constant").such_that("Calls", name("beta"), "_").answers("v", "c") == []
+    assert Query(alpha, v="variable", c="constant").answers("v", "c") == sorted(f"{v} {c}" for v in "nkt" for c in "0123")
 
 
 def test_read_programs(spark, tmp_path):
@@ -77,6 +188,11 @@ def test_canonical(text, form):
     assert canonical(text) == form
 
 
+@pytest.mark.parametrize("text,ok", [("x > 1", True), ("( x > 1 )", False), ("! ( x > 1 )", True), ("( x > 1 ) && ( y < 2 )", True), ("( x ) > 1", True), ("( x > 1 ) && y < 2", False), ("x", False), ("", False), (") x > 1 (", False), ("! x", False), ("( x + 1 ) * 2 == ( y )", True), ("x > 1 > 2", False)])
+def test_condition(text, ok):
+    assert is_condition(text) == ok
+
+
 def make_program(rng):
     """A random program, and its Next edges and statements by a direct walk."""
     names, count, edges, info = ["p0", "p1", "p2"], [0], set(), {}
@@ -178,7 +294,7 @@ def test_closures(spark):
             break
         want |= more
     assert {tuple(r) for r in closure(df).collect()} == want
-    assert {tuple(r) for r in closure_within(df, "program_id").collect()} == want
+    assert {tuple(r) for r in closure_with(df, lambda new: new.limit(0)).collect()} == want
 
 
 def test_fact_tables_round_trip(spark, alpha, tmp_path):

@@ -7,13 +7,15 @@ import pytest
 from codeloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-KEYS = ["scan_variable", "follows_t", "parent_t", "uses_s", "modifies_p", "next_t", "affects", "with_attr_attr", "select_tuple", "group_cartesian", "empty_group", "with_literals", "pattern_partial"]
+TABLES = ("events", "region", "nation", "customer", "orders")
+KEYS = [*registry.NESTED, *registry.INVALID, "source_errors", "scan_variable", "follows_t", "parent_t", "uses_s", "modifies_p", "next_t", "affects", "with_attr_attr", "select_tuple", "group_cartesian", "empty_group", "with_literals", "pattern_partial"]
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_sql(spark, key):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = registry.queries()[key](spark, SF)
     columns = sorted(df.columns)
     rel = con.sql(registry.oracle_sql()[key])
