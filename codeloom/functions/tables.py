@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`, which all executors share; where it is unset a temporary folder, if Spark runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="codeloom-")
+    return base.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder of `spark.checkpoint.dir` (a temporary one where that is unset)."""
+    """df as a table in the shared folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codeloom-")
-    path = f"{base.rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
