@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gc
 import sys
-import tempfile
 import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.tables import shared_folder
+
 #: What separates words everywhere in this subpackage, as a Java character class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -19,15 +20,12 @@ class Scratch:
     """Tables written below `spark.checkpoint.dir`, the folder that all executors share.
 
     A written table cuts the lineage and survives a lost executor.  Where the
-    setting is absent (local tests) a temporary folder takes its place.
+    setting is absent a temporary folder takes its place, on local masters only.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="codeloom-")
-        self.root = f"{base.rstrip('/')}/codeloom/{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def path(self, name: str) -> str:

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from . import decontamination, embeddings, jaccard, language, mixing, sharding, suffixes, tokens, toxicity, urls
 from .common import Scratch
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> Scratch:
-    # Rows hold whole documents: smaller batches keep the workers small.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    # Rows hold whole documents: smaller batches keep the workers small.  A session's own setting stays.
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     return Scratch(spark, name)
 
 
