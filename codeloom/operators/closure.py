@@ -21,14 +21,32 @@ def _then(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(_onward(second), ["program_id", "r"]).select("program_id", "l", F.col("to").alias("r"))
 
 
-def closure(edges: DataFrame) -> DataFrame:
+def closure(edges: DataFrame, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All pairs (program_id, l, r) connected by one edge or more, for graphs of any size; cycles are allowed.
 
+    Semi-naive path doubling: new pairs meet all known ones at either end, so
+    the rounds are logarithmic in the longest path.  New pairs are written;
+    known ones are never written again.  `derive` makes further edges from
+    new pairs.
+    """
+    known = delta = written(edges.select(*PAIR).distinct(), "closure")
+    while not delta.isEmpty():
+        found = _then(delta, known).unionByName(_then(known, delta))
+        if derive:
+            found = found.unionByName(derive(delta))
+        delta = written(found.distinct().join(known, PAIR, "left_anti"), "delta")
+        known = known.unionByName(delta)
+    return known
+
+
+def closure_acyclic(edges: DataFrame) -> DataFrame:
+    """The same for sparse graphs without cycles, which it fits better.
+
     After round i, `known` has the walks of up to 2**i edges, and `step`
-    those of just 2**i, which lengthen all known ones; so the rounds are
-    logarithmic in the longest path, and a pair is met once for each place
-    2**i edges from its end instead of for each place between.  New pairs are
-    written; known ones are never written again.
+    those of just 2**i, which lengthen all known ones; so a pair is met once
+    for each place 2**i edges from its end instead of for each place between.
+    With cycles the steps would not run out, and every round would meet every
+    pair again.
     """
     known = step = written(edges.select(*PAIR).distinct(), "closure")
     while True:
@@ -37,16 +55,3 @@ def closure(edges: DataFrame) -> DataFrame:
             return known
         known = known.unionByName(delta)
         step = written(_then(step, step).distinct(), "step")
-
-
-def closure_with(edges: DataFrame, derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Closure where new pairs make further edges: `derive` gives those of new pairs.
-
-    Semi-naive path doubling: new pairs meet all known ones at either end.
-    """
-    known = delta = written(edges.select(*PAIR).distinct(), "closure")
-    while not delta.isEmpty():
-        found = _then(delta, known).unionByName(_then(known, delta)).unionByName(derive(delta))
-        delta = written(found.distinct().join(known, PAIR, "left_anti"), "delta")
-        known = known.unionByName(delta)
-    return known

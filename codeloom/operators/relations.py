@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from codeloom.functions.tables import written
 from codeloom.operators import flow
-from codeloom.operators.closure import closure, closure_with
+from codeloom.operators.closure import closure, closure_acyclic
 from codeloom.plans.facts import Facts
 
 
@@ -57,7 +57,8 @@ def calls(f: Facts) -> DataFrame:
 
 
 def calls_t(f: Facts) -> DataFrame:
-    return closure(f.relation("calls"))
+    """Programs do not recur."""
+    return closure_acyclic(f.relation("calls"))
 
 
 def _by_procedure(f: Facts, direct: DataFrame) -> DataFrame:
@@ -196,7 +197,7 @@ def next_bip(f: Facts) -> DataFrame:
     plain = _pairs(steps.join(ids, ["program_id", "stmt_no"], "left_anti"), "stmt_no", "to")
     enter = _pairs(calls, "stmt_no", "first_no")
     own = calls.select("program_id", F.col("callee").alias("l"), F.col("callee").alias("r"))
-    tails = closure(_pairs(calls.join(leaves, ["program_id", "stmt_no"]), "caller", "callee")).unionByName(own).distinct()
+    tails = closure_acyclic(_pairs(calls.join(leaves, ["program_id", "stmt_no"]), "caller", "callee")).unionByName(own).distinct()
     returns = calls.join(steps, ["program_id", "stmt_no"]).select("program_id", F.col("callee").alias("l"), "to").join(tails, ["program_id", "l"])
     returns = returns.select("program_id", F.col("r").alias("proc"), "to").distinct()
     ends = f.stmt.select("program_id", "proc", "stmt_no").join(leaves, ["program_id", "stmt_no"]).join(ids, ["program_id", "stmt_no"], "left_anti")
@@ -290,6 +291,6 @@ def affects_bip_t(f: Facts) -> DataFrame:
         across = new.where("l like 'i:%' and r like 'o:%'").join(call, ["program_id", "l"]).join(back, ["program_id", "r", "site"])
         return across.select("program_id", F.col("from").alias("l"), F.col("to").alias("r"))
 
-    same = closure_with(edges.where("kind = 'local'"), summaries)
+    same = closure(edges.where("kind = 'local'"), summaries)
     across = same.where("l like 'b:%' and r like 'a:%'").withColumn("kind", F.lit("local"))
     return _returns_then_calls(edges.unionByName(across).distinct())
