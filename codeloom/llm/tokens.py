@@ -200,6 +200,21 @@ class PieceTokenizer:
         self.known: dict[int, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.bound = np.zeros(1 << 14, np.int64)  # entry k has ids bound[k] .. bound[k + 1] - 1
+        self.used = np.zeros(0, np.int64)  # texts' batches that entry k came in
+
+    def shrink(self) -> None:
+        """Keep what came more than once, half of the memory at most."""
+        used = self.used[: len(self.known)]
+        kept = np.flatnonzero(used > 1)
+        kept = np.sort(kept[np.argsort(-used[kept], kind="stable")[: self.most // 2]])
+        keys = np.fromiter(self.known, np.uint64, len(self.known))[kept]
+        begin, count = self.bound[kept], self.bound[kept + 1] - self.bound[kept]
+        stop, flat = np.cumsum(count), self.flat
+        self.forget()
+        total = int(stop[-1]) if len(stop) else 0
+        self.flat = np.concatenate([flat[np.repeat(begin - (stop - count), count) + np.arange(total)], np.zeros(1 << 16, np.uint32)])
+        self.bound = np.concatenate([[0], stop, np.zeros(1 << 14, np.int64)])
+        self.known = dict(zip(keys.tolist(), range(len(kept))))
 
     def learn(self, keys: list[int], pieces: list[bytes]) -> None:
         """Encode new pieces."""
@@ -238,13 +253,17 @@ class PieceTokenizer:
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()
         if len(self.known) > self.most:
-            self.forget()
+            self.shrink()
         new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
             at = first[new]
             pieces = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
             self.learn([keys[i] for i in new], [p.lower() if self.lower else p for p in pieces])
-        k = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+        entry = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        if len(self.used) < len(self.known):
+            self.used = np.concatenate([self.used, np.zeros(2 * len(self.known) - len(self.used), np.int64)])
+        self.used[entry] += 1
+        k = entry[inverse]
         begin, count = self.bound[k], self.bound[k + 1] - self.bound[k]
         stop = np.cumsum(count)
         total = int(stop[-1]) if len(stop) else 0

@@ -202,6 +202,13 @@ def test_tokens_of_random_unicode():
     for text, n in zip(texts, lengths.tolist()):
         assert ids[at : at + n].tolist() == tk.ids_of(text), text
         at += n
+    # With a small memory that is cut back all the time.
+    small = tokens.PieceTokenizer(public_tokenizers.path("word_bpe_49k.json"), most=300)
+    parts = [small.encode(texts[i : i + 100] + texts[:5]) for i in range(0, len(texts), 100)]
+    assert len(small.known) < len(tk.known) / 2
+    for i, (some, their) in enumerate(parts):
+        assert some.tolist() == lengths[100 * i : 100 * (i + 1)].tolist() + lengths[:5].tolist()
+        assert their.tolist() == ids[int(lengths[: 100 * i].sum()) : int(lengths[: 100 * (i + 1)].sum())].tolist() + ids[: int(lengths[:5].sum())].tolist()
 
 
 # 3
