@@ -512,6 +512,36 @@ def test_suffixes_edges(spark, scratch, make_docs):
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got) == [(0, 500, 500, b""), (1, 5, 0, b"short"), (1, 500, 500, b""), (1, 500, 500, b"")]
 
 
+def test_suffix_heads_are_ordered_like_bytes():
+    rng = random.Random(31)
+    raw = np.array([rng.choice([0, 97, 127, 128, 255]) for _ in range(400)], np.uint8)
+    at = np.arange(385)
+    by_head = sorted(at, key=lambda i, h=suffixes.heads(raw, at): (tuple(h[i]), i))
+    assert by_head == sorted(at, key=lambda i: (raw[i : i + 16].tobytes(), i))
+
+
+def test_suffix_index_meets_later_documents(spark, make_docs):
+    rng = random.Random(32)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ß") for _ in range(n))
+    passages = [text(n) for n in (390, 410, 700)]
+    texts = [text(rng.randrange(0, 300)) + rng.choice(passages)[rng.randrange(20) :] + text(rng.randrange(0, 300)) for _ in range(45)]
+    want = repeats_brute(texts, 400)
+    # Judged among all documents up to their own part; the index is opened anew for each part.
+    path, rows = None, list(enumerate(texts))
+    for a, b in ((0, 15), (15, 20), (20, 45)):
+        s = common.Scratch(spark, "later")
+        index = suffixes.SuffixIndex(s, lasting=True) if path is None else suffixes.SuffixIndex.open(path, s)
+        part = suffixes.remove_repeats(make_docs(rows[a:b]), s, batches=2, index=index, earlier=make_docs(rows[:a]))
+        got = {r["doc_id"]: tuple(r)[1:] for r in part.collect()}
+        assert got == dict(enumerate(repeats_brute(texts[:b], 400)[a:b], a))
+        path = index.save()
+        levels = spark.read.parquet(path).collect()
+        assert sum(2 ** r["level"] for r in levels) == {15: 2, 20: 4, 45: 6}[b]
+    assert got == {i: want[i] for i in range(20, 45)}
+    with pytest.raises(ValueError):
+        suffixes.remove_repeats(make_docs(rows[:1]), s, index=suffixes.SuffixIndex.open(path, s), earlier=make_docs(rows))
+
+
 # 8
 
 
