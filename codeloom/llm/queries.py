@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, jaccard, language, mixing, sharding, suffixes, tokens, toxicity, urls
+from . import centroids, decontamination, embeddings, infill, jaccard, language, mixing, packing, sharding, suffixes, tokens, toxicity, urls
 from .common import Scratch
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -80,6 +80,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), scratch(spark, "op10"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch(spark, "op11")  # only for its batch size
+    made = infill.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("form"), F.col("output"))).alias("restored_sha256"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), scratch(spark, "op12"), path or vocabulary(), end_id=1, capacity=4096)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), scratch(spark, "op13"))
+
+
 def queries() -> dict:
-    found = [op1_ngram_jaccard, op2_token_ids, op3_decontamination, op4_toxicity, op5_embedding_dedup, op6_mixing, op7_suffix_dedup, op8_sharding, op9_language_id, op10_url_filter]
+    found = [
+        op1_ngram_jaccard, op2_token_ids, op3_decontamination, op4_toxicity, op5_embedding_dedup, op6_mixing, op7_suffix_dedup, op8_sharding, op9_language_id, op10_url_filter,
+        op11_fill_in_middle, op12_best_fit_packing, op13_centroid_clustering,
+    ]
     return {f.__name__: f for f in found}

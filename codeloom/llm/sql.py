@@ -54,5 +54,35 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(copies, 0) * size AS BIG
 """
 
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, [CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT) FOR i IN range(4)] AS r FROM d
+), p AS (SELECT doc_id, t, u, len(u) AS n, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS lo, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS hi,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+), c AS (SELECT *, array_to_string(u[1:lo], '') AS a, array_to_string(u[lo + 1:hi], '') AS b, array_to_string(u[hi + 1:], '') AS c FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+
+def clusters(rounds: int = 10) -> str:
+    """Rounds of assignment and means, a table each; a vector has a row for each component."""
+    best = "SELECT n, min({'d': d, 'k': k}) AS b FROM (SELECT v.n, c.k, sum((v.x - c.x) * (v.x - c.x)) AS d FROM x v JOIN c%d c USING (i) GROUP BY v.n, c.k) GROUP BY n"
+    steps = """
+WITH e AS (SELECT row_number() OVER () AS n, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (SELECT n, i, CAST(floor(1024 * CAST(e[i] AS DOUBLE)) AS BIGINT) AS x FROM e, range(1, 65) r(i)
+), s AS (SELECT n, row_number() OVER (ORDER BY sha256('3:' || vec_id), n) - 1 AS k FROM e QUALIFY k < 8
+), c0 AS MATERIALIZED (SELECT k, i, x FROM s JOIN x USING (n))"""
+    for r in range(rounds):
+        mean = "CAST((s - ((s % m) + m) % m) // m AS BIGINT)"
+        steps += f""", a{r} AS MATERIALIZED ({best % r}
+), c{r + 1} AS MATERIALIZED (SELECT c.k, c.i, coalesce({mean}, c.x) AS x FROM c{r} c LEFT JOIN (SELECT a.b.k AS k, i, sum(x) AS s, count(*) AS m FROM a{r} a JOIN x USING (n) GROUP BY a.b.k, i) t USING (k, i))"""
+    return steps + f""", a AS MATERIALIZED ({best % rounds}
+), h AS (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k)
+SELECT e.vec_id, CAST(a.b.k AS INT) AS cluster, CAST(a.b.d AS BIGINT) AS distance, CAST(sum(a.b.d) OVER (PARTITION BY a.b.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.b.d) OVER () AS BIGINT) AS inertia, h.h AS centroid_sha256
+FROM a JOIN e USING (n) JOIN h ON h.k = a.b.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1, "op5_embedding_dedup": OP5, "op6_mixing": OP6}
+    return {"op1_ngram_jaccard": OP1, "op5_embedding_dedup": OP5, "op6_mixing": OP6, "op11_fill_in_middle": OP11, "op13_centroid_clustering": clusters()}
