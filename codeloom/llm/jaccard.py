@@ -15,7 +15,6 @@ costs no more rows than scanning lists of the length that this corpus has.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +34,9 @@ class Parameters:
     n: int = 5
     #: Similarity in hundredths.
     percent: int = 75
-    #: Bytes of text from which shingles are told apart by eight bytes instead of four.
-    wide_from: int = 10**10
+    #: Bytes of a shingle's hash by which lists are found, at every size of the corpus.  Results are exact with any; where
+    #: they are too few, unshared shingles look shared: of 10**13 distinct ones 4 % with six bytes.
+    width: int = 6
     #: Largest size considered for enumeration: beyond, pairs of prefix shingles would outgrow the text.
     light_most: int = 24
     #: Members of a key from which its last comparisons are cut by size and into slices of that many.
@@ -92,17 +92,19 @@ def linked(shared, a, b, percent: int):
     return 100 * shared >= percent * (a + b - shared)
 
 
-def set_blocks(docs: DataFrame, dtype: str, p: Parameters) -> DataFrame:
+def set_blocks(docs: DataFrame, p: Parameters) -> DataFrame:
     """The sets of all documents, in blocks of about a million shingles.
 
     A block has doc_id (and whether it is null), size and node of each
-    document, the shingles' values (hashes cut to `dtype`) in order of the
-    documents.
+    document, the shingles' values (hashes cut to `width` bytes) in order of
+    the documents, sorted in each.
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         ids, held, nodes = [], [], []
-        n = 0
+        n, name = 0, TaskContext.get().partitionId() << 32
 
         def block():
             doc = pd.concat(ids)
@@ -111,10 +113,10 @@ def set_blocks(docs: DataFrame, dtype: str, p: Parameters) -> DataFrame:
             node = np.array(nodes, np.int64)
             row = {
                 "ids": doc.fillna(0).to_numpy().astype("<i8").tobytes(), "nulls": doc.isna().to_numpy().astype(np.uint8).tobytes(),
-                "sizes": sizes.tobytes(), "nodes": node.tobytes(), "seq": every.tobytes(),
+                "sizes": sizes.tobytes(), "nodes": node.tobytes(), "seq": blocks.planes(every, p.width),
             }
-            # Blocks are written before they are read, so a name need not come out the same again.
-            return pd.DataFrame({"block": [uuid.uuid4().hex], "n_values": [len(every)], **{k: [v] for k, v in row.items()}})
+            # Blocks are written before they are read, so what has a name need not come out the same again.
+            return pd.DataFrame({"block": [name], "n_values": [len(every)], **{k: [v] for k, v in row.items()}})
 
         for batch in it:
             for i in range(0, len(batch), 256):
@@ -122,15 +124,15 @@ def set_blocks(docs: DataFrame, dtype: str, p: Parameters) -> DataFrame:
                 sets = shingle_sets([t.encode() for t in part["text"]], p.n)
                 ids.append(part["doc"].astype("Int64"))
                 nodes += nodes_of(sets)
-                held += [np.sort((s >> np.uint64(64 - 8 * np.dtype(dtype).itemsize)).astype(dtype)) for s in sets]
+                held += [s >> np.uint64(64 - 8 * p.width) for s in sets]
                 n += sum(map(len, sets))
                 if n >= blocks.BLOCK_VALUES:
                     yield block()
-                    ids, held, nodes, n = [], [], [], 0
+                    ids, held, nodes, n, name = [], [], [], 0, name + 1
         if held:
             yield block()
 
-    schema = "block string, n_values long, ids binary, nulls binary, sizes binary, nodes binary, seq binary"
+    schema = "block long, n_values long, ids binary, nulls binary, sizes binary, nodes binary, seq binary"
     return docs.select("doc", "text").mapInPandas(run, schema)
 
 
@@ -158,7 +160,7 @@ def boundary(list_length: float, p: Parameters) -> int:
     return x
 
 
-def postings(table: DataFrame, answers: DataFrame, light: int, dtype: str, p: Parameters) -> DataFrame:
+def postings(table: DataFrame, answers: DataFrame, light: int, p: Parameters) -> DataFrame:
     """Keys that more than one set may have: (key, node, n)."""
     # The smallest size that can be the partner of a heavy set.
     near = least_shared(light + 1, p.percent)
@@ -182,7 +184,7 @@ def postings(table: DataFrame, answers: DataFrame, light: int, dtype: str, p: Pa
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in it:
             for sizes, nodes, seq, answer in batch.itertuples(index=False):
-                sizes, nodes, seq = np.frombuffer(sizes, "<i4"), np.frombuffer(nodes, "<i8"), np.frombuffer(seq, dtype)
+                sizes, nodes, seq = np.frombuffer(sizes, "<i4"), np.frombuffer(nodes, "<i8"), blocks.unplanes(seq, p.width)
                 if not len(seq):
                     continue
                 level = blocks.joined(answer)[np.unique(seq, return_inverse=True)[1]]
@@ -236,23 +238,20 @@ def join(docs: DataFrame, scratch: Scratch, p: Parameters = Parameters(), rounds
     Whole texts count, however long.  Extra columns are ignored.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    # Values of four bytes tell apart what a few gigabytes of text hold; beyond, eight.  Either is exact in its results.
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dtype = "<u4" if size < p.wide_from else "<u8"
-    table = scratch.save(set_blocks(d, dtype, p), "sets")
+    table = scratch.save(set_blocks(d, p), "sets")
     rows = scratch.save(documents_of(table), "documents")
     cls = scratch.save(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("rep")), "classes")
 
     def read(sizes: bytes, nodes: bytes, seq: bytes) -> tuple[bytes, bytes]:
-        row = blocks.pack(np.frombuffer(seq, dtype), np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(sizes, "<i4")))
+        row = blocks.pack(blocks.unplanes(seq, p.width), np.repeat(np.frombuffer(nodes, "<i8"), np.frombuffer(sizes, "<i4")))
         return row["vals"], row["twice"]
 
-    answers = scratch.save(blocks.levels(table, table.agg(F.sum("n_values")).first()[0] or 0, dtype, ("sizes", "nodes", "seq"), read), "levels")
+    answers = scratch.save(blocks.levels(table, table.agg(F.sum("n_values")).first()[0] or 0, "<u8", ("sizes", "nodes", "seq"), read, p.width), "levels")
     scratch.drop()
     light = boundary(blocks.list_length(answers), p)
 
     # Keys of one class only are dropped; copies of a class leave one posting.
-    found_keys = scratch.save(postings(table, answers, light, dtype, p).distinct(), "postings")
+    found_keys = scratch.save(postings(table, answers, light, p).distinct(), "postings")
     scratch.drop(table, answers)
     several = found_keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
     live = scratch.save(found_keys.join(scratch.save(several, "several"), "key"), "live")

@@ -59,6 +59,15 @@ def test_components(spark, scratch):
 # 1
 
 
+def test_planes():
+    rng = np.random.default_rng(2)
+    for width in (1, 3, 6, 8):
+        for n in (0, 1, 5, 3000):
+            v = rng.integers(0, 1 << 63, n, np.uint64) >> np.uint64(max(0, 63 - 8 * width))
+            for x in (v, np.sort(v)):
+                assert len(blocks.planes(x, width)) == width * n and (blocks.unplanes(blocks.planes(x, width), width) == x).all()
+
+
 def jaccard_brute(rows):
     sets = {}
     for i, (doc, text) in enumerate(rows):
@@ -68,8 +77,8 @@ def jaccard_brute(rows):
     return sets, edges
 
 
-@pytest.mark.parametrize("wide_from", [0, 10**10])
-def test_jaccard_matches_brute_force(spark, scratch, make_docs, wide_from):
+@pytest.mark.parametrize("width", [1, 6])
+def test_jaccard_matches_brute_force(spark, scratch, make_docs, width):
     rng = random.Random(2)
     texts = []
     for _ in range(14):
@@ -82,7 +91,7 @@ def test_jaccard_matches_brute_force(spark, scratch, make_docs, wide_from):
     rng.shuffle(texts)
     sets, edges = jaccard_brute(list(enumerate(texts)))
     want = union(edges, sets)
-    got = {r["doc_id"]: r for r in jaccard.join(make_docs(texts), scratch, jaccard.Parameters(wide_from=wide_from)).collect()}
+    got = {r["doc_id"]: r for r in jaccard.join(make_docs(texts), scratch, jaccard.Parameters(width=width)).collect()}
     assert len(got) == len(texts)
     for i in sets:
         assert got[i]["n_shingles"] == len(sets[i])
@@ -628,11 +637,21 @@ for key in sys.argv[3:]:
 """
 
 
+def spark_home(tmp_path):
+    """The installed Spark with a `work` folder, which workers of a local cluster fill, of its own."""
+    home, installed = tmp_path / "spark-home", os.path.dirname(pyspark.__file__)
+    (home / "work").mkdir(parents=True)
+    for name in os.listdir(installed):
+        if name not in ("work", "logs"):
+            (home / name).symlink_to(os.path.join(installed, name))
+    return str(home)
+
+
 def test_executors_without_the_package(tmp_path):
     """Driver and executors work in a folder of their own, without the repository on their path."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     environment = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
-    environment["SPARK_HOME"] = os.path.dirname(pyspark.__file__)
+    environment["SPARK_HOME"] = spark_home(tmp_path)
     keys = ["op9_language_id", "op10_url_filter"]
     got = subprocess.run([sys.executable, "-c", ELSEWHERE, root, str(tmp_path / "shared"), *keys], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
     found = dict(line.split()[1:] for line in got.stdout.splitlines() if line.startswith("ROWS"))
