@@ -52,16 +52,16 @@ def kills(f: Facts, direct: DataFrame, across: bool) -> DataFrame:
 
 
 def _climb(f: Facts, nodes: DataFrame, killed: DataFrame) -> DataFrame:
-    """Where values of nodes (program_id, node, stmt_no, var, tag) are set or used: a row for each list they get to.
+    """Where values of nodes (program_id, stmt_no, var, tag) are set or used: a row for each list they get to.
 
-    LIST with tag, pos, seg, parent_no, and `open`: on to the container.
+    LIST with node (the statement they come from), tag, pos, seg, parent_no, and `open`: on to the container.
     """
     at = _places(f).drop("branch")
     w = Window.partitionBy(*LIST)
     is_kill = F.when(F.col("tag") == KILLED, 1).otherwise(0)
-    marks = killed.join(at, ["program_id", "stmt_no"]).withColumns({"node": F.lit(None).cast("string"), "tag": F.lit(KILLED)})
+    marks = killed.join(at, ["program_id", "stmt_no"]).withColumns({"node": F.lit(None).cast("long"), "tag": F.lit(KILLED)})
     marks = written(marks, "marks")
-    level, out = nodes.select("program_id", "node", "stmt_no", "var", "tag").distinct(), None
+    level, out = nodes.select("program_id", F.col("stmt_no").alias("node"), "stmt_no", "var", "tag").distinct(), None
     while True:
         rows = level.join(at, ["program_id", "stmt_no"]).unionByName(marks)
         rows = rows.withColumns({"seg": F.sum(is_kill).over(w.orderBy("pos", "tag").rowsBetween(Window.unboundedPreceding, 0)), "kills": F.sum(is_kill).over(w)})
@@ -74,30 +74,29 @@ def _climb(f: Facts, nodes: DataFrame, killed: DataFrame) -> DataFrame:
 
 
 def meetings(f: Facts, setters: DataFrame, users: DataFrame, killed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Which node may pass its value to which, inside procedures; which reach their procedure's end; which its start reaches.
+    """Which statement may pass a value to which, inside procedures; which reach their procedure's end; which its start reaches.
 
-    setters, users: (program_id, node, stmt_no, var).  Gives pairs
-    (program_id, l, r) and twice (program_id, node, proc, var).
+    setters, users: (program_id, stmt_no, var).  Gives pairs
+    (program_id, l, r, var) and twice (program_id, stmt_no, proc, var).
     """
-    both = _climb(f, setters.withColumn("tag", F.lit(SET)).unionByName(users.withColumn("tag", F.lit(USED))), killed)
+    columns = ["program_id", "stmt_no", "var"]
+    both = _climb(f, setters.select(*columns).withColumn("tag", F.lit(SET)).unionByName(users.select(*columns).withColumn("tag", F.lit(USED))), killed)
     ups, downs = both.where(F.col("tag") == SET), both.where(F.col("tag") == USED)
     a = ups.select(*LIST, "seg", F.col("node").alias("l"), F.col("pos").alias("pos_l"))
     b = downs.select(*LIST, "seg", F.col("node").alias("r"), F.col("pos").alias("pos_r"))
-    ahead = a.join(b, [*LIST, "seg"]).where("pos_l < pos_r").select("program_id", "l", "r")
+    ahead = a.join(b, [*LIST, "seg"]).where("pos_l < pos_r").select("program_id", "l", "r", "var")
     loops = f.stmt.where("type = 'while'").select("program_id", F.col("stmt_no").alias("parent_no"))
     onward = ups.where("open").join(loops, ["program_id", "parent_no"]).select("program_id", "parent_no", "var", F.col("node").alias("l"))
     again = downs.where("open").select("program_id", "parent_no", "var", F.col("node").alias("r"))
-    around = onward.join(again, ["program_id", "parent_no", "var"]).select("program_id", "l", "r")
-    edge = lambda df: df.where("open and parent_no is null").select("program_id", "node", "proc", "var")
+    around = onward.join(again, ["program_id", "parent_no", "var"]).select("program_id", "l", "r", "var")
+    edge = lambda df: df.where("open and parent_no is null").select("program_id", F.col("node").alias("stmt_no"), "proc", "var")
     return ahead.unionByName(around).distinct(), edge(ups), edge(downs)
 
 
-def assigned(f: Facts, prefix: str = "") -> DataFrame:
-    n = F.concat(F.lit(prefix), F.col("stmt_no").cast("string"))
-    return f.stmt.where("type = 'assign' and lhs_var is not null").select("program_id", n.alias("node"), "stmt_no", F.col("lhs_var").alias("var"))
+def assigned(f: Facts) -> DataFrame:
+    return f.stmt.where("type = 'assign' and lhs_var is not null").select("program_id", "stmt_no", F.col("lhs_var").alias("var"))
 
 
-def used(f: Facts, prefix: str = "") -> DataFrame:
-    n = F.concat(F.lit(prefix), F.col("stmt_no").cast("string"))
+def used(f: Facts) -> DataFrame:
     uses = f.use_direct.join(f.stmt.where("type = 'assign'").select("program_id", "stmt_no"), ["program_id", "stmt_no"])
-    return uses.select("program_id", n.alias("node"), "stmt_no", "var").distinct()
+    return uses.select("program_id", "stmt_no", "var").distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions.tables import written
-from codeloom.operators import flow
+from codeloom.operators import across, flow
 from codeloom.operators.closure import closure, closure_acyclic
 from codeloom.plans.facts import Facts
 
@@ -160,7 +160,7 @@ def affects(f: Facts) -> DataFrame:
     called = f.call_edge.join(f.table("modifies_p").withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])
     direct = f.mod_direct.select("program_id", "stmt_no", "var").unionByName(called.select("program_id", "stmt_no", "var"))
     pairs, _, _ = flow.meetings(f, flow.assigned(f), flow.used(f), flow.kills(f, direct, across=False))
-    return pairs.select("program_id", F.col("l").cast("long").alias("l"), F.col("r").cast("long").alias("r"))
+    return pairs.select("program_id", "l", "r").distinct()
 
 
 def affects_t(f: Facts) -> DataFrame:
@@ -235,62 +235,10 @@ def next_bip_t(f: Facts) -> DataFrame:
     return inside.unionByName(down).unionByName(up).distinct()
 
 
-def _node(kind: str, of: str, var: str = "var") -> F.Column:
-    return F.concat(F.lit(kind + ":"), F.col(of).cast("string"), F.lit(":"), F.col(var))
-
-
-def bip_flow(f: Facts) -> DataFrame:
-    """How values pass between assignments and the borders of calls and procedures: (program_id, l, r, kind).
-
-    Nodes are d:stmt (its value), u:stmt (its use), b:call:var and a:call:var
-    (before and after a call), i:proc:var and o:proc:var (start and end of a
-    procedure).  Edges of kind `local` stay in a procedure, `call` and
-    `return` lead into it and out.  Statements of a callee kill, a call itself
-    does not: it is passed where some path through its callee keeps the variable.
-    """
-    calls = f.relation("full_calls").select("program_id", "stmt_no", "callee")
-    of_callee = lambda relation: calls.join(f.table(relation).withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])
-    before, after = written(of_callee("uses_p"), "before"), written(of_callee("modifies_p"), "after")
-    site = lambda df, kind: df.select("program_id", _node(kind, "stmt_no").alias("node"), "stmt_no", "var")
-    killed = flow.kills(f, f.mod_direct, across=True)
-    pairs, ends, starts = flow.meetings(f, flow.assigned(f, "d:").unionByName(site(after, "a")), flow.used(f, "u:").unionByName(site(before, "b")), killed)
-    local = pairs.unionByName(ends.select("program_id", F.col("node").alias("l"), _node("o", "proc").alias("r")))
-    local = local.unionByName(starts.select("program_id", _node("i", "proc").alias("l"), F.col("node").alias("r")))
-    enter = before.select("program_id", _node("b", "stmt_no").alias("l"), _node("i", "callee").alias("r"), F.lit("call").alias("kind"))
-    leave = after.select("program_id", _node("o", "callee").alias("l"), _node("a", "stmt_no").alias("r"), F.lit("return").alias("kind"))
-    return written(local.withColumn("kind", F.lit("local")).unionByName(enter).unionByName(leave).distinct(), "bip-flow")
-
-
-def _returns_then_calls(edges: DataFrame) -> DataFrame:
-    """Pairs of assignments on a path that returns to callers first (nodes <0), then enters callees (>1)."""
-    in_phase = lambda df, a, b: df.select("program_id", F.concat(F.lit(a), "l").alias("l"), F.concat(F.lit(b), "r").alias("r"))
-    local, call, back = (edges.where(F.col("kind") == k) for k in ("local", "call", "return"))
-    phased = in_phase(local, "0", "0").unionByName(in_phase(local, "1", "1")).unionByName(in_phase(back, "0", "0")).unionByName(in_phase(call, "0", "1")).unionByName(in_phase(call, "1", "1"))
-    ends = closure(phased).where("l like '0d:%' and r like '_u:%'")
-    return ends.select("program_id", F.substring("l", 4, 30).cast("long").alias("l"), F.substring("r", 4, 30).cast("long").alias("r")).distinct()
-
-
 def affects_bip(f: Facts) -> DataFrame:
-    return _returns_then_calls(f.relation("bip_flow"))
+    return across.between_assignments(f, across.steps(f))
 
 
 def affects_bip_t(f: Facts) -> DataFrame:
-    """Chains of AffectsBip that return from a call to that call only.
-
-    Where a value that a procedure is given leads to one that it leaves, its
-    calls get an edge from before to after; those come with the closure.
-    """
-    edges = f.relation("bip_flow")
-    used_again = edges.where("r like 'u:%'").select("program_id", F.col("r").alias("l"), F.concat(F.lit("d"), F.substring("r", 2, 30)).alias("r"))
-    through = used_again.join(flow.assigned(f, "d:").select("program_id", F.col("node").alias("r")), ["program_id", "r"], "left_semi").select("program_id", "l", "r").distinct()
-    edges = written(edges.unionByName(through.withColumn("kind", F.lit("local"))), "bip-chains")
-    call = edges.where("kind = 'call'").select("program_id", F.col("r").alias("l"), F.col("l").alias("from"), F.split("l", ":")[1].alias("site"))
-    back = edges.where("kind = 'return'").select("program_id", F.col("l").alias("r"), F.col("r").alias("to"), F.split("r", ":")[1].alias("site"))
-
-    def summaries(new: DataFrame) -> DataFrame:
-        across = new.where("l like 'i:%' and r like 'o:%'").join(call, ["program_id", "l"]).join(back, ["program_id", "r", "site"])
-        return across.select("program_id", F.col("from").alias("l"), F.col("to").alias("r"))
-
-    same = closure(edges.where("kind = 'local'"), summaries)
-    across = same.where("l like 'b:%' and r like 'a:%'").withColumn("kind", F.lit("local"))
-    return _returns_then_calls(edges.unionByName(across).distinct())
+    """Chains of AffectsBip that return from a call to that call only."""
+    return across.between_assignments(f, across.chains(f, across.steps(f)))

@@ -140,6 +140,22 @@ add("events_next_bip", pairs("next_bip"), _BIP + " SELECT l, r FROM st WHERE kin
 _WALK = """, wk AS (SELECT l AS a, r AS n, CASE WHEN kind = 'call' THEN 1 ELSE 0 END AS ph FROM st
 UNION SELECT wk.a, st.r, CASE WHEN st.kind = 'call' THEN 1 ELSE ph END FROM wk JOIN st ON st.l = wk.n WHERE st.kind <> 'return' OR wk.ph = 0)"""
 add("events_next_bip_t", pairs("next_bip_t"), _BIP + _WALK + " SELECT DISTINCT a AS l, n AS r FROM wk")
+# Values across calls, by walks that know the calls they have entered: before a statement or `done` with it, a call included.
+_FLOW = """, gm AS (SELECT DISTINCT nx.l, nx.r, d.done, 'next' AS kind FROM nx, (VALUES (true), (false)) d(done) WHERE d.done OR nx.l NOT IN (SELECT no FROM fc)
+  UNION ALL SELECT no, first, false, 'call' FROM fc
+  UNION ALL SELECT lf.no, NULL, d.done, 'pop' FROM lf, (VALUES (true), (false)) d(done) WHERE d.done OR lf.no NOT IN (SELECT no FROM fc)
+  UNION ALL SELECT lf.no, fc.no, d.done, 'up' FROM lf JOIN fc ON fc.callee = lf.proc, (VALUES (true), (false)) d(done) WHERE d.done OR lf.no NOT IN (SELECT no FROM fc)),
+tn AS (SELECT s.no, ud.v AS u, s.lhs AS w FROM s JOIN ud USING (no) WHERE s.type = 'assign' AND s.lhs IS NOT NULL),
+wa AS (SELECT no AS a, lhs AS v, no AS n, true AS done, CAST([] AS BIGINT[]) AS st FROM s WHERE type = 'assign' AND lhs IS NOT NULL
+UNION SELECT * FROM (
+  SELECT w.a, CASE WHEN x.turn THEN t.w ELSE w.v END AS v, CASE m.kind WHEN 'pop' THEN list_last(w.st) ELSE m.r END AS n, m.kind IN ('pop', 'up') AS done,
+         CASE m.kind WHEN 'call' THEN list_append(w.st, w.n) WHEN 'pop' THEN w.st[:-2] ELSE w.st END AS st
+  FROM wa w JOIN gm m ON m.l = w.n AND m.done = w.done CROSS JOIN (VALUES %s) x(turn)
+  LEFT JOIN md k ON k.no = w.n AND k.v = w.v AND NOT w.done LEFT JOIN tn t ON t.no = w.n AND t.u = w.v AND NOT w.done
+  WHERE CASE WHEN x.turn THEN t.no IS NOT NULL ELSE k.no IS NULL END AND CASE m.kind WHEN 'pop' THEN len(w.st) > 0 WHEN 'up' THEN len(w.st) = 0 ELSE true END))
+SELECT DISTINCT wa.a AS l, wa.n AS r FROM wa JOIN tn ON tn.no = wa.n AND tn.u = wa.v WHERE NOT wa.done"""
+add("events_affects_bip", pairs("affects_bip"), _BIP + _FLOW % "(false)")
+add("events_affects_bip_t", pairs("affects_bip_t"), _BIP + _FLOW % "(false), (true)")
 
 add("follows_lit", query(lambda f: Query(f, x="stmt").such_that("Follows", 11, "x").select("x")), "SELECT sibling AS x FROM sib WHERE no = 11 AND sibling IS NOT NULL")
 add("follows_t_assign", query(lambda f: Query(f, a="assign", w="while").such_that("Follows*", "a", "w").select("a", "w")), "SELECT a.no AS a, b.no AS w FROM s a JOIN s b ON a.proc = b.proc AND a.block = b.block AND a.ord < b.ord WHERE a.type = 'assign' AND b.type = 'while'")
