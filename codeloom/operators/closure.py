@@ -78,3 +78,75 @@ def reached(edges: DataFrame, seeds: DataFrame, steps: int = 4) -> DataFrame:
         known = known.unionByName(delta.select(*columns))
         if front.isEmpty():
             return known
+
+
+def reached_pairs(edges: DataFrame, seeds: DataFrame, steps: int = 4) -> DataFrame:
+    """Pairs (program_id, l, r) of the closure whose start is a seed (program_id, node), and no others."""
+    onward = edges.select("program_id", F.col("l").alias("r"), F.col("r").alias("to"))
+    go = lambda df: df.join(onward, ["program_id", "r"]).select("program_id", "l", F.col("to").alias("r")).distinct()
+    seeds = seeds.select("program_id", F.col("node").alias("l")).distinct()
+    known, front = None, edges.join(seeds, ["program_id", "l"], "left_semi").select(*PAIR).distinct()
+    while True:
+        found = front.withColumn("step", F.lit(0))
+        for i in range(1, steps):
+            front = go(front)
+            found = found.unionByName(front.withColumn("step", F.lit(i)))
+        found = found.groupBy(*PAIR).agg(F.min("step").alias("step"))
+        delta = written(found.join(known, PAIR, "left_anti") if known is not None else found, "from-seeds")
+        known = delta.select(*PAIR) if known is None else known.unionByName(delta.select(*PAIR))
+        front = delta.where(F.col("step") == steps - 1)
+        if front.isEmpty():
+            return known
+        front = go(front)
+
+
+def turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select("program_id", F.col("r").alias("l"), F.col("l").alias("r"))
+
+
+def closure_by_components(edges: DataFrame) -> DataFrame:
+    """The closure of graphs with dense cycles, each taken together as soon as it shows.
+
+    After round i there are the walks of up to 2**i edges.  Where two nodes
+    reach each other, the larger one takes the name of the smallest it does so
+    with, and walks between names are walks again; so a loop becomes one node
+    when half its length is walked, instead of every pair in it being met once
+    for every node between.  What is left has no cycles; its pairs, and those
+    inside a component, come from members at the end.
+    """
+    edges = written(edges.select(*PAIR).distinct(), "edges")
+    known = delta = edges.where("l <> r")
+    names: list[DataFrame] = []
+    while True:
+        walks = written(known.unionByName(_then(delta, known)).unionByName(_then(known, delta)).where("l <> r").distinct(), "walks")
+        mutual = walks.join(turned(walks), PAIR).groupBy("program_id", "l").agg(F.min("r").alias("to"))
+        name = written(mutual.where("to < l"), "names")
+        if not name.isEmpty():
+            names.append(name)
+            walks = written(renamed(walks, name), "walks")
+            # A name walks on from any of its nodes, so that all of its pairs are new.
+            known = delta = walks
+            continue
+        delta = written(walks.join(known, PAIR, "left_anti"), "delta")
+        known = walks
+        if delta.isEmpty():
+            break
+    ends = edges.select("program_id", F.col("l").alias("node")).unionByName(edges.select("program_id", F.col("r").alias("node"))).distinct()
+    member = ends.withColumn("name", F.col("node"))
+    for n in names:
+        n = n.select("program_id", F.col("l").alias("name"), "to")
+        member = member.join(n, ["program_id", "name"], "left").select("program_id", "node", F.coalesce("to", "name").alias("name"))
+    member = written(member, "members")
+    of = lambda column: member.select("program_id", F.col("node").alias(f"{column}_node"), F.col("name").alias(column))
+    size = member.groupBy("program_id", "name").agg(F.count("*").alias("n"))
+    own = size.where("n > 1").select("program_id", F.col("name").alias("l"), F.col("name").alias("r"))
+    between = known.unionByName(own).join(of("l"), ["program_id", "l"]).join(of("r"), ["program_id", "r"]).select("program_id", F.col("l_node").alias("l"), F.col("r_node").alias("r"))
+    return between.unionByName(edges.where("l = r")).distinct()
+
+
+def renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs with the names of their ends, those of one name left out."""
+    out = pairs
+    for c in ("l", "r"):
+        out = out.join(names.select("program_id", F.col("l").alias(c), F.col("to").alias("name")), ["program_id", c], "left").withColumn(c, F.coalesce("name", c)).drop("name")
+    return out.select(*PAIR).where("l <> r").distinct()

@@ -94,9 +94,9 @@ def meetings(f: Facts, setters: DataFrame, users: DataFrame, killed: DataFrame)
 
 
 def assigned(f: Facts) -> DataFrame:
-    return f.stmt.where("type = 'assign' and lhs_var is not null").select("program_id", "stmt_no", F.col("lhs_var").alias("var"))
+    return f.focused(f.stmt.where("type = 'assign' and lhs_var is not null")).select("program_id", "stmt_no", F.col("lhs_var").alias("var"))
 
 
 def used(f: Facts) -> DataFrame:
-    uses = f.use_direct.join(f.stmt.where("type = 'assign'").select("program_id", "stmt_no"), ["program_id", "stmt_no"])
+    uses = f.use_direct.join(f.focused(f.stmt.where("type = 'assign'")).select("program_id", "stmt_no"), ["program_id", "stmt_no"])
     return uses.select("program_id", "stmt_no", "var").distinct()

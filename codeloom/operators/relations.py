@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from codeloom.functions.tables import written
 from codeloom.operators import across, flow
-from codeloom.operators.closure import closure, closure_acyclic
+from codeloom.operators.closure import closure_acyclic, closure_by_components, turned
 from codeloom.plans.facts import Facts
 
 
@@ -164,7 +164,7 @@ def affects(f: Facts) -> DataFrame:
 
 
 def affects_t(f: Facts) -> DataFrame:
-    return closure(f.relation("affects"))
+    return closure_by_components(f.relation("affects"))
 
 
 def _leaves(f: Facts) -> DataFrame:

@@ -29,6 +29,8 @@ class Facts:
     cond_var: DataFrame
     const: DataFrame
     proc: DataFrame
+    #: Procedures (program_id, proc) whose values Affects follows; None: all.
+    focus: DataFrame | None = None
     memo: dict[str, DataFrame] = field(default_factory=dict)
     stored: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -46,6 +48,16 @@ class Facts:
             self.stored[name] = self.memo[name] = written(self.relation(name), name)
         return self.stored[name]
 
+    def within(self, procs: DataFrame, focus: DataFrame | None = None) -> Facts:
+        """The facts of some procedures (program_id, proc) alone."""
+        stmt = written(self.stmt.join(procs, ["program_id", "proc"], "left_semi").select(self.stmt.columns), "within")
+        of = lambda df: df.join(stmt.select("program_id", "stmt_no"), ["program_id", "stmt_no"], "left_semi")
+        return Facts(stmt, of(self.use_direct), of(self.mod_direct), of(self.cond_var), self.const, procs, focus)
+
+    def focused(self, stmt: DataFrame) -> DataFrame:
+        """Statements of the procedures in focus."""
+        return stmt if self.focus is None else stmt.join(self.focus, ["program_id", "proc"], "left_semi")
+
     @property
     def var(self) -> DataFrame:
         each = [self.use_direct, self.mod_direct, self.cond_var]

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.expressions import canonical
+from codeloom.functions.tables import written
+from codeloom.operators import demand
 from codeloom.plans.facts import Facts
 
 STATEMENTS = ("read", "print", "call", "while", "if", "assign")
@@ -94,7 +96,8 @@ class Query:
         """(program_id, synonym): everything that a synonym may stand for."""
         return entity(self.facts, self._entity(synonym)).withColumnRenamed("x", synonym)
 
-    def _relation(self, relation: str, left, right) -> DataFrame:
+    def _relation(self, relation: str, left, right, known: DataFrame | None = None) -> DataFrame:
+        """Bindings of a relation.  Where an argument is bound, by a literal or by the bindings `known` so far, relations that loops make are derived for these alone."""
         f = RELATIONS[relation]
         kind_of = lambda x: self._entity(x) if isinstance(x, str) and x != "_" else None
         variables = relation in ("Uses", "Modifies")
@@ -113,7 +116,17 @@ class Query:
         for x, want in zip((left, right), wants):
             if isinstance(x, int) and "stmt" not in want or isinstance(x, Name) and "stmt" in want or kind_of(x) and kind_of(x) not in want:
                 raise SemanticError(f"{x} can't be an argument of {relation}")
-        t = self.facts.relation(f)
+        t = None
+        if f in demand.BOUND:
+            literal = next(((c, x) for c, x in (("l", left), ("r", right)) if not isinstance(x, str)), None)
+            joined = next(((c, x) for c, x in (("l", left), ("r", right)) if known is not None and x in known.columns), None)
+            if literal:
+                value = literal[1].text if isinstance(literal[1], Name) else int(literal[1])
+                t = demand.bound(self.facts, f, self.programs().withColumn("node", F.lit(value).cast("string" if isinstance(value, str) else "long")), literal[0])
+            elif joined:
+                t = demand.bound(self.facts, f, known.select("program_id", F.col(joined[1]).alias("node")), joined[0])
+        if t is None:
+            t = self.facts.relation(f)
         for column, x in (("l", left), ("r", right)):
             if isinstance(x, int):
                 t = t.where(F.col(column) == x)
@@ -123,6 +136,25 @@ class Query:
                 t = t.join(entity(self.facts, kind_of(x)).withColumnRenamed("x", column), ["program_id", column], "left_semi")
         return self._bind(t, left, right)
 
+    def _waits(self, relation: str, left, right) -> bool:
+        """Whether a relation had better wait for the bindings of a synonym."""
+        if relation in ("Uses", "Modifies"):
+            return False
+        return RELATIONS[relation] in demand.BOUND and isinstance(left, str) and isinstance(right, str) and left != right and (left != "_" or right != "_")
+
+    def _narrow(self, near: list[DataFrame], synonyms: tuple) -> DataFrame | None:
+        """Bindings of the first synonym that the tables leave at most an eighth of its domain; None if there is none."""
+        for s in synonyms:
+            held = [t.select("program_id", s) for t in near if s in t.columns]
+            if held:
+                both = held[0].distinct()
+                for t in held[1:]:
+                    both = both.join(t, ["program_id", s], "left_semi")
+                both = written(both, "bindings")
+                if both.count() * 8 <= self.domain(s).count():
+                    return both
+        return None
+
     def _bind(self, t: DataFrame, left, right) -> DataFrame:
         """Columns l and r as bindings of what stands for them."""
         syn = lambda x: isinstance(x, str) and x != "_"
@@ -199,9 +231,19 @@ class Query:
 
     def _bindings(self, wanted: set[str]) -> DataFrame:
         """All programs with a binding for every clause, and the bindings of the wanted synonyms."""
-        tables = []
+        tables, late = [], []
         for kind, *args in self.clauses:
-            tables.append(getattr(self, f"_{kind}")(*args))
+            if kind == "relation" and self._waits(*args):
+                late.append(args)
+            else:
+                tables.append(getattr(self, f"_{kind}")(*args))
+        # A relation that loops make takes the bindings of what it meets, where that is selective.
+        while late:
+            args = next((a for a in late if any(x in t.columns for x in a[1:] for t in tables)), late[0])
+            late.remove(args)
+            near = [t for t in tables if set(args[1:]) & set(t.columns) - {"_"}]
+            known = self._narrow(near, args[1:]) if near else None
+            tables.append(self._relation(*args, known=known))
         tables += [self.domain(s) for s in sorted(wanted) if not any(s in t.columns for t in tables)]
         groups: list[list[DataFrame]] = []
         for t in tables:

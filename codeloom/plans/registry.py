@@ -156,6 +156,17 @@ UNION SELECT * FROM (
 SELECT DISTINCT wa.a AS l, wa.n AS r FROM wa JOIN tn ON tn.no = wa.n AND tn.u = wa.v WHERE NOT wa.done"""
 add("events_affects_bip", pairs("affects_bip"), _BIP + _FLOW % "(false)")
 add("events_affects_bip_t", pairs("affects_bip_t"), _BIP + _FLOW % "(false), (true)")
+# Bound arguments: derived for the bindings alone.
+_ONLY = lambda flow, no: flow.replace("lhs IS NOT NULL\nUNION", f"lhs IS NOT NULL AND no = {no}\nUNION")
+add("affects_from", query(lambda f: Query(f, b="assign").such_that("Affects", 8, "b").select("b")), "SELECT r AS b FROM afs WHERE l = 8")
+add("affects_t_from", query(lambda f: Query(f, b="assign").such_that("Affects*", 8, "b").select("b")), _AFFECTS_T + " SELECT r AS b FROM aft WHERE l = 8")
+add("affects_t_of_loop", query(lambda f: Query(f, a="assign", b="assign").such_that("Parent", 398, "a").such_that("Affects*", "a", "b").select("a", "b")), _AFFECTS_T + " SELECT l AS a, r AS b FROM aft JOIN s ON s.no = aft.l WHERE s.parent = 398")
+add("affects_bip_from", query(lambda f: Query(f, b="assign").such_that("AffectsBip", 8, "b").select("b")), "SELECT r AS b FROM (" + _BASE + _BIP + _ONLY(_FLOW % "(false)", 8) + ")")
+add("affects_bip_t_from", query(lambda f: Query(f, b="assign").such_that("AffectsBip*", 8, "b").select("b")), "SELECT r AS b FROM (" + _BASE + _BIP + _ONLY(_FLOW % "(false), (true)", 8) + ")")
+add("next_bip_t_to", query(lambda f: Query(f, n="prog_line").such_that("NextBip*", "n", 8).select("n")), _BIP + _WALK + " SELECT DISTINCT a AS n FROM wk WHERE n = 8")
+add("calls_t_from", query(lambda f: Query(f, p="procedure").such_that("Calls*", name("74"), "p").select("p")), "SELECT CAST(q AS VARCHAR) AS p FROM ct WHERE p = 74")
+add("uses_proc_name", query(lambda f: Query(f, p="procedure").such_that("Uses", "p", name("v3")).select("p")), "SELECT CAST(p AS VARCHAR) AS p FROM up WHERE v = 'v3'")
+add("uses_of_proc", query(lambda f: Query(f, v="variable").such_that("Uses", name("74"), "v").select("v")), "SELECT v FROM up WHERE p = 74")
 
 add("follows_lit", query(lambda f: Query(f, x="stmt").such_that("Follows", 11, "x").select("x")), "SELECT sibling AS x FROM sib WHERE no = 11 AND sibling IS NOT NULL")
 add("follows_t_assign", query(lambda f: Query(f, a="assign", w="while").such_that("Follows*", "a", "w").select("a", "w")), "SELECT a.no AS a, b.no AS w FROM s a JOIN s b ON a.proc = b.proc AND a.block = b.block AND a.ord < b.ord WHERE a.type = 'assign' AND b.type = 'while'")
@@ -284,7 +295,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {k: _BASE + sql for k, (_, sql) in EVENTS.items()}
+    found = {k: sql if _BASE in sql else _BASE + sql for k, (_, sql) in EVENTS.items()}
     found |= {k: values("l, r", rows) for k, rows in _LITERAL.items()}
     found |= {k: values("l, r", rows) for k, (_, rows) in _ALPHA_RELATIONS.items()}
     found["pattern_if"] = values("i, v", [(4, "k"), (4, "t")])

@@ -7,7 +7,11 @@ import re
 
 import pytest
 from codeloom.functions.expressions import RELATIONS, canonical, is_condition
-from codeloom.operators.closure import closure, closure_acyclic
+from codeloom.functions import tables
+from codeloom.operators import across, demand, flow, relations
+from codeloom.operators import closure as closure_module
+from codeloom.operators.closure import closure, closure_acyclic, closure_by_components, reached, reached_pairs
+from codeloom.plans import facts as facts_module
 from codeloom.plans.query import Query, SemanticError, name
 from codeloom.plans.registry import ALPHA, BROKEN
 from codeloom.sources.programs import from_programs, parse_errors, read_programs
@@ -299,6 +303,80 @@ def test_closures(spark):
     assert {tuple(r) for r in closure_acyclic(df).collect()} == want
 
 
+def dense(rng):
+    """Loops of many nodes with chords, chains between them, and loops on one node."""
+    edges = set()
+    for g, n in (("a", 30), ("b", 1), ("c", 9)):
+        edges |= {(g, i, (i + 1) % n) for i in range(n)} | {(g, rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)}
+        edges |= {(g, n - 1, 100)} | {(g, 100 + i, 101 + i) for i in range(17)} | {(g, 117, 200), (g, 200, 201), (g, 201, 200), (g, 201, 300)}
+    return edges | {("d", rng.randrange(40), rng.randrange(40)) for _ in range(60)}
+
+
+def test_closure_by_components(spark):
+    edges = dense(random.Random(8))
+    df = spark.createDataFrame(sorted(edges), "program_id string, l long, r long")
+    after = {}
+    for g, a, b in edges:
+        after.setdefault((g, a), set()).add(b)
+    want = set()
+    for g, a in after:
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get((g, todo.pop()), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        want |= {(g, a, b) for b in seen}
+    got = [tuple(r) for r in closure_by_components(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert closure_by_components(df.limit(0)).count() == 0
+    # From some starts only.
+    seeds = spark.createDataFrame([("a", 5), ("a", 100), ("d", 3), ("d", 99)], "program_id string, node long")
+    some = {("a", 5), ("a", 100), ("d", 3), ("d", 99)}
+    got = [tuple(r) for r in reached_pairs(df, seeds).collect()]
+    assert set(got) == {w for w in want if w[:2] in some} and len(got) == len(set(got))
+    got = [tuple(r) for r in reached(df, seeds).collect()]
+    assert set(got) == some | {(g, b) for g, a, b in want if (g, a) in some} and len(got) == len(set(got))
+
+
+def test_bound_arguments(spark):
+    """What a bound argument gives is what the whole relation has for it, and less is written."""
+    rng = random.Random(21)
+    programs = [(str(i), make_program(rng)[0]) for i in range(6)]
+    make = lambda: from_programs(spark.createDataFrame(programs, "program_id string, source string"))
+    f = make()
+    for name in demand.BOUND:
+        whole = {tuple(r) for r in f.relation(name).select("program_id", "l", "r").collect()}
+        for side in "lr":
+            k = "lr".index(side) + 1
+            some = sorted({(w[0], w[k]) for w in whole}, key=repr)[::3]
+            kind = "long" if isinstance(some[0][1], int) else "string"
+            got = [tuple(r) for r in demand.bound(make(), name, spark.createDataFrame(some, f"program_id string, node {kind}"), side).collect()]
+            assert len(got) == len(set(got)) and set(got) == {w for w in whole if (w[0], w[k]) in some}, (name, side)
+
+
+def test_fewer_rows_are_written_for_fewer_bindings(spark, monkeypatch):
+    source = "".join(f"procedure p{i} {{ x = y; while (x > 1) {{ y = x + z; z = y; }} call q{i}; x = z; }} procedure q{i} {{ z = x; }}\n" for i in range(12))
+    rows = []
+    real = tables.written
+
+    def counted(df, name):
+        out = real(df, name)
+        rows.append(out.count())
+        return out
+
+    for module in (closure_module, demand, flow, relations, across, facts_module):
+        monkeypatch.setattr(module, "written", counted, raising=False)
+    taken = {}
+    for kind, seed in (("all", None), ("one", 1)):
+        f = from_programs(spark.createDataFrame([("p", source)], "program_id string, source string"))
+        rows.clear()
+        got = (f.relation("affects_t") if seed is None else demand.bound(f, "affects_t", spark.createDataFrame([("p", seed)], "program_id string, node long"), "l")).collect()
+        taken[kind] = sum(rows)
+        assert {(r["l"], r["r"]) for r in got if r["l"] == 1} == {(1, 3), (1, 4)}
+    assert taken["one"] * 4 < taken["all"]
+
+
 def test_fact_tables_round_trip(spark, alpha, tmp_path):
     from codeloom.sources.tables import read_facts, write_facts
 
