@@ -3,9 +3,8 @@
 Most read `events` as one program (see `codeloom.sources.events`), so every
 relation runs over the whole table; events have no branches and nest one
 deep, so `nested_*` read regions to orders as another program, with branches
-and loops four deep.  A few queries read the small programs below, parsed
-from text, and their SQL lists the rows; the relations across calls have such
-a query and one over the events.
+and loops four deep.  A few queries write the events as program texts and
+parse those, some of them made faulty first.
 """
 
 from __future__ import annotations
@@ -19,45 +18,7 @@ from codeloom.plans.query import Query, name
 from codeloom.sources.events import from_events
 from codeloom.sources.orders import from_orders
 from codeloom.sources.programs import from_programs, parse_errors
-
-#: A program with loops, branches and a call.
-ALPHA = """
-procedure alpha {
-  n = 3;
-  while (n > 0) {
-    t = n * 2 + k;
-    if (t == k) then { n = n - 1; } else { read k; }
-    call beta;
-  }
-  print t;
-}
-procedure beta { k = t; t = k + n; }
-"""
-
-#: Programs that break a rule each, and what is said about them.
-BROKEN = {
-    "braces": ("procedure a { x = 1;", ["braces do not match"]),
-    "character": ("procedure a { x = 1 ^ 2; }", ["unknown character", "no expression"]),
-    "double": ("procedure a { x = 1; } procedure a { x = 2; }", ["procedure declared twice"]),
-    "missing": ("procedure a { call b; }", ["undeclared procedure called"]),
-    "recursive": ("procedure a { call b; } procedure b { call a; }", ["recursive call"]),
-    "empty": (" ", ["no procedure"]),
-    "fine": ("procedure a { while = 1; if = while; }", []),
-    "semicolon": ("procedure a { x = 1 }", ["no statement"]),
-    "nothing": ("procedure a { x = ; }", ["no statement"]),
-    "operand": ("procedure a { x = 1 + ; }", ["no expression"]),
-    "else": ("procedure a { if (x > 1) then { x = 1; } y = 2; }", ["then and else do not match"]),
-    "then": ("procedure a { if (x > 1) { x = 1; } else { x = 2; } }", ["no statement", "then and else do not match"]),
-    "bare": ("procedure a { while (x) { x = 1; } }", ["no condition"]),
-    "test": ("procedure a { while () { x = 1; } }", ["no statement"]),
-    "print": ("procedure a { print x + 1; }", ["no statement"]),
-    "read": ("procedure a { read 5; }", ["no statement"]),
-    "name": ("procedure { x = 1; }", ["no statement"]),
-    "zero": ("procedure a { x = 01; }", ["no expression"]),
-    "inner": ("procedure a { procedure b { x = 1; } }", ["no statement"]),
-    "linked": ("procedure a { while ((x > 1) && (y > 2)) { if (!(x == y)) then { x = 1; } else { else = 2; } } }", []),
-    "links": ("procedure a { while ((x > 1) && (y > 2) && (z > 3)) { x = 1; } }", ["no condition"]),
-}
+from codeloom.sources.texts import FAULTS, faulty_texts, program_texts
 
 _BASE = """
 WITH RECURSIVE e AS (SELECT event_id AS no, user_id AS proc, ts, event_type AS et, TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events),
@@ -232,6 +193,7 @@ NESTED: dict[str, tuple[Build, str]] = {
     "nested_modifies_s": (pairs("modifies_s"), "SELECT no AS l, v AS r FROM mod0 UNION SELECT up.l, v FROM up JOIN mod0 ON mod0.no = up.r"),
     "nested_affects": (pairs("affects"), "SELECT DISTINCT a AS l, n AS r FROM af JOIN od ON od.no = af.n WHERE od.type = 'assign' AND od.used = af.v"),
     "nested_scan_if": (query(lambda f: Query(f, i="if").select("i")), "SELECT no AS i FROM cu"),
+    "pattern_if": (query(lambda f: Query(f, i="if").pattern("i", name("v3")).select("i")), "SELECT no AS i FROM cu WHERE ck % 20 = 3"),
     "nested_pattern_if": (query(lambda f: Query(f, i="if", v="variable").pattern("i", "v").select("i", "v")), "SELECT no AS i, 'v' || (ck % 20) AS v FROM cu"),
     "nested_if_in_loop": (query(lambda f: Query(f, w="while", i="if", a="assign").such_that("Parent*", "w", "i").such_that("Parent", "i", "a").pattern("a", name("v3")).select("w", "a")), "SELECT x.l AS w, od.no AS a FROM od JOIN up x ON x.r = od.parent WHERE od.type = 'assign' AND od.own = 'v3'"),
 }
@@ -243,31 +205,38 @@ INVALID: dict[str, tuple[Callable[[Facts], DataFrame], str]] = {
     "syntax_error": (lambda f: Query(f, a="assign").answer(lambda q: q.pattern("a", exact="x y"), "a"), "SELECT '' AS a WHERE false"),
 }
 
-#: Rows of the relations across calls of ALPHA, worked out by hand from their definitions.
-_LITERAL = {
-    "next_bip": [(1, 2), (2, 3), (2, 8), (3, 4), (4, 5), (4, 6), (5, 7), (6, 7), (7, 9), (9, 10), (10, 2)],
-    "next_bip_t": [(1, r) for r in range(2, 11)] + [(a, r) for a in (2, 3, 4, 5, 6, 7, 9, 10) for r in range(2, 11)],
-    "affects_bip": [(1, 3), (1, 5), (1, 10), (3, 9), (5, 3), (5, 5), (5, 10), (9, 3), (9, 10)],
-    "affects_bip_t": [(1, 3), (1, 5), (1, 10), (3, 9), (5, 3), (5, 5), (5, 10), (9, 3), (9, 10), (1, 9), (3, 3), (3, 10), (5, 9), (9, 9)],
-}
-_ALPHA_RELATIONS = {
-    "source_next_t": ("next_t", [(1, r) for r in range(2, 9)] + [(a, r) for a in range(2, 8) for r in range(2, 9)] + [(9, 10)]),
-    "source_affects": ("affects", [(1, 3), (1, 5), (5, 3), (5, 5), (9, 10)]),
-    "source_parent_t": ("parent_t", [(2, 3), (2, 4), (2, 7), (4, 5), (4, 6), (2, 5), (2, 6)]),
-    "source_follows": ("follows", [(1, 2), (2, 8), (3, 4), (4, 7), (9, 10)]),
+# Programs of eight users each, written as text and parsed again (`codeloom.sources.texts`).
+_TEXTS = _BASE.replace("TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k", "coalesce(TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS INT), 0) AS k").replace(
+    "WHEN et = 'purchase' AND k < 10 THEN 'call'",
+    "WHEN et = 'purchase' AND k < 10 AND EXISTS (SELECT 1 FROM e u WHERE u.proc = e.proc + (1 << (e.k % 8)) AND u.proc // 8 = e.proc // 8) THEN 'call' WHEN et = 'purchase' AND k < 10 THEN 'print'",
+)
+_NUMBERS = ", num AS (SELECT no, proc, CAST(proc // 8 AS VARCHAR) AS g, row_number() OVER (PARTITION BY proc // 8 ORDER BY proc, ord) AS n FROM s)"
+
+
+def numbered(ctes: str, pairs_sql: str) -> str:
+    """Pairs of events as pairs of statement numbers in their program."""
+    return f"{_TEXTS}{ctes}{_NUMBERS} SELECT x.g AS program_id, x.n AS l, y.n AS r FROM ({pairs_sql}) t JOIN num x ON x.no = t.l JOIN num y ON y.no = t.r"
+
+
+_FLOW_PAIRS = _FLOW.rindex("SELECT DISTINCT wa.a")
+#: Name to (builder over the texts' facts, whole SQL).
+TEXTS: dict[str, tuple[Build, str]] = {
+    "source_follows": (lambda f: f.relation("follows"), numbered("", "SELECT no AS l, sibling AS r FROM sib WHERE sibling IS NOT NULL")),
+    "source_parent_t": (lambda f: f.relation("parent_t"), numbered("", "SELECT parent AS l, no AS r FROM s WHERE parent IS NOT NULL")),
+    "source_next_t": (lambda f: f.relation("next_t"), numbered(_NEXT_T, "SELECT l, r FROM nt")),
+    "source_affects": (lambda f: f.relation("affects"), numbered("", "SELECT l, r FROM afs")),
+    "next_bip": (lambda f: f.relation("next_bip"), numbered(_BIP, "SELECT l, r FROM st WHERE kind = 'call' OR l NOT IN (SELECT no FROM fc)")),
+    "next_bip_t": (lambda f: f.relation("next_bip_t"), numbered(_BIP + _WALK, "SELECT DISTINCT a AS l, n AS r FROM wk")),
+    "affects_bip": (lambda f: f.relation("affects_bip"), numbered(_BIP + _FLOW[:_FLOW_PAIRS] % "(false)", _FLOW[_FLOW_PAIRS:])),
+    "affects_bip_t": (lambda f: f.relation("affects_bip_t"), numbered(_BIP + _FLOW[:_FLOW_PAIRS] % "(false), (true)", _FLOW[_FLOW_PAIRS:])),
+    "source_pattern": (lambda f: Query(f, a="assign").pattern("a", part="v17").select("a"), _TEXTS + _NUMBERS + " SELECT g AS program_id, n AS a FROM num JOIN s USING (no) WHERE type = 'assign' AND contains(expr, '(v17)')"),
+    "source_cross_kind": (
+        lambda f: Query(f, p="procedure", v="variable").with_("p.procName", "v.varName").select("p"),
+        _TEXTS + " SELECT DISTINCT CAST(a.proc // 8 AS VARCHAR) AS program_id, 'v' || (a.proc % 40) AS p FROM s a JOIN (SELECT proc, v FROM ud UNION SELECT proc, v FROM md) b ON b.proc // 8 = a.proc // 8 AND b.v = 'v' || (a.proc % 40)",
+    ),
 }
 
 
-def values(columns: str, rows: list[tuple]) -> str:
-    types = {int: "BIGINT", str: "VARCHAR"}
-    line = lambda r: "(" + ", ".join(f"CAST('{x}' AS {types[type(x)]})" for x in r) + ")"
-    return f"SELECT {columns} FROM (VALUES {', '.join(map(line, rows))}) t({columns})"
-
-
-def alpha(spark: SparkSession) -> Facts:
-    return from_programs(spark.createDataFrame([("alpha", ALPHA)], "program_id string, source string"))
-
-
 def events_facts(spark: SparkSession, sf_dir: str) -> Facts:
     return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -280,15 +249,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EVENTS["flow_of_variables"][0](events_facts(spark, sf_dir))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return program_texts(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: (lambda spark, sf_dir, b=b: b(events_facts(spark, sf_dir))) for k, (b, _) in EVENTS.items()}
-    for relation in _LITERAL:
-        found[relation] = lambda spark, sf_dir, r=relation: alpha(spark).relation(r).select("l", "r")
-    for key, (relation, _) in _ALPHA_RELATIONS.items():
-        found[key] = lambda spark, sf_dir, r=relation: alpha(spark).relation(r).select("l", "r")
-    found["pattern_if"] = lambda spark, sf_dir: Query(alpha(spark), i="if", v="variable").pattern("i", "v").select("i", "v").drop("program_id")
-    found["source_pattern"] = lambda spark, sf_dir: Query(alpha(spark), a="assign").pattern("a", part="n * 2").select("a").drop("program_id")
-    found["source_errors"] = lambda spark, sf_dir: parse_errors(spark.createDataFrame([(k, text) for k, (text, _) in BROKEN.items()], "program_id string, source string"))
+    found |= {k: (lambda spark, sf_dir, b=b: b(from_programs(texts(spark, sf_dir)))) for k, (b, _) in TEXTS.items()}
+    found["source_errors"] = lambda spark, sf_dir: parse_errors(faulty_texts(texts(spark, sf_dir)))
     found |= {k: (lambda spark, sf_dir, b=b: b(orders_facts(spark, sf_dir))) for k, (b, _) in NESTED.items()}
     found |= {k: (lambda spark, sf_dir, b=b: b(events_facts(spark, sf_dir))) for k, (b, _) in INVALID.items()}
     return found
@@ -296,11 +264,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {k: sql if _BASE in sql else _BASE + sql for k, (_, sql) in EVENTS.items()}
-    found |= {k: values("l, r", rows) for k, rows in _LITERAL.items()}
-    found |= {k: values("l, r", rows) for k, (_, rows) in _ALPHA_RELATIONS.items()}
-    found["pattern_if"] = values("i, v", [(4, "k"), (4, "t")])
-    found["source_pattern"] = values("a", [(3,)])
-    found["source_errors"] = values("program_id, message", [(k, m) for k, (_, messages) in BROKEN.items() for m in messages])
+    found |= {k: sql for k, (_, sql) in TEXTS.items()}
+    faults = ", ".join(f"({k}, '{m}')" for k, (_, messages) in FAULTS.items() for m in messages)
+    found["source_errors"] = f"SELECT DISTINCT CAST(user_id // 8 AS VARCHAR) AS program_id, message FROM events JOIN (VALUES {faults}) f(k, message) ON k = user_id // 8 % 8"
     found |= {k: _NESTED + sql for k, (_, sql) in NESTED.items()}
     found |= {k: sql for k, (_, sql) in INVALID.items()}
     return found

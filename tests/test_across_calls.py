@@ -7,8 +7,8 @@ import random
 import duckdb
 import pytest
 from codeloom.plans import registry
-from codeloom.plans.registry import ALPHA, _LITERAL
 from codeloom.sources.programs import from_programs
+from small_programs import _LITERAL, ALPHA
 from test_programs import make_program
 
 

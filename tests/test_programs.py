@@ -13,8 +13,8 @@ from codeloom.operators import closure as closure_module
 from codeloom.operators.closure import closure, closure_acyclic, closure_by_components, reached, reached_pairs
 from codeloom.plans import facts as facts_module
 from codeloom.plans.query import Query, SemanticError, name
-from codeloom.plans.registry import ALPHA, BROKEN
 from codeloom.sources.programs import from_programs, parse_errors, read_programs
+from small_programs import ALPHA, BROKEN
 
 
 @pytest.fixture(scope="module")
