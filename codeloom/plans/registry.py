@@ -12,7 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from codeloom.operators import subtrees
+from codeloom.operators.stored import StoredClosure
 from codeloom.plans.facts import Facts
 from codeloom.plans.query import Query, name
 from codeloom.sources.events import from_events
@@ -166,6 +169,38 @@ add("dup_clause", query(lambda f: Query(f, a="assign").such_that("Parent", "_",
 add("empty_group", query(lambda f: Query(f, a="assign", i="if").such_that("Parent", "i", "_").select("a")), "SELECT no AS a FROM s WHERE false")
 add("flow_of_variables", query(lambda f: Query(f, a="assign", b="assign", v="variable").such_that("Affects", "a", "b").such_that("Uses", "b", "v").such_that("Modifies", "a", "v").select("a", "b", "v")), "SELECT afs.l AS a, afs.r AS b, x.lhs AS v FROM afs JOIN s x ON x.no = afs.l")
 
+
+
+def kept_up(f: Facts) -> StoredClosure:
+    """Calls taken in by three batches, by what their callers are, as a log would bring them."""
+    edges = f.relation("calls").withColumn("batch", F.pmod(F.xxhash64("l"), F.lit(3)))
+    of = lambda k: edges.where(F.col("batch") == k).select("program_id", "l", "r")
+    stored = StoredClosure.of(of(0))
+    stored.add(of(1))
+    stored.add(of(2))
+    return stored
+
+
+def without_far_calls(f: Facts) -> DataFrame:
+    """The closure that is left when calls over 32 users and more are taken out again."""
+    stored = kept_up(f)
+    stored.remove(f.relation("calls").where(F.col("r").cast("long") - F.col("l").cast("long") >= 32))
+    return stored.pairs.select("l", "r")
+
+
+add("calls_t_incremental", lambda f: kept_up(f).pairs.select("l", "r"), "SELECT CAST(p AS VARCHAR) AS l, CAST(q AS VARCHAR) AS r FROM ct")
+add("calls_t_removed", without_far_calls, ", cn AS (SELECT DISTINCT proc AS p, callee AS q FROM s WHERE callee - proc < 32 UNION SELECT cn.p, s.callee FROM cn JOIN s ON s.proc = cn.q WHERE s.callee - s.proc < 32) SELECT CAST(p AS VARCHAR) AS l, CAST(q AS VARCHAR) AS r FROM cn")
+
+
+def pattern_table(f: Facts) -> DataFrame:
+    """Every variable, every constant and, for each constant, a sum with the variable that goes with it: as many patterns as the program has names, met in one join."""
+    parts = f.var.select(F.col("var").alias("pattern")).unionByName(f.const.select(F.col("value").alias("pattern")))
+    sums = f.const.select(F.concat(F.lit("v"), ((F.col("value").cast("int") * 7 + 3) % 20).cast("string"), F.lit(" + "), "value").alias("pattern"))
+    return subtrees.matches(subtrees.index(f), parts.unionByName(sums)).select("pattern", F.col("stmt_no").alias("a"))
+
+
+add("pattern_table", pattern_table, ", pt AS (SELECT v AS pattern, '(' || v || ')' AS form FROM (SELECT v FROM ud UNION SELECT v FROM md) UNION SELECT CAST(k AS VARCHAR), '(' || k || ')' FROM s UNION SELECT 'v' || ((k * 7 + 3) % 20) || ' + ' || k, '((v' || ((k * 7 + 3) % 20) || ')+(' || k || '))' FROM s) SELECT pattern, no AS a FROM s JOIN pt ON contains(expr, form) WHERE type = 'assign'")
+
 # The nested program of `codeloom.sources.orders`.
 _NESTED = """
 WITH RECURSIVE rg AS (SELECT CAST(r_regionkey AS BIGINT) * 4 AS no, r_regionkey AS rk, r_name AS proc FROM region),

@@ -8,12 +8,14 @@ import re
 import pytest
 from codeloom.functions.expressions import RELATIONS, canonical, is_condition
 from codeloom.functions import tables
-from codeloom.operators import across, demand, flow, relations
+from codeloom.operators import across, demand, flow, relations, subtrees
 from codeloom.operators import closure as closure_module
 from codeloom.operators.closure import closure, closure_acyclic, closure_by_components, reached, reached_pairs
+from codeloom.operators.stored import StoredClosure
 from codeloom.plans import facts as facts_module
 from codeloom.plans.query import Query, SemanticError, name
 from codeloom.sources.programs import from_programs, parse_errors, read_programs
+from pyspark.sql import functions as F
 from small_programs import ALPHA, BROKEN
 
 
@@ -339,19 +341,73 @@ def test_closure_by_components(spark):
     assert set(got) == some | {(g, b) for g, a, b in want if (g, a) in some} and len(got) == len(set(got))
 
 
+def closed(edges):
+    want = set(edges)
+    while True:
+        more = {(g, a, d) for g, a, b in want for h, c, d in edges if g == h and b == c} - want
+        if not more:
+            return want
+        want |= more
+
+
+def test_stored_closure(spark, tmp_path):
+    """After each batch in or out the pairs are those of the edges, and what is returned is the difference."""
+    rng = random.Random(31)
+    table = lambda edges: spark.createDataFrame(sorted(edges), "program_id string, l long, r long")
+    some = lambda n: {(rng.choice("ab"), rng.randrange(14), rng.randrange(14)) for _ in range(n)}
+    edges = some(14) | {("c", i, i + 1) for i in range(6)}
+    stored = StoredClosure.of(table(edges))
+    for step, take in enumerate(("in", "out", "in", "out")):
+        before = closed(edges)
+        batch = some(6) | {("c", 3, 4), ("c", 6, 7)} if take == "in" else set(rng.sample(sorted(edges), 6)) | {("z", 1, 2), ("c", 3, 4)}
+        edges = edges | batch if take == "in" else edges - batch
+        changed = {tuple(r) for r in (stored.add if take == "in" else stored.remove)(table(batch)).collect()}
+        got = [tuple(r) for r in stored.pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == closed(edges)
+        assert changed == closed(edges) ^ before
+        if step == 1:
+            stored.save(str(tmp_path / "stored"))
+            stored = StoredClosure.open(spark, str(tmp_path / "stored"))
+    assert {tuple(r) for r in stored.edges.collect()} == edges
+
+
+def test_subtree_index(spark):
+    rng = random.Random(12)
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["x", "y", "zz", "1", "10", "0"])
+        a, b = expression(depth - 1), expression(depth - 1)
+        return rng.choice([f"{a} {rng.choice('+-*/%')} {b}", f"({a} {rng.choice('+-*/%')} {b})"])
+
+    texts = [expression(4) for _ in range(60)]
+    source = "procedure p { " + " ".join(f"v = {t};" for t in texts) + " }"
+    f = from_programs(spark.createDataFrame([("p", source)], "program_id string, source string"))
+    patterns = sorted({expression(d) for d in (0, 0, 1, 1, 2, 4) for _ in range(6)}) + texts[:5] + ["x +", "", None, "x"]
+    table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    for exact in (False, True):
+        test = (lambda form, p: form == p) if exact else (lambda form, p: p in form)
+        want = {(p, i + 1) for p in set(patterns) if canonical(p) for i, t in enumerate(texts) if test(canonical(t), canonical(p))}
+        got = [(r["pattern"], r["stmt_no"]) for r in subtrees.matches(subtrees.index(f), table, exact).collect()]
+        assert set(got) == want and len(got) == len(want)
+    # Hashes that clash, here all of them, make no match.
+    clash = subtrees.index(f).withColumn("hash", F.lit(1).cast("long"))
+    one = spark.createDataFrame([("x",)], "pattern string")
+    assert subtrees.matches(clash, one).count() == 0
+
+
 def test_bound_arguments(spark):
     """What a bound argument gives is what the whole relation has for it, and less is written."""
     rng = random.Random(21)
     programs = [(str(i), make_program(rng)[0]) for i in range(6)]
-    make = lambda: from_programs(spark.createDataFrame(programs, "program_id string, source string"))
-    f = make()
-    for name in demand.BOUND:
+    f = from_programs(spark.createDataFrame(programs, "program_id string, source string"))
+    for name, sides in {"affects_t": "r", "affects_bip_t": "l", "next_bip_t": "r", "calls_t": "lr", "uses_p": "l", "modifies_p": "r"}.items():
         whole = {tuple(r) for r in f.relation(name).select("program_id", "l", "r").collect()}
-        for side in "lr":
+        for side in sides:
             k = "lr".index(side) + 1
             some = sorted({(w[0], w[k]) for w in whole}, key=repr)[::3]
             kind = "long" if isinstance(some[0][1], int) else "string"
-            got = [tuple(r) for r in demand.bound(make(), name, spark.createDataFrame(some, f"program_id string, node {kind}"), side).collect()]
+            got = [tuple(r) for r in demand.bound(f, name, spark.createDataFrame(some, f"program_id string, node {kind}"), side).collect()]
             assert len(got) == len(set(got)) and set(got) == {w for w in whole if (w[0], w[k]) in some}, (name, side)
 
 
