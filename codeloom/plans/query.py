@@ -142,6 +142,11 @@ class Query:
             return False
         return RELATIONS[relation] in demand.BOUND and isinstance(left, str) and isinstance(right, str) and left != right and (left != "_" or right != "_")
 
+    def _chooses(self, clause: tuple) -> bool:
+        """Whether a clause takes part of a domain: it has a literal, or compares attributes."""
+        kind, *args = clause
+        return kind == "with" or any(isinstance(x, (int, Name)) for x in args) or kind == "pattern" and (args[2] is not None or args[3] is not None)
+
     def _narrow(self, near: list[DataFrame], synonyms: tuple) -> DataFrame | None:
         """Bindings of the first synonym that the tables leave at most an eighth of its domain; None if there is none."""
         for s in synonyms:
@@ -231,19 +236,22 @@ class Query:
 
     def _bindings(self, wanted: set[str]) -> DataFrame:
         """All programs with a binding for every clause, and the bindings of the wanted synonyms."""
-        tables, late = [], []
-        for kind, *args in self.clauses:
+        made: dict[int, DataFrame] = {}
+        late = []
+        for i, (kind, *args) in enumerate(self.clauses):
             if kind == "relation" and self._waits(*args):
-                late.append(args)
+                late.append(i)
             else:
-                tables.append(getattr(self, f"_{kind}")(*args))
-        # A relation that loops make takes the bindings of what it meets, where that is selective.
+                made[i] = getattr(self, f"_{kind}")(*args)
+        # A relation that loops make takes the bindings of clauses that choose some: of those first that are bound already.
         while late:
-            args = next((a for a in late if any(x in t.columns for x in a[1:] for t in tables)), late[0])
-            late.remove(args)
-            near = [t for t in tables if set(args[1:]) & set(t.columns) - {"_"}]
-            known = self._narrow(near, args[1:]) if near else None
-            tables.append(self._relation(*args, known=known))
+            chosen = [t for i, t in made.items() if self._chooses(self.clauses[i])]
+            meets = lambda i: [t for t in chosen if set(self.clauses[i][2:]) & set(t.columns)]  # noqa: E731, B023
+            i = next((i for i in late if meets(i)), late[0])
+            late.remove(i)
+            made[i] = self._relation(*self.clauses[i][1:], known=self._narrow(meets(i), self.clauses[i][2:]))
+        # In the order of the clauses, which the joins keep where there is nothing to choose between them.
+        tables = [made[i] for i in sorted(made)]
         tables += [self.domain(s) for s in sorted(wanted) if not any(s in t.columns for t in tables)]
         groups: list[list[DataFrame]] = []
         for t in tables:
