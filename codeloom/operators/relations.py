@@ -155,6 +155,39 @@ def next_t(f: Facts) -> DataFrame:
     return same.unionByName(pairs.where("loop_l is null or loop_r is null or loop_l <> loop_r").select("program_id", "l", "r").join(apart, ["program_id", "l", "r"], "left_anti"))
 
 
+def labels(f: Facts) -> DataFrame:
+    """What tells of two statements whether they are in Follows*, Parent* or Next*: (program_id, stmt_no, at), a row for each.
+
+    `at` has procedure, block, place in both, last statement inside, the
+    outermost loop around (itself included), and the `if`s whose then or else
+    branch holds the statement.
+    """
+    up = f.relation("parent_t").select("program_id", F.col("l").alias("above"), F.col("r").alias("stmt_no"))
+    up = up.unionByName(f.stmt.select("program_id", F.col("stmt_no").alias("above"), "stmt_no"))
+    kinds = f.stmt.select("program_id", F.col("stmt_no").alias("above"), "type", "branch", "parent_no", F.col("ord").alias("above_ord"), (F.col("last_ord") > F.col("ord")).alias("full"))
+    arm = lambda which: F.collect_set(F.when(F.col("branch") == which, F.col("parent_no"))).alias(which)
+    around = up.join(kinds, ["program_id", "above"]).groupBy("program_id", "stmt_no").agg(F.min(F.when((F.col("type") == "while") & F.col("full"), F.col("above_ord"))).alias("loop"), arm("then"), arm("else"))
+    s = f.stmt.select("program_id", "stmt_no", "proc", "block_id", "pos", "ord", "last_ord", F.col("type").isin("while", "if").alias("holds"))
+    s = s.join(around, ["program_id", "stmt_no"])
+    return written(s.select("program_id", "stmt_no", F.struct(*[c for c in s.columns if c not in ("program_id", "stmt_no")]).alias("at")), "labels")
+
+
+#: Starred relations as tests of the labels of two statements.
+TESTS = {
+    "follows_t": lambda a, b: (a["block_id"] == b["block_id"]) & (a["pos"] < b["pos"]),
+    "parent_t": lambda a, b: a["holds"] & (a["proc"] == b["proc"]) & (a["ord"] < b["ord"]) & (b["ord"] <= a["last_ord"]),
+    # In one loop; or later, and not in the other branch of an `if`.
+    "next_t": lambda a, b: (a["proc"] == b["proc"]) & (F.coalesce(a["loop"] == b["loop"], F.lit(False)) | ((a["ord"] < b["ord"]) & ~F.arrays_overlap(a["then"], b["else"]))),
+}
+
+
+def tested(f: Facts, relation: str, table: DataFrame, left: str, right: str) -> DataFrame:
+    """Rows of a table whose statements `left` and `right` are in a relation: by their labels, without its pairs."""
+    at = lambda c, name: f.relation("labels").select("program_id", F.col("stmt_no").alias(c), F.col("at").alias(name))
+    both = table.join(at(left, "_l"), ["program_id", left]).join(at(right, "_r"), ["program_id", right])
+    return both.where(TESTS[relation](F.col("_l"), F.col("_r"))).select(table.columns)
+
+
 def affects(f: Facts) -> DataFrame:
     """What a procedure may modify, a call of it kills."""
     called = f.call_edge.join(f.table("modifies_p").withColumnsRenamed({"l": "callee", "r": "var"}), ["program_id", "callee"])

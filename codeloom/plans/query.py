@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.expressions import canonical
 from codeloom.functions.tables import written
-from codeloom.operators import demand
+from codeloom.operators import demand, relations
 from codeloom.plans.facts import Facts
 
 STATEMENTS = ("read", "print", "call", "while", "if", "assign")
@@ -96,8 +96,8 @@ class Query:
         """(program_id, synonym): everything that a synonym may stand for."""
         return entity(self.facts, self._entity(synonym)).withColumnRenamed("x", synonym)
 
-    def _relation(self, relation: str, left, right, known: DataFrame | None = None) -> DataFrame:
-        """Bindings of a relation.  Where an argument is bound, by a literal or by the bindings `known` so far, relations that loops make are derived for these alone."""
+    def _kinds(self, relation: str, left, right) -> str:
+        """The function that computes a relation, if arguments of these kinds may stand in it."""
         f = RELATIONS[relation]
         kind_of = lambda x: self._entity(x) if isinstance(x, str) and x != "_" else None
         variables = relation in ("Uses", "Modifies")
@@ -116,6 +116,12 @@ class Query:
         for x, want in zip((left, right), wants):
             if isinstance(x, int) and "stmt" not in want or isinstance(x, Name) and "stmt" in want or kind_of(x) and kind_of(x) not in want:
                 raise SemanticError(f"{x} can't be an argument of {relation}")
+        return f
+
+    def _relation(self, relation: str, left, right, known: DataFrame | None = None) -> DataFrame:
+        """Bindings of a relation.  Where an argument is bound, by a literal or by the bindings `known` so far, relations that loops make are derived for these alone."""
+        f = self._kinds(relation, left, right)
+        kind_of = lambda x: self._entity(x) if isinstance(x, str) and x != "_" else None
         t = None
         if f in demand.BOUND:
             literal = next(((c, x) for c, x in (("l", left), ("r", right)) if not isinstance(x, str)), None)
@@ -142,6 +148,28 @@ class Query:
             return False
         return RELATIONS[relation] in demand.BOUND and isinstance(left, str) and isinstance(right, str) and left != right and (left != "_" or right != "_")
 
+    def _checks(self) -> list[int]:
+        """Clauses of starred relations whose synonyms other clauses bring together: they test rows, so their pairs are never made."""
+        able = lambda c: c[0] == "relation" and RELATIONS[c[1]] in relations.TESTS and c[2] != c[3] and all(isinstance(x, str) and x != "_" for x in c[2:])
+        groups: list[set[str]] = []
+
+        def bring(synonyms: set[str]) -> None:
+            nonlocal groups
+            near = [g for g in groups if g & synonyms]
+            groups = [g for g in groups if g not in near] + [synonyms.union(*near)]
+
+        for kind, *args in self.clauses:
+            if not able((kind, *args)):
+                bring({x.partition(".")[0] for x in args[kind == "relation" :] if isinstance(x, str) and x.partition(".")[0] in self.synonyms})
+        found = []
+        for i, c in enumerate(self.clauses):
+            if able(c):
+                if any(set(c[2:]) <= g for g in groups):
+                    found.append(i)
+                else:
+                    bring(set(c[2:]))
+        return found
+
     def _chooses(self, clause: tuple) -> bool:
         """Whether a clause takes part of a domain: it has a literal, or compares attributes."""
         kind, *args = clause
@@ -237,9 +265,11 @@ class Query:
     def _bindings(self, wanted: set[str]) -> DataFrame:
         """All programs with a binding for every clause, and the bindings of the wanted synonyms."""
         made: dict[int, DataFrame] = {}
-        late = []
+        late, checks = [], self._checks()
         for i, (kind, *args) in enumerate(self.clauses):
-            if kind == "relation" and self._waits(*args):
+            if i in checks:
+                self._kinds(*args)
+            elif kind == "relation" and self._waits(*args):
                 late.append(i)
             else:
                 made[i] = getattr(self, f"_{kind}")(*args)
@@ -267,6 +297,9 @@ class Query:
                 t = max(rest, key=lambda x: len(set(x.columns) & set(joined.columns)))
                 rest = [x for x in rest if x is not t]
                 joined = joined.join(t, [c for c in joined.columns if c in t.columns])
+            for _, relation, left, right in (self.clauses[i] for i in checks):
+                if left in joined.columns:
+                    joined = relations.tested(self.facts, RELATIONS[relation], joined, left, right)
             keep = [c for c in joined.columns if c in wanted]
             (kept if keep else tests).append(joined.select("program_id", *keep).distinct())
         # With one group that is selected from there is nothing to join it with; of the others only a row for each program counts.

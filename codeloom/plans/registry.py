@@ -131,6 +131,9 @@ add("next_bip_t_to", query(lambda f: Query(f, n="prog_line").such_that("NextBip*
 add("calls_t_from", query(lambda f: Query(f, p="procedure").such_that("Calls*", name("74"), "p").select("p")), "SELECT CAST(q AS VARCHAR) AS p FROM ct WHERE p = 74")
 add("uses_proc_name", query(lambda f: Query(f, p="procedure").such_that("Uses", "p", name("v3")).select("p")), "SELECT CAST(p AS VARCHAR) AS p FROM up WHERE v = 'v3'")
 add("uses_of_proc", query(lambda f: Query(f, v="variable").such_that("Uses", name("74"), "v").select("v")), "SELECT v FROM up WHERE p = 74")
+# Starred relations between synonyms that other clauses bring together test rows.
+add("next_t_tested", query(lambda f: Query(f, a="assign", b="assign").such_that("Affects", "a", "b").such_that("Next*", "b", "a").select("a", "b")), _NEXT_T + " SELECT afs.l AS a, afs.r AS b FROM afs JOIN nt ON nt.l = afs.r AND nt.r = afs.l")
+add("follows_t_tested", query(lambda f: Query(f, a="assign", b="assign").such_that("Affects", "a", "b").such_that("Follows*", "a", "b").select("a", "b")), "SELECT afs.l AS a, afs.r AS b FROM afs JOIN s x ON x.no = afs.l JOIN s y ON y.no = afs.r WHERE x.proc = y.proc AND x.block = y.block AND x.ord < y.ord")
 
 add("follows_lit", query(lambda f: Query(f, x="stmt").such_that("Follows", 11, "x").select("x")), "SELECT sibling AS x FROM sib WHERE no = 11 AND sibling IS NOT NULL")
 add("follows_t_assign", query(lambda f: Query(f, a="assign", w="while").such_that("Follows*", "a", "w").select("a", "w")), "SELECT a.no AS a, b.no AS w FROM s a JOIN s b ON a.proc = b.proc AND a.block = b.block AND a.ord < b.ord WHERE a.type = 'assign' AND b.type = 'while'")
@@ -227,6 +230,8 @@ NESTED: dict[str, tuple[Build, str]] = {
     "nested_uses_s": (pairs("uses_s"), "SELECT no AS l, v AS r FROM use0 UNION SELECT up.l, v FROM up JOIN use0 ON use0.no = up.r"),
     "nested_modifies_s": (pairs("modifies_s"), "SELECT no AS l, v AS r FROM mod0 UNION SELECT up.l, v FROM up JOIN mod0 ON mod0.no = up.r"),
     "nested_affects": (pairs("affects"), "SELECT DISTINCT a AS l, n AS r FROM af JOIN od ON od.no = af.n WHERE od.type = 'assign' AND od.used = af.v"),
+    # All of a region is one loop.
+    "nested_next_t_tested": (query(lambda f: Query(f, a="assign", b="assign", i="if").such_that("Affects", "a", "b").such_that("Parent", "i", "a").such_that("Next*", "b", "i").such_that("Parent*", "i", "b").select("a", "b")), "SELECT DISTINCT af.a, af.n AS b FROM af JOIN od x ON x.no = af.a JOIN od y ON y.no = af.n WHERE y.type = 'assign' AND y.used = af.v AND x.parent = y.parent"),
     "nested_scan_if": (query(lambda f: Query(f, i="if").select("i")), "SELECT no AS i FROM cu"),
     "pattern_if": (query(lambda f: Query(f, i="if").pattern("i", name("v3")).select("i")), "SELECT no AS i FROM cu WHERE ck % 20 = 3"),
     "nested_pattern_if": (query(lambda f: Query(f, i="if", v="variable").pattern("i", "v").select("i", "v")), "SELECT no AS i, 'v' || (ck % 20) AS v FROM cu"),

@@ -284,6 +284,9 @@ def test_random_programs_against_brute_force(spark):
                     to = info[b][4]
                     if v not in info[b][2] and not (to is not None and v in modified[to]):
                         todo.append(b)
+    everything = f.stmt.select("program_id", F.col("stmt_no").alias("a")).join(f.stmt.select("program_id", F.col("stmt_no").alias("b")), "program_id")
+    for relation in relations.TESTS:
+        assert {tuple(r) for r in relations.tested(f, relation, everything, "a", "b").select("program_id", "a", "b").collect()} == by(relation), relation
     assert by("next") == nxt
     assert by("next_t") == nxt_t
     assert by("affects") == affects
