@@ -404,7 +404,7 @@ def test_bound_arguments(spark):
     rng = random.Random(21)
     programs = [(str(i), make_program(rng)[0]) for i in range(6)]
     f = from_programs(spark.createDataFrame(programs, "program_id string, source string"))
-    for name, sides in {"affects_t": "r", "affects_bip_t": "l", "next_bip_t": "r", "calls_t": "lr", "uses_p": "l", "modifies_p": "r"}.items():
+    for name, sides in {"affects_t": "r", "affects_bip_t": "l", "calls_t": "lr", "uses_p": "l", "modifies_p": "r"}.items():
         whole = {tuple(r) for r in f.relation(name).select("program_id", "l", "r").collect()}
         for side in sides:
             k = "lr".index(side) + 1
