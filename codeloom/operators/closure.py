@@ -57,19 +57,20 @@ def closure_acyclic(edges: DataFrame) -> DataFrame:
         step = written(_then(step, step).distinct(), "step")
 
 
-def reached(edges: DataFrame, seeds: DataFrame, steps: int = 4) -> DataFrame:
+def reached(edges: DataFrame, seeds: DataFrame, steps: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
     """(program_id, node): the seeds (program_id, node), and what edges (program_id, l, r) lead to from them.
 
     A frontier goes `steps` edges on in one job; no pair of a start and an end
-    is made, and edges that no seed leads to are never followed.
+    is made, and edges that no seed leads to are never followed.  Columns
+    `carried` go along with the seeds: (program_id, node, *carried).
     """
-    columns = ["program_id", "node"]
+    columns = ["program_id", "node", *carried]
     onward = edges.select("program_id", F.col("l").alias("node"), F.col("r").alias("to"))
     known = front = written(seeds.select(*columns).distinct(), "reached")
     while True:
         found = None
         for i in range(steps):
-            front = front.join(onward, columns).select("program_id", F.col("to").alias("node")).distinct()
+            front = front.join(onward, ["program_id", "node"]).select("program_id", F.col("to").alias("node"), *carried).distinct()
             here = front.withColumn("step", F.lit(i))
             found = here if found is None else found.unionByName(here)
         delta = written(found.groupBy(*columns).agg(F.min("step").alias("step")).join(known, columns, "left_anti"), "reached")

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from codeloom.functions.tables import written
 from codeloom.operators import across, flow
-from codeloom.operators.closure import closure_acyclic, closure_by_components, turned
+from codeloom.operators.closure import closure_acyclic, closure_by_components, reached, turned
 from codeloom.plans.facts import Facts
 
 
@@ -62,10 +62,9 @@ def calls_t(f: Facts) -> DataFrame:
 
 
 def _by_procedure(f: Facts, direct: DataFrame) -> DataFrame:
-    own = direct.join(f.stmt.select("program_id", "stmt_no", "proc"), ["program_id", "stmt_no"]).select("program_id", "proc", "var").distinct()
-    through = f.relation("calls_t").select("program_id", F.col("l").alias("caller"), F.col("r").alias("proc"))
-    inherited = through.join(own, ["program_id", "proc"]).select("program_id", F.col("caller").alias("proc"), "var")
-    return _pairs(own.unionByName(inherited).distinct(), "proc", "var")
+    """Own variables, and those of callees, which climb the calls until no caller learns of a new one; pairs of procedures are not made."""
+    own = direct.join(f.stmt.select("program_id", "stmt_no", F.col("proc").alias("node")), ["program_id", "stmt_no"])
+    return _pairs(reached(turned(f.relation("calls")), own, carried=("var",)), "node", "var")
 
 
 def _by_statement(f: Facts, direct: DataFrame, by_proc: str) -> DataFrame:

@@ -4,8 +4,9 @@
     q.such_that("Modifies", "a", "v").pattern("a", "v", part="x + 1").with_("s.stmt#", "a.stmt#").select("s", "v")
 
 A clause is a table of bindings, a column for each synonym.  Clauses that
-share synonyms join on them; groups that share none join on the program, and
-groups that no selected synonym is in only decide which programs qualify.
+share synonyms join on them (`codeloom.operators.joins`); groups that share
+none join on the program, and groups that no selected synonym is in only
+decide which programs qualify.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.expressions import canonical
 from codeloom.functions.tables import written
-from codeloom.operators import demand, relations
+from codeloom.operators import demand, joins, relations
 from codeloom.plans.facts import Facts
 
 STATEMENTS = ("read", "print", "call", "while", "if", "assign")
@@ -28,6 +29,11 @@ RELATIONS = {
     "Follows": "follows", "Follows*": "follows_t", "Parent": "parent", "Parent*": "parent_t", "Calls": "calls", "Calls*": "calls_t", "Next": "next", "Next*": "next_t",
     "Affects": "affects", "Affects*": "affects_t", "NextBip": "next_bip", "NextBip*": "next_bip_t", "AffectsBip": "affects_bip", "AffectsBip*": "affects_bip_t", "Uses": "uses", "Modifies": "modifies",
 }
+#: Statements that neither hold nor call others, and the tables of their variables.
+SIMPLE = ("assign", "read", "print")
+OWN = {"uses_s": "use_direct", "modifies_s": "mod_direct"}
+#: A BOOLEAN looks for its first witness in growing parts of a domain: ends of the parts, of 64.
+SLICES = (1, 8, 64)
 #: Which entities have which attribute.
 ATTRIBUTES = {
     "stmt#": ("stmt", *STATEMENTS),
@@ -123,6 +129,9 @@ class Query:
         f = self._kinds(relation, left, right)
         kind_of = lambda x: self._entity(x) if isinstance(x, str) and x != "_" else None
         t = None
+        if f in OWN and kind_of(left) in SIMPLE:
+            # What holds and calls nothing has the variables of its own text.
+            t = getattr(self.facts, OWN[f]).select("program_id", F.col("stmt_no").alias("l"), F.col("var").alias("r"))
         if f in demand.BOUND:
             literal = next(((c, x) for c, x in (("l", left), ("r", right)) if not isinstance(x, str)), None)
             joined = next(((c, x) for c, x in (("l", left), ("r", right)) if known is not None and x in known.columns), None)
@@ -262,9 +271,9 @@ class Query:
 
     # Answers.
 
-    def _bindings(self, wanted: set[str]) -> DataFrame:
-        """All programs with a binding for every clause, and the bindings of the wanted synonyms."""
-        made: dict[int, DataFrame] = {}
+    def _bindings(self, wanted: set[str], part: DataFrame | None = None) -> DataFrame:
+        """All programs with a binding for every clause, and the bindings of the wanted synonyms; `part` (program_id, synonym) leaves some of a domain."""
+        made: dict[int, DataFrame] = {} if part is None else {-1: part}
         late, checks = [], self._checks()
         for i, (kind, *args) in enumerate(self.clauses):
             if i in checks:
@@ -275,7 +284,7 @@ class Query:
                 made[i] = getattr(self, f"_{kind}")(*args)
         # A relation that loops make takes the bindings of clauses that choose some: of those first that are bound already.
         while late:
-            chosen = [t for i, t in made.items() if self._chooses(self.clauses[i])]
+            chosen = [t for i, t in made.items() if i < 0 or self._chooses(self.clauses[i])]
             meets = lambda i: [t for t in chosen if set(self.clauses[i][2:]) & set(t.columns)]  # noqa: E731, B023
             i = next((i for i in late if meets(i)), late[0])
             late.remove(i)
@@ -290,22 +299,17 @@ class Query:
             groups = [g for g in groups if g not in near] + [[t, *[x for g in near for x in g]]]
         kept, tests = [], []
         for g in groups:
-            g = sorted(g, key=lambda t: len(t.columns))
-            joined, rest = g[0], g[1:]
-            while rest:
-                # Next a table that shares a synonym, so that no product arises within a group.
-                t = max(rest, key=lambda x: len(set(x.columns) & set(joined.columns)))
-                rest = [x for x in rest if x is not t]
-                joined = joined.join(t, [c for c in joined.columns if c in t.columns])
-            for _, relation, left, right in (self.clauses[i] for i in checks):
-                if left in joined.columns:
-                    joined = relations.tested(self.facts, RELATIONS[relation], joined, left, right)
+            here = set().union(*[t.columns for t in g]) - {"program_id"}
+            later = [self.clauses[i] for i in checks if self.clauses[i][2] in here]
+            joined = joins.natural(g, (wanted & here).union(*[c[2:] for c in later]))
+            for _, relation, left, right in later:
+                joined = relations.tested(self.facts, RELATIONS[relation], joined, left, right)
             keep = [c for c in joined.columns if c in wanted]
             (kept if keep else tests).append(joined.select("program_id", *keep).distinct())
         # With one group that is selected from there is nothing to join it with; of the others only a row for each program counts.
         out = kept[0] if kept else self.programs()
         for t in kept[1:]:
-            out = out.join(t, "program_id")
+            out = joins.product(out, t)
         for t in tests:
             out = out.join(t, "program_id", "left_semi")
         return out
@@ -330,9 +334,38 @@ class Query:
 
     def boolean(self) -> DataFrame:
         """(program_id, holds) for every program."""
-        true = self._bindings(set()).select("program_id").distinct().withColumn("found", F.lit(True))
+        true = self._witnessed().select("program_id").distinct().withColumn("found", F.lit(True))
         return self.programs().join(true, "program_id", "left").select("program_id", F.coalesce("found", F.lit(False)).alias("holds"))
 
+    def _witnessed(self) -> DataFrame:
+        """Programs with a binding for every clause.
+
+        Where a relation that loops make is in the way, with no literal that
+        seeds it, a synonym of it is bound to a growing part of its domain,
+        by procedures, so that the relation is derived for that part alone;
+        programs in which a part has a witness are done.
+        """
+        waiting = [c for c in self.clauses if c[0] == "relation" and self._waits(*c[1:])]
+        pivots = [x for c in waiting for x in c[2:] if x in self.synonyms]
+        if not pivots or any(self._chooses(c) for c in self.clauses):
+            return self._bindings(set())
+        pivot = pivots[0]
+        kind = self._entity(pivot)
+        if kind == "procedure":
+            domain = self.domain(pivot).withColumn("within", F.col(pivot))
+        else:
+            domain = self.facts.stmt.where(F.lit(kind not in STATEMENTS) | (F.col("type") == kind)).select("program_id", F.col("stmt_no").alias(pivot), F.col("proc").alias("within"))
+        dealt = domain.withColumn("part", F.pmod(F.xxhash64("program_id", "within"), F.lit(SLICES[-1])))
+        undecided, found, begin = self.programs(), None, 0
+        for end in SLICES:
+            some = dealt.where((F.col("part") >= begin) & (F.col("part") < end)).join(undecided, "program_id", "left_semi").select("program_id", pivot)
+            true = written(self._bindings(set(), written(some, "slice")).select("program_id").distinct(), "witnesses")
+            found, begin = true if found is None else found.unionByName(true), end
+            undecided = written(undecided.join(true, "program_id", "left_anti"), "undecided")
+            if undecided.isEmpty():
+                break
+        return found
+
     def answer(self, clauses: Callable[[Query], Query], *elements: str) -> DataFrame:
         """The answer with further clauses, which may mean nothing: as text, without program_id; without elements `holds`.
 

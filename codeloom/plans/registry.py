@@ -172,6 +172,13 @@ add("dup_clause", query(lambda f: Query(f, a="assign").such_that("Parent", "_",
 add("empty_group", query(lambda f: Query(f, a="assign", i="if").such_that("Parent", "i", "_").select("a")), "SELECT no AS a FROM s WHERE false")
 add("flow_of_variables", query(lambda f: Query(f, a="assign", b="assign", v="variable").such_that("Affects", "a", "b").such_that("Uses", "b", "v").such_that("Modifies", "a", "v").select("a", "b", "v")), "SELECT afs.l AS a, afs.r AS b, x.lhs AS v FROM afs JOIN s x ON x.no = afs.l")
 
+# Clauses that meet in cycles and trees: the joins of two tables alone would be far larger than the answers.
+add("cycle_of_three", query(lambda f: Query(f, p="print", v="variable", r="read").such_that("Uses", "p", "v").such_that("Modifies", "r", "v").such_that("Next", "r", "p").select("r", "p", "v")), "SELECT x.no AS r, y.no AS p, x.io AS v FROM nx JOIN s x ON x.no = nx.l JOIN s y ON y.no = nx.r WHERE x.type = 'read' AND y.type = 'print' AND x.io = y.io")
+add("cycle_of_four", query(lambda f: Query(f, p="print", v="variable", r="read", w="while").such_that("Uses", "p", "v").such_that("Modifies", "r", "v").such_that("Parent", "w", "r").such_that("Parent", "w", "p").select("w", "v")), "SELECT DISTINCT x.parent AS w, x.io AS v FROM s x JOIN s y ON x.parent = y.parent AND x.io = y.io WHERE x.type = 'read' AND y.type = 'print'")
+add("tree_of_clauses", query(lambda f: Query(f, p="print", v="variable", r="read", w="while").such_that("Uses", "p", "v").such_that("Modifies", "r", "v").such_that("Parent", "w", "p").select("r")), "SELECT no AS r FROM s WHERE type = 'read' AND io IN (SELECT io FROM s WHERE type = 'print' AND parent IS NOT NULL)")
+add("tree_outwards", query(lambda f: Query(f, p="print", v="variable", r="read", w="while", c="call").such_that("Uses", "p", "v").such_that("Modifies", "r", "v").such_that("Parent", "w", "p").such_that("Follows", "c", "r").select("v", "w")), "SELECT DISTINCT io AS v, parent AS w FROM s WHERE type = 'print' AND parent IS NOT NULL AND io IN (SELECT y.io FROM sib JOIN s y ON y.no = sib.sibling WHERE sib.type = 'call' AND y.type = 'read')")
+add("product_of_groups", query(lambda f: Query(f, p="print", q="print", c="call").such_that("Follows", "p", "q").with_("p.varName", "q.varName").such_that("Parent", "_", "c").select("p", "c.procName")), "SELECT DISTINCT x.no AS p, CAST(z.callee AS VARCHAR) AS c_procName FROM sib x JOIN s y ON y.no = x.sibling, s z WHERE x.type = 'print' AND y.type = 'print' AND x.io = y.io AND z.parent IS NOT NULL AND z.callee IS NOT NULL")
+add("affects_t_exists", query(lambda f: Query(f, a="assign", b="assign").such_that("Affects*", "a", "b").such_that("Next", "b", "a").boolean()), _AFFECTS_T + " SELECT count(*) > 0 AS holds FROM aft JOIN nx ON nx.l = aft.r AND nx.r = aft.l")
 
 
 def kept_up(f: Facts) -> StoredClosure:
@@ -269,6 +276,11 @@ TEXTS: dict[str, tuple[Build, str]] = {
     "next_bip_t": (lambda f: f.relation("next_bip_t"), numbered(_BIP + _WALK, "SELECT DISTINCT a AS l, n AS r FROM wk")),
     "affects_bip": (lambda f: f.relation("affects_bip"), numbered(_BIP + _FLOW[:_FLOW_PAIRS] % "(false)", _FLOW[_FLOW_PAIRS:])),
     "affects_bip_t": (lambda f: f.relation("affects_bip_t"), numbered(_BIP + _FLOW[:_FLOW_PAIRS] % "(false), (true)", _FLOW[_FLOW_PAIRS:])),
+    # Programs with a witness, each found in the first part of its procedures that has one.
+    "source_affects_t_exists": (
+        lambda f: Query(f, a="assign", b="assign").such_that("Affects*", "a", "b").such_that("Next", "b", "a").boolean(),
+        _TEXTS + _AFFECTS_T + _NUMBERS + " SELECT n.g AS program_id, coalesce(bool_or(x.hit), false) AS holds FROM num n LEFT JOIN (SELECT DISTINCT aft.l AS no, true AS hit FROM aft JOIN nx ON nx.l = aft.r AND nx.r = aft.l) x USING (no) GROUP BY n.g",
+    ),
     "source_pattern": (lambda f: Query(f, a="assign").pattern("a", part="v17").select("a"), _TEXTS + _NUMBERS + " SELECT g AS program_id, n AS a FROM num JOIN s USING (no) WHERE type = 'assign' AND contains(expr, '(v17)')"),
     "source_cross_kind": (
         lambda f: Query(f, p="procedure", v="variable").with_("p.procName", "v.varName").select("p"),
