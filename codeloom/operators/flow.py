@@ -6,7 +6,8 @@ segment it goes on behind the container of the list (and, for a loop, to the
 body again).  What the first segment of a list uses, the container uses.  So
 both sides climb one level of nesting a round, and meet by equality of list,
 variable and segment: no task holds a procedure, and the rounds do not depend
-on the number of statements.
+on the number of statements.  Lists longer than a cell are cut into pieces for
+their kills, and long segments into pairs of cells.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.functions.runs import in_order, running
 from codeloom.functions.tables import written
 from codeloom.plans.facts import Facts
 
@@ -64,7 +66,13 @@ def _climb(f: Facts, nodes: DataFrame, killed: DataFrame) -> DataFrame:
     level, out = nodes.select("program_id", F.col("stmt_no").alias("node"), "stmt_no", "var", "tag").distinct(), None
     while True:
         rows = level.join(at, ["program_id", "stmt_no"]).unionByName(marks)
-        rows = rows.withColumns({"seg": F.sum(is_kill).over(w.orderBy("pos", "tag").rowsBetween(Window.unboundedPreceding, 0)), "kills": F.sum(is_kill).over(w)})
+        if f.piece is None:
+            rows = rows.withColumns({"seg": F.sum(is_kill).over(w.orderBy("pos", "tag").rowsBetween(Window.unboundedPreceding, 0)), "kills": F.sum(is_kill).over(w)})
+        else:
+            # Some list is long: its kills are counted in pieces, then over the pieces.
+            rows = written(rows.withColumns({"piece": f.piece, "place": F.struct("pos", "tag")}), "in-pieces")
+            total = rows.groupBy(*LIST).agg(F.sum(is_kill).alias("kills"))
+            rows = running(rows, LIST, "place", sums={"seg": is_kill}, piece="piece").join(total, LIST)
         rows = rows.withColumn("open", F.col("seg") == F.when(F.col("tag") == SET, F.col("kills")).otherwise(0))
         rows = written(rows.where(F.col("tag") != KILLED).select(*LIST, "node", "tag", "pos", "seg", "parent_no", "open"), "climb")
         out = rows if out is None else out.unionByName(rows)
@@ -84,7 +92,7 @@ def meetings(f: Facts, setters: DataFrame, users: DataFrame, killed: DataFrame)
     ups, downs = both.where(F.col("tag") == SET), both.where(F.col("tag") == USED)
     a = ups.select(*LIST, "seg", F.col("node").alias("l"), F.col("pos").alias("pos_l"))
     b = downs.select(*LIST, "seg", F.col("node").alias("r"), F.col("pos").alias("pos_r"))
-    ahead = a.join(b, [*LIST, "seg"]).where("pos_l < pos_r").select("program_id", "l", "r", "var")
+    ahead = in_order(a, b, [*LIST, "seg"]).select("program_id", "l", "r", "var")
     loops = f.stmt.where("type = 'while'").select("program_id", F.col("stmt_no").alias("parent_no"))
     onward = ups.where("open").join(loops, ["program_id", "parent_no"]).select("program_id", "parent_no", "var", F.col("node").alias("l"))
     again = downs.where("open").select("program_id", "parent_no", "var", F.col("node").alias("r"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeloom.functions.runs import in_order, neighbours
 from codeloom.functions.tables import written
 from codeloom.operators import across, flow
 from codeloom.operators.closure import closure_acyclic, closure_by_components, reached, turned
@@ -22,15 +23,22 @@ def _pairs(df: DataFrame, left: str, right: str) -> DataFrame:
     return df.select("program_id", F.col(left).alias("l"), F.col(right).alias("r"))
 
 
+def _siblings(f: Facts) -> DataFrame:
+    """Statements with `sibling`, the next one of their list."""
+    if f.piece is None:
+        return f.stmt.withColumn("sibling", F.lead("stmt_no").over(Window.partitionBy("program_id", "block_id").orderBy("pos")))
+    t = written(f.stmt.withColumn("piece", f.piece), "in-pieces")
+    return neighbours(t, ["program_id", "block_id"], "pos", "stmt_no", "piece").withColumnRenamed("next", "sibling")
+
+
 def follows(f: Facts) -> DataFrame:
-    w = Window.partitionBy("program_id", "block_id").orderBy("pos")
-    return _pairs(f.stmt.withColumn("next_no", F.lead("stmt_no").over(w)), "stmt_no", "next_no").where("r is not null")
+    return _pairs(_siblings(f), "stmt_no", "sibling").where("r is not null")
 
 
 def follows_t(f: Facts) -> DataFrame:
-    a = f.stmt.select("program_id", "block_id", "pos", F.col("stmt_no").alias("l"))
-    b = f.stmt.select("program_id", "block_id", F.col("pos").alias("pos_b"), F.col("stmt_no").alias("r"))
-    return a.join(b, ["program_id", "block_id"]).where("pos < pos_b").select("program_id", "l", "r")
+    a = f.stmt.select("program_id", "block_id", F.col("pos").alias("pos_l"), F.col("stmt_no").alias("l"))
+    b = f.stmt.select("program_id", "block_id", F.col("pos").alias("pos_r"), F.col("stmt_no").alias("r"))
+    return in_order(a, b, ["program_id", "block_id"]).select("program_id", "l", "r")
 
 
 def parent(f: Facts) -> DataFrame:
@@ -98,8 +106,7 @@ def _falls_to(f: Facts) -> DataFrame:
     loop; at the end of a branch where the `if` goes.  So the deepest of the
     statement and the containers it ends decides that has either.
     """
-    w = Window.partitionBy("program_id", "block_id").orderBy("pos")
-    own = f.stmt.withColumn("sibling", F.lead("stmt_no").over(w)).select("program_id", "stmt_no", "type", "parent_no", "depth", "sibling")
+    own = _siblings(f).select("program_id", "stmt_no", "type", "parent_no", "depth", "sibling")
     types = f.stmt.select("program_id", F.col("stmt_no").alias("parent_no"), F.col("type").alias("parent_type"))
     own = own.join(types, ["program_id", "parent_no"], "left")
     exit_to = F.coalesce("sibling", F.when(F.col("parent_type") == "while", F.col("parent_no")))
@@ -140,9 +147,15 @@ def next_t(f: Facts) -> DataFrame:
     held = held.unionByName(loops.withColumnRenamed("l", "stmt_no"))
     inside = held.groupBy("program_id", "stmt_no").agg(F.min("lo").alias("loop"))
     s = s.join(inside, ["program_id", "stmt_no"], "left")
-    a = s.select("program_id", "proc", F.col("stmt_no").alias("l"), F.col("ord").alias("ord_l"), F.col("loop").alias("loop_l"))
-    b = s.select("program_id", "proc", F.col("stmt_no").alias("r"), F.col("ord").alias("ord_r"), F.col("loop").alias("loop_r"))
-    pairs = a.join(b, ["program_id", "proc"]).where("loop_l = loop_r or ord_l < ord_r")
+    a = s.select("program_id", "proc", F.col("stmt_no").alias("l"), F.col("ord").alias("pos_l"), F.col("loop").alias("loop_l"))
+    b = s.select("program_id", "proc", F.col("stmt_no").alias("r"), F.col("ord").alias("pos_r"), F.col("loop").alias("loop_r"))
+    later = in_order(a, b, ["program_id", "proc"])
+    # In a loop also back to what comes before, and to itself.
+    looped = s.where("loop is not null").select("program_id", "proc", "loop", "stmt_no", "ord")
+    to = looped.select("program_id", "proc", "loop", F.col("ord").alias("pos_l"), F.col("stmt_no").alias("r"))
+    since = looped.select("program_id", "proc", "loop", F.col("ord").alias("pos_r"), F.col("stmt_no").alias("l"))
+    back = in_order(to, since, ["program_id", "proc", "loop"]).select("program_id", "l", "r")
+    back = back.unionByName(_pairs(looped.withColumn("again", F.col("stmt_no")), "stmt_no", "again"))
     # Then and else branch of one `if`, neither in a loop with the other.
     up = f.relation("parent_t").unionByName(f.stmt.select("program_id", F.col("stmt_no").alias("l"), F.col("stmt_no").alias("r")))
     arms = f.stmt.where("branch in ('then', 'else')").select("program_id", F.col("stmt_no").alias("l"), "branch", "parent_no")
@@ -150,8 +163,8 @@ def next_t(f: Facts) -> DataFrame:
     then = arms.where("branch = 'then'").select("program_id", "parent_no", F.col("stmt_no").alias("l"))
     other = arms.where("branch = 'else'").select("program_id", "parent_no", F.col("stmt_no").alias("r"))
     apart = then.join(other, ["program_id", "parent_no"]).select("program_id", "l", "r")
-    same = pairs.where("loop_l = loop_r").select("program_id", "l", "r")
-    return same.unionByName(pairs.where("loop_l is null or loop_r is null or loop_l <> loop_r").select("program_id", "l", "r").join(apart, ["program_id", "l", "r"], "left_anti"))
+    same = later.where("loop_l = loop_r").select("program_id", "l", "r").unionByName(back)
+    return same.unionByName(later.where("loop_l is null or loop_r is null or loop_l <> loop_r").select("program_id", "l", "r").join(apart, ["program_id", "l", "r"], "left_anti"))
 
 
 def labels(f: Facts) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import runs
 from codeloom.functions.tables import written
 
 #: Columns of `stmt`.  Within a procedure `ord` numbers statements in pre-order and `last_ord` is that of the last descendant.
@@ -33,6 +34,8 @@ class Facts:
     focus: DataFrame | None = None
     memo: dict[str, DataFrame] = field(default_factory=dict)
     stored: dict[str, DataFrame] = field(default_factory=dict)
+    #: Last position in any list, once it is known.
+    longest: int | None = None
 
     def relation(self, name: str) -> DataFrame:
         """A relation of `codeloom.operators.relations` by name, planned once."""
@@ -48,6 +51,13 @@ class Facts:
             self.stored[name] = self.memo[name] = written(self.relation(name), name)
         return self.stored[name]
 
+    @property
+    def piece(self) -> Column | None:
+        """Which part of its list a statement is in, if some procedure is longer than a part; else None, and a task may take a list whole."""
+        if self.longest is None:
+            self.longest = self.stmt.agg(F.max("pos")).first()[0] or 0
+        return F.floor(F.col("pos") / runs.CELL) if self.longest >= runs.CELL else None
+
     def within(self, procs: DataFrame, focus: DataFrame | None = None) -> Facts:
         """The facts of some procedures (program_id, proc) alone."""
         stmt = written(self.stmt.join(procs, ["program_id", "proc"], "left_semi").select(self.stmt.columns), "within")

@@ -4,6 +4,11 @@ Tokens come from one regular expression.  Running sums over them number the
 statements and the depth of braces, and the last open brace or loop header at
 a depth is the block or container of what follows.  Only expressions pass
 through a small Python helper, for their canonical form.
+
+A program is a row (program_id, source), or, however large, rows of lines
+(program_id, piece, line, source), whose pieces have a bounded number of
+lines and ascend with them.  What runs along a program of lines runs inside
+pieces first, then over a row for each piece, so no task holds the program.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.functions.expressions import canonical_column, is_condition_column
+from codeloom.functions.runs import neighbours, running
 from codeloom.functions.tables import written
 from codeloom.operators.closure import closure
 from codeloom.plans.facts import Facts
@@ -20,6 +26,8 @@ from codeloom.plans.facts import Facts
 TOKEN = r"([A-Za-z][A-Za-z0-9]*|[0-9]+|&&|\|\||[<>=!]=|[-+*/%<>=!(){};])"
 NAME = r"^[A-Za-z][A-Za-z0-9]*$"
 HEADERS = ("while", "if")
+#: Lines of a piece.
+LINES = 4096
 
 
 def read_programs(spark: SparkSession, path: str) -> DataFrame:
@@ -27,18 +35,46 @@ def read_programs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("program_id"), F.col("value").alias("source"))
 
 
+def read_lines(spark: SparkSession, path: str, folders: bool = False, lines: int = LINES) -> DataFrame:
+    """Programs by lines: one per file, or with `folders` one per folder, whose files are in order of length of name, then name.
+
+    Files may be split between tasks, as Spark likes; only a line has to fit into one.
+    """
+    name, row = F.col("_metadata.file_path"), F.monotonically_increasing_id()
+    folder = F.regexp_replace(name, "/[^/]*$", "") if folders else name
+    at = [F.length(name).alias("length"), name.alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    t = spark.read.text(path).select(folder.alias("program_id"), F.struct(*at, F.floor(row / lines).alias("part")).alias("piece"), row.alias("line"), F.col("value").alias("source"))
+    return written(t, "lines")
+
+
+def _piece(t: DataFrame) -> str | None:
+    return "piece" if "piece" in t.columns else None
+
+
+def _numbered(programs: DataFrame) -> DataFrame:
+    """(program_id, i, tok), and piece for lines: all tokens in order.  No token goes over the end of a line."""
+    found = F.regexp_extract_all("source", F.lit(TOKEN), F.lit(1))
+    if _piece(programs) is None:
+        return programs.select("program_id", F.posexplode(found).alias("i", "tok"))
+    t = written(programs.select("program_id", "piece", "line", found.alias("found")).where(F.size("found") > 0), "lines-of-tokens")
+    t = running(t, ["program_id"], "line", sums={"upto": F.size("found").cast("long")}, piece="piece")
+    t = t.select("program_id", "piece", (F.col("upto") - F.size("found")).alias("from"), F.posexplode("found").alias("k", "tok"))
+    return written(t.select("program_id", "piece", (F.col("from") + F.col("k")).alias("i"), "tok"), "numbered")
+
+
 def _tokens(programs: DataFrame) -> DataFrame:
-    """(program_id, i, tok, prev, next, depth, start, no, proc): every token, and whether a statement or procedure starts there.
+    """(program_id, i, tok, prev, next, next2, depth, kind, no, proc), and piece for lines: every token, and whether a statement or procedure starts there.
 
     `depth` counts the braces open before the token, after it if it closes
     one, so statements of a procedure's own list are at depth 1.
     """
-    w = Window.partitionBy("program_id").orderBy("i")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = programs.select("program_id", F.posexplode(F.regexp_extract_all("source", F.lit(TOKEN), F.lit(1))).alias("i", "tok"))
-    t = t.withColumns({"prev": F.lag("tok").over(w), "next": F.lead("tok").over(w), "next2": F.lead("tok", 2).over(w)})
+    t = _numbered(programs)
+    piece = _piece(t)
+    t = neighbours(t, ["program_id"], "i", "tok", piece)
+    t = written(t, "neighbours") if piece else t
     step = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
-    t = t.withColumn("depth", (F.sum(step).over(upto) - F.when(F.col("tok") == "{", 1).otherwise(0)).cast("int"))
+    t = running(t, ["program_id"], "i", sums={"depth": step}, piece=piece)
+    t = t.withColumn("depth", (F.col("depth") - F.when(F.col("tok") == "{", 1).otherwise(0)).cast("int"))
     begins = (F.col("prev").isNull() | F.col("prev").isin("{", "}", ";")) & F.col("tok").rlike(NAME)
     # After a `}` an `else {` continues an if; `else = 1;` is a statement, for no word is reserved.
     begins = begins & ~((F.col("tok") == "else") & (F.col("prev") == "}") & (F.col("next") == "{"))
@@ -49,10 +85,9 @@ def _tokens(programs: DataFrame) -> DataFrame:
         .when(begins, "error")
     )
     t = t.withColumn("kind", kind)
-    return t.withColumns({
-        "no": F.sum(F.when(F.col("kind").isNotNull() & (F.col("kind") != "procedure"), 1).otherwise(0)).over(upto),
-        "proc": F.last(F.when(F.col("kind") == "procedure", F.col("next")), ignorenulls=True).over(upto),
-    })
+    t = written(t, "kinds") if piece else t
+    starts = F.when(F.col("kind").isNotNull() & (F.col("kind") != "procedure"), 1).otherwise(0)
+    return running(t, ["program_id"], "i", sums={"no": starts}, lasts={"proc": F.when(F.col("kind") == "procedure", F.col("next"))}, piece=piece)
 
 
 #: What may stand between two of `;`, `{` and `}`, tokens set apart by blanks.
@@ -63,9 +98,8 @@ LOOP, BRANCH = r"^while \( (.+) \) \{$", r"^if \( (.+) \) then \{$"
 
 def _segments(t: DataFrame) -> DataFrame:
     """(program_id, depth, text) of every run of tokens up to a `;`, `{` or `}`; a statement at most, so never large."""
-    upto = Window.partitionBy("program_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     new = F.when(F.col("prev").isNull() | F.col("prev").isin(";", "{", "}"), 1).otherwise(0)
-    s = t.withColumn("segment", F.sum(new).over(upto)).groupBy("program_id", "segment")
+    s = running(t, ["program_id"], "i", sums={"segment": new}, piece=_piece(t)).groupBy("program_id", "segment")
     s = s.agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("x"), F.min_by("depth", "i").alias("depth"))
     return s.select("program_id", "depth", F.concat_ws(" ", F.col("x.tok")).alias("text"))
 
@@ -73,8 +107,10 @@ def _segments(t: DataFrame) -> DataFrame:
 def parse_errors(programs: DataFrame, facts: Facts | None = None) -> DataFrame:
     """(program_id, message) of programs that break a rule: characters, braces, statements, expressions, conditions, branches, names, calls, recursion."""
     t = written(_tokens(programs), "tokens")
-    rest = programs.where(F.trim(F.regexp_replace(F.regexp_replace("source", TOKEN, " "), r"\s+", " ")) != "").select("program_id", F.lit("unknown character").alias("message"))
-    none = programs.where(~F.regexp_like("source", F.lit(r"\S"))).select("program_id", F.lit("no procedure").alias("message"))
+    piece = _piece(t)
+    rest = programs.where(F.trim(F.regexp_replace(F.regexp_replace("source", TOKEN, " "), r"\s+", " ")) != "").select("program_id", F.lit("unknown character").alias("message")).distinct()
+    empty = programs.groupBy("program_id").agg(F.max(F.regexp_like("source", F.lit(r"\S"))).alias("any"))
+    none = empty.where(~F.col("any")).select("program_id", F.lit("no procedure").alias("message"))
     say = lambda df, text: df.select("program_id", F.lit(text).alias("message")).distinct()
     step = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
     out = rest.unionByName(none)
@@ -90,9 +126,8 @@ def parse_errors(programs: DataFrame, facts: Facts | None = None) -> DataFrame:
     test = F.when(F.col("form") == "while", F.regexp_extract("text", LOOP, 1)).otherwise(F.regexp_extract("text", BRANCH, 1))
     out = out.unionByName(say(s.where("form in ('while', 'if')").select("program_id", is_condition_column(test).alias("ok")).where("not ok"), "no condition"))
     # What a closing brace closes: the last one opened at its depth.
-    at = Window.partitionBy("program_id", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     braces = t.where("tok in ('{', '}')").withColumn("level", F.col("depth") + 1)
-    braces = braces.withColumn("opened_by", F.last(F.when(F.col("tok") == "{", F.col("prev")), True).over(at))
+    braces = running(braces, ["program_id", "level"], "i", lasts={"opened_by": F.when(F.col("tok") == "{", F.col("prev"))}, piece=piece)
     closing = braces.where("tok = '}' and level > 1").withColumn("goes_on", (F.col("next") == "else") & (F.col("next2") == "{"))
     bad = closing.where("(opened_by = 'then') <> coalesce(goes_on, false)")
     begun = t.where("tok = 'else' and next = '{' and depth > 0 and prev in ('{', ';')")  # an `else` that follows no brace
@@ -106,20 +141,20 @@ def parse_errors(programs: DataFrame, facts: Facts | None = None) -> DataFrame:
 
 
 def from_programs(programs: DataFrame) -> Facts:
-    """Facts of programs (program_id, source).  See `parse_errors` for those that are none."""
+    """Facts of programs, whole or by lines.  See `parse_errors` for those that are none."""
     t = written(_tokens(programs), "tokens")
-    # Last open brace, or header, of a depth: openers and statements meet in one window per depth.
-    at = Window.partitionBy("program_id", "level").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    opener = t.where("tok = '{'").select("program_id", (F.col("depth") + 1).alias("level"), "i", F.col("i").alias("block"), F.col("prev").alias("opened_by"), F.lit(None).cast("long").alias("stmt_no"))
+    piece, cut = _piece(t), [c for c in ("piece",) if c in t.columns]
+    # Last open brace, or header, of a depth: openers and statements meet in one order per depth.
+    opener = t.where("tok = '{'").select("program_id", *cut, (F.col("depth") + 1).alias("level"), "i", F.col("i").cast("long").alias("block"), F.col("prev").alias("opened_by"), F.lit(None).cast("long").alias("stmt_no"))
     heads = t.where("kind is not null and kind not in ('procedure', 'error') and depth > 0")
-    inside = heads.select("program_id", F.col("depth").alias("level"), "i", F.lit(None).cast("int").alias("block"), F.lit(None).cast("string").alias("opened_by"), F.col("no").alias("stmt_no"))
-    blocks = opener.unionByName(inside).withColumns({"block": F.last("block", True).over(at), "opened_by": F.last("opened_by", True).over(at)})
+    inside = heads.select("program_id", *cut, F.col("depth").alias("level"), "i", F.lit(None).cast("long").alias("block"), F.lit(None).cast("string").alias("opened_by"), F.col("no").alias("stmt_no"))
+    blocks = running(opener.unionByName(inside), ["program_id", "level"], "i", lasts={"block": F.col("block"), "opened_by": F.col("opened_by")}, piece=piece)
     blocks = blocks.where("stmt_no is not null").select("program_id", "stmt_no", "block", "opened_by")
     # Headers, the statements inside them and the braces that close them, for which the last header of their depth is looked up.
-    outer = heads.where(F.col("kind").isin(*HEADERS)).select("program_id", (F.col("depth") + 1).alias("level"), "i", F.col("no").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"), F.lit(None).cast("long").alias("end"))
-    held = inside.select("program_id", "level", "i", F.lit(None).cast("long").alias("parent_no"), "stmt_no", F.lit(None).cast("long").alias("end"))
-    closing = t.where("tok = '}'").select("program_id", (F.col("depth") + 1).alias("level"), "i", F.lit(None).cast("long").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"), F.col("no").alias("end"))
-    held = outer.unionByName(held).unionByName(closing).withColumn("parent_no", F.last("parent_no", True).over(at))
+    outer = heads.where(F.col("kind").isin(*HEADERS)).select("program_id", *cut, (F.col("depth") + 1).alias("level"), "i", F.col("no").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"), F.lit(None).cast("long").alias("end"))
+    held = inside.select("program_id", *cut, "level", "i", F.lit(None).cast("long").alias("parent_no"), "stmt_no", F.lit(None).cast("long").alias("end"))
+    closing = t.where("tok = '}'").select("program_id", *cut, (F.col("depth") + 1).alias("level"), "i", F.lit(None).cast("long").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"), F.col("no").alias("end"))
+    held = running(outer.unionByName(held).unionByName(closing), ["program_id", "level"], "i", lasts={"parent_no": F.col("parent_no")}, piece=piece)
     held = written(held.where("level > 1 and (stmt_no is not null or end is not null)"), "held")
     parents = held.where("stmt_no is not null").select("program_id", "stmt_no", "parent_no")
     # The last statement before the last brace that closes a container.
@@ -135,10 +170,13 @@ def from_programs(programs: DataFrame) -> Facts:
     right = right.select("program_id", F.col("no").alias("stmt_no"), canonical_column(F.concat_ws(" ", F.col("x.tok"))).alias("expr_canon"))
 
     body = written(body, "bodies")
-    up = Window.partitionBy("program_id", "proc")
     s = heads.select("program_id", F.col("no").alias("stmt_no"), F.col("kind").alias("type"), "proc", "i", (F.col("depth") - 1).alias("depth"), "tok", "next")
     s = s.join(blocks, ["program_id", "stmt_no"]).join(parents, ["program_id", "stmt_no"], "left").join(right, ["program_id", "stmt_no"], "left")
-    s = s.withColumn("ord", (F.col("stmt_no") - F.min("stmt_no").over(up) + 1).cast("long"))
+    if piece:
+        s = s.join(heads.groupBy("program_id", "proc").agg(F.min("no").alias("first_no")), ["program_id", "proc"])
+    else:
+        s = s.withColumn("first_no", F.min("stmt_no").over(Window.partitionBy("program_id", "proc")))
+    s = s.withColumn("ord", (F.col("stmt_no") - F.col("first_no") + 1).cast("long"))
     s = s.join(ends, ["program_id", "stmt_no"], "left")
     branch = F.when(F.col("depth") == 0, None).when(F.col("opened_by").isin("then", "else"), F.col("opened_by")).otherwise("body")
     stmt = s.select(
