@@ -4,7 +4,8 @@ Most read `events` as one program (see `codeloom.sources.events`), so every
 relation runs over the whole table; events have no branches and nest one
 deep, so `nested_*` read regions to orders as another program, with branches
 and loops four deep.  A few queries write the events as program texts and
-parse those, some of them made faulty first.
+parse those, some of them made faulty first; `lines_*` write them as one
+program and read it by lines.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from codeloom.plans.facts import Facts
 from codeloom.plans.query import Query, name
 from codeloom.sources.events import from_events
 from codeloom.sources.orders import from_orders
-from codeloom.sources.programs import from_programs, parse_errors
-from codeloom.sources.texts import FAULTS, faulty_texts, program_texts
+from codeloom.sources.programs import from_programs, parse_errors, read_lines
+from codeloom.sources.texts import FAULTS, faulty_texts, program_texts, written_program
 
 _BASE = """
 WITH RECURSIVE e AS (SELECT event_id AS no, user_id AS proc, ts, event_type AS et, TRY_CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events),
@@ -288,6 +289,33 @@ TEXTS: dict[str, tuple[Build, str]] = {
     ),
 }
 
+# All users as one program, written as a text in parts and read by lines.
+_LINES = _TEXTS.replace(" AND u.proc // 8 = e.proc // 8", "") + ", num AS (SELECT no, row_number() OVER (ORDER BY proc, ord) AS n FROM s)"
+
+
+def by_line(pairs_sql: str) -> str:
+    """Pairs of events as pairs of statement numbers in the one program."""
+    return f"{_LINES} SELECT x.n AS l, y.n AS r FROM ({pairs_sql}) t JOIN num x ON x.no = t.l JOIN num y ON y.no = t.r"
+
+
+#: Name to (builder over the one program's facts, whole SQL).
+ONE: dict[str, tuple[Build, str]] = {
+    "lines_statements": (
+        lambda f: f.stmt.select("stmt_no", "type", "proc", "ord", "last_ord", "parent_no", "callee", "expr_canon"),
+        _LINES + " SELECT n AS stmt_no, type, 'u' || proc AS proc, ord, CASE WHEN type = 'while' THEN max(ord) OVER (PARTITION BY proc, loop) ELSE ord END AS last_ord, (SELECT m.n FROM num m WHERE m.no = s.parent) AS parent_no,"
+        " 'u' || callee AS callee, CASE WHEN type = 'assign' THEN expr END AS expr_canon FROM s JOIN num USING (no)",
+    ),
+    "lines_follows": (pairs("follows"), by_line("SELECT no AS l, sibling AS r FROM sib WHERE sibling IS NOT NULL")),
+    "lines_next": (pairs("next"), by_line("SELECT l, r FROM nx")),
+    "lines_affects": (pairs("affects"), by_line("SELECT l, r FROM afs")),
+    "lines_calls_t": (pairs("calls_t"), _LINES + " SELECT 'u' || p AS l, 'u' || q AS r FROM ct"),
+    "lines_uses_p": (pairs("uses_p"), _LINES + " SELECT 'u' || p AS l, v AS r FROM up"),
+}
+
+
+def one_program_facts(spark: SparkSession, sf_dir: str) -> Facts:
+    return from_programs(read_lines(spark, written_program(spark.read.parquet(f"{sf_dir}/events.parquet")), folders=True))
+
 
 def events_facts(spark: SparkSession, sf_dir: str) -> Facts:
     return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
@@ -308,6 +336,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: (lambda spark, sf_dir, b=b: b(events_facts(spark, sf_dir))) for k, (b, _) in EVENTS.items()}
     found |= {k: (lambda spark, sf_dir, b=b: b(from_programs(texts(spark, sf_dir)))) for k, (b, _) in TEXTS.items()}
+    found |= {k: (lambda spark, sf_dir, b=b: b(one_program_facts(spark, sf_dir))) for k, (b, _) in ONE.items()}
     found["source_errors"] = lambda spark, sf_dir: parse_errors(faulty_texts(texts(spark, sf_dir)))
     found |= {k: (lambda spark, sf_dir, b=b: b(orders_facts(spark, sf_dir))) for k, (b, _) in NESTED.items()}
     found |= {k: (lambda spark, sf_dir, b=b: b(events_facts(spark, sf_dir))) for k, (b, _) in INVALID.items()}
@@ -316,7 +345,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     found = {k: sql if _BASE in sql else _BASE + sql for k, (_, sql) in EVENTS.items()}
-    found |= {k: sql for k, (_, sql) in TEXTS.items()}
+    found |= {k: sql for k, (_, sql) in (TEXTS | ONE).items()}
     faults = ", ".join(f"({k}, '{m}')" for k, (_, messages) in FAULTS.items() for m in messages)
     found["source_errors"] = f"SELECT DISTINCT CAST(user_id // 8 AS VARCHAR) AS program_id, message FROM events JOIN (VALUES {faults}) f(k, message) ON k = user_id // 8 % 8"
     found |= {k: _NESTED + sql for k, (_, sql) in NESTED.items()}
