@@ -50,15 +50,18 @@ def neighbours(df: DataFrame, keys: list[str], by: str, value: str, piece: str |
     return out.withColumns({"prev": F.coalesce("prev", "_prev"), "next": F.coalesce("next", "_one"), "next2": next2}).drop("_prev", "_one", "_two")
 
 
-def in_order(left: DataFrame, right: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
+def in_order(left: DataFrame, right: DataFrame, keys: list[str], size: int | None = None, cut: bool = True) -> DataFrame:
     """Rows of left (keys, pos_l, more) with rows of right (keys, pos_r, more) of the same group, where pos_l < pos_r.
 
     Positions start at 0 or later.  A group of up to `size` of them (CELL) is
     a key of its own.  Others are cut into cells of positions, and every pair
     of cells that may hold such pairs is a key, so that a key has the rows of
     one cell on either side.  A row has as many copies as its group has cells
-    on its other side.
+    on its other side.  Without `cut`, for positions known to be few, groups
+    are keys of their own.
     """
+    if not cut:
+        return left.join(right, keys).where("pos_l < pos_r")
     size = size or CELL
     at_l, at_r = F.floor(F.col("pos_l") / size), F.floor(F.col("pos_r") / size)
     # Only groups that go beyond the first cell are in these two.

@@ -92,7 +92,7 @@ def meetings(f: Facts, setters: DataFrame, users: DataFrame, killed: DataFrame)
     ups, downs = both.where(F.col("tag") == SET), both.where(F.col("tag") == USED)
     a = ups.select(*LIST, "seg", F.col("node").alias("l"), F.col("pos").alias("pos_l"))
     b = downs.select(*LIST, "seg", F.col("node").alias("r"), F.col("pos").alias("pos_r"))
-    ahead = in_order(a, b, [*LIST, "seg"]).select("program_id", "l", "r", "var")
+    ahead = in_order(a, b, [*LIST, "seg"], cut=f.piece is not None).select("program_id", "l", "r", "var")
     loops = f.stmt.where("type = 'while'").select("program_id", F.col("stmt_no").alias("parent_no"))
     onward = ups.where("open").join(loops, ["program_id", "parent_no"]).select("program_id", "parent_no", "var", F.col("node").alias("l"))
     again = downs.where("open").select("program_id", "parent_no", "var", F.col("node").alias("r"))

@@ -38,7 +38,7 @@ def follows(f: Facts) -> DataFrame:
 def follows_t(f: Facts) -> DataFrame:
     a = f.stmt.select("program_id", "block_id", F.col("pos").alias("pos_l"), F.col("stmt_no").alias("l"))
     b = f.stmt.select("program_id", "block_id", F.col("pos").alias("pos_r"), F.col("stmt_no").alias("r"))
-    return in_order(a, b, ["program_id", "block_id"]).select("program_id", "l", "r")
+    return in_order(a, b, ["program_id", "block_id"], cut=f.piece is not None).select("program_id", "l", "r")
 
 
 def parent(f: Facts) -> DataFrame:
@@ -149,12 +149,12 @@ def next_t(f: Facts) -> DataFrame:
     s = s.join(inside, ["program_id", "stmt_no"], "left")
     a = s.select("program_id", "proc", F.col("stmt_no").alias("l"), F.col("ord").alias("pos_l"), F.col("loop").alias("loop_l"))
     b = s.select("program_id", "proc", F.col("stmt_no").alias("r"), F.col("ord").alias("pos_r"), F.col("loop").alias("loop_r"))
-    later = in_order(a, b, ["program_id", "proc"])
+    later = in_order(a, b, ["program_id", "proc"], cut=f.piece is not None)
     # In a loop also back to what comes before, and to itself.
     looped = s.where("loop is not null").select("program_id", "proc", "loop", "stmt_no", "ord")
     to = looped.select("program_id", "proc", "loop", F.col("ord").alias("pos_l"), F.col("stmt_no").alias("r"))
     since = looped.select("program_id", "proc", "loop", F.col("ord").alias("pos_r"), F.col("stmt_no").alias("l"))
-    back = in_order(to, since, ["program_id", "proc", "loop"]).select("program_id", "l", "r")
+    back = in_order(to, since, ["program_id", "proc", "loop"], cut=f.piece is not None).select("program_id", "l", "r")
     back = back.unionByName(_pairs(looped.withColumn("again", F.col("stmt_no")), "stmt_no", "again"))
     # Then and else branch of one `if`, neither in a loop with the other.
     up = f.relation("parent_t").unionByName(f.stmt.select("program_id", F.col("stmt_no").alias("l"), F.col("stmt_no").alias("r")))

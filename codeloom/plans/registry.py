@@ -10,15 +10,18 @@ program and read it by lines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.tables import shared_folder
 from codeloom.operators import subtrees
 from codeloom.operators.stored import StoredClosure
 from codeloom.plans.facts import Facts
 from codeloom.plans.query import Query, name
+from codeloom.sources import store
 from codeloom.sources.events import from_events
 from codeloom.sources.orders import from_orders
 from codeloom.sources.programs import from_programs, parse_errors, read_lines
@@ -199,6 +202,14 @@ def without_far_calls(f: Facts) -> DataFrame:
     return stored.pairs.select("l", "r")
 
 
+def reopened(f: Facts) -> Facts:
+    """The facts and two of their relations, saved as a store and opened again."""
+    spark, name = f.stmt.sparkSession, f"store_{uuid.uuid4().hex}"
+    store.save(f, name, ("next", "parent"), int(spark.conf.get("spark.sql.shuffle.partitions")), f"{shared_folder(spark)}/codeloom/{name}")
+    return store.open_store(spark, name)
+
+
+add("store_next", query(lambda f: Query(reopened(f), a="assign", p="print", v="variable").such_that("Next", "a", "p").such_that("Modifies", "a", "v").such_that("Uses", "p", "v").select("a", "p", "v")), "SELECT x.no AS a, y.no AS p, x.lhs AS v FROM nx JOIN s x ON x.no = nx.l JOIN s y ON y.no = nx.r WHERE x.type = 'assign' AND y.type = 'print' AND x.lhs = y.io")
 add("calls_t_incremental", lambda f: kept_up(f).pairs.select("l", "r"), "SELECT CAST(p AS VARCHAR) AS l, CAST(q AS VARCHAR) AS r FROM ct")
 add("calls_t_removed", without_far_calls, ", cn AS (SELECT DISTINCT proc AS p, callee AS q FROM s WHERE callee - proc < 32 UNION SELECT cn.p, s.callee FROM cn JOIN s ON s.proc = cn.q WHERE s.callee - s.proc < 32) SELECT CAST(p AS VARCHAR) AS l, CAST(q AS VARCHAR) AS r FROM cn")
 

@@ -10,7 +10,7 @@ from codeloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("events", "region", "nation", "customer", "orders")
-KEYS = [*registry.NESTED, *registry.ONE, "cycle_of_three", "cycle_of_four", "tree_of_clauses", "tree_outwards", "product_of_groups", "affects_t_exists", "source_affects_t_exists", *registry.INVALID, "source_errors", "source_cross_kind", "affects_bip", "events_affects_bip_t", "affects_t_from", "next_t_tested", "calls_t_removed", "pattern_table", "scan_variable", "follows_t", "parent_t", "uses_s", "modifies_p", "next_t", "affects", "with_attr_attr", "select_tuple", "group_cartesian", "empty_group", "with_literals", "pattern_partial"]
+KEYS = [*registry.NESTED, *registry.ONE, "store_next", "cycle_of_three", "cycle_of_four", "tree_of_clauses", "tree_outwards", "product_of_groups", "affects_t_exists", "source_affects_t_exists", *registry.INVALID, "source_errors", "source_cross_kind", "affects_bip", "events_affects_bip_t", "affects_t_from", "next_t_tested", "calls_t_removed", "pattern_table", "scan_variable", "follows_t", "parent_t", "uses_s", "modifies_p", "next_t", "affects", "with_attr_attr", "select_tuple", "group_cartesian", "empty_group", "with_literals", "pattern_partial"]
 
 
 @pytest.fixture(scope="module", autouse=True)
