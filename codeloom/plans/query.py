@@ -3,7 +3,8 @@
     q = Query(facts, s="stmt", v="variable", a="assign")
     q.such_that("Modifies", "a", "v").pattern("a", "v", part="x + 1").with_("s.stmt#", "a.stmt#").select("s", "v")
 
-A clause is a table of bindings, a column for each synonym.  Clauses that
+A clause is a table of bindings, a column for each synonym; equal attributes
+of two synonyms are two, which bind them to the value.  Clauses that
 share synonyms join on them (`codeloom.operators.joins`); groups that share
 none join on the program, and groups that no selected synonym is in only
 decide which programs qualify.
@@ -252,28 +253,30 @@ class Query:
             return self.facts.stmt.where(F.col("type") == kind).where(F.col(of).isNotNull()).select("program_id", F.col("stmt_no").alias(synonym), F.col(of).alias(column))
         return self.domain(synonym).withColumn(column, F.col(synonym).cast("string"))
 
-    def _with(self, left, right) -> DataFrame:
+    def _with(self, left, right) -> list[DataFrame]:
+        """Bindings of the synonyms; of two, each with the value, which is a synonym named after the clause, so that pairs of equal values are made only where other clauses bring them together."""
         (kind, a, ta), (other, b, tb) = self._reference(left), self._reference(right)
         if kind != other:
             raise SemanticError(f"{left} and {right} can't be equal")
         text = lambda x: x.text if isinstance(x, Name) else str(x)
         if ta is None and tb is None:
-            return self.programs().where(F.lit(text(left) == text(right)))
+            return [self.programs().where(F.lit(text(left) == text(right)))]
         if ta is None or tb is None:
             table, s, literal = (tb, b, left) if ta is None else (ta, a, right)
-            return table.where(F.col("v") == text(literal)).select("program_id", s).distinct()
+            return [table.where(F.col("v") == text(literal)).select("program_id", s).distinct()]
         if a == b:
-            return ta.join(tb.withColumnRenamed("v", "v2"), ["program_id", a]).where("v = v2").select("program_id", a).distinct()
-        return ta.join(tb, ["program_id", "v"]).select("program_id", a, b).distinct()
+            return [ta.join(tb.withColumnRenamed("v", "v2"), ["program_id", a]).where("v = v2").select("program_id", a).distinct()]
+        met = lambda t, other: t.join(other.select("program_id", "v"), ["program_id", "v"], "left_semi").withColumnRenamed("v", f"{left}~{right}".replace(".", "~"))
+        return [met(ta, tb), met(tb, ta)]
 
     def programs(self) -> DataFrame:
         return self.facts.proc.select("program_id").distinct()
 
     # Answers.
 
-    def _bindings(self, wanted: set[str], part: DataFrame | None = None) -> DataFrame:
-        """All programs with a binding for every clause, and the bindings of the wanted synonyms; `part` (program_id, synonym) leaves some of a domain."""
-        made: dict[int, DataFrame] = {} if part is None else {-1: part}
+    def _bindings(self, wanted: set[str], part: DataFrame | None = None, shown: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame:
+        """All programs with a binding for every clause, and what `shown` makes of the bindings of the wanted synonyms, group by group; `part` (program_id, synonym) leaves some of a domain."""
+        made: dict[int, list[DataFrame]] = {} if part is None else {-1: [part]}
         late, checks = [], self._checks()
         for i, (kind, *args) in enumerate(self.clauses):
             if i in checks:
@@ -281,16 +284,17 @@ class Query:
             elif kind == "relation" and self._waits(*args):
                 late.append(i)
             else:
-                made[i] = getattr(self, f"_{kind}")(*args)
+                t = getattr(self, f"_{kind}")(*args)
+                made[i] = t if isinstance(t, list) else [t]
         # A relation that loops make takes the bindings of clauses that choose some: of those first that are bound already.
         while late:
-            chosen = [t for i, t in made.items() if i < 0 or self._chooses(self.clauses[i])]
+            chosen = [t for i, ts in made.items() if i < 0 or self._chooses(self.clauses[i]) for t in ts]
             meets = lambda i: [t for t in chosen if set(self.clauses[i][2:]) & set(t.columns)]  # noqa: E731, B023
             i = next((i for i in late if meets(i)), late[0])
             late.remove(i)
-            made[i] = self._relation(*self.clauses[i][1:], known=self._narrow(meets(i), self.clauses[i][2:]))
+            made[i] = [self._relation(*self.clauses[i][1:], known=self._narrow(meets(i), self.clauses[i][2:]))]
         # In the order of the clauses, which the joins keep where there is nothing to choose between them.
-        tables = [made[i] for i in sorted(made)]
+        tables = [t for i in sorted(made) for t in made[i]]
         tables += [self.domain(s) for s in sorted(wanted) if not any(s in t.columns for t in tables)]
         groups: list[list[DataFrame]] = []
         for t in tables:
@@ -305,7 +309,11 @@ class Query:
             for _, relation, left, right in later:
                 joined = relations.tested(self.facts, RELATIONS[relation], joined, left, right)
             keep = [c for c in joined.columns if c in wanted]
-            (kept if keep else tests).append(joined.select("program_id", *keep).distinct())
+            joined = joined.select("program_id", *keep).distinct()
+            if keep:
+                kept.append(shown(joined))
+            else:
+                tests.append(joined)
         # With one group that is selected from there is nothing to join it with; of the others only a row for each program counts.
         out = kept[0] if kept else self.programs()
         for t in kept[1:]:
@@ -321,16 +329,22 @@ class Query:
             if a and (a not in ATTRIBUTES or self._entity(s) not in ATTRIBUTES[a]):
                 raise SemanticError(f"{e} does not exist")
             self._entity(s)
-        t = self._bindings({s for s, _ in split})
-        columns = []
-        for label, (s, a) in zip(self.labels(elements), split):
-            column = s
-            if a in ("procName", "varName") and self._entity(s) in ("call", "read", "print"):
-                column = f"{s}__{a}"
-                if column not in t.columns:
-                    t = t.join(self.attribute(s, a, column), ["program_id", s])
-            columns.append(F.col(column).alias(label))
-        return t.select("program_id", *columns).distinct()
+        labels = self.labels(elements)
+
+        def shown(t: DataFrame) -> DataFrame:
+            """Elements of a group, distinct before it meets others: products of distinct rows are distinct."""
+            columns = []
+            for label, (s, a) in zip(labels, split):
+                column = s
+                if s in t.columns and a in ("procName", "varName") and self._entity(s) in ("call", "read", "print"):
+                    column = f"{s}__{a}"
+                    if column not in t.columns:
+                        t = t.join(self.attribute(s, a, column), ["program_id", s])
+                if s in t.columns:
+                    columns.append(F.col(column).alias(label))
+            return t.select("program_id", *columns).distinct()
+
+        return self._bindings({s for s, _ in split}, shown=shown).select("program_id", *labels)
 
     def boolean(self) -> DataFrame:
         """(program_id, holds) for every program."""

@@ -123,3 +123,24 @@ def test_first_witness(spark, monkeypatch):
     assert {tuple(r) for r in ask(f).boolean().collect()} == {("same", True), ("lacks", False)}
     assert ask(f).select("a").select("program_id").distinct().collect() == [("same",)]
     assert sum(first) * 4 < f.relation("affects").where(F.col("program_id") == "same").count()
+
+
+def test_equal_attributes_make_no_pairs_of_equal_values(spark, monkeypatch):
+    """Prints that follow reads of the same variable: all of n reads and n prints have one variable, and only neighbours are asked for."""
+    n = 60
+    f = from_programs(spark.createDataFrame([("one", f"procedure a {{ {'read x; print x; ' * n} }}")], "program_id string, source string"))
+    rows = []
+
+    def counted(df, name):
+        out = tables.written(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(joins, "written", counted)
+    q = Query(f, r="read", p="print", v="variable").such_that("Follows", "r", "p").with_("r.varName", "p.varName")
+    out = q.select("r", "p", "r.varName", "v")
+    assert sorted(tuple(r) for r in out.collect()) == [("one", 2 * i + 1, 2 * i + 2, "x", "x") for i in range(n)]
+    assert rows and max(rows) == n
+    assert not [1 for i in range(2) if [r for r in q._with("r.varName", "p.varName")][i].count() != n]
+    bound = Query(f, r="read", p="print").with_("r.varName", "p.varName").select("r", "p")
+    assert bound.count() == n * n
