@@ -28,6 +28,8 @@ KEY = "program_id"
 FEW = 8
 #: Rows and bytes of a table that a product broadcasts, and rows of a part of the other side beyond that.
 BROADCAST_ROWS, BROADCAST_BYTES, PART = 100_000, 16 << 20, 1_000_000
+#: Rows that one task makes of a product with a broadcast side.
+MADE = 10_000_000
 
 
 def _synonyms(t: DataFrame) -> frozenset[str]:
@@ -135,7 +137,8 @@ def product(left: DataFrame, right: DataFrame) -> DataFrame:
     k = 0 if measured[0][0] <= measured[1][0] else 1
     small, large = sides[k], sides[1 - k]
     if measured[k][0] <= BROADCAST_ROWS and measured[k][1] <= BROADCAST_BYTES:
-        return large.join(F.broadcast(small), KEY)
+        tasks = math.ceil(measured[0][0] * measured[1][0] / MADE)
+        return (large.repartition(tasks, *large.columns) if tasks > 1 else large).join(F.broadcast(small), KEY)
     parts = math.ceil(measured[1 - k][0] / PART)
     dealt = large.withColumn("_part", F.pmod(F.xxhash64(*large.columns), F.lit(parts)))
     repeated = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))

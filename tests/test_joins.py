@@ -144,3 +144,15 @@ def test_equal_attributes_make_no_pairs_of_equal_values(spark, monkeypatch):
     assert not [1 for i in range(2) if [r for r in q._with("r.varName", "p.varName")][i].count() != n]
     bound = Query(f, r="read", p="print").with_("r.varName", "p.varName").select("r", "p")
     assert bound.count() == n * n
+
+
+def test_products_of_attributes_are_not_made_distinct_afterwards(spark, monkeypatch):
+    """Groups are distinct in what is selected of them, so the product that many rows come from is the last step, in parts."""
+    monkeypatch.setattr(joins, "MADE", 8)
+    source = f"procedure a {{ {'read x; read y; ' * 6} }}"
+    f = from_programs(spark.createDataFrame([("one", source)], "program_id string, source string"))
+    out = Query(f, r="read", s="stmt").such_that("Follows", "_", "s").select("r.varName", "s")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(("one", v, i) for v in "xy" for i in range(2, 13))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") if "Aggregate" in plan else True
+    assert "RepartitionByExpression" in plan
