@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.tables import written
 from codeloom.operators import flow
-from codeloom.operators.closure import closure, closure_acyclic, reached
+from codeloom.operators.closure import closure, closure_acyclic, reached, turned
 from codeloom.plans.facts import Facts
 
 START, END = -1, -2
@@ -81,7 +81,7 @@ def chains(f: Facts, direct: Steps) -> Steps:
     the closure, from its new pairs.
     """
     sets = flow.assigned(f).withColumnRenamed("stmt_no", "r")
-    turned = direct.assigns.join(sets, ["program_id", "r"]).select("program_id", F.col("x").alias("l"), node(F.col("r"), "", F.col("var")).alias("r"))
+    onward = direct.assigns.join(sets, ["program_id", "r"]).select("program_id", F.col("x").alias("l"), node(F.col("r"), "", F.col("var")).alias("r"))
     out = direct.ends.select("program_id", F.col("x").alias("r"), F.col("to.var").alias("var"))
     into = direct.enters.select("program_id", "x", "site", F.col("to").alias("l"))
 
@@ -89,7 +89,7 @@ def chains(f: Facts, direct: Steps) -> Steps:
         through = new.where(F.col("l.no") == START).join(out, ["program_id", "r"]).select("program_id", "l", "var").distinct()
         return through.join(into, ["program_id", "l"]).select("program_id", F.col("x").alias("l"), node(F.col("site"), "", F.col("var")).alias("r"))
 
-    led = written(closure(turned, summaries), "chains").withColumnsRenamed({"l": "from", "r": "x"})
+    led = written(closure(onward, summaries), "chains").withColumnsRenamed({"l": "from", "r": "x"})
     further = lambda df: df.unionByName(led.join(df, ["program_id", "x"]).select("program_id", F.col("from").alias("x"), *df.columns[2:])).distinct()
     return Steps(assigns=written(further(direct.assigns), "assigns"), enters=written(further(direct.enters), "enters"), ends=written(further(direct.ends), "ends"))
 
@@ -99,6 +99,37 @@ def _composed(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.join(second, ["program_id", "to"]).drop("to").distinct()
 
 
+def _returns(f: Facts, ends: DataFrame) -> DataFrame:
+    """(program_id, to, x): the calls that the ends of procedures `to` return to, with the value."""
+    sites = f.relation("full_calls").select("program_id", F.col("callee").alias("proc"), "stmt_no")
+    ends = ends.select("program_id", "to").distinct()
+    return ends.withColumn("proc", F.col("to.proc")).join(sites, ["program_id", "proc"]).select("program_id", "to", node(F.col("stmt_no"), "", F.col("to.var")).alias("x"))
+
+
+def bound(f: Facts, s: Steps, seeds: DataFrame, side: str) -> DataFrame:
+    """The pairs whose assignment `side` (l or r) is a seed (program_id, node), by following steps from the seeds alone.
+
+    A value first returns, from call to call, then enters, from start to
+    start.  Each phase is a search that carries the seed along, so nothing is
+    made for other ends; from a seed r both are followed backwards.
+    """
+    up = s.ends.join(_returns(f, s.ends).withColumnRenamed("x", "site"), ["program_id", "to"]).select("program_id", F.col("x").alias("l"), F.col("site").alias("r"))
+    up = written(up.distinct(), "up")
+    inner = written(s.enters.where(F.col("x.no") == START).select("program_id", F.col("x").alias("l"), F.col("to").alias("r")).distinct(), "inner")
+    seeds = seeds.select("program_id", F.col("node").alias(side))
+    sources = flow.assigned(f).select("program_id", F.col("stmt_no").alias("l"), node(F.col("stmt_no"), "", F.col("var")).alias("x"))
+    if side == "l":
+        at = reached(up, seeds.join(sources, ["program_id", "l"]).select("program_id", F.col("x").alias("node"), "l"), carried=("l",)).withColumnRenamed("node", "x")
+        begun = at.join(s.enters, ["program_id", "x"]).select("program_id", F.col("to").alias("node"), "l")
+        below = reached(inner, begun, carried=("l",)).withColumnRenamed("node", "x")
+        return at.unionByName(below).join(s.assigns, ["program_id", "x"]).select("program_id", "l", "r").distinct()
+    used = written(s.assigns.join(seeds, ["program_id", "r"]).select("program_id", F.col("x").alias("node"), "r"), "uses")
+    starts = reached(turned(inner), used.where(F.col("node.no") == START), carried=("r",)).withColumnRenamed("node", "to")
+    entered = s.enters.where(F.col("x.no") != START).join(starts, ["program_id", "to"]).select("program_id", F.col("x").alias("node"), "r")
+    at = reached(turned(up), used.where(F.col("node.no") != START).unionByName(entered), carried=("r",)).withColumnRenamed("node", "x")
+    return at.join(sources, ["program_id", "x"]).select("program_id", "l", "r").distinct()
+
+
 def between_assignments(f: Facts, s: Steps) -> DataFrame:
     """Pairs of assignments on a path that returns to callers any number of times, then enters callees any number of times."""
     itself = lambda df: df.select("program_id", F.col("to").alias("l"), "to").distinct()
@@ -108,10 +139,7 @@ def between_assignments(f: Facts, s: Steps) -> DataFrame:
     inside = s.assigns.where(F.col("x.no") == START).select("program_id", F.col("x").alias("to"), "r")
     below = written(_composed(below, inside).withColumnRenamed("l", "to"), "below")
     # From an end: to the calls that it returns to, and on from there.
-    sites = f.relation("full_calls").select("program_id", F.col("callee").alias("proc"), "stmt_no")
-    ends = s.ends.select("program_id", "to").distinct()
-    back = ends.withColumn("proc", F.col("to.proc")).join(sites, ["program_id", "proc"]).select("program_id", "to", node(F.col("stmt_no"), "", F.col("to.var")).alias("x"))
-    back = written(back, "back")
+    back = written(_returns(f, s.ends), "back")
     after = lambda df, name: back.join(df.withColumnRenamed("to", name) if name != "to" else df, ["program_id", "x"]).drop("x", "site")
     up = closure_acyclic(after(s.ends, "end").select("program_id", F.col("to").alias("l"), F.col("end").alias("r")))
     above = itself(s.ends).unionByName(up.withColumnRenamed("r", "to"))

@@ -3,7 +3,8 @@
 A binding is a table (program_id, node) of the statements, procedures or
 variables that an argument may be.  Relations inside procedures are derived
 from the facts of the procedures that hold the bindings, and of their callees
-where calls matter; relations across calls also from those of their callers.
+where calls matter; relations across calls also from those of their callers; values across calls
+are then followed from the bindings alone.
 Calls* and what procedures use or modify follow the call graph from the
 bindings.
 """
@@ -14,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.tables import written
-from codeloom.operators import relations
+from codeloom.operators import across, relations
 from codeloom.operators.closure import reached, reached_pairs, turned
 from codeloom.plans.facts import Facts
 
 #: Relations that pay for it: those that loops or joins of all pairs make.
 INSIDE = ("affects", "affects_t")
 ACROSS = ("next_bip", "next_bip_t", "affects_bip", "affects_bip_t")
+FLOWS = ("affects_bip", "affects_bip_t")
 NAMES = ("calls_t", "uses_p", "modifies_p")
 BOUND = (*INSIDE, *ACROSS, *NAMES)
 
@@ -59,4 +61,7 @@ def bound(f: Facts, name: str, seeds: DataFrame, side: str) -> DataFrame:
     calls = f.relation("calls")
     around = reached(turned(calls), procs) if name in ACROSS else procs
     some = f.within(reached(calls, around).withColumnRenamed("node", "proc"), None if name in ACROSS else procs.withColumnRenamed("node", "proc"))
+    if name in FLOWS:
+        direct = across.steps(some)
+        return across.bound(some, direct if name == "affects_bip" else across.chains(some, direct), seeds, side)
     return getattr(relations, name)(some).join(seeds.withColumnRenamed("node", side), ["program_id", side], "left_semi").select("program_id", "l", "r")

@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from codeloom.operators import across, demand
 from codeloom.plans import registry
 from codeloom.sources.programs import from_programs
 from small_programs import _LITERAL, ALPHA
@@ -136,3 +137,16 @@ def test_events_against_sql(spark, key):
 def test_no_task_holds_a_procedure(spark, relation):
     plan = facts(spark, [ALPHA]).relation(relation)._jdf.queryExecution().toString()
     assert "InPandas" not in plan and "InArrow" not in plan
+
+
+@pytest.mark.parametrize("relation", ["affects_bip", "affects_bip_t"])
+def test_bound_values_are_followed_from_the_bindings(spark, monkeypatch, relation):
+    """Pairs of starts with all below them and of ends with all above, whose number is quadratic, are not made for a binding."""
+    ladder = "".join(f"procedure p{i} {{ a = a + {i}; c = d; {f'call p{i + 1}; ' if i < 3 else ''}e = c; }}\n" for i in range(4))
+    f = facts(spark, [ladder])
+    every = rows(f, relation)
+    monkeypatch.setattr(across, "between_assignments", None)
+    for side in ("l", "r"):
+        seeds = spark.createDataFrame([("0", 5)], "program_id string, node long")
+        got = {tuple(r) for r in demand.bound(f, relation, seeds, side).select("program_id", "l", "r").collect()}
+        assert got == {r for r in every if r[1 if side == "l" else 2] == 5} and got
