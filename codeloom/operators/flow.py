@@ -81,22 +81,40 @@ def _climb(f: Facts, nodes: DataFrame, killed: DataFrame) -> DataFrame:
             return out
 
 
-def meetings(f: Facts, setters: DataFrame, users: DataFrame, killed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _met(*sides: tuple[DataFrame, DataFrame, list[str]]) -> int:
+    """How many pairs the rows of two tables with equal keys are at most."""
+    size = 0
+    for a, b, keys in sides:
+        counts = a.groupBy(*keys).agg(F.count("*").alias("n")).join(b.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+        size += counts.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0
+    return int(size)
+
+
+def meetings(f: Facts, setters: DataFrame, users: DataFrame, killed: DataFrame, among: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Which statement may pass a value to which, inside procedures; which reach their procedure's end; which its start reaches.
 
     setters, users: (program_id, stmt_no, var).  Gives pairs
     (program_id, l, r, var) and twice (program_id, stmt_no, proc, var).
+    With `among`, only pairs in that table (program_id, l, r) are asked for;
+    if they are fewer than those that may meet, they are tested instead.
     """
     columns = ["program_id", "stmt_no", "var"]
     both = _climb(f, setters.select(*columns).withColumn("tag", F.lit(SET)).unionByName(users.select(*columns).withColumn("tag", F.lit(USED))), killed)
     ups, downs = both.where(F.col("tag") == SET), both.where(F.col("tag") == USED)
     a = ups.select(*LIST, "seg", F.col("node").alias("l"), F.col("pos").alias("pos_l"))
     b = downs.select(*LIST, "seg", F.col("node").alias("r"), F.col("pos").alias("pos_r"))
-    ahead = in_order(a, b, [*LIST, "seg"], cut=f.piece is not None).select("program_id", "l", "r", "var")
     loops = f.stmt.where("type = 'while'").select("program_id", F.col("stmt_no").alias("parent_no"))
     onward = ups.where("open").join(loops, ["program_id", "parent_no"]).select("program_id", "parent_no", "var", F.col("node").alias("l"))
     again = downs.where("open").select("program_id", "parent_no", "var", F.col("node").alias("r"))
-    around = onward.join(again, ["program_id", "parent_no", "var"]).select("program_id", "l", "r", "var")
+    segment, loop = [*LIST, "seg"], ["program_id", "parent_no", "var"]
+    if among and among[1] < _met((a, b, segment), (onward, again, loop)):
+        pairs = written(among[0].select("program_id", "l", "r").distinct(), "asked-for")
+        a, onward = (x.join(pairs, ["program_id", "l"]) for x in (a, onward))
+        ahead = a.join(b, [*segment, "r"]).where("pos_l < pos_r").select("program_id", "l", "r", "var")
+        around = onward.join(again, [*loop, "r"]).select("program_id", "l", "r", "var")
+    else:
+        ahead = in_order(a, b, segment, cut=f.piece is not None).select("program_id", "l", "r", "var")
+        around = onward.join(again, loop).select("program_id", "l", "r", "var")
     edge = lambda df: df.where("open and parent_no is null").select("program_id", F.col("node").alias("stmt_no"), "proc", "var")
     return ahead.unionByName(around).distinct(), edge(ups), edge(downs)
 

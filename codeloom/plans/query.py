@@ -32,6 +32,8 @@ RELATIONS = {
 }
 #: Statements that neither hold nor call others, and the tables of their variables.
 SIMPLE = ("assign", "read", "print")
+#: Relations with few pairs for each statement, whose joins may bring the arguments of Affects together.
+NEAR = ("Parent", "Parent*", "Follows", "Next")
 OWN = {"uses_s": "use_direct", "modifies_s": "mod_direct"}
 #: A BOOLEAN looks for its first witness in growing parts of a domain: ends of the parts, of 64.
 SLICES = (1, 8, 64)
@@ -125,6 +127,23 @@ class Query:
                 raise SemanticError(f"{x} can't be an argument of {relation}")
         return f
 
+    def _near(self, left, right) -> tuple[DataFrame, int] | None:
+        """Pairs (program_id, l, r) of two synonyms that each stand in a relation to a third, the fewest of such a synonym, and how many they are at most."""
+        sides: dict[str, list[dict[str, tuple]]] = {}
+        for k, relation, *args in [c for c in self.clauses if c[0] == "relation" and c[1] in NEAR]:
+            for mine, third in (args, args[::-1]):
+                if mine in (left, right) and third not in (left, right, "_") and third in self.synonyms:
+                    sides.setdefault(third, [{}, {}])[mine == right].setdefault(relation, (relation, *args))
+        found = None
+        for third, (a, b) in sides.items():
+            if a and b:
+                x, y = (self._relation(*next(iter(t.values()))) for t in (a, b))
+                by = lambda t, n: t.groupBy("program_id", third).agg(F.count("*").cast("double").alias(n))  # noqa: E731, B023
+                size = int(by(x, "n").join(by(y, "m"), ["program_id", third]).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0)
+                if found is None or size < found[1]:
+                    found = x.join(y, ["program_id", third]).select("program_id", F.col(left).alias("l"), F.col(right).alias("r")), size
+        return found
+
     def _relation(self, relation: str, left, right, known: DataFrame | None = None) -> DataFrame:
         """Bindings of a relation.  Where an argument is bound, by a literal or by the bindings `known` so far, relations that loops make are derived for these alone."""
         f = self._kinds(relation, left, right)
@@ -141,6 +160,9 @@ class Query:
                 t = demand.bound(self.facts, f, self.programs().withColumn("node", F.lit(value).cast("string" if isinstance(value, str) else "long")), literal[0])
             elif joined:
                 t = demand.bound(self.facts, f, known.select("program_id", F.col(joined[1]).alias("node")), joined[0])
+        if t is None and f == "affects" and kind_of(left) and kind_of(right) and left != right and "affects" not in self.facts.memo:
+            near = self._near(left, right)
+            t = relations.affects(self.facts, near) if near else None
         if t is None:
             t = self.facts.relation(f)
         for column, x in (("l", left), ("r", right)):

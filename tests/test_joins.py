@@ -7,7 +7,7 @@ import random
 
 import pytest
 from codeloom.functions import tables
-from codeloom.operators import closure, joins
+from codeloom.operators import closure, flow, joins
 from codeloom.plans.query import Query
 from codeloom.sources.programs import from_programs
 from pyspark.sql import functions as F
@@ -156,3 +156,25 @@ def test_products_of_attributes_are_not_made_distinct_afterwards(spark, monkeypa
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate") if "Aggregate" in plan else True
     assert "RepartitionByExpression" in plan
+
+
+def test_affects_among_near_statements(spark, monkeypatch):
+    """Loops of many branches: each sets and uses one variable, so Affects has all pairs of them, and only those in one `if` are asked for."""
+    n = 8
+    source = "procedure a { while (z > 0) { " + "".join(f"if (z > {i}) then {{ x = y; y = x; }} else {{ w = x; }} " for i in range(n)) + "} }"
+    f = lambda: from_programs(spark.createDataFrame([("one", source)], "program_id string, source string"))
+    made = []
+
+    def counted(df, name):
+        out = tables.written(df, name)
+        made.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(flow, "written", counted)
+    ask = lambda f: Query(f, a="assign", b="assign", i="if").such_that("Affects", "a", "b").such_that("Parent", "i", "a").such_that("Parent*", "i", "b").select("a", "b")
+    got = sorted(tuple(r) for r in ask(f()).collect())
+    every = f().relation("affects")
+    inside = lambda c: (F.col(c) - 2) / 4
+    want = sorted(tuple(r) for r in every.where(F.floor(inside("l")) == F.floor(inside("r"))).collect())
+    assert got == want and len(want) < every.count() / 4
+    assert [c for name, c in made if name == "asked-for"] == [9 * n]
