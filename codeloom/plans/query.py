@@ -163,6 +163,8 @@ class Query:
         if t is None and f == "affects" and kind_of(left) and kind_of(right) and left != right and "affects" not in self.facts.memo:
             near = self._near(left, right)
             t = relations.affects(self.facts, near) if near else None
+        if t is None and f == "next_t" and kind_of(left) and left == right:
+            t = self.facts.relation("next_t_self")
         if t is None:
             t = self.facts.relation(f)
         for column, x in (("l", left), ("r", right)):

@@ -11,6 +11,7 @@ from codeloom.operators import closure, flow, joins
 from codeloom.plans.query import Query
 from codeloom.sources.programs import from_programs
 from pyspark.sql import functions as F
+from small_programs import ALPHA
 
 
 def brute(made: list[tuple[tuple, set]], wanted: list[str]) -> set:
@@ -178,3 +179,15 @@ def test_affects_among_near_statements(spark, monkeypatch):
     want = sorted(tuple(r) for r in every.where(F.floor(inside("l")) == F.floor(inside("r"))).collect())
     assert got == want and len(want) < every.count() / 4
     assert [c for name, c in made if name == "asked-for"] == [9 * n]
+
+
+def test_next_t_of_a_synonym_with_itself_makes_no_pairs(spark):
+    """The rows are those of the whole relation with l = r, which is not planned for them."""
+    empty = "procedure a { while (x > 1) { } y = 1; while (y > 1) { if (x > 1) then { while (z > 1) { z = 1; } } else { x = 2; } } z = 3; }"
+    f = from_programs(spark.createDataFrame([("p", empty), ("q", ALPHA)], "program_id string, source string"))
+    found = Query(f, n="prog_line").such_that("Next*", "n", "n").select("n")
+    loops = Query(f, w="while").such_that("Next*", "w", "w").select("w")
+    assert "next_t" not in f.memo
+    whole = {(r.program_id, r.l) for r in f.relation("next_t").where("l = r").collect()}
+    assert {(r.program_id, r.n) for r in found.collect()} == whole == {("p", n) for n in (3, 4, 5, 6, 7)} | {("q", n) for n in (2, 3, 4, 5, 6, 7)}
+    assert {(r.program_id, r.w) for r in loops.collect()} == {("p", 3), ("p", 5), ("q", 2)}
