@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import Scratch, components
+from .common import Scratch, components, release
 from .hashing import mix, words
 
 
@@ -103,6 +103,7 @@ def set_blocks(docs: DataFrame, p: Parameters) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        release()
         ids, held, nodes = [], [], []
         n, name = 0, TaskContext.get().partitionId() << 32
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 import zlib
 
-from codeloom.llm import decontamination, mixing, sharding, urls
+import pandas as pd
+from codeloom.llm import common, decontamination, jaccard, mixing, queries, sharding, urls
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,3 +69,36 @@ def test_urls_that_are_long_or_nameless(spark, scratch):
     free = [r for r in got if r[3] is None]
     assert [r for r in got if r[3]] == sorted([(None, "a.net", "/", "net/", "block"), (None, "w.org", "/fr/", "org/fr/", "allow"), (1, "w.example.net", "/en/1", "example.net/en/", "allow")], key=repr)
     assert sorted(r[:3] for r in free if r[0]) == [(1, "h.example.org", path)] and [r for r in free if r[0] is None] == [(None, "", "", None, "allow")]
+
+
+def test_batches_of_large_rows_are_cut_by_bytes(spark):
+    """Blocks of a megabyte: 64 MB of them were a batch, in the JVM and in its worker."""
+    queries.scratch(spark, "test")
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).cast("binary").alias("b"))
+
+    def sizes(it):
+        for batch in it:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    got = [r["n"] for r in rows.mapInPandas(sizes, "n long").collect()]
+    assert sum(got) == 40 and max(got) <= 10
+
+
+def test_jaccard_releases_what_an_earlier_operator_left_in_a_worker(spark, make_docs):
+    """A reused worker held the lexicon and the words of the toxicity stage through all later ones."""
+    docs = make_docs([(i, f"a b c d e {i}") for i in range(8)]).coalesce(1)
+
+    def fill(it):
+        common.per_process("toxicity", "k", lambda: "large")
+        yield from it
+
+    def left(it):
+        for batch in it:
+            yield pd.DataFrame({"n": [sum(k == "toxicity" for k in vars(sys.modules.get("_codeloom_worker", common)))]})
+
+    one = spark.range(0, 1, 1, 1).select("id")
+    one.mapInPandas(fill, "id long").collect()
+    d = docs.select("text", docs["doc_id"].alias("doc"))
+    jaccard.set_blocks(d, jaccard.Parameters()).select("block").mapInPandas(left, "n long").collect()
+    workers = [r["n"] for r in one.mapInPandas(left, "n long").collect()]
+    assert workers == [0]
