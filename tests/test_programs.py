@@ -10,6 +10,7 @@ from codeloom.functions.expressions import RELATIONS, canonical, is_condition
 from codeloom.functions import tables
 from codeloom.operators import across, demand, flow, relations, subtrees
 from codeloom.operators import closure as closure_module
+from codeloom.operators import stored as stored_module
 from codeloom.operators.closure import closure, closure_acyclic, closure_by_components, reached, reached_pairs
 from codeloom.operators.stored import StoredClosure
 from codeloom.plans import facts as facts_module
@@ -443,3 +444,24 @@ def test_fact_tables_round_trip(spark, alpha, tmp_path):
     again = read_facts(spark, str(tmp_path), ("parent",))
     assert rows(again.relation("parent")) == rows(alpha.relation("parent"))
     assert rows(again.relation("follows_t")) == rows(alpha.relation("follows_t"))
+
+
+def test_stored_closure_in_large_batches(spark, monkeypatch):
+    """A batch that most pairs run over: what is left of a chain came back in a round for each of its edges."""
+    table = lambda edges: spark.createDataFrame(sorted(edges), "program_id string, l long, r long")
+    chain = {("a", i, i + 1) for i in range(40)}
+    shortcuts = {("a", i, i + 5) for i in range(0, 35, 2)}
+    loop = {("b", 1, 2), ("b", 2, 3), ("b", 3, 1)}
+    rounds = []
+    monkeypatch.setattr(stored_module, "written", lambda df, name: rounds.append(name) or tables.written(df, name))
+    stored = StoredClosure.of(table({("a", 50, 0), ("a", 39, 60)} | loop))
+    start = closed({("a", 50, 0), ("a", 39, 60)} | loop)
+    every = {("a", 50, 0), ("a", 39, 60)} | chain | shortcuts | loop
+    assert {tuple(r) for r in stored.add(table(chain | shortcuts)).collect()} == closed(every) - start
+    del rounds[:]
+    gone = {("a", 20, 21), ("a", 50, 0), ("b", 1, 2)} | shortcuts
+    lost = {tuple(r) for r in stored.remove(table(gone)).collect()}
+    got = [tuple(r) for r in stored.pairs.collect()]
+    assert set(got) == closed(every - gone) and len(got) == len(set(got))
+    assert lost == closed(every) - closed(every - gone)
+    assert len(rounds) < 15
