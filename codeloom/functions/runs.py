@@ -15,12 +15,13 @@ from pyspark.sql.window import Window
 CELL = 4096
 
 
-def running(df: DataFrame, keys: list[str], by: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, piece: str | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], by: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, piece: str | None = None, table: DataFrame | None = None) -> DataFrame:
     """df with sums, and last values that are not null, of all rows of the group up to this one in the order of `by`.
 
     `piece` names the column of pieces, which ascends with `by`; without it a
     task takes each group whole.  `by` tells the rows of a group apart.  With
-    pieces df is read twice, so it should be a written table.
+    pieces df is read twice, so it should be a written table, or made row by
+    row from such a `table` that has the columns too.
     """
     sums, lasts = sums or {}, lasts or {}
     inside = Window.partitionBy(*keys, *([piece] if piece else [])).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
@@ -29,7 +30,7 @@ def running(df: DataFrame, keys: list[str], by: str, sums: dict[str, Column] | N
         return df.withColumns(own)
     held = [F.sum(c).alias(f"_{n}") for n, c in sums.items()] + [F.max_by(c, F.when(c.isNotNull(), F.col(by))).alias(f"_{n}") for n, c in lasts.items()]
     before = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
-    carried = df.groupBy(*keys, piece).agg(*held)
+    carried = (df if table is None else table).groupBy(*keys, piece).agg(*held)
     carried = carried.select(*keys, piece, *[F.sum(f"_{n}").over(before).alias(f"_{n}") for n in sums], *[F.last(f"_{n}", True).over(before).alias(f"_{n}") for n in lasts])
     out = df.withColumns(own).join(carried, [*keys, piece])
     out = out.withColumns({n: F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0)) for n in sums} | {n: F.coalesce(n, f"_{n}") for n in lasts})

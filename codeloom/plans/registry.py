@@ -23,7 +23,7 @@ from codeloom.operators.stored import StoredClosure
 from codeloom.plans.facts import Facts
 from codeloom.plans.query import Query, name
 from codeloom.sources import store
-from codeloom.sources.events import from_events
+from codeloom.sources.events import PROGRAM, from_events
 from codeloom.sources.orders import from_orders
 from codeloom.sources.programs import from_programs, parse_errors, read_lines
 from codeloom.sources.texts import FAULTS, faulty_texts, program_texts, written_program
@@ -326,7 +326,9 @@ ONE: dict[str, tuple[Build, str]] = {
 
 
 def one_program_facts(spark: SparkSession, sf_dir: str) -> Facts:
-    return from_programs(read_lines(spark, written_program(spark.read.parquet(f"{sf_dir}/events.parquet")), folders=True))
+    """One folder is one program, so a short name does for that of the folder, which every row of every step would carry."""
+    lines = read_lines(spark, written_program(spark.read.parquet(f"{sf_dir}/events.parquet")), folders=True)
+    return from_programs(lines.withColumn("program_id", F.lit(PROGRAM)))
 
 
 def events_facts(spark: SparkSession, sf_dir: str) -> Facts:

@@ -1,9 +1,11 @@
 """Program text as facts, by Spark's own string and window functions.
 
-Tokens come from one regular expression.  Running sums over them number the
-statements and the depth of braces, and the last open brace or loop header at
-a depth is the block or container of what follows.  Only expressions pass
-through a small Python helper, for their canonical form.
+A text is cut behind every `;`, `{` and `}` into segments, each a statement or
+the head of a container at most, with the tokens that one regular expression
+finds in it.  Running sums over segments number the statements and the depth of
+braces, and the last open brace or loop header at a depth is the block or
+container of what follows.  Only expressions pass through a small Python
+helper, for their canonical form.
 
 A program is a row (program_id, source), or, however large, rows of lines
 (program_id, piece, line, source), whose pieces have a bounded number of
@@ -13,7 +15,7 @@ pieces first, then over a row for each piece, so no task holds the program.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,7 +28,7 @@ from codeloom.plans.facts import Facts
 TOKEN = r"([A-Za-z][A-Za-z0-9]*|[0-9]+|&&|\|\||[<>=!]=|[-+*/%<>=!(){};])"
 NAME = r"^[A-Za-z][A-Za-z0-9]*$"
 HEADERS = ("while", "if")
-#: Lines of a piece.
+#: Lines of a piece, and segments of one.
 LINES = 4096
 
 
@@ -39,55 +41,76 @@ def read_lines(spark: SparkSession, path: str, folders: bool = False, lines: int
     """Programs by lines: one per file, or with `folders` one per folder, whose files are in order of length of name, then name.
 
     Files may be split between tasks, as Spark likes; only a line has to fit into one.
+    Pieces are numbered, so that no row carries the name of its file from step to step.
     """
     name, row = F.col("_metadata.file_path"), F.monotonically_increasing_id()
     folder = F.regexp_replace(name, "/[^/]*$", "") if folders else name
     at = [F.length(name).alias("length"), name.alias("file"), F.col("_metadata.file_block_start").alias("start")]
     t = spark.read.text(path).select(folder.alias("program_id"), F.struct(*at, F.floor(row / lines).alias("part")).alias("piece"), row.alias("line"), F.col("value").alias("source"))
-    return written(t, "lines")
+    t = written(t, "lines")
+    number = F.row_number().over(Window.partitionBy("program_id").orderBy("piece")).cast("long")
+    numbers = written(t.select("program_id", "piece").distinct().withColumn("number", number), "pieces")
+    return t.join(numbers, ["program_id", "piece"]).select("program_id", F.col("number").alias("piece"), "line", "source")
 
 
 def _piece(t: DataFrame) -> str | None:
     return "piece" if "piece" in t.columns else None
 
 
-def _numbered(programs: DataFrame) -> DataFrame:
-    """(program_id, i, tok), and piece for lines: all tokens in order.  No token goes over the end of a line."""
-    found = F.regexp_extract_all("source", F.lit(TOKEN), F.lit(1))
+def _cut(programs: DataFrame) -> DataFrame:
+    """(program_id, g, toks), and piece for lines: the tokens of every segment that has some, numbered in order.  No token goes over the end of a line, a segment may."""
+    parts = F.split("source", "(?<=[;{}])")
+    tokens = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1)).alias("toks")
     if _piece(programs) is None:
-        return programs.select("program_id", F.posexplode(found).alias("i", "tok"))
-    t = written(programs.select("program_id", "piece", "line", found.alias("found")).where(F.size("found") > 0), "lines-of-tokens")
-    t = running(t, ["program_id"], "line", sums={"upto": F.size("found").cast("long")}, piece="piece")
-    t = t.select("program_id", "piece", (F.col("upto") - F.size("found")).alias("from"), F.posexplode("found").alias("k", "tok"))
-    return written(t.select("program_id", "piece", (F.col("from") + F.col("k")).alias("i"), "tok"), "numbered")
-
-
-def _tokens(programs: DataFrame) -> DataFrame:
-    """(program_id, i, tok, prev, next, next2, depth, kind, no, proc), and piece for lines: every token, and whether a statement or procedure starts there.
-
-    `depth` counts the braces open before the token, after it if it closes
-    one, so statements of a procedure's own list are at depth 1.
+        return programs.select("program_id", F.posexplode(parts).alias("g", "text")).select("program_id", F.col("g").cast("long").alias("g"), tokens).where(F.size("toks") > 0)
+    marks = F.size(F.regexp_extract_all("source", F.lit("([;{}])"), F.lit(1))).cast("long")
+    t = running(programs, ["program_id"], "line", sums={"upto": marks}, piece="piece")
+    t = t.select("program_id", "line", (F.col("upto") - marks).alias("before"), F.posexplode(parts).alias("k", "text"))
+    t = t.select("program_id", "line", (F.col("before") + F.col("k")).alias("g"), tokens).where(F.size("toks") > 0)
+    t = t.withColumn("piece", F.floor(F.col("g") / LINES)).repartition("program_id", "piece").groupBy("program_id", "piece", "g")
+    return t.agg(F.flatten(F.array_sort(F.collect_list(F.struct("line", "toks")))["toks"]).alias("toks"))
+
+
+def _segments(programs: DataFrame) -> DataFrame:
+    """(program_id, g, toks, end, prev, next, depth, kind, no, proc), and piece for lines: every segment, and what starts there.
+
+    `end` is the `;`, `{` or `}` that ends the segment, null at the end of a
+    text; `prev` and `next` are those of its neighbours, or `else` for an
+    `else {`.  `depth` counts the braces open before it, so statements of a
+    procedure's own list are at depth 1.
     """
-    t = _numbered(programs)
+    t = _cut(programs)
     piece = _piece(t)
-    t = neighbours(t, ["program_id"], "i", "tok", piece)
-    t = written(t, "neighbours") if piece else t
-    step = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
-    t = running(t, ["program_id"], "i", sums={"depth": step}, piece=piece)
-    t = t.withColumn("depth", (F.col("depth") - F.when(F.col("tok") == "{", 1).otherwise(0)).cast("int"))
-    begins = (F.col("prev").isNull() | F.col("prev").isin("{", "}", ";")) & F.col("tok").rlike(NAME)
+    last = F.element_at("toks", -1)
+    t = t.withColumn("end", F.when(last.isin(";", "{", "}"), last))
+    t = t.withColumns({"sign": F.when(F.concat_ws(" ", "toks") == "else {", "else").otherwise(F.coalesce("end", F.lit(""))), "step": _step(F.col("end"))})
+    t = cut = written(t, "segments") if piece else t
+    t = neighbours(t, ["program_id"], "g", "sign", piece)
+    t = running(t, ["program_id"], "g", sums={"depth": F.col("step")}, piece=piece, table=cut)
+    t = t.withColumn("depth", (F.col("depth") - F.col("step")).cast("int"))
+    first, second = F.get("toks", F.lit(0)), F.get("toks", F.lit(1))
     # After a `}` an `else {` continues an if; `else = 1;` is a statement, for no word is reserved.
-    begins = begins & ~((F.col("tok") == "else") & (F.col("prev") == "}") & (F.col("next") == "{"))
+    begins = first.rlike(NAME) & ~((F.col("sign") == "else") & F.coalesce(F.col("prev") == "}", F.lit(False)))
     kind = (
-        F.when(begins & (F.col("depth") == 0) & (F.col("tok") == "procedure"), "procedure")
-        .when(begins & (F.col("next") == "="), "assign")
-        .when(begins & F.col("tok").isin("read", "print", "call", "while", "if"), F.col("tok"))
+        F.when(begins & (F.col("depth") == 0) & (first == "procedure"), "procedure")
+        .when(begins & (second == "="), "assign")
+        .when(begins & first.isin("read", "print", "call", "while", "if"), first)
         .when(begins, "error")
     )
-    t = t.withColumn("kind", kind)
+    t = t.select("program_id", *([piece] if piece else []), "g", "toks", "end", "prev", "next", "depth", kind.alias("kind"))
     t = written(t, "kinds") if piece else t
     starts = F.when(F.col("kind").isNotNull() & (F.col("kind") != "procedure"), 1).otherwise(0)
-    return running(t, ["program_id"], "i", sums={"no": starts}, lasts={"proc": F.when(F.col("kind") == "procedure", F.col("next"))}, piece=piece)
+    return running(t, ["program_id"], "g", sums={"no": starts}, lasts={"proc": F.when(F.col("kind") == "procedure", second)}, piece=piece)
+
+
+def _step(end: Column) -> Column:
+    return F.when(end == "{", 1).when(end == "}", -1).otherwise(0)
+
+
+def _opened_by() -> Column:
+    """The token before the `{` that ends a segment."""
+    before = F.when(F.col("prev") == "else", "{").otherwise(F.col("prev"))
+    return F.when(F.col("end") == "{", F.when(F.size("toks") > 1, F.element_at("toks", -2)).otherwise(before))
 
 
 #: What may stand between two of `;`, `{` and `}`, tokens set apart by blanks.
@@ -96,43 +119,36 @@ ASSIGNMENT, SIMPLE = rf"^{_ID} = (.*) ;$", rf"^(read|print|call) {_ID} ;$"
 LOOP, BRANCH = r"^while \( (.+) \) \{$", r"^if \( (.+) \) then \{$"
 
 
-def _segments(t: DataFrame) -> DataFrame:
-    """(program_id, depth, text) of every run of tokens up to a `;`, `{` or `}`; a statement at most, so never large."""
-    new = F.when(F.col("prev").isNull() | F.col("prev").isin(";", "{", "}"), 1).otherwise(0)
-    s = running(t, ["program_id"], "i", sums={"segment": new}, piece=_piece(t)).groupBy("program_id", "segment")
-    s = s.agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("x"), F.min_by("depth", "i").alias("depth"))
-    return s.select("program_id", "depth", F.concat_ws(" ", F.col("x.tok")).alias("text"))
-
-
 def parse_errors(programs: DataFrame, facts: Facts | None = None) -> DataFrame:
     """(program_id, message) of programs that break a rule: characters, braces, statements, expressions, conditions, branches, names, calls, recursion."""
-    t = written(_tokens(programs), "tokens")
+    t = written(_segments(programs), "parsed")
     piece = _piece(t)
     rest = programs.where(F.trim(F.regexp_replace(F.regexp_replace("source", TOKEN, " "), r"\s+", " ")) != "").select("program_id", F.lit("unknown character").alias("message")).distinct()
     empty = programs.groupBy("program_id").agg(F.max(F.regexp_like("source", F.lit(r"\S"))).alias("any"))
     none = empty.where(~F.col("any")).select("program_id", F.lit("no procedure").alias("message"))
     say = lambda df, text: df.select("program_id", F.lit(text).alias("message")).distinct()
-    step = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
     out = rest.unionByName(none)
-    out = out.unionByName(say(t.groupBy("program_id").agg(F.sum(step).alias("open"), F.min("depth").alias("low")).where("open <> 0 or low < 0"), "braces do not match"))
+    closed = F.col("depth") - F.when(F.col("end") == "}", 1).otherwise(0)
+    out = out.unionByName(say(t.groupBy("program_id").agg(F.sum(_step(F.col("end"))).alias("open"), F.min(closed).alias("low")).where("open <> 0 or low < 0"), "braces do not match"))
     # Each segment is one of the forms of its depth, and its expression or condition is one.
     inside = F.when(F.col("text").rlike(ASSIGNMENT), "assign").when(F.col("text").rlike(SIMPLE) | F.col("text").isin("}", "else {"), "fine").when(F.col("text").rlike(LOOP), "while").when(F.col("text").rlike(BRANCH), "if")
-    s = _segments(t).withColumn("form", F.when(F.col("depth") > 0, inside).when(F.col("text").rlike(rf"^procedure {_ID} \{{$"), "fine"))
+    s = t.select("program_id", F.when(F.size("toks") == 1, closed).otherwise(F.col("depth")).alias("depth"), F.concat_ws(" ", "toks").alias("text")).withColumn("form", F.when(F.col("depth") > 0, inside).when(F.col("text").rlike(rf"^procedure {_ID} \{{$"), "fine"))
     # Too many closing braces are an error already.
-    s = written(s.where("depth > 0 or text <> '}'"), "segments")
+    s = written(s.where("depth > 0 or text <> '}'"), "forms")
     out = out.unionByName(say(s.where("form is null"), "no statement"))
     right = s.where("form = 'assign'").select("program_id", canonical_column(F.regexp_extract("text", ASSIGNMENT, 1)).alias("e"))
     out = out.unionByName(say(right.where("e is null"), "no expression"))
     test = F.when(F.col("form") == "while", F.regexp_extract("text", LOOP, 1)).otherwise(F.regexp_extract("text", BRANCH, 1))
     out = out.unionByName(say(s.where("form in ('while', 'if')").select("program_id", is_condition_column(test).alias("ok")).where("not ok"), "no condition"))
     # What a closing brace closes: the last one opened at its depth.
-    braces = t.where("tok in ('{', '}')").withColumn("level", F.col("depth") + 1)
-    braces = running(braces, ["program_id", "level"], "i", lasts={"opened_by": F.when(F.col("tok") == "{", F.col("prev"))}, piece=piece)
-    closing = braces.where("tok = '}' and level > 1").withColumn("goes_on", (F.col("next") == "else") & (F.col("next2") == "{"))
+    braces = t.where("end in ('{', '}')").select("program_id", *([piece] if piece else []), "g", "end", "next", F.when(F.col("end") == "{", F.col("depth") + 1).otherwise(F.col("depth")).alias("level"), _opened_by().alias("by"))
+    braces = running(braces, ["program_id", "level"], "g", lasts={"opened_by": F.col("by")}, piece=piece)
+    closing = braces.where("end = '}' and level > 1").withColumn("goes_on", F.col("next") == "else")
     bad = closing.where("(opened_by = 'then') <> coalesce(goes_on, false)")
-    begun = t.where("tok = 'else' and next = '{' and depth > 0 and prev in ('{', ';')")  # an `else` that follows no brace
+    # An `else` that follows no closing brace.
+    begun = t.where((F.concat_ws(" ", "toks") == "else {") & (F.col("depth") > 0) & F.col("prev").isin("{", ";", "else"))
     out = out.unionByName(say(bad.select("program_id").unionByName(begun.select("program_id")), "then and else do not match"))
-    out = out.unionByName(say(t.where("kind = 'procedure'").groupBy("program_id", "next").count().where("count > 1"), "procedure declared twice"))
+    out = out.unionByName(say(t.where("kind = 'procedure'").groupBy("program_id", F.get("toks", F.lit(1))).count().where("count > 1"), "procedure declared twice"))
     facts = facts or from_programs(programs)
     calls = facts.call_edge
     out = out.unionByName(say(calls.join(facts.proc, (calls["program_id"] == facts.proc["program_id"]) & (calls["callee"] == facts.proc["proc"]), "left_anti"), "undeclared procedure called"))
@@ -142,59 +158,53 @@ def parse_errors(programs: DataFrame, facts: Facts | None = None) -> DataFrame:
 
 def from_programs(programs: DataFrame) -> Facts:
     """Facts of programs, whole or by lines.  See `parse_errors` for those that are none."""
-    t = written(_tokens(programs), "tokens")
+    t = written(_segments(programs), "parsed")
     piece, cut = _piece(t), [c for c in ("piece",) if c in t.columns]
-    # Last open brace, or header, of a depth: openers and statements meet in one order per depth.
-    opener = t.where("tok = '{'").select("program_id", *cut, (F.col("depth") + 1).alias("level"), "i", F.col("i").cast("long").alias("block"), F.col("prev").alias("opened_by"), F.lit(None).cast("long").alias("stmt_no"))
-    heads = t.where("kind is not null and kind not in ('procedure', 'error') and depth > 0")
-    inside = heads.select("program_id", *cut, F.col("depth").alias("level"), "i", F.lit(None).cast("long").alias("block"), F.lit(None).cast("string").alias("opened_by"), F.col("no").alias("stmt_no"))
-    blocks = running(opener.unionByName(inside), ["program_id", "level"], "i", lasts={"block": F.col("block"), "opened_by": F.col("opened_by")}, piece=piece)
-    blocks = blocks.where("stmt_no is not null").select("program_id", "stmt_no", "block", "opened_by")
-    # Headers, the statements inside them and the braces that close them, for which the last header of their depth is looked up.
-    outer = heads.where(F.col("kind").isin(*HEADERS)).select("program_id", *cut, (F.col("depth") + 1).alias("level"), "i", F.col("no").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"), F.lit(None).cast("long").alias("end"))
-    held = inside.select("program_id", *cut, "level", "i", F.lit(None).cast("long").alias("parent_no"), "stmt_no", F.lit(None).cast("long").alias("end"))
-    closing = t.where("tok = '}'").select("program_id", *cut, (F.col("depth") + 1).alias("level"), "i", F.lit(None).cast("long").alias("parent_no"), F.lit(None).cast("long").alias("stmt_no"), F.col("no").alias("end"))
-    held = running(outer.unionByName(held).unionByName(closing), ["program_id", "level"], "i", lasts={"parent_no": F.col("parent_no")}, piece=piece)
-    held = written(held.where("level > 1 and (stmt_no is not null or end is not null)"), "held")
-    parents = held.where("stmt_no is not null").select("program_id", "stmt_no", "parent_no")
+    first, second = F.get("toks", F.lit(0)), F.get("toks", F.lit(1))
+    # What a statement consists of: the segment without its end.
+    held = F.size("toks") - F.when(F.col("end").isNotNull(), 1).otherwise(0)
+    head = F.col("kind").isNotNull() & ~F.col("kind").isin("procedure", "error") & (F.col("depth") > 0)
+    # Last open brace, and last header, of a depth: at its own depth a segment asks for them and may close, one deeper it opens.
+    expr = F.when(F.col("kind") == "assign", F.concat_ws(" ", F.slice("toks", F.lit(3), F.greatest(held - 2, F.lit(0)))))
+    own = t.where(head | (F.col("end") == "}")).select(
+        "program_id", *cut, "g", F.col("depth").alias("level"), F.when(head, F.col("no")).alias("stmt_no"), F.when(F.col("end") == "}", F.col("no")).alias("last_no"),
+        F.when(head, F.struct("kind", "proc", first.alias("tok"), second.alias("next"), expr.alias("expr"))).alias("is"),
+    )
+    header = head & F.col("kind").isin(*HEADERS)
+    opens = t.where(header | (F.col("end") == "{")).select(
+        "program_id", *cut, "g", (F.col("depth") + 1).alias("level"), F.when(F.col("end") == "{", F.col("g")).alias("opened"), _opened_by().alias("by"), F.when(header, F.col("no")).alias("above")
+    )
+    both = running(own.unionByName(opens, allowMissingColumns=True), ["program_id", "level"], "g", lasts={"block": F.col("opened"), "opened_by": F.col("by"), "parent_no": F.when(F.col("level") > 1, F.col("above"))}, piece=piece)
+    both = written(both.where("stmt_no is not null or last_no is not null").select("program_id", "stmt_no", "last_no", "is", "level", "block", "opened_by", "parent_no"), "held")
     # The last statement before the last brace that closes a container.
-    ends = held.where("end is not null and parent_no is not null").groupBy("program_id", F.col("parent_no").alias("stmt_no")).agg(F.max("end").alias("end_no"))
-
-    # What a statement consists of: an assignment's right side, or the condition up to the brace.
-    w = Window.partitionBy("program_id", "no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    body = t.where("no > 0").withColumn("ended", F.coalesce(F.max(F.when(F.col("tok").isin(";", "{", "}"), 1).otherwise(0)).over(w), F.lit(0)))
-    body = body.where("ended = 0 and tok not in (';', '{', '}')")
-    first = body.groupBy("program_id", "no").agg(F.min("i").alias("from"), F.min_by("kind", "i").alias("type"))
-    body = body.join(first, ["program_id", "no"])
-    right = body.where("type = 'assign' and i > from + 1").groupBy("program_id", "no").agg(F.array_sort(F.collect_list(F.struct("i", "tok"))).alias("x"))
-    right = right.select("program_id", F.col("no").alias("stmt_no"), canonical_column(F.concat_ws(" ", F.col("x.tok"))).alias("expr_canon"))
-
-    body = written(body, "bodies")
-    s = heads.select("program_id", F.col("no").alias("stmt_no"), F.col("kind").alias("type"), "proc", "i", (F.col("depth") - 1).alias("depth"), "tok", "next")
-    s = s.join(blocks, ["program_id", "stmt_no"]).join(parents, ["program_id", "stmt_no"], "left").join(right, ["program_id", "stmt_no"], "left")
+    ends = both.where("last_no is not null and parent_no is not null").groupBy("program_id", F.col("parent_no").alias("stmt_no")).agg(F.max("last_no").alias("end_no"))
+
+    s = both.where("stmt_no is not null").select("program_id", "stmt_no", "is.*", "block", "opened_by", "parent_no", (F.col("level") - 1).alias("depth"))
     if piece:
-        s = s.join(heads.groupBy("program_id", "proc").agg(F.min("no").alias("first_no")), ["program_id", "proc"])
+        s = s.join(s.groupBy("program_id", "proc").agg(F.min("stmt_no").alias("first_no")), ["program_id", "proc"])
     else:
         s = s.withColumn("first_no", F.min("stmt_no").over(Window.partitionBy("program_id", "proc")))
     s = s.withColumn("ord", (F.col("stmt_no") - F.col("first_no") + 1).cast("long"))
     s = s.join(ends, ["program_id", "stmt_no"], "left")
     branch = F.when(F.col("depth") == 0, None).when(F.col("opened_by").isin("then", "else"), F.col("opened_by")).otherwise("body")
     stmt = s.select(
-        "program_id", "stmt_no", "type", "proc", F.col("block").cast("string").alias("block_id"), F.col("ord").alias("pos"), "ord",
+        "program_id", "stmt_no", F.col("kind").alias("type"), "proc", F.col("block").cast("string").alias("block_id"), F.col("ord").alias("pos"), "ord",
         (F.col("ord") + F.coalesce("end_no", "stmt_no") - F.col("stmt_no")).alias("last_ord"), "parent_no", branch.alias("branch"), "depth",
-        F.when(F.col("type") == "assign", F.col("tok")).alias("lhs_var"), F.when(F.col("type").isin("read", "print"), F.col("next")).alias("io_var"),
-        F.when(F.col("type") == "call", F.col("next")).alias("callee"), "expr_canon",
+        F.when(F.col("kind") == "assign", F.col("tok")).alias("lhs_var"), F.when(F.col("kind").isin("read", "print"), F.col("next")).alias("io_var"),
+        F.when(F.col("kind") == "call", F.col("next")).alias("callee"), canonical_column("expr").alias("expr_canon"),
     )
     stmt = written(stmt, "stmt")
     # `then` closes an if's condition: it stands between `)` and `{`, and no variable can.
-    words = body.where(F.col("tok").rlike(NAME) & (F.col("i") > F.col("from")) & ~((F.col("tok") == "then") & (F.col("next") == "{")))
-    variable = lambda types: words.where(F.col("type").isin(*types)).select("program_id", F.col("no").cast("long").alias("stmt_no"), F.col("tok").alias("var")).distinct()
+    then = (F.col("end") == "{") & (F.element_at("toks", -2) == "then")
+    words = F.slice("toks", F.lit(2), F.greatest(held - 1 - F.when(then & (held > 1), 1).otherwise(0), F.lit(0)))
+    each = lambda types, form, name: t.where(F.col("kind").isin(*types)).select("program_id", "no", F.explode(F.array_distinct(F.filter(words, lambda w: w.rlike(form)))).alias(name))
+    variable = lambda types: each(types, NAME, "var").withColumn("stmt_no", F.col("no").cast("long")).select("program_id", "stmt_no", "var")
     names = stmt.where("lhs_var is not null or type = 'read'").select("program_id", "stmt_no", F.coalesce("lhs_var", "io_var").alias("var"))
     return Facts(
         stmt=stmt,
         use_direct=written(variable(["assign", "print", *HEADERS]), "uses"),
         mod_direct=names,
         cond_var=variable(HEADERS),
-        const=body.where(F.col("tok").rlike("^[0-9]") & F.col("type").isin("assign", *HEADERS)).select("program_id", F.col("tok").alias("value")).distinct(),
-        proc=t.where("kind = 'procedure'").select("program_id", F.col("next").alias("proc")).distinct(),
+        const=each(["assign", *HEADERS], "^[0-9]", "value").select("program_id", "value").distinct(),
+        proc=t.where("kind = 'procedure'").select("program_id", second.alias("proc")).distinct(),
     )

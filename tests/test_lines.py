@@ -7,8 +7,10 @@ import random
 import pytest
 from codeloom.functions import runs
 from codeloom.functions.runs import in_order, neighbours, running
+from codeloom.functions.tables import written
 from codeloom.operators import relations
 from codeloom.plans.facts import Facts
+from codeloom.sources import programs
 from codeloom.sources.programs import from_programs, parse_errors, read_lines, read_programs
 from codeloom.sources.tables import NAMES
 from codeloom.sources.texts import faulty_texts, program_texts
@@ -128,3 +130,22 @@ def test_long_lists_are_cut(spark, monkeypatch, relation):
     facts = Facts.from_tables({name: getattr(facts, name) for name in NAMES})
     assert facts.piece is not None and len(want) > 20
     assert rows(getattr(relations, relation)(facts), ["program_id", "l", "r"]) == want
+
+
+def test_steps_have_a_row_for_a_segment_and_no_names_of_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "all.txt").write_text("procedure p {\n" + "while (x > 1) {\n x = y + z * 3 - 1;\n print x; }\n" * 20 + "}")
+    lines = read_lines(spark, str(tmp_path / "one"), lines=5)
+    assert dict(lines.dtypes)["piece"] == "bigint"
+    made = []
+
+    def counted(df, name):
+        t = written(df, name)
+        made.append((name, t.count()))
+        return t
+
+    monkeypatch.setattr(programs, "written", counted)
+    facts = from_programs(lines)
+    assert facts.stmt.count() == 60
+    # 82 segments of 304 tokens; where blocks are looked up, those that begin or end one.
+    assert made and max(n for _, n in made) <= 82, made
