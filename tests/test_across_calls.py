@@ -6,7 +6,8 @@ import random
 
 import duckdb
 import pytest
-from codeloom.operators import across, demand
+from codeloom.functions.tables import written
+from codeloom.operators import across, closure, demand
 from codeloom.plans import registry
 from codeloom.sources.programs import from_programs
 from small_programs import _LITERAL, ALPHA
@@ -150,3 +151,20 @@ def test_bound_values_are_followed_from_the_bindings(spark, monkeypatch, relatio
         seeds = spark.createDataFrame([("0", 5)], "program_id string, node long")
         got = {tuple(r) for r in demand.bound(f, relation, seeds, side).select("program_id", "l", "r").collect()}
         assert got == {r for r in every if r[1 if side == "l" else 2] == 5} and got
+
+
+def test_pairs_across_calls_are_made_of_numbers(spark, monkeypatch):
+    f = facts(spark, ["procedure a { x = 1; call b; call b; y = x; } procedure b { call c; z = x; } procedure c { x = y + 1; call d; } procedure d { y = x; }"])
+    s = across.steps(f)
+    made = {}
+
+    def kept(df, name):
+        made[name] = dict(df.dtypes)
+        return written(df, name)
+
+    for module in (across, closure):
+        monkeypatch.setattr(module, "written", kept)
+    assert across.between_assignments(f, s).count() > 3
+    assert {"closure", "below", "returned", "behind"} <= set(made)
+    for name in ("closure", "delta", "below", "returned", "behind"):
+        assert not any(kind.startswith("struct") for kind in made[name].values()), name
