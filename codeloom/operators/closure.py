@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.tables import written
+from codeloom.operators import sets
 
 PAIR = ["program_id", "l", "r"]
 
@@ -42,19 +43,15 @@ def closure(edges: DataFrame, derive: Callable[[DataFrame], DataFrame] | None =
 def closure_acyclic(edges: DataFrame) -> DataFrame:
     """The same for sparse graphs without cycles, which it fits better.
 
-    After round i, `known` has the walks of up to 2**i edges, and `step`
-    those of just 2**i, which lengthen all known ones; so a pair is met once
-    for each place 2**i edges from its end instead of for each place between.
-    With cycles the steps would not run out, and every round would meet every
-    pair again.
+    What a node leads to is a set of 64 numbers a row (`codeloom.operators.sets`); pairs of names come of
+    these at the end, each once, and are never shuffled.  With cycles the
+    steps would not run out, and every round would meet every set again.
     """
-    known = step = written(edges.select(*PAIR).distinct(), "closure")
-    while True:
-        delta = written(_then(known, step).distinct().join(known, PAIR, "left_anti"), "delta")
-        if delta.isEmpty():
-            return known
-        known = known.unionByName(delta)
-        step = written(_then(step, step).distinct(), "step")
+    edges = edges.select(*PAIR)
+    ends = lambda c: edges.select("program_id", F.col(c).alias("node"))
+    names = sets.numbered(ends("l").unionByName(ends("r")))
+    pairs = sets.by_number(edges, names, "l", "r")
+    return sets.named(sets.gathered(pairs, sets.of_pairs(pairs)), names)
 
 
 def reached(edges: DataFrame, seeds: DataFrame, steps: int = 4, carried: tuple[str, ...] = ()) -> DataFrame:
