@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from codeloom.functions import tables
 from codeloom.operators import across, closure, sets
 from codeloom.operators.closure import closure_acyclic
 from codeloom.sources.programs import from_programs
+from small_programs import ALPHA
+from test_programs import make_program
 
 
 def test_a_closure_writes_sets_instead_of_pairs(spark, monkeypatch):
@@ -44,3 +48,14 @@ def test_values_across_calls_make_no_pairs_of_starts(spark, monkeypatch):
     users = f.stmt.where("type = 'assign' and stmt_no > 1").select("stmt_no").collect()
     assert sorted((r["l"], r["r"]) for r in across.between_assignments(f, steps).collect()) == sorted((1, r[0]) for r in users)
     assert sum(written) < 11_175 * 0.7
+
+
+def test_pairs_of_affects_come_once_by_themselves(spark):
+    """Pairs that met in several loops were shuffled to be made distinct; lists of loops and branches, four deep, give each once."""
+    rng = random.Random(17)
+    f = from_programs(spark.createDataFrame([(str(i), make_program(rng)[0]) for i in range(12)] + [("alpha", ALPHA)], "program_id string, source string"))
+    found = f.relation("affects")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) > 50
