@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from codeloom.functions import tables
-from codeloom.operators import across, closure, sets
+from codeloom.operators import across, closure, relations, sets
 from codeloom.operators.closure import closure_acyclic
 from codeloom.sources.programs import from_programs
 from small_programs import ALPHA
@@ -59,3 +59,27 @@ def test_pairs_of_affects_come_once_by_themselves(spark):
     assert "Aggregate" not in plan[: plan.index("Join")]
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) > 50
+
+
+def test_next_across_calls_writes_blocks_instead_of_pairs(spark, monkeypatch):
+    """Ten procedures of 21 statements and a call each: 2,205 pairs inside procedures were written, and those behind calls."""
+    body = " ".join(f"x = x + {i};" for i in range(20))
+    source = "".join(f"procedure p{i} {{ {f'call p{i + 1};' if i < 9 else 'y = x;'} {body} }}" for i in range(10))
+    f = from_programs(spark.createDataFrame([("a", source)], "program_id string, source string"))
+    f.relation("labels"), f.relation("full_calls")
+    written = []
+
+    def counted(df, name):
+        out = tables.written(df, name)
+        written.append(out.count())
+        return out
+
+    for module in (relations, sets, closure):
+        monkeypatch.setattr(module, "written", counted)
+    got = [tuple(r) for r in f.relation("next_bip_t").collect()]
+    # From one of p(i): to what comes later in it, from its call to all of the procedures below, and behind calls to the last twenty of each above.
+    want = {("a", 21 * i + k, 21 * i + m) for i in range(10) for k in range(1, 22) for m in range(k + 1, 22)}
+    want |= {("a", 21 * i + 1, 21 * j + m) for i in range(10) for j in range(i + 1, 10) for m in range(1, 22)}
+    want |= {("a", 21 * i + k, 21 * j + m) for i in range(10) for j in range(i) for k in range(1, 22) for m in range(2, 22)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(written) < 2_205
